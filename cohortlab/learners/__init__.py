@@ -1,0 +1,29 @@
+"""Learners by the names used in the parameter grids."""
+
+from .bayes import fit_gaussian_nb, fit_lda
+from .gradient import fit_mlp_classifier, fit_mlp_regressor, fit_sgd_classifier, fit_svr
+from .kernel import fit_gp, fit_svm
+from .knn import fit_knn
+from .linear import fit_elasticnet, fit_lasso, fit_logreg, fit_ols, fit_ridge
+from .trees import (
+    fit_adaboost_classifier,
+    fit_adaboost_regressor,
+    fit_bagging_regressor,
+    fit_forest_classifier,
+    fit_forest_regressor,
+    fit_gbt_classifier,
+    fit_gbt_regressor,
+    fit_tree_classifier,
+    fit_tree_regressor,
+)
+
+CLASSIFIERS = {
+    "LogR": fit_logreg, "LR-SGD": fit_sgd_classifier, "LDA": fit_lda, "DT": fit_tree_classifier,
+    "RF": fit_forest_classifier, "AdaB": fit_adaboost_classifier, "XGB": fit_gbt_classifier, "SVM": fit_svm,
+    "KNN": fit_knn, "NB": fit_gaussian_nb, "MLP": fit_mlp_classifier,
+}
+REGRESSORS = {
+    "LR": fit_ols, "Ridge": fit_ridge, "Lasso": fit_lasso, "ElasticNet": fit_elasticnet, "DT": fit_tree_regressor,
+    "RF": fit_forest_regressor, "AdaB": fit_adaboost_regressor, "XGB": fit_gbt_regressor,
+    "Bagging": fit_bagging_regressor, "SVR": fit_svr, "GPR": fit_gp, "MLP": fit_mlp_regressor,
+}

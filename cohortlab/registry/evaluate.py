@@ -207,7 +207,7 @@ def _draws(keys: str, sums: str) -> str:
 
 
 @register("bootstrap_classify_rows", f"""
-, h as (select *, md5('42|' || b || '|' || row_id) as h from (select * from lp where model = 'RF') t, (select b::int as b from range({_BLOCKS}) t(b)) u)
+, h as (select *, md5('42|' || b || '|' || row_id) as h from (select row_id, label, prediction from lp where model = 'RF') t, (select b::int as b from range({_BLOCKS}) t(b)) u)
 , cw as ({_draws('label, prediction,', 'sum({w}) as n')})
 , a as (select replicate, sum(case when label = prediction then n else 0 end) / sum(n) as acc from cw group by 1)
 select {r_sql('avg(acc) * 100', 'mean')}, {r_sql('stddev_pop(acc) * 100', 'std')}, {r_sql('quantile_cont(acc, 0.025) * 100', 'ci_lower')},
@@ -292,7 +292,7 @@ _vote_sql = """
 , wt as (select model, {w} as weight from fa group by 1),
 v as (select row_id, k::int as cls, sum(weight * probability[k + 1]) / sum(weight) as p from pp join wt using (model), range(3) t(k) group by all),
 o as (select *, row_number() over (partition by row_id order by p desc, cls) as pos from v)
-select o.row_id, o.cls as prediction, list_transform(q.ps, x -> round(x, 6)) as probability from o
+select o.row_id, o.cls as prediction, [round(x, 6) for x in q.ps] as probability from o
 join (select row_id, list(p order by cls) as ps from v group by 1) q using (row_id) where pos = 1"""
 
 

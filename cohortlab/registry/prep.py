@@ -151,10 +151,11 @@ cross join (select a.s || '_vs_' || b.s as comparison from (select distinct o_or
   join (select distinct o_orderstatus as s from orders) b on a.s < b.s) k""", raw=True)
 def _(spark, d):
     combos = table(spark, d, "customer").select(F.col("c_mktsegment").alias("combo")).distinct()
-    # the classes found in the data, sorted: a handful of names
-    found = table(spark, d, "orders").agg(F.array_sort(F.collect_set("o_orderstatus"))).scalar()
-    names = F.transform(found, lambda a: F.transform(F.filter(found, lambda x: x > a), lambda x: F.concat(a, F.lit("_vs_"), x)))
-    return catalog.task_plan(combos, F.flatten(names))
+    # the classes found in the data, sorted: a handful of names, paired inside one array
+    found = table(spark, d, "orders").agg(F.array_sort(F.collect_set("o_orderstatus")).alias("found"))
+    f = F.col("found")
+    pairs = F.transform(f, lambda a: F.transform(F.filter(f, lambda x: x > a), lambda x: F.concat(a, F.lit("_vs_"), x)))
+    return catalog.task_plan(combos, found.select(F.flatten(pairs)).scalar())
 
 
 # ---- profiling ---------------------------------------------------------------------------------
