@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+from collections.abc import Callable
+
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..learners.base import batch_scorer, features_array
+from .nodes import leaf_paths, tree_nodes
+
 
 def shap_linear(
     df: DataFrame,
@@ -32,3 +39,169 @@ def shap_linear(
                 (F.lit(float(w[j])) * (x - m[f"m_{j}"])).alias("phi"), base.alias("base"),
             ))
     return df.select(*keep, F.inline(F.array(*rows)))
+
+
+def long_contributions(df: DataFrame, phi: Column, base: list[float], features: list[str], keep: list[str] = ("row_id", "label"), x: Column | None = None) -> DataFrame:
+    """An array of K x p contributions per row (class by class) to the long table."""
+    p = len(features)
+    x = features_array(df) if x is None else x
+    names, bases = F.array(*[F.lit(f) for f in features]), F.array(*[F.lit(float(b)) for b in base])
+    long = df.select(*keep, x.alias("_x"), F.posexplode(phi).alias("_i", "phi"))
+    cls, j = (F.col("_i") / p).cast("int"), F.col("_i") % p
+    return long.select(
+        *keep, cls.alias("class"), names[j].alias("feature"), F.col("_x")[j].alias("feature_value"), "phi", bases[cls].alias("base")
+    )
+
+
+def _array_udf(fn: Callable[[np.ndarray], np.ndarray], x: Column) -> Column:
+    return batch_scorer(lambda v: fn(v).reshape(len(v), -1), x)
+
+
+# ---- trees -------------------------------------------------------------------------------------
+
+def shap_tree(df: DataFrame, model, features: list[str], keep: list[str] = ("row_id", "label")) -> DataFrame:
+    """Path-dependent tree contributions (Lundberg 2018) of a tree, forest or boosted model.
+
+    Forests are explained in class probabilities (or the value), boosted classifiers in the margin.
+    """
+    leaves = leaf_paths(tree_nodes(df.sparkSession, model))
+    shared = df.sparkSession.sparkContext.broadcast(leaves)
+    p = len(features)
+    base = sum(leaf.value * np.prod(leaf.zero) for leaf in leaves)
+    phi = _array_udf(lambda v: tree_contributions(v, shared.value, p), features_array(df))
+    return long_contributions(df, phi, list(base), features, keep)
+
+
+def tree_contributions(x: np.ndarray, leaves: list, p: int) -> np.ndarray:
+    """(rows, classes, features) contributions summed over leaves.
+
+    With one-fractions o (does the row satisfy the path's splits on a feature) and zero-fractions z
+    (share of training rows that do), a leaf's game is the product of z + o t; the coefficients of the
+    product without one feature, weighted by coalition sizes, give that feature's share.
+    """
+    n, k = len(x), len(leaves[0].value)
+    out = np.zeros((n, k, p))
+    for leaf in leaves:
+        d = len(leaf.feature)
+        if d == 0:
+            continue
+        one = np.stack([(x[:, f] > lo) & (x[:, f] <= hi) for f, lo, hi in zip(leaf.feature, leaf.low, leaf.high)]).astype(float)
+        poly = np.zeros((d + 1, n))
+        poly[0] = 1.0
+        for i, z in enumerate(leaf.zero):
+            poly[1:i + 2] = z * poly[1:i + 2] + one[i] * poly[0:i + 1]
+            poly[0] = z * poly[0]
+        sizes = [math.factorial(s) * math.factorial(d - s - 1) / math.factorial(d) for s in range(d)]
+        for i, (f, z) in enumerate(zip(leaf.feature, leaf.zero)):
+            q = np.zeros(n)
+            share = np.zeros(n)
+            for s in range(d - 1, -1, -1):
+                q = np.where(one[i] > 0, poly[s + 1] - z * q, poly[s] / z)
+                share += sizes[s] * q
+            out[:, :, f] += ((one[i] - z) * share)[:, None] * leaf.value[None, :]
+    return out
+
+
+# ---- any scorer --------------------------------------------------------------------------------
+
+def kmeans_background(df: DataFrame, k: int = 50, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
+    """At most ``k`` weighted centres: (centres, shares)."""
+    centres = kmeans_centres(df, k, seed).collect()
+    return np.array([r["centre"] for r in centres]), np.array([r["weight"] for r in centres])
+
+
+def kmeans_centres(df: DataFrame, k: int = 50, seed: int = 42) -> DataFrame:
+    """``(cluster, centre, weight)``; the weight is the cluster's share of the rows."""
+    from pyspark.ml.clustering import KMeans
+
+    n = df.limit(k).count()
+    model = KMeans(k=min(k, n), seed=seed, maxIter=20).fit(df)
+    sizes = model.transform(df).groupBy(F.col("prediction").alias("cluster")).agg(F.count(F.lit(1)).alias("n"))
+    points = [(i, [float(v) for v in c]) for i, c in enumerate(model.clusterCenters())]
+    centres = df.sparkSession.createDataFrame(points, "cluster int, centre array<double>")
+    total = sizes.agg(F.sum("n")).scalar()
+    return sizes.join(centres, "cluster").select("cluster", "centre", (F.col("n") / total).alias("weight"))
+
+
+def _masked_values(x: np.ndarray, masks: np.ndarray, predict: Callable, centres: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """(rows, masks, outputs): mean prediction with the masked-out features taken from the centres."""
+    rows = []
+    for row in x:
+        mixed = np.where(masks[:, None, :], row[None, None, :], centres[None, :, :])
+        got = np.asarray(predict(mixed.reshape(-1, x.shape[1])))
+        got = got.reshape(len(masks), len(centres), -1)
+        rows.append(np.einsum("mbk,b->mk", got, weights))
+    return np.stack(rows)
+
+
+def _coalitions(p: int, samples: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Masks and Shapley kernel weights: all of them for few features, paired draws otherwise."""
+    if p <= 10:
+        masks = np.array([[(m >> j) & 1 for j in range(p)] for m in range(1, 2**p - 1)], dtype=bool).reshape(-1, p)
+        size = masks.sum(axis=1)
+        return masks, np.array([(p - 1) / (math.comb(p, s) * s * (p - s)) for s in size])
+    rng = np.random.default_rng(seed)
+    sizes = np.arange(1, p)
+    odds = (p - 1) / (sizes * (p - sizes))
+    drawn = rng.choice(sizes, samples // 2, p=odds / odds.sum())
+    masks = np.zeros((len(drawn), p), dtype=bool)
+    for i, s in enumerate(drawn):
+        masks[i, rng.choice(p, s, replace=False)] = True
+    masks, counts = np.unique(np.vstack([masks, ~masks]), axis=0, return_counts=True)
+    return masks, counts.astype(float)
+
+
+def shap_kernel(
+    df: DataFrame, predict: Callable[[np.ndarray], np.ndarray], centres: np.ndarray, weights: np.ndarray,
+    features: list[str], samples: int = 2048, seed: int = 42, keep: list[str] = ("row_id", "label"),
+) -> DataFrame:
+    """Kernel SHAP (Lundberg & Lee 2017) for any batch scorer; exact enumeration up to 10 features.
+
+    All rows share the coalitions, so the weighted least squares is one small matrix worked out once.
+    Rows are explained where they are: no explode, no shuffle.
+    """
+    p = len(features)
+    masks, w = _coalitions(p, samples, seed)
+    base = np.asarray(predict(centres)).reshape(len(centres), -1).T @ weights
+    if p > 1:
+        # phi sums to f(x) - base: eliminate the last feature
+        z = masks[:, :-1].astype(float) - masks[:, -1:].astype(float)
+        solve = np.linalg.solve((z * w[:, None]).T @ z, (z * w[:, None]).T)
+    last = masks[:, -1].astype(float)
+
+    def explain(x: np.ndarray) -> np.ndarray:
+        full = np.asarray(predict(x)).reshape(len(x), -1) - base
+        if p == 1:
+            return full[:, :, None]
+        v = _masked_values(x, masks, predict, centres, weights) - base
+        phi = np.einsum("jm,nmk->nkj", solve, v - last[None, :, None] * full[:, None, :])
+        return np.concatenate([phi, (full - phi.sum(axis=2))[:, :, None]], axis=2)
+
+    return long_contributions(df, _array_udf(explain, features_array(df)), list(base), features, keep)
+
+
+def shap_permutation(
+    df: DataFrame, predict: Callable[[np.ndarray], np.ndarray], centres: np.ndarray, weights: np.ndarray,
+    features: list[str], permutations: int = 10, seed: int = 42, keep: list[str] = ("row_id", "label"),
+) -> DataFrame:
+    """Average marginal gain along random feature orders, each walked forwards and backwards."""
+    p = len(features)
+    rng = np.random.default_rng(seed)
+    orders = [o for _ in range(permutations) for o in (lambda a: (a, a[::-1]))(rng.permutation(p))]
+    steps = np.zeros((len(orders), p + 1, p), dtype=bool)
+    for i, o in enumerate(orders):
+        for s in range(p):
+            steps[i, s + 1:, o[s]] = True
+    masks, back = np.unique(steps.reshape(-1, p), axis=0, return_inverse=True)
+    back = back.reshape(len(orders), p + 1)
+    base = np.asarray(predict(centres)).reshape(len(centres), -1).T @ weights
+
+    def explain(x: np.ndarray) -> np.ndarray:
+        v = _masked_values(x, masks, predict, centres, weights)
+        phi = np.zeros((len(x), v.shape[2], p))
+        for i, o in enumerate(orders):
+            gains = np.diff(v[:, back[i], :], axis=1)
+            phi[:, :, o] += gains.transpose(0, 2, 1)
+        return phi / len(orders)
+
+    return long_contributions(df, _array_udf(explain, features_array(df)), list(base), features, keep)

@@ -8,7 +8,6 @@ row first, so a vector that holds a third of the table costs as much as any othe
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -84,7 +83,7 @@ def _cell_pairs(spark, q_stats: list, s_stats: list, pivots: np.ndarray, group:
     for q in q_stats:
         near = base.get(tuple(q[g] for g in group), [])
         bounds = np.sort(np.concatenate([
-            np.repeat(q["radius"] + gap[q["cell"], s["cell"]] + np.asarray(s["near_r"]), 1) for s in near
+            q["radius"] + gap[q["cell"], s["cell"]] + np.asarray(s["near_r"]) for s in near
         ])) if near else np.array([])
         theta = bounds[k - 1] if len(bounds) >= k else np.inf
         for s in near:
@@ -143,21 +142,24 @@ def knn_join(
             F.explode(F.sequence(F.lit(0).cast("long"), F.col(n_other) - 1)).alias(other),
         )
 
+    # both sides may come from one table: new names give the co-group new columns
     key = [*group, "q_cell", "s_cell", "q_block", "s_block"]
+    q_key = [f"q_{c}" for c in key]
     qs = q_cells.withColumn("q_cell", F.col("cell").cast("long")).join(pairs, [*group, "q_cell"])
     qs = qs.select(*group, "q_cell", "s_cell", vec, *spread("q_blocks", "s_blocks", "q_block", "s_block"))
+    qs = qs.select(*[F.col(c).alias(n) for c, n in zip(key, q_key)], F.col(vec).alias("v"))
     ss = s_cells.withColumn("s_cell", F.col("cell").cast("long")).join(pairs, [*group, "s_cell"])
     ss = ss.select(*group, "q_cell", "s_cell", vec, "ids", *spread("s_blocks", "q_blocks", "s_block", "q_block"))
 
     def block(_, q: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
         if q.empty or s.empty:
             return pd.DataFrame({"v": [], "ids": [], "distance": [], **{g: [] for g in group}})
-        qi, si, dist = _top_of_block(np.stack(q[vec].to_numpy()), np.stack(s[vec].to_numpy()), keep, p)
-        out = {"v": q[vec].to_numpy()[qi], "ids": s["ids"].to_numpy()[si], "distance": dist}
-        return pd.DataFrame({**out, **{g: q[g].to_numpy()[qi] for g in group}})
+        qi, si, dist = _top_of_block(np.stack(q["v"].to_numpy()), np.stack(s[vec].to_numpy()), keep, p)
+        out = {"v": q["v"].to_numpy()[qi], "ids": s["ids"].to_numpy()[si], "distance": dist}
+        return pd.DataFrame({**out, **{g: q[f"q_{g}"].to_numpy()[qi] for g in group}})
 
     schema = ", ".join(["v array<double>", "ids array<bigint>", "distance double", *[f"{g} long" for g in group]])
-    found = qs.groupBy(*key).cogroup(ss.groupBy(*key)).applyInPandas(block, schema)
+    found = qs.groupBy(*q_key).cogroup(ss.groupBy(*key)).applyInPandas(block, schema)
     flat = found.select(*group, F.col("v").alias(vec), "distance", F.explode("ids").alias("neighbor_id"))
     first = Window.partitionBy(*group, vec).orderBy("distance", "neighbor_id")
     best = flat.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= keep).drop("_n")

@@ -1,6 +1,6 @@
 """All registered queries and their SQL counterparts."""
 
-from . import prep, evaluate, explain_views  # noqa: F401
+from . import evaluate, explain_views, learn, prep  # noqa: F401
 from .base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -55,8 +55,10 @@ def _(spark, d):
 
 # ---- label metrics -----------------------------------------------------------------------------
 
-CM_SQL = """
-, cm as (select model, label, prediction, count(*)::double as n from lp group by all),
+def cm_sql(source: str) -> str:
+    """Label metrics of ``source`` (model, label, prediction) as a chain of tables ending in ``lm``."""
+    return f"""
+, cm as (select model, label, prediction, count(*)::double as n from {source} group by all),
 k as (select model, cls, sum(t) as t, sum(p) as p, sum(tp) as tp from (
   select model, label as cls, n as t, 0 as p, case when label = prediction then n else 0 end as tp from cm
   union all select model, prediction, 0, n, 0 from cm) group by all),
@@ -67,6 +69,9 @@ lm as (select model, c / s as accuracy, bacc as balanced_accuracy, (c * s - tc)
 """
 
 
+CM_SQL = cm_sql("lp")
+
+
 @register("confusion_matrix", "select model, fold, label, prediction, count(*) as n from lp group by all")
 def _(spark, d):
     return m.confusion(b.long_predictions(spark, d), ["model", "fold"])
