@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..learners.base import batch_scorer, features_array
+from ..operators.encode import sql_literal
 from .nodes import leaf_paths, tree_nodes
 
 
@@ -26,19 +27,20 @@ def shap_linear(
     One aggregation for the means and one projection; nothing is shuffled.
     """
     background = df if background is None else background
-    m = background.agg(F.struct(*[F.avg(f"`{f}`").alias(f"m_{j}") for j, f in enumerate(features)]).alias("m")).scalar()
+    means = background.selectExpr(
+        "struct(" + ", ".join(f"avg(`{f}`) AS m_{j}" for j, f in enumerate(features)) + ") AS m"
+    ).scalar()
     rows = []
     for c, (w, b) in enumerate(zip(coef, intercept)):
-        base = F.lit(float(b))
-        for j in range(len(features)):
-            base = base + F.lit(float(w[j])) * m[f"m_{j}"]
+        w = [f"double('{float(v)!r}')" for v in w]
+        base = " + ".join([f"double('{float(b)!r}')", *[f"{v} * _m.m_{j}" for j, v in enumerate(w)]])
         for j, f in enumerate(features):
-            x = F.col(f"`{f}`").cast("double")
-            rows.append(F.struct(
-                F.lit(c).alias("class"), F.lit(f).alias("feature"), x.alias("feature_value"),
-                (F.lit(float(w[j])) * (x - m[f"m_{j}"])).alias("phi"), base.alias("base"),
-            ))
-    return df.select(*keep, F.inline(F.array(*rows)))
+            x = f"CAST(`{f}` AS DOUBLE)"
+            rows.append(
+                f"struct({c} AS class, {sql_literal(f)} AS feature, {x} AS feature_value, {w[j]} * ({x} - _m.m_{j}) AS phi, {base} AS base)"
+            )
+    # the means are bound to a column once: every mention of a subquery would be planned by itself
+    return df.withColumn("_m", means).selectExpr(*[f"`{k}`" for k in keep], f"inline(array({', '.join(rows)}))")
 
 
 def long_contributions(df: DataFrame, phi: Column, base: list[float], features: list[str], keep: list[str] = ("row_id", "label"), x: Column | None = None) -> DataFrame:

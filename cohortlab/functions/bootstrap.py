@@ -32,7 +32,7 @@ def _weighted_sums(df: DataFrame, replicates: int, seed, id_col: str, keys: list
         F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_b"),
     ).withColumn("_h", digest(seed, "_b", "_id"))
     rows = rows.select(*keys, "_b", *[f"_v_{n}" for n in values], *[
-        poisson_weight(F.substring("_h", 1 + 8 * i, 8)).alias(f"_w{i}") for i in range(4)
+        poisson_weight(f"substring(_h, {1 + 8 * i}, 8)").alias(f"_w{i}") for i in range(4)
     ])
     sums = rows.groupBy(*keys, "_b").agg(*[
         F.sum(F.col(f"_w{i}") * F.col(f"_v_{n}")).alias(f"{n}_{i}") for i in range(4) for n in values

@@ -47,9 +47,7 @@ def poisson_steps() -> list[tuple[str, int]]:
     return steps
 
 
-def poisson_weight(hex8: Column) -> Column:
-    """Poisson(1) weight of a uniform given as eight hex digits; the tail is cut at 8."""
-    out = F
-    for bound, k in poisson_steps():
-        out = out.when(hex8 < F.lit(bound), F.lit(float(k)))
-    return out.otherwise(F.lit(float(POISSON_CUT)))
+def poisson_weight(hex8: str) -> Column:
+    """Poisson(1) weight of the SQL text of a uniform in eight hex digits; the tail is cut at 8."""
+    whens = " ".join(f"WHEN {hex8} < '{bound}' THEN {k}D" for bound, k in poisson_steps())
+    return F.expr(f"CASE {whens} ELSE {POISSON_CUT}D END")

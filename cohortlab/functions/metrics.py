@@ -130,8 +130,8 @@ def roc_curve(df: DataFrame, score: str = "score", label: str = "label", keys: l
         run = run.join(totals, keys)
         n_pos, n_neg = F.col("_p"), F.col("_n")
     else:
-        both = totals.select(F.struct("_p", "_n").alias("s")).scalar()
-        n_pos, n_neg = both["_p"], both["_n"]
+        run = run.withColumn("_both", totals.select(F.struct("_p", "_n").alias("s")).scalar())
+        n_pos, n_neg = F.col("_both._p"), F.col("_both._n")
     return run.select(
         *keys,
         F.col("_score").alias("threshold"),

@@ -5,6 +5,7 @@ from .gradient import fit_mlp_classifier, fit_mlp_regressor, fit_sgd_classifier,
 from .kernel import fit_gp, fit_svm
 from .knn import fit_knn
 from .linear import fit_elasticnet, fit_lasso, fit_logreg, fit_ols, fit_ridge
+from .shared import lda_many, least_squares_many, nb_many
 from .trees import (
     fit_adaboost_classifier,
     fit_adaboost_regressor,
@@ -27,3 +28,13 @@ REGRESSORS = {
     "RF": fit_forest_regressor, "AdaB": fit_adaboost_regressor, "XGB": fit_gbt_regressor,
     "Bagging": fit_bagging_regressor, "SVR": fit_svr, "GPR": fit_gp, "MLP": fit_mlp_regressor,
 }
+
+# Learners whose candidates share one pass over the rows.
+MANY = {
+    fit_gaussian_nb: nb_many,
+    fit_lda: lda_many,
+    fit_ols: least_squares_many(lambda o: (lambda n: 0.0, 0.0)),
+    fit_ridge: least_squares_many(lambda o: (lambda n: float(o.get("alpha", 1.0)) / n, 0.0)),
+    fit_lasso: least_squares_many(lambda o: (lambda n: float(o.get("alpha", 1.0)), 1.0)),
+    fit_elasticnet: least_squares_many(lambda o: (lambda n: float(o.get("alpha", 1.0)), float(o.get("l1_ratio", 0.5)))),
+}

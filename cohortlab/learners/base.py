@@ -50,7 +50,9 @@ def balanced_weights(df: DataFrame, label: str = "label", out: str = "weight") -
         F.map_from_entries(F.collect_list(F.struct(F.col(label).cast("int"), F.col("n")))).alias("m"),
         F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"),
     ).select(F.struct("m", "n", "k").alias("s")).scalar()
-    return df.withColumn(out, table["n"] / (table["k"] * table["m"][F.col(label).cast("int")]))
+    t = F.col("_table")
+    weighted = df.withColumn("_table", table).withColumn(out, t["n"] / (t["k"] * t["m"][F.col(label).cast("int")]))
+    return weighted.drop("_table")
 
 
 def class_count(train: DataFrame, label: str = "label") -> int:

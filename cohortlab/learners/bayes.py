@@ -96,25 +96,38 @@ def fit_lda(train: DataFrame, params: dict) -> LinearClassModel:
     """Least-squares discriminant: prior-weighted class covariances, shrunk, solved for p weights."""
     shift = feature_moments(train)[0][1]
     grams = feature_gram(train, key="label", shift=shift)
-    n_all = sum(g[0, 0] for g in grams.values())
-    means = {c: g[0, 1:] / g[0, 0] for c, g in grams.items()}
-    covs = {c: g[1:, 1:] / g[0, 0] - np.outer(means[c], means[c]) for c, g in grams.items()}
     shrink = params.get("shrinkage", 0.0)
-    if shrink == "auto":
-        stds = {c: np.sqrt(np.maximum(np.diag(s), 0)) for c, s in covs.items()}
-        safe = {c: np.where(sd == 0, 1.0, sd) for c, sd in stds.items()}
-        corr = {c: covs[c] / np.outer(safe[c], safe[c]) for c in covs}
-        lw = ledoit_wolf_shrinkage(train, {c: m + shift for c, m in means.items()}, safe, corr)
-        covs = {c: np.outer(safe[c], safe[c]) * _shrunk(corr[c], lw[c]) for c in covs}
-    else:
-        covs = {c: _shrunk(s, float(shrink)) for c, s in covs.items()}
+    if shrink != "auto":
+        return shrunk_discriminant(grams, shift, float(shrink))
+    means, covs = _class_moments(grams)
+    # standardised first, so the shrinkage target is the identity of correlations
+    stds = {c: np.sqrt(np.maximum(np.diag(s), 0)) for c, s in covs.items()}
+    stds = {c: np.where(sd == 0, 1.0, sd) for c, sd in stds.items()}
+    corr = {c: covs[c] / np.outer(stds[c], stds[c]) for c in covs}
+    lw = ledoit_wolf_shrinkage(train, {c: m + shift for c, m in means.items()}, stds, corr)
+    return _discriminant(grams, shift, means, {c: np.outer(stds[c], stds[c]) * _shrunk(corr[c], lw[c]) for c in covs})
+
+
+def shrunk_discriminant(grams: dict[int, np.ndarray], shift: np.ndarray, shrink: float) -> LinearClassModel:
+    """The discriminant for a fixed shrinkage, from class Gram matrices of [1, x - shift]."""
+    means, covs = _class_moments(grams)
+    return _discriminant(grams, shift, means, {c: _shrunk(s, shrink) for c, s in covs.items()})
+
+
+def _class_moments(grams: dict[int, np.ndarray]) -> tuple[dict, dict]:
+    means = {c: g[0, 1:] / g[0, 0] for c, g in grams.items()}
+    return means, {c: g[1:, 1:] / g[0, 0] - np.outer(means[c], means[c]) for c, g in grams.items()}
+
+
+def _discriminant(grams: dict, shift: np.ndarray, means: dict, covs: dict) -> LinearClassModel:
     order = sorted(grams)
-    prior = np.array([grams[c][0, 0] / n_all for c in order])
+    n = np.array([grams[c][0, 0] for c in order])
+    prior = n / n.sum()
     pooled = sum(p * covs[c] for p, c in zip(prior, order))
-    m = np.stack([means[c] for c in order])
+    # the shift only kept digits in the covariances
+    m = np.stack([means[c] + shift for c in order])
     coef = np.linalg.lstsq(pooled, m.T, rcond=None)[0].T
-    # the scores are w . (x - shift): fold the shift into the intercept
-    intercept = -0.5 * np.einsum("ij,ij->i", m, coef) + np.log(prior) - coef @ shift
+    intercept = -0.5 * np.einsum("ij,ij->i", m, coef) + np.log(prior)
     return LinearClassModel(coef=coef, intercept=intercept)
 
 

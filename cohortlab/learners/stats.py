@@ -82,7 +82,7 @@ def feature_gram(df: DataFrame, extra: list[str] = (), key: str | None = None, s
         x = F.zip_with(x, F.array(*[F.lit(float(v)) for v in shift]), lambda a, m: a - m)
     packed = F.concat(x, F.array(*[F.col(c).cast("double") for c in extra])) if extra else x
     slim = df.select(*([key] if key else []), packed.alias("_x"))
-    width = len(slim.select("_x").first()["_x"])
+    width = len(shift) + len(extra) if shift is not None else len(slim.select("_x").first()["_x"])
     if key is None:
         return collect_gram(gram_cells(slim, [], "_x", width), width)
     out: dict[int, np.ndarray] = {}

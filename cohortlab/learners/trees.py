@@ -135,9 +135,9 @@ def fit_bagging_regressor(train: DataFrame, params: dict, id_col: str = "row_id"
 
         order = sorted(range(width), key=lambda j: hashlib.md5(f"{seed}|{i}|{j}".encode()).hexdigest())
         cols = sorted(order[:n_cols])
-        h = digest(f"{seed}-{i}", id_col)
-        keep = F.substring(h, 9, 8) < F.lit(format(min(int(share * 2**32), 2**32 - 1), "08x"))
-        drawn = base.withColumn("weight", poisson_weight(F.substring(h, 1, 8))).filter(keep & (F.col("weight") > 0))
+        hashed = base.withColumn("_h", digest(f"{seed}-{i}", id_col))
+        keep = F.substring("_h", 9, 8) < F.lit(format(min(int(share * 2**32), 2**32 - 1), "08x"))
+        drawn = hashed.withColumn("weight", poisson_weight("substring(_h, 1, 8)")).filter(keep & (F.col("weight") > 0)).drop("_h")
         sliced = VectorSlicer(inputCol="features", outputCol="_f", indices=cols).transform(drawn)
         tree = DecisionTreeRegressor(featuresCol="_f", weightCol="weight", **_shape(params)).fit(sliced)
         return cols, tree

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import chain
-
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,8 +27,18 @@ AMYLOID = {"A-": 0, "A+": 1}
 
 def lookup(col: str | Column, mapping: dict) -> Column:
     """Value of a literal map; a key it lacks gives NULL."""
+    entries = ", ".join(f"{sql_literal(k)}, {sql_literal(v)}" for k, v in mapping.items())
     key = F.col(col) if isinstance(col, str) else col
-    return F.create_map(*[F.lit(x) for x in chain(*mapping.items())])[key]
+    return F.expr(f"map({entries})")[key]
+
+
+def sql_literal(v: object) -> str:
+    """A Python value as SQL text; one expression of text is far cheaper to build than many calls."""
+    if isinstance(v, str):
+        return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    if isinstance(v, float):
+        return f"double('{v!r}')"
+    return str(v)
 
 
 def drop_columns(df: DataFrame, cols: list[str], strict: bool = True) -> DataFrame:

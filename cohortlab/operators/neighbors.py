@@ -65,6 +65,8 @@ def _assign(df: DataFrame, vec: str, pivots: np.ndarray, p: int) -> DataFrame:
         cell = _block_distances(x, pivots, p).argmin(axis=1)
         return pd.DataFrame({"cell": cell.astype("int32"), "reach": _distances(x, pivots[cell], p)})
 
+    # marked so the planner does not repeat it for a filter on its result
+    nearest = nearest.asNondeterministic()
     return df.withColumn("_c", nearest(vec)).select("*", "_c.cell", "_c.reach").drop("_c")
 
 
@@ -115,7 +117,7 @@ def knn_join(
     keep = k + 1 if exclude_self else k
     # both are read several times below: keep them as files
     s_all = cut_lineage(_fold_copies(base, group, vec, id_col, keep))
-    q_all = cut_lineage(queries.select(*group, vec).distinct())
+    q_all = s_all.select(*group, vec) if queries is base else cut_lineage(queries.select(*group, vec).distinct())
 
     # pivots: distinct vectors in hash order, a bounded number of them
     n_pivots = pivots or int(min(MAX_PIVOTS, max(1, s_all.count() ** 0.5 / 4)))

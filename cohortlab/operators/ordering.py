@@ -90,60 +90,43 @@ def value_buckets(df: DataFrame, col: str, n: int = 256, out: str = "_bkt") -> D
 
 
 def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], eps: float = 0.005) -> DataFrame:
-    """Exact interpolated quantiles ``(feature, prob, value)`` of many columns in two scans.
+    """Exact interpolated quantiles ``(feature, prob, value)`` of many columns.
 
-    A rank sketch brackets every quantile first (its rank error is bounded by ``eps``). The second
-    scan counts the rows below each bracket and keeps only rows inside one, so about
-    ``6 * eps`` of the values are shuffled instead of all of them. Brackets that missed would be
-    noticed by the counts and raise.
+    A rank sketch brackets every quantile first (its rank error is bounded by ``eps``). The last scan
+    counts the rows below each bracket and keeps only rows inside one, so about ``6 * eps`` of the
+    values are shuffled instead of all of them. A bracket that missed would show in the counts and
+    raise. The driver sees a few numbers per column and quantile.
     """
-    spark = df.sparkSession
-    asks = [min(max(q + s * 3 * eps, 0.0), 1.0) for q in probs for s in (-1, 1)]
-    brackets = df.approxQuantile(cols, asks, eps)
-    rows = []
-    for c, got in zip(cols, brackets):
-        for i, q in enumerate(probs):
-            # the sketch is exact only inside (0, 1): open the outer brackets fully
-            lo = got[2 * i] if asks[2 * i] > 0 else float("-inf")
-            hi = got[2 * i + 1] if asks[2 * i + 1] < 1 else float("inf")
-            rows.append((c, float(q), lo, hi))
-    pairs = F.array(
-        *[
-            F.struct(
-                F.lit(c).alias("feature"),
-                F.lit(q).alias("prob"),
-                F.col(f"`{c}`").cast("double").alias("x"),
-                F.lit(lo).alias("lo"),
-                F.lit(hi).alias("hi"),
-            )
-            for c, q, lo, hi in rows
-        ]
-    )
-    long = df.select(F.inline(F.filter(pairs, lambda s: s["x"].isNotNull() & (s["x"] <= s["hi"]))))
-    below = F.col("x") < F.col("lo")
-    spread = F.floor((F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo")) * 255)
-    finite = (F.abs("lo") < float("inf")) & (F.abs("hi") < float("inf")) & (F.col("lo") < F.col("hi"))
+    counts = df.selectExpr(*[f"count(`{c}`) AS _{i}" for i, c in enumerate(cols)]).first()
+    pad = [3 * eps + 2 / max(n, 1) for n in counts]
+    asks = sorted({min(max(q + s * w, 0.0), 1.0) for q in probs for w in pad for s in (-1, 1)})
+    sketch = [dict(zip(asks, got)) for got in df.approxQuantile(cols, asks, eps)]
+    inf, cells, where = float("inf"), [], []
+    for i, c in enumerate(cols):
+        for q in probs if counts[i] else []:
+            a, b = q - pad[i], q + pad[i]
+            lo, hi = sketch[i][a] if a > 0 else -inf, sketch[i][b] if b < 1 else inf
+            pos = (counts[i] - 1) * q
+            where.append((c, float(q), float(lo), float(hi), float(pos)))
+            cells.append(f"struct({len(where) - 1} AS cell, CAST(`{c}` AS DOUBLE) AS x, double('{lo}') AS lo, double('{hi}') AS hi)")
+    long = df.selectExpr(f"inline(filter(array({', '.join(cells)}), s -> s.x IS NOT NULL AND s.x <= s.hi))")
     # rows below the bracket become one counted NULL in the first bucket: running counts stay global
+    spread = "CASE WHEN x < lo THEN -1 WHEN abs(lo) < double('inf') AND abs(hi) < double('inf') AND lo < hi THEN floor((x - lo) / (hi - lo) * 255) ELSE 0 END"
     counted = (
-        long.withColumn("_bkt", F.when(below, -1).when(finite, spread).otherwise(0).cast("int"))
-        .groupBy("feature", "prob", "_bkt", F.when(~below, F.col("x")).alias("x"))
+        long.selectExpr("cell", f"CAST({spread} AS INT) AS _bkt", "IF(x < lo, NULL, x) AS x")
+        .groupBy("cell", "_bkt", "x")
         .agg(F.count(F.lit(1)).alias("cnt"))
     )
-    totals = df.select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("feature"), F.col(f"`{c}`").isNotNull().cast("long").alias("one"))
-        for c in cols
-    ]))).groupBy("feature").agg(F.sum("one").alias("n"))
-    ranked = running_sums(counted, ["feature", "prob"], "_bkt", [F.col("x").asc_nulls_first()], {"cum": "cnt"})
-    ranked = ranked.join(totals, "feature").withColumn("pos", (F.col("n") - 1) * F.col("prob"))
-
-    def at(r: Column) -> Column:
-        hit = (F.col("cum") - F.col("cnt") <= r) & (r < F.col("cum"))
-        missed = F.raise_error(F.lit("quantile bracket missed")).cast("double")
-        return F.max(F.when(hit, F.coalesce(F.col("x"), missed)))
-
-    lo_r, hi_r = F.floor("pos"), F.ceil("pos")
-    picked = ranked.groupBy("feature", "prob").agg(
-        at(lo_r).alias("a"), at(hi_r).alias("b"), F.first("pos").alias("pos")
+    ranked = running_sums(counted, ["cell"], "_bkt", [F.col("x").asc_nulls_first()], {"cum": "cnt"})
+    table = df.sparkSession.createDataFrame(
+        [(i, c, q, pos) for i, (c, q, _, _, pos) in enumerate(where)], "cell int, feature string, prob double, pos double"
+    )
+
+    def at(r: str) -> str:
+        hit = f"cum - cnt <= {r} AND {r} < cum"
+        return f"max(CASE WHEN {hit} THEN coalesce(x, CAST(raise_error('quantile bracket missed') AS DOUBLE)) END)"
+
+    picked = ranked.join(table, "cell").groupBy("feature", "prob", "pos").agg(
+        F.expr(at("floor(pos)")).alias("a"), F.expr(at("ceil(pos)")).alias("b")
     )
-    frac = F.col("pos") - F.floor("pos")
-    return picked.select("feature", "prob", (F.col("a") + (F.col("b") - F.col("a")) * frac).alias("value"))
+    return picked.selectExpr("feature", "prob", "coalesce(a + (b - a) * (pos - floor(pos)), CAST(raise_error('quantile bracket missed') AS DOUBLE)) AS value")

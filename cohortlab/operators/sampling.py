@@ -88,7 +88,7 @@ def bootstrap_weights(df: DataFrame, replicates: int, seed=42, id_col: str = "ro
     draws = F.array(*[
         F.struct(
             (F.col("_b") * 4 + i).alias("replicate"),
-            poisson_weight(F.substring("_h", 1 + 8 * i, 8)).alias("w"),
+            poisson_weight(f"substring(_h, {1 + 8 * i}, 8)").alias("w"),
         )
         for i in range(4)
     ])

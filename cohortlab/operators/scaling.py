@@ -1,50 +1,35 @@
 """Feature scaling with statistics of the training part only.
 
 The statistics are one struct from a scalar subquery: one aggregation over the training rows, and a
-projection over the rest, without a join.
+projection over the rest, without a join. The struct is bound to a column once: every mention of a
+subquery would be planned by itself.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 
-def _q(c: str) -> str:
-    return f"`{c}`"
-
-
-def _replace(df: DataFrame, new: dict[str, Column]) -> DataFrame:
-    return df.select(*[new[c].alias(c) if c in new else F.col(_q(c)) for c in df.columns])
-
-
-def minmax_stats(train: DataFrame, cols: list[str]) -> DataFrame:
-    """One row, one struct column: lo_i and hi_i of each column."""
-    fields = []
-    for i, c in enumerate(cols):
-        fields += [F.min(_q(c)).alias(f"lo_{i}"), F.max(_q(c)).alias(f"hi_{i}")]
-    return train.agg(F.struct(*fields).alias("s"))
+def _apply(df: DataFrame, train: DataFrame, stats: list[str], new: dict[str, str]) -> DataFrame:
+    """Bind the aggregates of ``train`` as the struct ``_s`` and replace the named columns."""
+    bound = df.withColumn("_s", train.selectExpr(f"struct({', '.join(stats)}) AS s").scalar())
+    return bound.selectExpr(*[f"{new[c]} AS `{c}`" if c in new else f"`{c}`" for c in df.columns])
 
 
 def minmax_scale(df: DataFrame, train: DataFrame, cols: list[str]) -> DataFrame:
     """(x - min) / (max - min) with the training range; a constant column gives 0."""
-    s = minmax_stats(train, cols).scalar()
-    new = {}
+    stats, new = [], {}
     for i, c in enumerate(cols):
-        lo, hi = s[f"lo_{i}"], s[f"hi_{i}"]
-        span = F.when(hi == lo, F.lit(1.0)).otherwise(hi - lo)
-        new[c] = (F.col(_q(c)) - lo) / span
-    return _replace(df, new)
+        stats += [f"min(`{c}`) AS lo_{i}", f"max(`{c}`) AS hi_{i}"]
+        span = f"if(_s.hi_{i} = _s.lo_{i}, 1D, _s.hi_{i} - _s.lo_{i})"
+        new[c] = f"(`{c}` - _s.lo_{i}) / {span}"
+    return _apply(df, train, stats, new)
 
 
 def standard_scale(df: DataFrame, train: DataFrame, cols: list[str]) -> DataFrame:
     """(x - mean) / population std of the training part; zero std divides by 1."""
-    fields = []
-    for i, c in enumerate(cols):
-        fields += [F.avg(_q(c)).alias(f"mu_{i}"), F.stddev_pop(_q(c)).alias(f"sd_{i}")]
-    s = train.agg(F.struct(*fields).alias("s")).scalar()
-    new = {}
+    stats, new = [], {}
     for i, c in enumerate(cols):
-        sd = F.when(s[f"sd_{i}"] == 0, F.lit(1.0)).otherwise(s[f"sd_{i}"])
-        new[c] = (F.col(_q(c)) - s[f"mu_{i}"]) / sd
-    return _replace(df, new)
+        stats += [f"avg(`{c}`) AS mu_{i}", f"stddev_pop(`{c}`) AS sd_{i}"]
+        new[c] = f"(`{c}` - _s.mu_{i}) / if(_s.sd_{i} = 0, 1D, _s.sd_{i})"
+    return _apply(df, train, stats, new)

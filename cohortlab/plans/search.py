@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import metrics as m
+from ..learners import MANY
 from ..learners.base import score
 from ..operators.sampling import kfold, stratified_kfold
 from ..session import cut_lineage
@@ -18,22 +19,36 @@ from .grids import candidates, sample_candidates
 Fit = Callable[[DataFrame, dict], object]
 
 
-def fold_predictions(df: DataFrame, fit: Fit, params: dict, fold_col: str, n_folds: int, keep: list[str] = ("row_id", "label")) -> DataFrame:
-    """Out-of-fold predictions of one candidate, all folds in one table."""
-    parts = []
-    for f in range(n_folds):
-        model = fit(df.filter(F.col(fold_col) != f), params)
-        scored = score(model, df.filter(F.col(fold_col) == f))
-        wanted = [*keep, fold_col, *[c for c in ("probability",) if c in scored.columns]]
-        parts.append(scored.select(*wanted, F.col("prediction").cast("double").alias("prediction")))
+CANDIDATES_PER_JOB = 16
+
+
+def fold_models(df: DataFrame, fit: Fit, options: list[dict], fold_col: str, n_folds: int, parallelism: int = 4) -> list[list]:
+    """models[candidate][fold], each fitted without its fold.
+
+    Learners with shared statistics need one pass for all of them; the others are fitted side by side.
+    """
+    if fit in MANY:
+        return MANY[fit](df, fold_col, n_folds, options)
+    parts = [df.filter(F.col(fold_col) != f) for f in range(n_folds)]
+    with ThreadPool(parallelism) as pool:
+        flat = pool.map(lambda t: fit(parts[t[1]], options[t[0]]), [(i, f) for i in range(len(options)) for f in range(n_folds)])
+    return [flat[i * n_folds:(i + 1) * n_folds] for i in range(len(options))]
+
+
+def out_of_fold(df: DataFrame, models: list, fold_col: str) -> DataFrame:
+    """Predictions of each fold's rows by the model fitted without them."""
+    parts = [
+        score(m_, df.filter(F.col(fold_col) == f)).select("label", fold_col, F.col("prediction").cast("double").alias("prediction"))
+        for f, m_ in enumerate(models)
+    ]
     return reduce(DataFrame.unionByName, parts)
 
 
-def fold_scores(pred: DataFrame, fold_col: str, metric: str) -> DataFrame:
-    """(fold, score) with accuracy or R2."""
+def fold_scores(pred: DataFrame, keys: list[str], metric: str) -> DataFrame:
+    """(keys, score) with accuracy or R2."""
     if metric == "accuracy":
-        return pred.groupBy(F.col(fold_col).alias("fold")).agg(F.avg((F.col("label") == F.col("prediction")).cast("double")).alias("score"))
-    return m.regression_metrics(pred, [fold_col]).select(F.col(fold_col).alias("fold"), F.col("r2").alias("score"))
+        return pred.groupBy(*keys).agg(F.avg((F.col("label") == F.col("prediction")).cast("double")).alias("score"))
+    return m.regression_metrics(pred, keys).select(*keys, F.col("r2").alias("score"))
 
 
 def candidate_list(grid: dict[str, list], method: str = "grid", n_iter: int = 10, seed: int = 42) -> list[dict]:
@@ -45,14 +60,16 @@ def candidate_list(grid: dict[str, list], method: str = "grid", n_iter: int = 10
 
 
 def grid_scores(df: DataFrame, fit: Fit, options: list[dict], fold_col: str, n_folds: int, metric: str, parallelism: int = 4) -> list[dict]:
-    """(param_id, fold, score) of every candidate. Candidates run side by side as Spark jobs."""
-
-    def one(i: int) -> list[dict]:
-        pred = fold_predictions(df, fit, options[i], fold_col, n_folds)
-        return [{"param_id": i, "fold": r["fold"], "score": r["score"]} for r in fold_scores(pred, fold_col, metric).collect()]
-
-    with ThreadPool(parallelism) as pool:
-        return [row for rows in pool.map(one, range(len(options))) for row in rows]
+    """(param_id, fold, score) of every candidate; many candidates are scored in one job."""
+    models = fold_models(df, fit, options, fold_col, n_folds, parallelism)
+    out = []
+    for at in range(0, len(options), CANDIDATES_PER_JOB):
+        tagged = [
+            out_of_fold(df, models[i], fold_col).withColumn("param_id", F.lit(i)) for i in range(at, min(at + CANDIDATES_PER_JOB, len(options)))
+        ]
+        rows = fold_scores(reduce(DataFrame.unionByName, tagged), ["param_id", fold_col], metric).collect()
+        out += [{"param_id": r["param_id"], "fold": r[fold_col], "score": r["score"]} for r in rows]
+    return sorted(out, key=lambda r: (r["param_id"], r["fold"]))
 
 
 def best_of(scores: list[dict]) -> tuple[int, float]:

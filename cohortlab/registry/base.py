@@ -8,12 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..explain.shap import shap_linear
-from ..functions.hashing import hash_key, hash_uniform
-from ..operators.encode import lookup
 from ..sources.tables import read_cohort
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,70 +100,83 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return read_cohort(spark, d, name)
 
 
+def _map(col: str, mapping: dict) -> str:
+    entries = ", ".join(f"'{k}', {v}" for k, v in mapping.items())
+    return f"map({entries})[{col}]"
+
+
+def _hk(seed: str, *ids: str) -> str:
+    """SQL text of ``hash_key``."""
+    return f"CAST(conv(substring(md5(concat_ws('|', '{seed}', {', '.join(f'CAST({i} AS STRING)' for i in ids)})), 1, 13), 16, 10) AS BIGINT)"
+
+
+def _u(seed: str, *ids: str) -> str:
+    """SQL text of ``hash_uniform``."""
+    return f"({_hk(seed, *ids)} / 4503599627370496D)"
+
+
 def orders_cohort(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "orders").select(
-        F.col("o_orderkey").alias("row_id"), "o_custkey", F.col("o_orderstatus").alias("status"),
-        F.col("o_orderpriority").alias("priority_text"), F.col("o_totalprice").alias("price"),
+    o = table(spark, d, "orders").selectExpr(
+        "o_orderkey AS row_id", "o_custkey", "o_orderstatus AS status", "o_orderpriority AS priority_text", "o_totalprice AS price"
     )
-    c = table(spark, d, "customer").select("c_custkey", F.col("c_mktsegment").alias("segment_text"), F.col("c_acctbal").alias("balance"))
-    return o.join(c, F.col("o_custkey") == F.col("c_custkey")).select(
-        "row_id", "status", "priority_text", "segment_text", "price", "balance", lookup("status", STATUS).alias("label")
+    c = table(spark, d, "customer").selectExpr("c_custkey AS o_custkey", "c_mktsegment AS segment_text", "c_acctbal AS balance")
+    return o.join(c, "o_custkey").selectExpr(
+        "row_id", "status", "priority_text", "segment_text", "price", "balance", f"{_map('status', STATUS)} AS label"
     )
 
 
 def made_cohort(spark: SparkSession, d: str) -> DataFrame:
     """Two features with a known effect on two class labels and a numeric target."""
-    z1, z2 = F.col("price") / 500000.0, (F.col("balance") + 1000) / 11000.0
-    base = orders_cohort(spark, d).select("row_id", "status", z1.alias("z1"), z2.alias("z2"), hash_uniform("noise", "row_id").alias("u"))
-    s = 2 * F.col("z1") - F.col("z2") + 0.3 * F.col("u")
-    return base.select(
-        "row_id", "status", "z1", "z2",
-        (3 * F.col("z1") - 2 * F.col("z2") + F.col("u")).alias("y"),
-        (s > 0.65).cast("int").alias("label2"),
-        F.when(s < 0.3, 0).when(s < 1.0, 1).otherwise(2).alias("label3"),
-        F.when(hash_key("part", "row_id") % 5 == 0, "test").otherwise("train").alias("part"),
+    base = orders_cohort(spark, d).selectExpr(
+        "row_id", "status", "price / 500000D AS z1", "(balance + 1000) / 11000D AS z2", f"{_u('noise', 'row_id')} AS u"
+    )
+    s = "(2 * z1 - z2 + 0.3D * u)"
+    return base.selectExpr(
+        "row_id", "status", "z1", "z2", "3 * z1 - 2 * z2 + u AS y", f"CAST({s} > 0.65D AS INT) AS label2",
+        f"CASE WHEN {s} < 0.3D THEN 0 WHEN {s} < 1D THEN 1 ELSE 2 END AS label3",
+        f"IF({_hk('part', 'row_id')} % 5 = 0, 'test', 'train') AS part",
     )
 
 
-def _with_models(df: DataFrame) -> DataFrame:
-    return df.withColumn("model", F.explode(F.array(*[F.lit(m) for m in MODELS])))
+_MODELS = "explode(array(" + ", ".join(f"'{m}'" for m in MODELS) + ")) AS model"
 
 
 def long_predictions(spark: SparkSession, d: str) -> DataFrame:
     """Class predictions and probabilities of five made-up models on every order."""
-    df = _with_models(orders_cohort(spark, d).select("row_id", "label"))
-    right = hash_key("pred", "model", "row_id") % 10 < 5 + F.length("model")
-    raw = [hash_uniform(f"p{k}", "model", "row_id").alias(f"q{k}") for k in range(3)]
-    total = F.col("q0") + F.col("q1") + F.col("q2") + 1
-    return df.select("*", *raw).select(
-        "row_id", "model", "label", (hash_key("fold", "row_id") % 5).cast("int").alias("fold"),
-        F.when(right, F.col("label")).otherwise((F.col("label") + 1) % 3).alias("prediction"),
-        F.array(*[(F.col(f"q{k}") + (F.col("label") == k).cast("int")) / total for k in range(3)]).alias("probability"),
+    df = orders_cohort(spark, d).selectExpr("row_id", "label", _MODELS)
+    raw = df.selectExpr("*", *[f"{_u(f'p{k}', 'model', 'row_id')} AS q{k}" for k in range(3)])
+    share = ", ".join(f"(q{k} + CAST(label = {k} AS INT)) / (q0 + q1 + q2 + 1)" for k in range(3))
+    return raw.selectExpr(
+        "row_id", "model", "label", f"CAST({_hk('fold', 'row_id')} % 5 AS INT) AS fold",
+        f"IF({_hk('pred', 'model', 'row_id')} % 10 < 5 + length(model), label, (label + 1) % 3) AS prediction",
+        f"array({share}) AS probability",
     )
 
 
 def binary_scores(spark: SparkSession, d: str) -> DataFrame:
     """Scores with many ties for the last class against the rest."""
-    df = _with_models(orders_cohort(spark, d).select("row_id", "label"))
-    hit = (F.col("label") == 2).cast("int")
-    score = F.round((hash_uniform("s", "model", "row_id") + hit * 0.5) / 1.5, 3)
-    return df.select("row_id", "model", (hash_key("fold", "row_id") % 5).cast("int").alias("fold"), hit.alias("label"), score.alias("score"))
+    df = orders_cohort(spark, d).selectExpr("row_id", "CAST(label = 2 AS INT) AS label", _MODELS)
+    return df.selectExpr(
+        "row_id", "model", f"CAST({_hk('fold', 'row_id')} % 5 AS INT) AS fold", "label",
+        f"round(({_u('s', 'model', 'row_id')} + label * 0.5D) / 1.5D, 3) AS score",
+    )
 
 
 def event_predictions(spark: SparkSession, d: str) -> DataFrame:
     """Numeric predictions of five made-up models on every event."""
-    df = _with_models(table(spark, d, "events").select(F.col("event_id").alias("row_id"), F.col("value").alias("label")))
-    return df.select(
-        "row_id", "model", (hash_key("fold", "row_id") % 5).cast("int").alias("fold"), "label",
-        (F.col("label") * (0.8 + 0.1 * F.length("model") * hash_uniform("e", "model", "row_id"))).alias("prediction"),
+    df = table(spark, d, "events").selectExpr("event_id AS row_id", "value AS label", _MODELS)
+    return df.selectExpr(
+        "row_id", "model", f"CAST({_hk('fold', 'row_id')} % 5 AS INT) AS fold", "label",
+        f"label * (0.8D + 0.1D * length(model) * {_u('e', 'model', 'row_id')}) AS prediction",
     )
 
 
 def event_targets(spark: SparkSession, d: str) -> DataFrame:
     """A target with NULLs and zeros."""
-    i = F.col("event_id")
-    t = F.when(i % 7 == 0, F.lit(None).cast("double")).when(i % 11 == 0, 0.0).otherwise(F.col("value") - 50)
-    return table(spark, d, "events").select(i.alias("row_id"), "event_type", "value", t.alias("target"))
+    return table(spark, d, "events").selectExpr(
+        "event_id AS row_id", "event_type", "value",
+        "CASE WHEN event_id % 7 = 0 THEN NULL WHEN event_id % 11 = 0 THEN 0D ELSE value - 50 END AS target",
+    )
 
 
 def vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -175,14 +186,13 @@ def vectors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def wide_vectors(spark: SparkSession, d: str, dims: int = DIMS) -> DataFrame:
-    return vectors(spark, d).select("row_id", "label", *[F.col("features")[j].alias(f"x{j}") for j in range(dims)])
+    return vectors(spark, d).selectExpr("row_id", "label", *[f"features[{j}] AS x{j}" for j in range(dims)])
 
 
 def shap_features(spark: SparkSession, d: str) -> DataFrame:
-    return orders_cohort(spark, d).select(
-        "row_id", "label", (F.col("price") / 100000.0).alias("price"), (F.col("balance") / 1000.0).alias("balance"),
-        lookup("priority_text", PRIORITY).cast("double").alias("priority"),
-        lookup("segment_text", SEGMENT).cast("double").alias("segment"),
+    return orders_cohort(spark, d).selectExpr(
+        "row_id", "label", "price / 100000D AS price", "balance / 1000D AS balance",
+        f"CAST({_map('priority_text', PRIORITY)} AS DOUBLE) AS priority", f"CAST({_map('segment_text', SEGMENT)} AS DOUBLE) AS segment",
     )
 
 
@@ -192,13 +202,11 @@ def shap_long(spark: SparkSession, d: str) -> DataFrame:
 
 
 def rnd(df: DataFrame, *cols: str, digits: int = 6) -> DataFrame:
-    """Round columns for comparison; adding zero turns -0.0 into 0.0."""
-    return df.select(*[(F.round(F.col(f"`{c}`"), digits) + F.lit(0.0)).alias(c) if c in cols else F.col(f"`{c}`") for c in df.columns])
+    """Round columns for comparison, by plain arithmetic: cheap, and the same in any engine."""
+    return df.selectExpr(*[
+        f"floor(`{c}` * 1e{digits}D + 0.5D) / 1e{digits}D AS `{c}`" if c in cols else f"`{c}`" for c in df.columns
+    ])
 
 
 def r_sql(expr: str, name: str, digits: int = 6) -> str:
-    return f"round({expr}, {digits}) + 0.0::double as \"{name}\""
-
-
-def to_int(c: str | Column) -> Column:
-    return (F.col(c) if isinstance(c, str) else c).cast("int")
+    return f'floor(({expr}) * 1e{digits} + 0.5::double) / 1e{digits} as "{name}"'

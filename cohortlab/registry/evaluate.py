@@ -19,7 +19,7 @@ GRID_SQL = """
 , g as (select [(1 / (2 * var_pop(z1)))::varchar, '0.5'] as gammas from lc),
 e as (select c, k, gamma, ci, ki, gi from g, (values (0, '0.1'), (1, '1'), (2, '10')) a(ci, c),
   (values (0, 'rbf'), (1, 'poly')) b(ki, k), (select unnest(gammas) as gamma, generate_subscripts(gammas, 1) as gi from g) c),
-n as (select row_number() over (order by ci, ki, gi) as param_id, c, k, round(gamma::double, 6) as gamma from e)
+n as (select row_number() over (order by ci, ki, gi) as param_id, c, k, floor(gamma::double * 1e6 + 0.5::double) / 1e6 as gamma from e)
 """
 
 
@@ -30,7 +30,7 @@ def _gamma_grid(spark, d):
 
 def _flat(df):
     p = F.col("params")
-    return df.select(F.col("param_id").cast("long").alias("param_id"), p["C"].alias("c"), p["kernel"].alias("k"), F.round(p["gamma"].cast("double"), 6).alias("gamma"))
+    return df.select(F.col("param_id").cast("long").alias("param_id"), p["C"].alias("c"), p["kernel"].alias("k"), (F.floor(p["gamma"].cast("double") * 1e6 + 0.5) / 1e6).alias("gamma"))
 
 
 @register("expand_grid", GRID_SQL + "select param_id, c, k, gamma from n")
@@ -297,12 +297,12 @@ _vote_sql = """
 , wt as (select model, {w} as weight from fa group by 1),
 v as (select row_id, k::int as cls, sum(weight * probability[k + 1]) / sum(weight) as p from pp join wt using (model), range(3) t(k) group by all),
 o as (select *, row_number() over (partition by row_id order by p desc, cls) as pos from v)
-select o.row_id, o.cls as prediction, [round(x, 6) for x in q.ps] as probability from o
+select o.row_id, o.cls as prediction, [floor(x * 1e6 + 0.5::double) / 1e6 for x in q.ps] as probability from o
 join (select row_id, list(p order by cls) as ps from v group by 1) q using (row_id) where pos = 1"""
 
 
 def _rounded_vote(df):
-    return df.select("row_id", "prediction", F.transform("probability", lambda x: F.round(x, 6)).alias("probability"))
+    return df.selectExpr("row_id", "prediction", "transform(probability, x -> floor(x * 1e6D + 0.5D) / 1e6D) AS probability")
 
 
 @register("soft_vote", FOLD_SQL + _vote_sql.format(w="1.0::double"))

@@ -134,11 +134,11 @@ ch as (select y, draw, floor({b.u_sql('42-base', 'y', 'draw')} * n) + 1 as rank,
 ra as (select row_id, y, v, row_number() over (partition by y order by {HK42}, row_id) as rank from cl),
 bs2 as (select ch.y, draw, u, pick, ra.row_id as base_id, ra.v as bv from ch join ra on ch.y = ra.y and ch.rank = ra.rank)
 select 's-' || bs2.y || '-' || draw as synthetic_id, bs2.y::bigint as label, base_id, rk.neighbor_id,
-  [round(a[1] + u * (a[2] - a[1]), 6) + 0.0::double for a in list_zip(bv, em.v)] as features
+  [floor((a[1] + u * (a[2] - a[1])) * 1e6 + 0.5::double) / 1e6 for a in list_zip(bv, em.v)] as features
 from bs2 join rk on rk.row_id = base_id and rk.rank = pick join em on em.row_id = rk.neighbor_id""")
 def _(spark, d):
     v = b.vectors(spark, d).withColumn("label", (F.col("label") < 3).cast("int"))
-    return smote(v).withColumn("features", F.transform("features", lambda x: F.round(x, 6) + 0.0))
+    return smote(v).withColumn("features", F.expr("transform(features, x -> floor(x * 1e6D + 0.5D) / 1e6D)"))
 
 
 @register("kmeans_background")
@@ -299,12 +299,12 @@ w as (select w1, w2, m1, m2, my from cd, gr where i = 60)
 """
 
 
-COEF_SQL = """select round(w1, {0}) + 0.0::double as w1, round(w2, {0}) + 0.0::double as w2,
-  round(my - w1 * m1 - w2 * m2, {0}) + 0.0::double as intercept from w"""
+def coef_sql(digits: int) -> str:
+    return f"select {r_sql('w1', 'w1', digits)}, {r_sql('w2', 'w2', digits)}, {r_sql('my - w1 * m1 - w2 * m2', 'intercept', digits)} from w"
 
 
 def _linear(key: str, name: str, params: dict, oracle: str, digits: int):
-    @register(key, oracle + COEF_SQL.format(digits))
+    @register(key, oracle + coef_sql(digits))
     def _(spark, d):
         df = cohort(spark, d, "y")
         model = L.REGRESSORS[name](df.filter("part = 'train'"), params)
