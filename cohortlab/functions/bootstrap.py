@@ -7,6 +7,7 @@ counts per distinct score and running totals per score range.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -92,6 +93,25 @@ def bootstrap_confusion_cells(df: DataFrame, replicates: int, seed: int = 42) ->
     return reps.mapInPandas(draw, out).filter(F.col("n") > 0)
 
 
+def _poisson_counts(rng: np.random.Generator, counts: np.ndarray, replicates: int) -> np.ndarray:
+    """Poisson(count) per row and replicate. Most scores occur once: zeros need no draw, ones a look-up."""
+    out = np.zeros((len(counts), replicates))
+    one, more = counts == 1, counts > 1
+    if one.any():
+        cdf = np.cumsum([np.exp(-1.0) / math.factorial(k) for k in range(13)])
+        u = rng.random((int(one.sum()), replicates), dtype="float32")
+        drawn = np.zeros(u.shape)
+        for c in cdf:
+            above = u >= c
+            if not above.any():
+                break
+            drawn += above
+        out[one] = drawn
+    if more.any():
+        out[more] = rng.poisson(counts[more][:, None], (int(more.sum()), replicates))
+    return out
+
+
 def bootstrap_auc(df: DataFrame, replicates: int = 1000, seed: int = 42, classes: list[int] = (1,), probability: str = "probability") -> DataFrame:
     """AUC per replicate; several classes give the one-vs-rest average weighted by positives.
 
@@ -109,8 +129,8 @@ def bootstrap_auc(df: DataFrame, replicates: int = 1000, seed: int = 42, classes
                     block = rows.iloc[at:at + chunk]
                     key = [seed, int(cls), int(np.float64(block["score"].iloc[0]).view("uint64"))]
                     rng = np.random.default_rng(key)
-                    pos = rng.poisson(block["pos"].to_numpy()[:, None], (len(block), replicates))
-                    neg = rng.poisson(block["neg"].to_numpy()[:, None], (len(block), replicates))
+                    pos = _poisson_counts(rng, block["pos"].to_numpy(), replicates)
+                    neg = _poisson_counts(rng, block["neg"].to_numpy(), replicates)
                     upto = state[2] + np.cumsum(neg, axis=0)
                     state[3] += (pos * (upto - neg / 2)).sum(axis=0)
                     state[1] += pos.sum(axis=0)

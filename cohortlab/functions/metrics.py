@@ -104,7 +104,8 @@ def auc_binary(df: DataFrame, score: str = "score", label: str = "label", keys:
 def auc_ovr_weighted(df: DataFrame, probability: str = "probability", label: str = "label", keys: list[str] = ()) -> DataFrame:
     """One-vs-rest AUC per class, averaged with the class sizes as weights."""
     keys = list(keys)
-    long = df.select(*keys, label, F.posexplode(probability).alias("cls", "score"))
+    # the outer form: the plain one is preceded by a filter on the array, which works it out twice
+    long = df.select(*keys, label, F.posexplode_outer(probability).alias("cls", "score")).filter(F.col("cls").isNotNull())
     per_class = auc_binary(long, "score", label, [*keys, "cls"], F.col(label) == F.col("cls"))
     # a class without positives has weight 0, as in the averaged form
     return per_class.groupBy(*keys).agg(

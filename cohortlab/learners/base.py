@@ -59,24 +59,24 @@ def class_count(train: DataFrame, label: str = "label") -> int:
     return int(train.agg(F.max(label)).first()[0]) + 1
 
 
-def linear_scores(x: Column, weights: np.ndarray, intercepts: np.ndarray) -> list[Column]:
-    """w . x + b per class as plain expressions (for few terms)."""
-    out = []
-    for w, b in zip(weights, intercepts):
-        acc = F.lit(float(b))
-        for j, wj in enumerate(w):
-            acc = acc + F.lit(float(wj)) * x[j]
-        out.append(acc)
-    return out
-
-
-def softmax(scores: list[Column]) -> Column:
-    """Array of class probabilities, shifted by the largest score."""
-    a = F.array(*scores)
-    top = F.array_max(a)
-    e = F.transform(a, lambda s: F.exp(s - top))
-    total = F.aggregate(e, F.lit(0.0), lambda acc, v: acc + v)
-    return F.transform(e, lambda v: v / total)
+def number(v: float) -> str:
+    """A double as SQL text with all its digits."""
+    return f"double('{float(v)!r}')"
+
+
+def linear_text(x: str, w: np.ndarray, b: float) -> str:
+    """SQL text of w . x + b for the array column ``x``; one text builds much faster than many calls."""
+    return " + ".join([number(b), *[f"{number(v)} * {x}[{j}]" for j, v in enumerate(w)]])
+
+
+def softmax_of(df: DataFrame, scores: list[str]) -> DataFrame:
+    """Adds ``probability`` from the score texts, shifted by the largest score."""
+    return (
+        df.withColumn("_scores", F.expr(f"array({', '.join(scores)})"))
+        .withColumn("_e", F.expr("transform(_scores, s -> exp(s - array_max(_scores)))"))
+        .withColumn("probability", F.expr("transform(_e, v -> v / aggregate(_e, 0D, (a, b) -> a + b))"))
+        .drop("_scores", "_e")
+    )
 
 
 def argmax(array: Column) -> Column:
@@ -129,7 +129,7 @@ class LinearClassModel(ParamModel):
         w, b = np.asarray(self.params["coef"]), np.asarray(self.params["intercept"])
         x = features_array(df)
         if w.size <= EXPRESSION_TERMS:
-            out = df.withColumn("probability", softmax(linear_scores(x, w, b)))
+            out = softmax_of(df.withColumn("_x", x), [linear_text("_x", v, c) for v, c in zip(w, b)]).drop("_x")
         else:
             def proba(v: np.ndarray) -> np.ndarray:
                 s = v @ w.T + b
@@ -149,5 +149,5 @@ class LinearValueModel(ParamModel):
         w, b = np.asarray(self.params["coef"]), float(self.params["intercept"])
         x = features_array(df)
         if w.size <= EXPRESSION_TERMS:
-            return df.withColumn("prediction", linear_scores(x, [w], [b])[0])
+            return df.withColumn("_x", x).withColumn("prediction", F.expr(linear_text("_x", w, b))).drop("_x")
         return df.withColumn("prediction", batch_scorer(lambda v: (v @ w + b)[:, None], x)[0])

@@ -5,10 +5,10 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import EXPRESSION_TERMS, LinearClassModel, ParamModel, argmax, batch_scorer, features_array, softmax
+from .base import EXPRESSION_TERMS, LinearClassModel, ParamModel, argmax, batch_scorer, features_array, number, softmax_of
 from .stats import feature_gram, feature_moments
 
 
@@ -31,7 +31,8 @@ class GaussianNBModel(ParamModel):
         const = np.log(prior) - 0.5 * np.log(2 * math.pi * var).sum(axis=1)
         x = features_array(df)
         if mean.size <= EXPRESSION_TERMS:
-            out = df.withColumn("probability", softmax([self._log_density(x, const[c], mean[c], var[c]) for c in range(len(prior))]))
+            texts = [self._log_density(const[c], mean[c], var[c]) for c in range(len(prior))]
+            out = softmax_of(df.withColumn("_x", x), texts).drop("_x")
         else:
             def proba(v: np.ndarray) -> np.ndarray:
                 s = np.stack([const[c] - 0.5 * ((v - mean[c]) ** 2 / var[c]).sum(axis=1) for c in range(len(prior))], axis=1)
@@ -42,12 +43,9 @@ class GaussianNBModel(ParamModel):
         return out.withColumn("prediction", argmax(F.col("probability")))
 
     @staticmethod
-    def _log_density(x: Column, const: float, mean: np.ndarray, var: np.ndarray) -> Column:
-        acc = F.lit(float(const))
-        for j in range(len(mean)):
-            d = x[j] - F.lit(float(mean[j]))
-            acc = acc - d * d / F.lit(float(2 * var[j]))
-        return acc
+    def _log_density(const: float, mean: np.ndarray, var: np.ndarray) -> str:
+        squares = [f"(_x[{j}] - {number(m)}) * (_x[{j}] - {number(m)}) / {number(2 * v)}" for j, (m, v) in enumerate(zip(mean, var))]
+        return f"{number(const)} - ({' + '.join(squares)})"
 
 
 def fit_gaussian_nb(train: DataFrame, params: dict) -> GaussianNBModel:
@@ -72,15 +70,11 @@ def ledoit_wolf_shrinkage(train: DataFrame, means: dict[int, np.ndarray], stds:
 
     Needs one more number per class than the second moments: the sum of squared squared norms.
     """
-    x = features_array(train)
     per_class = []
     for c in means:
-        z2 = F.lit(0.0)
-        for j in range(len(means[c])):
-            d = (x[j] - F.lit(float(means[c][j]))) / F.lit(float(stds[c][j] or 1.0))
-            z2 = z2 + d * d
-        per_class.append(F.when(F.col("label") == c, z2 * z2))
-    sums = train.agg(*[F.sum(e).alias(str(c)) for c, e in zip(means, per_class)], *[F.count(e).alias(f"n{c}") for c, e in zip(means, per_class)]).first()
+        z2 = " + ".join(f"pow((_x[{j}] - {number(m)}) / {number(s or 1.0)}, 2)" for j, (m, s) in enumerate(zip(means[c], stds[c])))
+        per_class.append(F.expr(f"CASE WHEN label = {c} THEN pow({z2}, 2) END"))
+    sums = train.select("label", features_array(train).alias("_x")).agg(*[F.sum(e).alias(str(c)) for c, e in zip(means, per_class)], *[F.count(e).alias(f"n{c}") for c, e in zip(means, per_class)]).first()
     out = {}
     for c, s in corr.items():
         n, p = sums[f"n{c}"], len(s)

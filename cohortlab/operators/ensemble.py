@@ -55,21 +55,23 @@ def missing_selected(selected: DataFrame, store: DataFrame) -> DataFrame:
     return selected.select("model").join(store.select("model"), "model", "left_anti")
 
 
-def soft_vote(long_proba: DataFrame, weights: DataFrame | None = None, id_col: str = "row_id") -> DataFrame:
+def soft_vote(long_proba: DataFrame, weights: DataFrame | None = None, id_col: str = "row_id", n_classes: int | None = None) -> DataFrame:
     """(Weighted) mean of class probabilities per row; ties go to the lowest class.
 
-    ``long_proba``: (row, model, probability array of K numbers).
+    ``long_proba``: (row, model, probability array of K numbers). The classes are summed side by side,
+    so a row meets the one shuffle once per model, after map-side sums.
     """
     w, df = F.lit(1.0), long_proba
     if weights is not None:
         # a handful of models by construction; the planner checks the size before broadcasting
         df, w = df.join(weights.select("model", "weight"), "model"), F.col("weight")
-    spread = df.select(id_col, w.alias("_w"), F.posexplode("probability").alias("cls", "p"))
-    per_class = spread.groupBy(id_col, "cls").agg((F.sum(F.col("_w") * F.col("p")) / F.sum("_w")).alias("p"))
-    return per_class.groupBy(id_col).agg(
-        F.max_by("cls", F.struct(F.col("p"), -F.col("cls"))).alias("prediction"),
-        F.transform(F.array_sort(F.collect_list(F.struct("cls", "p"))), lambda s: s["p"]).alias("probability"),
-    )
+    if n_classes is None:
+        first = df.select(F.size("probability").alias("k")).first()
+        n_classes = first["k"] if first else 0
+    p = F.col("probability")
+    sums = [F.sum(w * p[k]) / F.sum(w) for k in range(n_classes)]
+    voted = df.groupBy(id_col).agg(F.array(*sums).alias("probability"))
+    return voted.select(id_col, (F.array_position("probability", F.array_max("probability")) - 1).cast("int").alias("prediction"), "probability")
 
 
 def mean_vote(long_pred: DataFrame, id_col: str = "row_id") -> DataFrame:

@@ -20,6 +20,7 @@ from .ordering import rank_by_hash
 
 BLOCK_ROWS = 2048
 MAX_PIVOTS = 256
+ROWS_PER_PIVOT = 512
 
 
 def _distances(a: np.ndarray, b: np.ndarray, p: int) -> np.ndarray:
@@ -117,10 +118,14 @@ def knn_join(
     keep = k + 1 if exclude_self else k
     # both are read several times below: keep them as files
     s_all = cut_lineage(_fold_copies(base, group, vec, id_col, keep))
-    q_all = s_all.select(*group, vec) if queries is base else cut_lineage(queries.select(*group, vec).distinct())
+    # one id stands for all queries with the same vector
+    if queries is base:
+        q_all = s_all.select(*group, vec, F.col("ids")[0].alias("_q"))
+    else:
+        q_all = cut_lineage(queries.groupBy(*group, vec).agg(F.min(id_col).alias("_q")))
 
     # pivots: distinct vectors in hash order, a bounded number of them
-    n_pivots = pivots or int(min(MAX_PIVOTS, max(1, s_all.count() ** 0.5 / 4)))
+    n_pivots = pivots or min(MAX_PIVOTS, s_all.count() // ROWS_PER_PIVOT + 1)
     chosen = s_all.select(vec, "ids").orderBy(hash_key("pivot", F.col("ids")[0])).limit(n_pivots).collect()
     if not chosen:
         return queries.sparkSession.createDataFrame([], f"{id_col} long, neighbor_id long, distance double, rank int")
@@ -148,27 +153,26 @@ def knn_join(
     key = [*group, "q_cell", "s_cell", "q_block", "s_block"]
     q_key = [f"q_{c}" for c in key]
     qs = q_cells.withColumn("q_cell", F.col("cell").cast("long")).join(pairs, [*group, "q_cell"])
-    qs = qs.select(*group, "q_cell", "s_cell", vec, *spread("q_blocks", "s_blocks", "q_block", "s_block"))
-    qs = qs.select(*[F.col(c).alias(n) for c, n in zip(key, q_key)], F.col(vec).alias("v"))
+    qs = qs.select(*group, "q_cell", "s_cell", vec, "_q", *spread("q_blocks", "s_blocks", "q_block", "s_block"))
+    qs = qs.select(*[F.col(c).alias(n) for c, n in zip(key, q_key)], F.col(vec).alias("v"), F.col("_q").alias("q"))
     ss = s_cells.withColumn("s_cell", F.col("cell").cast("long")).join(pairs, [*group, "s_cell"])
     ss = ss.select(*group, "q_cell", "s_cell", vec, "ids", *spread("s_blocks", "q_blocks", "s_block", "q_block"))
 
     def block(_, q: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
         if q.empty or s.empty:
-            return pd.DataFrame({"v": [], "ids": [], "distance": [], **{g: [] for g in group}})
+            return pd.DataFrame({"q": [], "ids": [], "distance": []})
         qi, si, dist = _top_of_block(np.stack(q["v"].to_numpy()), np.stack(s[vec].to_numpy()), keep, p)
-        out = {"v": q["v"].to_numpy()[qi], "ids": s["ids"].to_numpy()[si], "distance": dist}
-        return pd.DataFrame({**out, **{g: q[f"q_{g}"].to_numpy()[qi] for g in group}})
+        return pd.DataFrame({"q": q["q"].to_numpy()[qi], "ids": s["ids"].to_numpy()[si], "distance": dist})
 
-    schema = ", ".join(["v array<double>", "ids array<bigint>", "distance double", *[f"{g} long" for g in group]])
-    found = qs.groupBy(*q_key).cogroup(ss.groupBy(*key)).applyInPandas(block, schema)
-    flat = found.select(*group, F.col("v").alias(vec), "distance", F.explode("ids").alias("neighbor_id"))
-    first = Window.partitionBy(*group, vec).orderBy("distance", "neighbor_id")
+    found = qs.groupBy(*q_key).cogroup(ss.groupBy(*key)).applyInPandas(block, "q long, ids array<bigint>, distance double")
+    flat = found.select("q", "distance", F.explode_outer("ids").alias("neighbor_id"))
+    first = Window.partitionBy("q").orderBy("distance", "neighbor_id")
     best = flat.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= keep).drop("_n")
 
     # back to rows: at most ``keep`` neighbours per distinct vector
-    packed = best.groupBy(*group, vec).agg(F.array_sort(F.collect_list(F.struct("distance", "neighbor_id"))).alias("near"))
-    rows = queries.select(id_col, *group, vec).join(packed, [*group, vec]).select(id_col, "near")
+    packed = best.groupBy("q").agg(F.array_sort(F.collect_list(F.struct("distance", "neighbor_id"))).alias("near"))
+    named = q_all.select(*group, vec, F.col("_q").alias("q")).join(packed, "q").drop("q")
+    rows = queries.select(id_col, *group, vec).join(named, [*group, vec]).select(id_col, "near")
     near = F.filter("near", lambda s: s["neighbor_id"] != F.col(id_col)) if exclude_self else F.col("near")
     return rows.select(id_col, F.posexplode(F.slice(near, 1, k)).alias("_i", "_s")).select(
         id_col, F.col("_s.neighbor_id").alias("neighbor_id"), F.col("_s.distance").alias("distance"), (F.col("_i") + 1).alias("rank")

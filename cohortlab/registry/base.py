@@ -36,6 +36,11 @@ def u_sql(seed: str, *ids: str) -> str:
     return f"({hk_sql(seed, *ids)} / 4503599627370496.0::double)"
 
 
+def slice_sql(k: int) -> str:
+    """Uniform from eight hex digits of the digest ``h``."""
+    return f"(('0x'||substr(h, {1 + 8 * k}, 8))::bigint / 4294967296.0::double)"
+
+
 def case_sql(col: str, mapping: dict) -> str:
     return f"case {col} " + " ".join(f"when '{k}' then {v}" for k, v in mapping.items()) + " end"
 
@@ -62,10 +67,10 @@ lc as (select row_id, status, z1, z2, 3 * z1 - 2 * z2 + u as y,
   case when 2 * z1 - z2 + 0.3::double * u < 0.3::double then 0 when 2 * z1 - z2 + 0.3::double * u < 1.0::double then 1 else 2 end as label3,
   case when {hk_sql('part', 'row_id')} % 5 = 0 then 'test' else 'train' end as part from lc0),
 models as (select * from (values {_values}) t(model)),
+lh as (select row_id, label, model, md5('p|' || model || '|' || row_id) as h from oc cross join models),
 lp as (select row_id, model, label, ({hk_sql('fold', 'row_id')} % 5)::int as fold,
-  case when {hk_sql('pred', 'model', 'row_id')} % 10 < 5 + length(model) then label else (label + 1) % 3 end as prediction,
-  {u_sql('p0', 'model', 'row_id')} as a, {u_sql('p1', 'model', 'row_id')} as b, {u_sql('p2', 'model', 'row_id')} as c
-  from oc cross join models),
+  case when {slice_sql(3)} < (5 + length(model)) / 10.0::double then label else (label + 1) % 3 end as prediction,
+  {slice_sql(0)} as a, {slice_sql(1)} as b, {slice_sql(2)} as c from lh),
 pp as (select row_id, model, label, fold, prediction,
   [(a + (label = 0)::int) / (a + b + c + 1), (b + (label = 1)::int) / (a + b + c + 1), (c + (label = 2)::int) / (a + b + c + 1)] as probability from lp),
 bs as (select row_id, model, fold, (label = 2)::int as label, round(({u_sql('s', 'model', 'row_id')} + (label = 2)::int * 0.5::double) / 1.5::double, 3) as score from lp),
@@ -141,14 +146,19 @@ def made_cohort(spark: SparkSession, d: str) -> DataFrame:
 _MODELS = "explode(array(" + ", ".join(f"'{m}'" for m in MODELS) + ")) AS model"
 
 
+def _slice(k: int) -> str:
+    return f"(CAST(conv(substring(h, {1 + 8 * k}, 8), 16, 10) AS BIGINT) / 4294967296D)"
+
+
 def long_predictions(spark: SparkSession, d: str) -> DataFrame:
     """Class predictions and probabilities of five made-up models on every order."""
-    df = orders_cohort(spark, d).selectExpr("row_id", "label", _MODELS)
-    raw = df.selectExpr("*", *[f"{_u(f'p{k}', 'model', 'row_id')} AS q{k}" for k in range(3)])
+    df = orders_cohort(spark, d).selectExpr("row_id", "label", _MODELS, f"CAST({_hk('fold', 'row_id')} % 5 AS INT) AS fold")
+    raw = df.selectExpr("*", "md5(concat_ws('|', 'p', model, CAST(row_id AS STRING))) AS h")
+    raw = raw.selectExpr("*", *[f"{_slice(k)} AS q{k}" for k in range(4)])
     share = ", ".join(f"(q{k} + CAST(label = {k} AS INT)) / (q0 + q1 + q2 + 1)" for k in range(3))
     return raw.selectExpr(
-        "row_id", "model", "label", f"CAST({_hk('fold', 'row_id')} % 5 AS INT) AS fold",
-        f"IF({_hk('pred', 'model', 'row_id')} % 10 < 5 + length(model), label, (label + 1) % 3) AS prediction",
+        "row_id", "model", "label", "fold",
+        "IF(q3 < (5 + length(model)) / 10D, label, (label + 1) % 3) AS prediction",
         f"array({share}) AS probability",
     )
 

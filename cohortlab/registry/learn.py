@@ -23,7 +23,7 @@ from ..operators.neighbors import knn_join, smote
 from ..operators.sampling import kfold, stratified_kfold, stratified_split
 from ..operators.scaling import minmax_scale
 from ..plans import search
-from ..session import fresh_path
+from ..session import cut_lineage, fresh_path
 from . import base as b
 from .base import r_sql, register, rnd
 from .evaluate import REG, cm_sql
@@ -82,7 +82,8 @@ ts as (select row_id, label, part, (z1 - l1) / (h1 - l1) as x1, (z2 - l2) / (h2
 @register("holdout_pipeline", PIPELINE_SQL)
 def _(spark, d):
     df = b.made_cohort(spark, d).select("row_id", *Z, F.col("label3").alias("label"))
-    split = stratified_split(df)
+    # read by the scaler, the fit and the scoring: worked out once
+    split = cut_lineage(stratified_split(df))
     scaled = minmax_scale(split, split.filter("part = 'train'"), Z)
     train, test = parts(encode.assemble_features(scaled, Z))
     return class_report(score(L.fit_gaussian_nb(train, {}), test), "NB")
