@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import broadcast_if_small
+
 
 
 def shap_classes(df: DataFrame, positive_class: int = 1) -> DataFrame:
@@ -59,7 +61,7 @@ def shap_importance_regression(df: DataFrame, n: int = 15) -> DataFrame:
 
 def shap_summary_regression(df: DataFrame, n: int = 5) -> DataFrame:
     """The points of the n most important features."""
-    best = _top(_mean_abs(df, ["feature"]), n).select("feature")
+    best = broadcast_if_small(_top(_mean_abs(df, ["feature"]), n).select("feature"))
     return df.join(best, "feature", "left_semi").select("row_id", "feature", "feature_value", "phi")
 
 
@@ -70,7 +72,7 @@ def shap_dependence(df: DataFrame, feature: str) -> DataFrame:
 
 def shap_decision_paths(df: DataFrame) -> DataFrame:
     """Per row and class: cumulative output from the base over features by rising importance."""
-    order = _mean_abs(df, ["class", "feature"])
+    order = broadcast_if_small(_mean_abs(df, ["class", "feature"]))
     joined = df.join(order, ["class", "feature"])
     w = (
         Window.partitionBy("row_id", "class")
@@ -132,7 +134,7 @@ def shap_waterfall_row(df: DataFrame, row_id: int) -> DataFrame:
 def shap_beeswarm(df: DataFrame, n: int = 5) -> DataFrame:
     """Points of each class's own rows for that class's n most important features."""
     own = _of_class(df)
-    best = _top(_mean_abs(own, ["class", "feature"]), n, ["class"]).select("class", "feature")
+    best = broadcast_if_small(_top(_mean_abs(own, ["class", "feature"]), n, ["class"]).select("class", "feature"))
     return own.join(best, ["class", "feature"], "left_semi").select("row_id", "class", "feature", "feature_value", "phi")
 
 

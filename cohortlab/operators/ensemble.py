@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import broadcast_if_small
+
 
 def select_above_mean(summary: DataFrame, metric: str = "accuracy") -> DataFrame:
     """Models whose mean metric is above the mean over models. ``summary``: (model, metric, mean, std)."""
@@ -63,8 +65,7 @@ def soft_vote(long_proba: DataFrame, weights: DataFrame | None = None, id_col: s
     """
     w, df = F.lit(1.0), long_proba
     if weights is not None:
-        # a handful of models by construction; the planner checks the size before broadcasting
-        df, w = df.join(weights.select("model", "weight"), "model"), F.col("weight")
+        df, w = df.join(broadcast_if_small(weights.select("model", "weight")), "model"), F.col("weight")
     if n_classes is None:
         first = df.select(F.size("probability").alias("k")).first()
         n_classes = first["k"] if first else 0

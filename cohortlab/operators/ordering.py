@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_key
+from ..session import counted_broadcast
 
 HASH_BUCKETS = 4096
 
@@ -56,10 +57,12 @@ def running_sums(
         .orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, 0)
     )
-    joined = _null_safe(df, offsets, [*keys, bucket])
+    # the offsets are worked out once; while they fit a broadcast, the window's shuffle is the only one
+    windowed = df.select("*", *[F.sum(c).over(inside).alias(f"_w_{o}") for o, c in sums.items()])
+    joined = _null_safe(windowed, counted_broadcast(offsets), [*keys, bucket])
     return joined.select(
         *[F.col(c) for c in df.columns],
-        *[(F.col(f"_o_{o}") + F.sum(c).over(inside)).alias(o) for o, c in sums.items()],
+        *[(F.col(f"_o_{o}") + F.col(f"_w_{o}")).alias(o) for o in sums],
     )
 
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.hashing import digest, poisson_weight
-from .ordering import rank_by_hash
+from ..functions.hashing import digest, hash_key, poisson_weight
+from ..session import broadcast_if_small
+from .ordering import HASH_BUCKETS, rank_by_hash
 
 
 def class_quotas(df: DataFrame, label: str, test_size: float) -> DataFrame:
@@ -30,25 +31,42 @@ def class_quotas(df: DataFrame, label: str, test_size: float) -> DataFrame:
     )
 
 
+def _below_quota(df: DataFrame, part: list[str], quotas: DataFrame, seed, id_col: str) -> DataFrame:
+    """Add ``part`` = test for the first ``quota`` rows per ``part`` columns in hash order, else train.
+
+    No row is moved: bucket counts show in which hash bucket the quota runs out, the rows of that
+    bucket alone (one in 4096) are ranked to find the last test row, and every row is compared with it.
+    """
+    shift = 52 - (HASH_BUCKETS.bit_length() - 1)
+    slim = df.select(*part, id_col).withColumn("_hk", hash_key(seed, id_col)).withColumn("_bkt", F.shiftright("_hk", shift))
+    upto = Window.partitionBy(*(part or [F.lit(0)])).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, 0)
+    counts = slim.groupBy(*part, "_bkt").agg(F.count(F.lit(1)).alias("n")).withColumn("cum", F.sum("n").over(upto))
+    quotas = quotas.filter(F.col("quota") > 0)
+    joined = counts.join(quotas, part) if part else counts.withColumn("quota", quotas.select("quota").scalar())
+    edge = joined.filter((F.col("cum") >= F.col("quota")) & (F.col("cum") - F.col("n") < F.col("quota")))
+    edge = broadcast_if_small(edge.select(*part, "_bkt", (F.col("quota") - F.col("cum") + F.col("n")).alias("_need")))
+    order = Window.partitionBy(*(part or [F.lit(0)])).orderBy("_hk", id_col)
+    ranked = slim.join(edge, [*part, "_bkt"]).withColumn("_r", F.row_number().over(order))
+    last = ranked.filter(F.col("_r") == F.col("_need")).select(*part, F.struct(F.col("_hk"), F.col(id_col).alias("_id")).alias("_last"))
+    mine = F.struct(hash_key(seed, id_col).alias("_hk"), F.col(id_col).alias("_id"))
+    if part:
+        out = df.join(broadcast_if_small(last), part, "left")
+    else:
+        out = df.withColumn("_last", last.select("_last").scalar())
+    return out.withColumn("part", F.when(mine <= F.col("_last"), "test").otherwise("train")).drop("_last")
+
+
 def stratified_split(df: DataFrame, label: str = "label", test_size: float = 0.2, seed=42, id_col: str = "row_id") -> DataFrame:
     """Add ``part`` = train/test keeping class shares. Rows without a label are left out."""
     known = df.filter(F.col(label).isNotNull())
-    ranked = rank_by_hash(known, [label], seed, id_col, "_rank")
-    quotas = class_quotas(known, label, test_size)
-    return (
-        ranked.join(quotas, label)
-        .withColumn("part", F.when(F.col("_rank") <= F.col("quota"), "test").otherwise("train"))
-        .drop("_rank", "quota")
-    )
+    quotas = broadcast_if_small(class_quotas(known, label, test_size))
+    return _below_quota(known, [label], quotas, seed, id_col)
 
 
 def random_split(df: DataFrame, test_size: float = 0.2, seed=42, id_col: str = "row_id") -> DataFrame:
     """Add ``part`` = train/test; exactly ceil(test_size * n) test rows."""
-    n_test = df.agg(F.ceil(F.count(F.lit(1)) * F.lit(test_size))).scalar()
-    ranked = rank_by_hash(df, [], seed, id_col, "_rank")
-    return ranked.withColumn(
-        "part", F.when(F.col("_rank") <= n_test, "test").otherwise("train")
-    ).drop("_rank")
+    quota = df.agg(F.ceil(F.count(F.lit(1)) * F.lit(test_size)).alias("quota"))
+    return _below_quota(df, [], quota, seed, id_col)
 
 
 def stratified_kfold(df: DataFrame, label: str = "label", k: int = 5, seed=42, id_col: str = "row_id", out: str = "fold") -> DataFrame:

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cpus: int | str = "*", app: str = "cohortlab") -> SparkSession:
@@ -55,3 +56,25 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     """Reliable checkpoint: the plan behind ``df`` is replaced by files executors can re-read."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=eager)
+
+
+def counted_broadcast(df: DataFrame, limit: int = 1_000_000) -> DataFrame:
+    """As ``broadcast_if_small`` for some thousand rows: kept as files, so they stay out of Python."""
+    kept = cut_lineage(df)
+    return F.broadcast(kept) if kept.count() <= limit else kept
+
+
+SMALL_ROWS = 10_000
+
+
+def broadcast_if_small(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
+    """``df`` as a broadcast table after its rows were counted, else as it is.
+
+    For tables that are small by meaning (one row per class, model or feature) but come out of an
+    aggregation, whose size the planner guesses from its input: without this the large side would be
+    shuffled on a handful of keys.
+    """
+    rows = df.limit(limit + 1).collect()
+    if len(rows) > limit:
+        return df
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))

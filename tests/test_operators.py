@@ -236,3 +236,14 @@ def test_sources(spark, data_dir):
     done, res = plan.filter("model <> 'c'"), plan.filter("model = 'a'")
     assert rows(resume_pending(plan, done, res, ["model"]), "model") == [("b",), ("c",)]
     assert rows(resume_pending(plan, done, res, ["model"], both=False), "model") == [("c",)]
+
+
+def test_split_takes_the_first_rows_in_hash_order(spark):
+    df = spark.range(997).select(F.col("id").alias("row_id"), (F.col("id") % 3).cast("int").alias("label"))
+    ranked = {r["row_id"]: r["rank"] for r in ordering.rank_by_hash(df, ["label"]).collect()}
+    quota = dict(rows(sampling.class_quotas(df, "label", 0.3), "label", "quota"))
+    for r in sampling.stratified_split(df, test_size=0.3).collect():
+        assert (r["part"] == "test") == (ranked[r["row_id"]] <= quota[r["label"]])
+    assert sampling.random_split(df.limit(1)).collect()[0]["part"] == "test"
+    rare = df.filter("label < 2 or row_id = 2")
+    assert sampling.stratified_split(rare, test_size=0.2).filter("label = 2").first()["part"] == "train"
