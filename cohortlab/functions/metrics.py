@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.ordering import running_sums, value_buckets
+from ..session import cut_lineage
 
 LABEL_METRICS = ["accuracy", "balanced_accuracy", "mcc", "precision_weighted", "recall_weighted", "f1_weighted"]
 
@@ -81,7 +82,8 @@ f1_weighted = _one("f1_weighted")
 def _score_table(df: DataFrame, keys: list[str], score: str, positive: Column) -> DataFrame:
     """One row per distinct score: positives and negatives, with the value range it lies in."""
     pos = positive.cast("long")
-    return (
+    # the offsets and the running sums both read this: the scores are worked out once
+    return cut_lineage(
         value_buckets(df.withColumn("_pos", pos).withColumn("_score", F.col(score).cast("double")), "_score")
         .groupBy(*keys, "_bkt", "_score")
         .agg(F.sum("_pos").alias("pos"), F.sum(1 - F.col("_pos")).alias("neg"))

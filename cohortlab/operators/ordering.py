@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_key
-from ..session import counted_broadcast
+from ..session import counted_broadcast, cut_lineage
 
 HASH_BUCKETS = 4096
 
@@ -92,44 +92,41 @@ def value_buckets(df: DataFrame, col: str, n: int = 256, out: str = "_bkt") -> D
     return Bucketizer(splits=splits, inputCol=col, outputCol=out, handleInvalid="keep").transform(df)
 
 
-def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], eps: float = 0.005) -> DataFrame:
+def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], eps: float = 0.001) -> DataFrame:
     """Exact interpolated quantiles ``(feature, prob, value)`` of many columns.
 
-    A rank sketch brackets every quantile first (its rank error is bounded by ``eps``). The last scan
-    counts the rows below each bracket and keeps only rows inside one, so about ``6 * eps`` of the
-    values are shuffled instead of all of them. A bracket that missed would show in the counts and
-    raise. The driver sees a few numbers per column and quantile.
+    A rank sketch brackets every quantile first (its rank error is bounded by ``eps``). Then one scan
+    counts the rows below each bracket, and one keeps the values inside: about ``6 * eps`` of them are
+    shuffled instead of all. A bracket that missed would show in the counts and raise. The driver sees
+    a few numbers per column and quantile.
     """
     counts = df.selectExpr(*[f"count(`{c}`) AS _{i}" for i, c in enumerate(cols)]).first()
     pad = [3 * eps + 2 / max(n, 1) for n in counts]
     asks = sorted({min(max(q + s * w, 0.0), 1.0) for q in probs for w in pad for s in (-1, 1)})
     sketch = [dict(zip(asks, got)) for got in df.approxQuantile(cols, asks, eps)]
-    inf, cells, where = float("inf"), [], []
+    inf, cells = float("inf"), []
     for i, c in enumerate(cols):
         for q in probs if counts[i] else []:
             a, b = q - pad[i], q + pad[i]
-            lo, hi = sketch[i][a] if a > 0 else -inf, sketch[i][b] if b < 1 else inf
-            pos = (counts[i] - 1) * q
-            where.append((c, float(q), float(lo), float(hi), float(pos)))
-            cells.append(f"struct({len(where) - 1} AS cell, CAST(`{c}` AS DOUBLE) AS x, double('{lo}') AS lo, double('{hi}') AS hi)")
-    long = df.selectExpr(f"inline(filter(array({', '.join(cells)}), s -> s.x IS NOT NULL AND s.x <= s.hi))")
-    # rows below the bracket become one counted NULL in the first bucket: running counts stay global
-    spread = "CASE WHEN x < lo THEN -1 WHEN abs(lo) < double('inf') AND abs(hi) < double('inf') AND lo < hi THEN floor((x - lo) / (hi - lo) * 255) ELSE 0 END"
-    counted = (
-        long.selectExpr("cell", f"CAST({spread} AS INT) AS _bkt", "IF(x < lo, NULL, x) AS x")
-        .groupBy("cell", "_bkt", "x")
-        .agg(F.count(F.lit(1)).alias("cnt"))
+            cells.append((c, float(q), sketch[i][a] if a > 0 else -inf, sketch[i][b] if b < 1 else inf, float((counts[i] - 1) * q)))
+    num = [(f"CAST(`{c}` AS DOUBLE)", f"double('{float(lo)}')", f"double('{float(hi)}')") for c, _, lo, hi, _ in cells]
+    below = df.selectExpr(*[f"count_if({x} < {lo}) AS _{i}" for i, (x, lo, _) in enumerate(num)]).first()
+    structs = ", ".join(f"struct({i} AS cell, {x} AS x, {lo} AS lo, {hi} AS hi)" for i, (x, lo, hi) in enumerate(num))
+    inside = df.where(" OR ".join(f"{x} BETWEEN {lo} AND {hi}" for x, lo, hi in num)).selectExpr(
+        f"inline(filter(array({structs}), s -> s.x BETWEEN s.lo AND s.hi))"
     )
-    ranked = running_sums(counted, ["cell"], "_bkt", [F.col("x").asc_nulls_first()], {"cum": "cnt"})
+    spread = "IF(abs(lo) < double('inf') AND abs(hi) < double('inf') AND lo < hi, floor((x - lo) / (hi - lo) * 255), 0)"
+    counted = inside.selectExpr("cell", f"CAST({spread} AS INT) AS _bkt", "x").groupBy("cell", "_bkt", "x").agg(F.count(F.lit(1)).alias("cnt"))
+    ranked = running_sums(cut_lineage(counted), ["cell"], "_bkt", [F.col("x")], {"cum": "cnt"})
     table = df.sparkSession.createDataFrame(
-        [(i, c, q, pos) for i, (c, q, _, _, pos) in enumerate(where)], "cell int, feature string, prob double, pos double"
+        [(i, c, q, pos, pos - below[i]) for i, (c, q, _, _, pos) in enumerate(cells)],
+        "cell int, feature string, prob double, pos double, r double",
     )
 
     def at(r: str) -> str:
-        hit = f"cum - cnt <= {r} AND {r} < cum"
-        return f"max(CASE WHEN {hit} THEN coalesce(x, CAST(raise_error('quantile bracket missed') AS DOUBLE)) END)"
+        return f"max(CASE WHEN cum - cnt <= {r} AND {r} < cum THEN x END)"
 
-    picked = ranked.join(table, "cell").groupBy("feature", "prob", "pos").agg(
-        F.expr(at("floor(pos)")).alias("a"), F.expr(at("ceil(pos)")).alias("b")
+    picked = table.join(ranked, "cell", "left").groupBy("feature", "prob", "pos").agg(
+        F.expr(at("floor(r)")).alias("a"), F.expr(at("ceil(r)")).alias("b")
     )
     return picked.selectExpr("feature", "prob", "coalesce(a + (b - a) * (pos - floor(pos)), CAST(raise_error('quantile bracket missed') AS DOUBLE)) AS value")
