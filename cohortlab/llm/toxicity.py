@@ -200,9 +200,10 @@ def _features(found: list[list[tuple[int, int, float]]]) -> np.ndarray:
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Model:
     rows = labelled(docs, labels, sample, id_col, text_col)
-    seen = token_counts(rows).toPandas()  # BINS rows at most
+    seen = token_counts(rows).toArrow()  # BINS rows at most
     counts = np.zeros((2, BINS), np.float32)
-    counts[0, seen["bin"]], counts[1, seen["bin"]] = seen["clean"], seen["toxic"]
+    counts[:, seen["bin"].to_numpy()] = [seen["clean"].to_numpy(), seen["toxic"].to_numpy()]
+    del seen
     if not counts[0].any() or not counts[1].any():
         return Model(counts, 0.5, 1.0, 1.0, NEVER)
     share = float(counts[1].sum(dtype=float) / counts.sum(dtype=float))
