@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, toxicity
+from . import bpe, exact_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -47,3 +47,9 @@ WITH n AS (SELECT doc_id, length(coalesce(text, '')) AS n, sha256(regexp_replace
                   first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY n DESC, doc_id) AS keep_id FROM n)
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM k
 """
+
+
+@query
+def op10_bpe(spark: SparkSession, d: str) -> DataFrame:
+    rows = bpe.encode(table(spark, d, "documents"), bpe.vocabulary("byte_bpe_50k.json"))
+    return rows.withColumnRenamed("_id", "doc_id")
