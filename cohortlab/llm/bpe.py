@@ -16,6 +16,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,8 +28,13 @@ from pyspark.sql import functions as F
 
 #: The byte-level pattern of the public tokenizer, fixed: contractions, letters, digits, other, white space.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pieces remembered by a worker; the memory is emptied when full.
-REMEMBERED = 400_000
+#: The same for texts in Latin-1 alone, where the standard library's engine is faster: its letters, numbers and white space.
+LATIN_L, LATIN_N, LATIN_W = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", r"0-9\xb2\xb3\xb9\xbc-\xbe", r"\t-\r \x85\xa0"
+LATIN_PATTERN = (
+    rf" ?[{LATIN_L}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[{LATIN_N}]+| ?[^{LATIN_W}{LATIN_L}{LATIN_N}]+|[{LATIN_W}]+(?![^{LATIN_W}])|[{LATIN_W}]+"
+)
+#: Pieces remembered by a worker, new and old ones each; when the new ones are as many, they become the old ones.
+REMEMBERED = 500_000
 #: Longer pieces are not remembered.
 LONG = 64
 
@@ -62,12 +69,13 @@ class Bpe:
         for text, i in self.specials.items():
             self.token_bytes[i] = text.encode()
         self.special_re = regex.compile("(" + "|".join(map(regex.escape, sorted(self.specials, key=len, reverse=True))) + ")") if self.specials else None
-        self.piece_re = regex.compile(PATTERN)
+        self.pieces, self.latin_pieces = regex.compile(PATTERN).findall, re.compile(LATIN_PATTERN).findall
         self._automaton(ids)
         # by id, for decoding many at once
         self.table = [self.token_bytes.get(i, b"") for i in range(max(self.token_bytes) + 1)]
-        self.apart: dict[tuple[int, int], bool] = {}
+        self.apart: dict[int, bool] = {}
         self.known: dict[str, bytes] = {}
+        self.known_before: dict[str, bytes] = {}
 
     def _automaton(self, ids: dict[bytes, int]) -> None:
         """Trie of the tokens with suffix links; ``ends`` lists, per state, (id, length) of all tokens that are suffixes, longest first."""
@@ -84,7 +92,8 @@ class Bpe:
             token_at[at] = i
         link = [0] * len(step)
         ends: list[tuple[tuple[int, int], ...]] = [()] * len(step)
-        queue = list(step[0].values())
+        step[0] = {b: step[0].get(b, 0) for b in range(256)}  # from the root every byte leads on
+        queue = [s for s in step[0].values() if s]
         for s in queue:
             ends[s] = ((token_at[s], len(self.token_bytes[token_at[s]])),) if token_at[s] >= 0 else ()
         for s in queue:
@@ -98,21 +107,25 @@ class Bpe:
                 queue.append(t)
         self.step, self.link, self.ends = step, link, ends
 
-    def stay_apart(self, left: int, right: int) -> bool:
-        """Whether ``left`` then ``right`` is how their joined bytes are encoded: no merge across the border comes first.
+    def _goto(self, state: int, b: int) -> int:
+        """The state after byte ``b`` where the trie has no such edge; remembered as an edge."""
+        at = state
+        while b not in self.step[at]:
+            at = self.link[at]
+        self.step[state][b] = self.step[at][b]
+        return self.step[at][b]
 
-        The last merges are undone one by one; a pair across the border that merges earlier than those that made the
-        two tokens would have been taken, so the tokens would not stand side by side.
-        """
-        key = (left, right)
-        known = self.apart.get(key)
-        if known is None:
-            known = self.apart[key] = self._apart(left, right)
-            if len(self.apart) > 4 * REMEMBERED:
-                self.apart = {}
+    def stay_apart(self, left: int, right: int) -> bool:
+        """Whether ``left`` then ``right`` is how their joined bytes are encoded."""
+        if len(self.apart) > 4 * REMEMBERED:
+            self.apart.clear()
+        known = self.apart[left << 32 | right] = self._apart(left, right)
         return known
 
     def _apart(self, left: int, right: int) -> bool:
+        """Undo the last merges one by one. A pair across the border that merges earlier than those that made the two
+        tokens would have been taken, so the tokens would not stand side by side.
+        """
         none = len(self.rank) + 1
         limit = none
         while True:
@@ -133,40 +146,39 @@ class Bpe:
 
     def encode_piece(self, piece: bytes) -> list[int]:
         """Ids of one piece."""
-        step, link, ends = self.step, self.link, self.ends
-        n = len(piece)
-        last = [0] * (n + 1)
-        size = [0] * (n + 1)
+        step, ends, apart = self.step, self.ends, self.apart
+        last, size = [0] * (len(piece) + 1), [0] * (len(piece) + 1)
         state = 0
-        apart = self.apart
-        for i in range(1, n + 1):
-            b = piece[i - 1]
-            while b not in step[state]:
-                state = link[state]
-            state = step[state][b]
+        for i, b in enumerate(piece, 1):
+            after = step[state].get(b)
+            state = self._goto(state, b) if after is None else after
             for token, length in ends[state]:
-                before = i - length
-                if before == 0:
-                    last[i], size[i] = token, length
-                    break
-                ok = apart.get((last[before], token))
-                if ok if ok is not None else self.stay_apart(last[before], token):
-                    last[i], size[i] = token, length
-                    break
+                if i != length:
+                    left = last[i - length]
+                    ok = apart.get(left << 32 | token)
+                    if ok is None:
+                        ok = self.stay_apart(left, token)
+                    if not ok:
+                        continue
+                last[i], size[i] = token, length
+                break
             else:
                 raise ValueError("the vocabulary's merges do not give every prefix a last token")
-        out = []
+        out, n = [], len(piece)
         while n:
             out.append(last[n])
             n -= size[n]
         return out[::-1]
 
     def packed(self, piece: str) -> bytes:
-        """Ids of one piece as little-endian unsigned 32-bit numbers."""
-        out = np.array(self.encode_piece(piece.encode()), "<u4").tobytes()
+        """Ids of one piece as little-endian unsigned 32-bit numbers; not called for those among the new known ones."""
+        out = self.known_before.get(piece)
+        if out is None:
+            ids = self.encode_piece(piece.encode())
+            out = struct.pack(f"<{len(ids)}I", *ids)
         if len(piece) <= LONG:
             if len(self.known) >= REMEMBERED:
-                self.known = {}
+                self.known, self.known_before = {}, self.known
             self.known[piece] = out
         return out
 
@@ -179,8 +191,12 @@ class Bpe:
         return self._plain(text)
 
     def _plain(self, text: str) -> bytes:
-        get = self.known.get
-        return b"".join([get(p) or self.packed(p) for p in self.piece_re.findall(text)])
+        latin = text.isascii() or max(text) <= "\xff"
+        packed = self.packed
+        out = []
+        for piece in (self.latin_pieces if latin else self.pieces)(text):
+            out.append(self.known.get(piece) or packed(piece))
+        return b"".join(out)
 
     def decode(self, packed: bytes) -> str:
         return b"".join(map(self.table.__getitem__, np.frombuffer(packed, "<u4").tolist())).decode("utf-8", "replace")
