@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, toxicity
+from . import bpe, exact_dedup, ngram_join, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -53,3 +53,8 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM k
 def op10_bpe(spark: SparkSession, d: str) -> DataFrame:
     rows = bpe.encode(table(spark, d, "documents"), bpe.vocabulary("byte_bpe_50k.json"))
     return rows.withColumnRenamed("_id", "doc_id")
+
+
+@query
+def op8_ngram_join(spark: SparkSession, d: str) -> DataFrame:
+    return ngram_join.similar_groups(table(spark, d, "documents")).withColumnRenamed("_id", "doc_id")
