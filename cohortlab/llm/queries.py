@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, ngram_join, toxicity
+from . import bpe, exact_dedup, mixing, ngram_join, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -58,3 +58,16 @@ def op10_bpe(spark: SparkSession, d: str) -> DataFrame:
 @query
 def op8_ngram_join(spark: SparkSession, d: str) -> DataFrame:
     return ngram_join.similar_groups(table(spark, d, "documents")).withColumnRenamed("_id", "doc_id")
+
+
+#: Domains of op5: documents of low and of high quality; their target weights.
+QUALITY_WEIGHTS = (0.1, 0.9)
+
+
+@query
+def op5_mixing(spark: SparkSession, d: str) -> DataFrame:
+    rows = mixing.mix(table(spark, d, "documents"), table(spark, d, "labels"), F.col("quality"), QUALITY_WEIGHTS)
+    return rows.select(
+        F.col("_id").alias("doc_id"), "n_words", F.col("p")[0].alias("p_low"), F.col("p")[1].alias("p_high"), "rate",
+        mixing.draw(rows).cast("long").alias("copies"),
+    )
