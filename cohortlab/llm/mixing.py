@@ -19,6 +19,7 @@ from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -111,23 +112,32 @@ def train(docs: DataFrame, labels: DataFrame, domain: Column, domains: int, samp
     return fit_classifier(x, rows["domain"].to_numpy(), domains)
 
 
+def _posterior(column: pa.Array, model: Classifier | None, domains: int) -> tuple[np.ndarray, np.ndarray]:
+    """Words and probabilities of every row of a column."""
+    counts, found = [np.zeros(0, np.int64)], [np.zeros((0, domains))]
+    for count, x in features(column):
+        counts.append(count)
+        if model is None:
+            found.append(np.full((len(x), domains), 1 / domains))
+        else:
+            found.append(softmax(np.hstack([(x - model.mean) / model.scale, np.ones((len(x), 1))]) @ model.weights))
+    return np.concatenate(counts), np.vstack(found)
+
+
 def posteriors(docs: DataFrame, model: Classifier | None, domains: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(_id, n_words, p) of every row; p is an array of ``domains`` probabilities."""
+    return with_posteriors(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), model, domains, F.col("_text")).drop("_text")
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            counts, found = [np.zeros(0, np.int64)], [np.zeros((0, domains))]
-            for count, x in features(b.column(1)):
-                counts.append(count)
-                if model is None:
-                    found.append(np.full((len(x), domains), 1 / domains))
-                else:
-                    found.append(softmax(np.hstack([(x - model.mean) / model.scale, np.ones((len(x), 1))]) @ model.weights))
-            p = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * domains, pa.int32()), pa.array(np.vstack(found).ravel()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(counts)), p], names=["_id", "n_words", "p"])
-
-    id_type = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(each, f"_id {id_type}, n_words bigint, p array<double>")
+
+def with_posteriors(rows: DataFrame, model: Classifier | None, domains: int, text: Column) -> DataFrame:
+    """``rows`` with columns n_words and p, from the texts ``text``."""
+
+    @F.pandas_udf("n_words bigint, p array<double>")
+    def of(texts: pd.Series) -> pd.DataFrame:
+        count, p = _posterior(pa.array(texts, pa.string()), model, domains)
+        return pd.DataFrame({"n_words": count, "p": list(p)})
+
+    return rows.withColumn("_of", of(text)).select(*[F.col(f"`{c}`") for c in rows.columns], "_of.n_words", "_of.p")
 
 
 def _rate(updates: list[np.ndarray], most: float | None) -> Column:

@@ -8,8 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlab.llm import exact_dedup, toxicity
-from cohortlab.session import fresh_path, ship_package
+from cohortlab.llm import bpe, exact_dedup, mixing, ngram_join, toxicity
+from cohortlab.llm.queries import QUALITY_WEIGHTS
+from cohortlab.session import cut_lineage, fresh_path, ship_package
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,7 +26,39 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return exact_dedup.drop_copies(docs)
 
 
-STAGES = [("toxicity", drop_toxic), ("exact dedup", drop_exact_copies)]
+def one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of similar documents the one with the smallest id stays (with it repeated: one of its rows)."""
+    ship_package(spark)
+    # ids may repeat with other texts, so a row is known by its id and its text
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
+    rows = docs.select(key.alias("_key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
+    groups = ngram_join.similar_groups(rows.select("_key", F.col("_doc.text").alias("text")), "_key")
+    kept = groups.filter("_id = component_id").select(F.col("_id").alias("_key"))
+    return rows.join(kept.distinct(), "_key").dropDuplicates(["_key"]).select("_doc.*")
+
+
+def mix_qualities(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of low quality are thinned to their target weight; the others stay."""
+    ship_package(spark)
+    rows = docs.select(F.col("doc_id").alias("_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = mixing.train(docs, labels, F.col("quality"), len(QUALITY_WEIGHTS))
+    narrow = cut_lineage(mixing.posteriors(docs, model, len(QUALITY_WEIGHTS)))
+    rate, _, _ = mixing.fit_rates(narrow, QUALITY_WEIGHTS, most=1.0)
+    scored = mixing.with_posteriors(rows, model, len(QUALITY_WEIGHTS), F.col("_doc.text")).withColumn("rate", rate)
+    return scored.filter(mixing.draw(scored) >= 1).select("_doc.*")
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of the ids and of the decoded text."""
+    ship_package(spark)
+    return bpe.encode(docs, bpe.vocabulary("byte_bpe_50k.json")).withColumnRenamed("_id", "doc_id")
+
+
+STAGES = [
+    ("toxicity", drop_toxic), ("exact dedup", drop_exact_copies), ("n-gram Jaccard join", one_of_similar),
+    ("mixing to target weights", mix_qualities), ("BPE encoding", tokens),
+]
 
 #: SQL can express neither the classifier nor the tokeniser.
 ORACLE_SQL = None
