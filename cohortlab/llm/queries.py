@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, mixing, ngram_join, toxicity
+from . import bpe, exact_dedup, fingerprints, mixing, ngram_join, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -71,3 +71,16 @@ def op5_mixing(spark: SparkSession, d: str) -> DataFrame:
         F.col("_id").alias("doc_id"), "n_words", F.col("p")[0].alias("p_low"), F.col("p")[1].alias("p_high"), "rate",
         mixing.draw(rows).cast("long").alias("copies"),
     )
+
+
+@query
+def op2_fingerprints(spark: SparkSession, d: str) -> DataFrame:
+    return fingerprints.fingerprints(table(spark, d, "documents")).withColumnRenamed("_id", "doc_id")
+
+
+@query
+def op3_sharding(spark: SparkSession, d: str) -> DataFrame:
+    rows = sharding.shard(table(spark, d, "documents"), 16)
+    return rows.select(
+        F.col("_id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
