@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, fingerprints, mixing, ngram_join, sharding, toxicity
+from . import bpe, exact_dedup, fingerprints, mixing, ngram_join, sharding, substring_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -84,3 +84,8 @@ def op3_sharding(spark: SparkSession, d: str) -> DataFrame:
     return rows.select(
         F.col("_id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
+
+
+@query
+def op4_substring_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, d, "documents")).withColumnRenamed("_id", "doc_id")
