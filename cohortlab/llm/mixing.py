@@ -28,8 +28,10 @@ from cohortlab.session import cut_lineage
 
 from .words import column_bytes, distinct, runs, words
 
-SAMPLE = 8_000
+SAMPLE = 5_000
 STEPS, TOLERANCE = 60, 1e-4
+#: Labelled rows that must show a feature for it to count, and rows whose features are made at once.
+LEAST_ROWS, BLOCK = 5, 2048
 
 #: Classes of bytes: lower case and non-ASCII, upper case, digits, full stop, comma, other.
 KIND = np.full(256, 5, np.int64)
@@ -50,7 +52,8 @@ class Classifier(NamedTuple):
 def features(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(words, features) of runs of rows."""
     data, offsets = column_bytes(column)
-    for a, b in runs(offsets):
+    blocks = [(k, min(k + BLOCK, b)) for a, b in runs(offsets) for k in range(a, b, BLOCK)]
+    for a, b in blocks:
         own = data[offsets[a] : offsets[b]]
         w, n = words(own, offsets[a : b + 1] - offsets[a]), b - a
         kind = KIND[own]
@@ -80,18 +83,21 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def fit_classifier(x: np.ndarray, y: np.ndarray, domains: int, steps: int = 300, rate: float = 0.05, ridge: float = 1e-3) -> Classifier:
+def fit_classifier(x: np.ndarray, y: np.ndarray, domains: int, steps: int = 200, rate: float = 0.05, ridge: float = 1e-3) -> Classifier:
     """Softmax regression by Adam on all rows at once."""
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-3
-    z = np.hstack([(x - mean) / scale, np.ones((len(x), 1))]).astype(np.float32)
-    w = np.zeros((z.shape[1], domains))
-    goal = np.eye(domains)[y]
+    used = np.flatnonzero(np.append((x != 0).sum(axis=0) >= LEAST_ROWS, True))  # most shapes never occur; the constant always
+    z = np.hstack([(x - mean) / scale, np.ones((len(x), 1))]).astype(np.float32)[:, used]
+    w = np.zeros((z.shape[1], domains), np.float32)
+    goal = np.eye(domains, dtype=np.float32)[y]
     m, v = np.zeros_like(w), np.zeros_like(w)
     for k in range(1, steps + 1):
         g = z.T @ (softmax(z @ w) - goal) / len(z) + ridge * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
-    return Classifier(mean, scale, w)
+    weights = np.zeros((x.shape[1] + 1, domains))
+    weights[used] = w
+    return Classifier(mean, scale, weights)
 
 
 def train(docs: DataFrame, labels: DataFrame, domain: Column, domains: int, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Classifier | None:
