@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, fingerprints, mixing, ngram_join, sharding, substring_dedup, toxicity
+from . import bpe, exact_dedup, fingerprints, license_scan, mixing, ngram_join, secret_scan, sharding, substring_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -89,3 +89,13 @@ def op3_sharding(spark: SparkSession, d: str) -> DataFrame:
 @query
 def op4_substring_dedup(spark: SparkSession, d: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, d, "documents")).withColumnRenamed("_id", "doc_id")
+
+
+@query
+def op6_secret_scan(spark: SparkSession, d: str) -> DataFrame:
+    return secret_scan.secrets(table(spark, d, "documents")).withColumnRenamed("_id", "doc_id")
+
+
+@query
+def op1_license_scan(spark: SparkSession, d: str) -> DataFrame:
+    return license_scan.licenses(table(spark, d, "documents")).withColumnRenamed("_id", "doc_id")
