@@ -12,7 +12,9 @@ by those of the lower band where a smaller partner may lie.
   documents share.
 * Equal sets are one class from the start. Classes sharing a segment are candidates: all pairs in a small group; in a large one every
   class with the group's smallest class only.
-* Candidates are verified exactly on whole sets (64-bit shingle hashes), fetched for candidate documents alone.
+* Candidates that share too few segments for any similarity are dropped: a class agrees with a partner on all but H of its own.
+* The others are verified exactly on whole sets (64-bit shingle hashes), fetched for candidate documents alone; first
+  each class's best pair, then pairs that would still join two components.
 * A large group whose classes all ended in one component is done. In the others, pairs across components are
   verified too if neither side can do without the group and the triangle inequality of Jaccard distances to the group's
   smallest class does not rule the pair out. So no link that matters for a component is lost, and groups of near copies cost a
@@ -310,7 +312,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, text_col: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(d, pa.binary()), pa.array(own, pa.binary())], names=["node", "digest", "own"])
 
     made = docs.select(F.col(text_col).alias("_text")).mapInArrow(each, "node bigint, digest binary, own binary")
-    return made.dropDuplicates(["digest"]).join(wanted, "node", "left_semi")
+    return made.dropDuplicates(["digest"])
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -341,10 +343,56 @@ def _plain(name: str):
     return F.col(name).bitwiseAND(F.lit((1 << 63) - 1))
 
 
-def _across(groups: DataFrame, narrow: DataFrame, sets: DataFrame, found: DataFrame) -> DataFrame:
+def _spare(narrow: DataFrame) -> DataFrame:
+    """(node, spare0, spare1): segments a class can do without, in its own band and the one below."""
+    return narrow.groupBy("node").agg(F.min("spare0").alias("spare0"), F.min("spare1").alias("spare1"))
+
+
+def _own_spare(signed: str):
+    return F.when(F.col(signed) < 0, F.col("spare1")).otherwise(F.col("spare0"))
+
+
+def _candidates(groups: DataFrame, narrow: DataFrame) -> DataFrame:
+    """(a, b, shared): pairs that share enough segments to be similar.
+
+    A class agrees with a partner on all but H of its segments, that is on more than it has to spare. It shares those with it in
+    small groups, which list all pairs, or in large ones, of which there are only so many.
+    """
+    sized = [_plain(c).bitwiseAND(F.lit(0xFFFF)) for c in ("node", "hub")]
+    may = (F.greatest(*sized) == 65535) | (F.least(*sized) * DEN >= F.greatest(*sized) * NUM)
+    pairs = groups.filter(_plain("node") != F.col("hub")).filter(may).groupBy("node", "hub").agg(F.count_if(~F.col("large")).alias("small"), F.count(F.lit(1)).alias("shared"))
+    large = groups.filter("large").groupBy("node").agg(F.count(F.lit(1)).alias("in_large"))
+    met = pairs.join(large, "node", "left").withColumn("plain", _plain("node")).join(_spare(narrow).withColumnRenamed("node", "plain"), "plain")
+    enough = F.col("small") + F.coalesce("in_large", F.lit(0)) > _own_spare("node")
+    return met.filter(enough).groupBy(F.least("plain", "hub").alias("a"), F.greatest("plain", "hub").alias("b")).agg(F.max("shared").alias("shared"))
+
+
+def _roots(narrow: DataFrame, found: DataFrame) -> DataFrame:
+    """(node, root): the component of every class that has a link, by its key; where a key stands for several sets, of each."""
+    roots = components(found.select("da", "db")).select(F.col("node").alias("digest"), "root")
+    return narrow.filter("n > 0").select("node", "digest").distinct().join(roots, "digest").select("node", "root").distinct()
+
+
+def _linked(pairs: DataFrame, narrow: DataFrame, sets: DataFrame, doubled: DataFrame) -> DataFrame:
+    """Verified links that connect what ``pairs`` connect: each class's best pair first, then pairs across components."""
+    best = pairs.select(F.explode(F.array("a", "b")).alias("one"), "a", "b", "shared").groupBy("one").agg(F.max(F.struct("shared", "a", "b")).alias("best"))
+    first = cut_lineage(best.select("best.a", "best.b").unionByName(doubled).distinct())
+    found = cut_lineage(_verified(first, sets).filter(LINKED))
+    several = narrow.filter("n > 0").groupBy("node").agg(F.min("digest").alias("d1"), F.max("digest").alias("d2")).filter("d1 != d2").select("node")
+    roots = cut_lineage(_roots(narrow, found).join(several, "node", "left_anti"))
+    rest = (
+        pairs.select("a", "b").join(first, ["a", "b"], "left_anti")
+        .join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
+        .filter("ra is null or rb is null or ra != rb").select("a", "b")
+    )
+    return cut_lineage(found.unionByName(_verified(rest, sets).filter(LINKED)))
+
+
+def _across(docs: DataFrame, text_col: str, groups: DataFrame, narrow: DataFrame, found: DataFrame) -> DataFrame:
     """Links across components within large groups, beyond those to a group's first class."""
+    every = narrow.filter("n > 0").select("node", "digest").distinct()
     roots = components(found.select("da", "db")).select(F.col("node").alias("digest"), "root")
-    own = cut_lineage(sets.select("node", "digest").join(roots, "digest", "left").select("node", F.coalesce("root", "digest").alias("root")))
+    own = every.join(roots, "digest", "left").select("node", F.coalesce("root", "digest").alias("root"))
     members = groups.filter("large").select("sig", F.col("node").alias("signed"), _plain("node").alias("node")).distinct().join(own, "node")
     mixed = members.groupBy("sig").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 != r2").select("sig")
     members = cut_lineage(members.join(mixed, "sig"))
@@ -352,12 +400,14 @@ def _across(groups: DataFrame, narrow: DataFrame, sets: DataFrame, found: DataFr
     if members.isEmpty():
         return none
     # a class that can do without all its mixed groups is found by its other segments
-    spare = narrow.groupBy("node").agg(F.min("spare0").alias("spare0"), F.min("spare1").alias("spare1"))
     dear = (
-        members.select("sig", "signed", "node").distinct().groupBy("signed", "node").agg(F.count(F.lit(1)).alias("dear")).join(spare, "node")
-        .filter(F.col("dear") > F.greatest(F.lit(0), F.when(F.col("signed") < 0, F.col("spare1")).otherwise(F.col("spare0")))).select("signed")
+        members.select("sig", "signed", "node").distinct().groupBy("signed", "node").agg(F.count(F.lit(1)).alias("dear")).join(_spare(narrow), "node")
+        .filter(F.col("dear") > F.greatest(F.lit(0), _own_spare("signed"))).select("signed")
     )
     members = cut_lineage(members.join(dear, "signed").select("sig", "node", "root").distinct())
+    if members.isEmpty():
+        return none
+    sets = cut_lineage(_sets(docs, members.select("node").distinct(), text_col))
     hubs = members.groupBy("sig", "root").agg(F.min("node").alias("hub")).select("sig", "hub", F.col("root").alias("hub_root"))
     near = cut_lineage(members.join(hubs, "sig"))
     pairs = near.filter("node != hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
@@ -380,17 +430,13 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(_id, n_shingles, component_id) of every row of ``docs``."""
     narrow = cut_lineage(_narrow(docs, id_col, text_col))
     groups = cut_lineage(_grouped(_index(docs, text_col)))
-    sized = [_plain(c).bitwiseAND(F.lit(0xFFFF)) for c in ("a", "b")]
-    may = (F.greatest(*sized) == 65535) | (F.least(*sized) * DEN >= F.greatest(*sized) * NUM)
     # different sets under one key
     doubled = narrow.filter("n > 0").groupBy("node").agg(F.min("digest").alias("d1"), F.max("digest").alias("d2")).filter("d1 != d2").select(F.col("node").alias("a"), F.col("node").alias("b"))
-    node = _plain("node")
-    pairs = groups.select(F.least(node, "hub").alias("a"), F.greatest(node, "hub").alias("b")).filter("a != b").filter(may).unionByName(doubled).distinct()
-    pairs = cut_lineage(pairs)
-    wanted = groups.select(node.alias("node")).unionByName(groups.select(F.col("hub").alias("node"))).unionByName(doubled.select(F.col("a").alias("node"))).distinct()
+    pairs = cut_lineage(_candidates(groups, narrow))
+    wanted = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).unionByName(doubled.select("a")).distinct().withColumnRenamed("a", "node")
     sets = cut_lineage(_sets(docs, cut_lineage(wanted), text_col))
-    found = cut_lineage(_verified(pairs, sets).filter(LINKED))
-    found = found.unionByName(_across(groups, narrow, sets, found))
+    found = _linked(pairs, narrow, sets, doubled)
+    found = found.unionByName(_across(docs, text_col, groups, narrow, found))
     roots = components(found.select("da", "db")).select(F.col("node").alias("digest"), "root")
     least = narrow.filter("n > 0").groupBy("digest").agg(F.min("_id").alias("least")).join(roots, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
     of = least.groupBy("root").agg(F.min("least").alias("component_id"))
