@@ -34,7 +34,7 @@ LATIN_PATTERN = (
     rf" ?[{LATIN_L}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[{LATIN_N}]+| ?[^{LATIN_W}{LATIN_L}{LATIN_N}]+|[{LATIN_W}]+(?![^{LATIN_W}])|[{LATIN_W}]+"
 )
 #: Pieces remembered by a worker, new and old ones each; when the new ones are as many, they become the old ones.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 #: Longer pieces are not remembered.
 LONG = 64
 
@@ -58,12 +58,10 @@ class Bpe:
         ids = {b: i for i, b in self.token_bytes.items()}
         self.rank: dict[tuple[int, int], int] = {}
         self.parts: dict[int, tuple[int, int]] = {}
-        self.merged: dict[tuple[int, int], int] = {}
         for rank, merge in enumerate(spec["model"]["merges"]):
             left, right = (ids[raw(x)] for x in (merge if isinstance(merge, list) else merge.split(" ")))
             token = ids[self.token_bytes[left] + self.token_bytes[right]]
             self.rank.setdefault((left, right), rank)
-            self.merged.setdefault((left, right), token)
             self.parts.setdefault(token, (left, right))
         self.specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
         for text, i in self.specials.items():
@@ -117,7 +115,7 @@ class Bpe:
 
     def stay_apart(self, left: int, right: int) -> bool:
         """Whether ``left`` then ``right`` is how their joined bytes are encoded."""
-        if len(self.apart) > 4 * REMEMBERED:
+        if len(self.apart) > 2 * REMEMBERED:
             self.apart.clear()
         known = self.apart[left << 32 | right] = self._apart(left, right)
         return known

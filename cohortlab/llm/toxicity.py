@@ -151,12 +151,12 @@ def expected_one(p: np.ndarray, s: np.ndarray) -> float:
     if not (s > 0).any() or (p * s).sum() >= 0:
         return 1.0
     hi = 1e-3
-    while (p * np.exp(hi * s)).sum() < 1 and hi < 1e3:
+    while (p * np.exp(np.minimum(hi * s, 500))).sum() < 1 and hi < 1e3:
         hi *= 2
     lo = 0.0
     for _ in range(80):
         mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if (p * np.exp(mid * s)).sum() < 1 else (lo, mid)
+        lo, hi = (mid, hi) if (p * np.exp(np.minimum(mid * s, 500))).sum() < 1 else (lo, mid)
     return hi
 
 
