@@ -50,6 +50,15 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession, size: str = "8m") -> None:
+    """Rows go to Python in batches of about ``size``, unless the session was given another size: texts may be long."""
+    if spark.conf.get(BATCH_BYTES) == "67108864b":  # the default
+        spark.conf.set(BATCH_BYTES, size)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
