@@ -10,25 +10,30 @@ from pyspark.sql import functions as F
 
 from cohortlab.llm import bpe, exact_dedup, mixing, ngram_join, toxicity
 from cohortlab.llm.queries import QUALITY_WEIGHTS
-from cohortlab.session import cut_lineage, fresh_path, ship_package
+from cohortlab.session import bound_batches, cut_lineage, fresh_path, ship_package
+
+
+def _prepare(spark: SparkSession) -> None:
+    ship_package(spark)
+    bound_batches(spark)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored 0.5 or more go."""
-    ship_package(spark)
+    _prepare(spark)
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.clean(docs, model)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts equal but for white space the longest stays, then the one with the smallest id."""
-    ship_package(spark)
+    _prepare(spark)
     return exact_dedup.drop_copies(docs)
 
 
 def one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of similar documents the one with the smallest id stays (with it repeated: one of its rows)."""
-    ship_package(spark)
+    _prepare(spark)
     # ids may repeat with other texts, so a row is known by its id and its text
     key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
     rows = docs.select(key.alias("_key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
@@ -39,7 +44,7 @@ def one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mix_qualities(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of low quality are thinned to their target weight; the others stay."""
-    ship_package(spark)
+    _prepare(spark)
     rows = docs.select(F.col("doc_id").alias("_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = mixing.train(docs, labels, F.col("quality"), len(QUALITY_WEIGHTS))
@@ -51,7 +56,7 @@ def mix_qualities(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of the ids and of the decoded text."""
-    ship_package(spark)
+    _prepare(spark)
     return bpe.encode(docs, bpe.vocabulary("byte_bpe_50k.json")).withColumnRenamed("_id", "doc_id")
 
 
