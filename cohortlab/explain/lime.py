@@ -117,10 +117,12 @@ def lime(
     bins = quartile_bins(train, names)
     number, value = draw_samples(bins, samples, seed)
     # a bounded sample: scored by the model as any other table
-    sample = spark.createDataFrame(pd.DataFrame({"row_id": np.arange(samples), "features": list(value)}), "row_id long, features array<double>")
+    rows = [(i, [float(v) for v in row]) for i, row in enumerate(value)]
+    sample = spark.createDataFrame(rows, "row_id long, features array<double>")
     out = score(model, sample.withColumn("features", array_to_vector("features")))
     target = F.col("probability")[cls] if output == "probability" else F.col("prediction")
-    got = out.select("row_id", target.alias("y")).toPandas().sort_values("row_id")["y"].to_numpy()
+    scored = sorted((r["row_id"], r["y"]) for r in out.select("row_id", target.alias("y")).collect())
+    got = np.array([y for _, y in scored])
     width2 = 0.75**2 * len(names)
     shared = spark.sparkContext.broadcast((bins, number.astype("int8"), got))
 

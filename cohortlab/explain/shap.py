@@ -10,10 +10,37 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..learners.base import batch_scorer, features_array
-from ..operators.encode import sql_literal
 from .nodes import leaf_paths, tree_nodes
 
 
+def linear_contributions(
+    df: DataFrame, features: list[str], coef: list[list[float]], intercept: list[float],
+    background: DataFrame | None = None, keep: list[str] = ("row_id", "label"),
+) -> DataFrame:
+    """(keep, x, class, phi, base): one row per row and class; x and phi are arrays over ``features``.
+
+    Means and bases are worked out once, in one row; nothing is shuffled.
+    """
+    background = df if background is None else background
+    w = [_doubles(row) for row in coef]
+    bases = ", ".join(
+        f"aggregate(zip_with(m, {v}, (a, b) -> a * b), double('{float(b)!r}'), (s, t) -> s + t)" for v, b in zip(w, intercept)
+    )
+    means = "array(" + ", ".join(f"avg(`{f}`)" for f in features) + ") AS m"
+    stats = background.selectExpr(means).selectExpr("m", f"array({bases}) AS base").selectExpr("struct(m, base) AS s").scalar()
+    classes = ", ".join(
+        f"struct({c} AS class, zip_with(zip_with(x, _s.m, (a, b) -> a - b), {v}, (a, b) -> a * b) AS phi, _s.base[{c}] AS base)" for c, v in enumerate(w)
+    )
+    x = "array(" + ", ".join(f"CAST(`{f}` AS DOUBLE)" for f in features) + ") AS x"
+    # the row of means is bound to a column once: every mention of a subquery would be planned by itself
+    return df.withColumn("_s", stats).selectExpr(*[f"`{k}`" for k in keep], x, "_s").selectExpr(*[f"`{k}`" for k in keep], "x", f"inline(array({classes}))")
+
+
+def _doubles(values: list[float]) -> str:
+    """A literal array of doubles; one text in the plan whatever its length."""
+    return f"CAST(split('{','.join(repr(float(v)) for v in values)}', ',') AS ARRAY<DOUBLE>)"
+
+
 def shap_linear(
     df: DataFrame,
     features: list[str],
@@ -22,25 +49,11 @@ def shap_linear(
     background: DataFrame | None = None,
     keep: list[str] = ("row_id", "label"),
 ) -> DataFrame:
-    """phi_j = w_j (x_j - mean x_j), base = w . mean + b, for each class (one row of ``coef``).
-
-    One aggregation for the means and one projection; nothing is shuffled.
-    """
-    background = df if background is None else background
-    means = background.selectExpr(
-        "struct(" + ", ".join(f"avg(`{f}`) AS m_{j}" for j, f in enumerate(features)) + ") AS m"
-    ).scalar()
-    rows = []
-    for c, (w, b) in enumerate(zip(coef, intercept)):
-        w = [f"double('{float(v)!r}')" for v in w]
-        base = " + ".join([f"double('{float(b)!r}')", *[f"{v} * _m.m_{j}" for j, v in enumerate(w)]])
-        for j, f in enumerate(features):
-            x = f"CAST(`{f}` AS DOUBLE)"
-            rows.append(
-                f"struct({c} AS class, {sql_literal(f)} AS feature, {x} AS feature_value, {w[j]} * ({x} - _m.m_{j}) AS phi, {base} AS base)"
-            )
-    # the means are bound to a column once: every mention of a subquery would be planned by itself
-    return df.withColumn("_m", means).selectExpr(*[f"`{k}`" for k in keep], f"inline(array({', '.join(rows)}))")
+    """phi_j = w_j (x_j - mean x_j), base = w . mean + b, for each class (one row of ``coef``), as a long table."""
+    arrays = linear_contributions(df, features, coef, intercept, background, keep)
+    names = F.array(*[F.lit(f) for f in features])
+    long = arrays.select(*keep, "x", "class", "base", F.posexplode("phi").alias("_j", "phi"))
+    return long.select(*keep, "class", names[F.col("_j")].alias("feature"), F.col("x")[F.col("_j")].alias("feature_value"), "phi", "base")
 
 
 def long_contributions(df: DataFrame, phi: Column, base: list[float], features: list[str], keep: list[str] = ("row_id", "label"), x: Column | None = None) -> DataFrame:
@@ -137,8 +150,8 @@ def _masked_values(x: np.ndarray, masks: np.ndarray, predict: Callable, centres:
 
 
 def _coalitions(p: int, samples: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Masks and Shapley kernel weights: all of them for few features, paired draws otherwise."""
-    if p <= 10:
+    """Masks and Shapley kernel weights: all of them where ``samples`` covers them, paired draws otherwise."""
+    if p < 63 and 2**p - 2 <= samples:
         masks = np.array([[(m >> j) & 1 for j in range(p)] for m in range(1, 2**p - 1)], dtype=bool).reshape(-1, p)
         size = masks.sum(axis=1)
         return masks, np.array([(p - 1) / (math.comb(p, s) * s * (p - s)) for s in size])
@@ -157,7 +170,9 @@ def shap_kernel(
     df: DataFrame, predict: Callable[[np.ndarray], np.ndarray], centres: np.ndarray, weights: np.ndarray,
     features: list[str], samples: int = 2048, seed: int = 42, keep: list[str] = ("row_id", "label"),
 ) -> DataFrame:
-    """Kernel SHAP (Lundberg & Lee 2017) for any batch scorer; exact enumeration up to 10 features.
+    """Kernel SHAP (Lundberg & Lee 2017) for any batch scorer.
+
+    ``samples`` is the number of coalitions; where it covers all 2^p - 2 of them, contributions are exact.
 
     All rows share the coalitions, so the weighted least squares is one small matrix worked out once.
     Rows are explained where they are: no explode, no shuffle.

@@ -6,6 +6,8 @@ aggregations, so compute the long table once, persist it, and derive all views.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,15 +15,17 @@ from ..session import broadcast_if_small
 
 
 
-def shap_classes(df: DataFrame, positive_class: int = 1) -> DataFrame:
+def shap_classes(df: DataFrame, positive_class: int = 1, output: str = "margin") -> DataFrame:
     """Both classes of a binary explanation: phi for ``positive_class``, -phi for the other.
 
-    ``positive_class=0`` gives the sign convention of plotting class 0 with +phi.
+    ``positive_class=0`` gives the sign convention of plotting class 0 with +phi. The other base is -base for margins and
+    1 - base where ``output`` is ``probability``.
     """
+    opposite = -F.col("base") if output == "margin" else 1 - F.col("base")
     other = 1 - positive_class
     sides = F.array(
         F.struct(F.lit(positive_class).alias("class"), F.col("phi").alias("phi"), F.col("base").alias("base")),
-        F.struct(F.lit(other).alias("class"), (-F.col("phi")).alias("phi"), (-F.col("base")).alias("base")),
+        F.struct(F.lit(other).alias("class"), (-F.col("phi")).alias("phi"), opposite.alias("base")),
     )
     kept = [c for c in df.columns if c not in ("class", "phi", "base")]
     return df.select(*kept, F.inline(sides))
@@ -70,20 +74,24 @@ def shap_dependence(df: DataFrame, feature: str) -> DataFrame:
     return df.filter(F.col("feature") == feature).select("row_id", "class", "feature_value", "phi")
 
 
-def shap_decision_paths(df: DataFrame) -> DataFrame:
-    """Per row and class: cumulative output from the base over features by rising importance."""
-    order = broadcast_if_small(_mean_abs(df, ["class", "feature"]))
-    joined = df.join(order, ["class", "feature"])
-    w = (
-        Window.partitionBy("row_id", "class")
-        .orderBy("importance", "feature")
-        .rowsBetween(Window.unboundedPreceding, 0)
-    )
-    return joined.select(
-        "row_id", "class", "feature",
-        F.count(F.lit(1)).over(w).alias("step"),
-        (F.col("base") + F.sum("phi").over(w)).alias("output"),
-    )
+def shap_decision_paths(df: DataFrame, features: list[str]) -> DataFrame:
+    """Per row and class: cumulative output from the base over features by rising importance.
+
+    ``df`` has a row's contributions as an array (``shap.linear_contributions``), so the running sum stays inside the row: only
+    the means of |phi|, one number per class and feature, are shuffled.
+    """
+    names = F.array(*[F.lit(f) for f in features])
+    parts = df.select("class", F.posexplode("phi").alias("_j", "_v")).groupBy("class", "_j").agg(F.avg(F.abs("_v")).alias("importance"))
+    ranked = F.array_sort(F.collect_list(F.struct("importance", names[F.col("_j")].alias("feature"), "_j")))
+    order = parts.groupBy("class").agg(F.transform(ranked, lambda s: s["_j"]).alias("_order"))
+    met = df.join(broadcast_if_small(order), "class")
+
+    @F.pandas_udf("array<double>")
+    def running(base: pd.Series, phi: pd.Series, order: pd.Series) -> pd.Series:
+        return pd.Series([b + np.cumsum(np.asarray(p)[np.asarray(o)]) for b, p, o in zip(base, phi, order, strict=True)])
+
+    steps = met.withColumn("_path", running("base", "phi", "_order")).select("row_id", "class", "_order", F.posexplode("_path").alias("_k", "output"))
+    return steps.select("row_id", "class", names[F.col("_order")[F.col("_k")]].alias("feature"), (F.col("_k") + 1).cast("long").alias("step"), "output")
 
 
 def _of_class(df: DataFrame) -> DataFrame:

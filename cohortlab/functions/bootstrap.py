@@ -93,22 +93,26 @@ def bootstrap_confusion_cells(df: DataFrame, replicates: int, seed: int = 42) ->
     return reps.mapInPandas(draw, out).filter(F.col("n") > 0)
 
 
-def _poisson_counts(rng: np.random.Generator, counts: np.ndarray, replicates: int) -> np.ndarray:
-    """Poisson(count) per row and replicate. Most scores occur once: zeros need no draw, ones a look-up."""
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """64-bit hash of 64-bit numbers."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+#: P(weight <= k) for Poisson(1), as far as a double tells steps apart.
+_LADDER = np.cumsum([math.exp(-1.0) / math.factorial(k) for k in range(18)])
+
+
+def _poisson_counts(keys: np.ndarray, counts: np.ndarray, replicates: int) -> np.ndarray:
+    """Poisson(count) per row and replicate, from a hash of the row's key and the replicate alone."""
     out = np.zeros((len(counts), replicates))
-    one, more = counts == 1, counts > 1
-    if one.any():
-        cdf = np.cumsum([np.exp(-1.0) / math.factorial(k) for k in range(13)])
-        u = rng.random((int(one.sum()), replicates), dtype="float32")
-        drawn = np.zeros(u.shape)
-        for c in cdf:
-            above = u >= c
-            if not above.any():
-                break
-            drawn += above
-        out[one] = drawn
-    if more.any():
-        out[more] = rng.poisson(counts[more][:, None], (int(more.sum()), replicates))
+    one = np.flatnonzero(counts == 1)
+    if len(one):
+        u = _mixed(keys[one][:, None] ^ _mixed(np.arange(1, replicates + 1, dtype=np.uint64))[None, :])
+        out[one] = np.searchsorted(_LADDER, (u >> np.uint64(11)) / float(1 << 53), "right")
+    for i in np.flatnonzero(counts > 1):
+        out[i] = np.random.default_rng(int(keys[i])).poisson(counts[i], replicates)
     return out
 
 
@@ -127,10 +131,10 @@ def bootstrap_auc(df: DataFrame, replicates: int = 1000, seed: int = 42, classes
                 state = part.setdefault(int(cls), [rows["score"].iloc[0], *np.zeros((3, replicates))])
                 for at in range(0, len(rows), chunk):
                     block = rows.iloc[at:at + chunk]
-                    key = [seed, int(cls), int(np.float64(block["score"].iloc[0]).view("uint64"))]
-                    rng = np.random.default_rng(key)
-                    pos = _poisson_counts(rng, block["pos"].to_numpy(), replicates)
-                    neg = _poisson_counts(rng, block["neg"].to_numpy(), replicates)
+                    # draws belong to the score, whatever block or task it comes in
+                    key = _mixed(block["score"].to_numpy(np.float64).view(np.uint64) ^ np.uint64((seed * 1000003 + int(cls)) % 2**64))
+                    pos = _poisson_counts(key, block["pos"].to_numpy(), replicates)
+                    neg = _poisson_counts(_mixed(key + np.uint64(1)), block["neg"].to_numpy(), replicates)
                     upto = state[2] + np.cumsum(neg, axis=0)
                     state[3] += (pos * (upto - neg / 2)).sum(axis=0)
                     state[1] += pos.sum(axis=0)

@@ -12,7 +12,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 HASH_RANGE = float(16**13)
-POISSON_CUT = 8
 
 
 def _col(c) -> Column:
@@ -37,17 +36,25 @@ def hash_uniform(seed, *ids) -> Column:
 def poisson_steps() -> list[tuple[str, int]]:
     """Inverse Poisson(1) distribution on 32-bit hex digits: weight is the first k with hex < step.
 
-    Hex digits sort like the numbers they write, so no conversion to a number is needed.
+    Hex digits sort like the numbers they write, so no conversion to a number is needed. The ladder ends where 32
+    bits tell no further step apart.
     """
-    steps, cdf, term = [], 0.0, math.exp(-1.0)
-    for k in range(POISSON_CUT):
+    steps, cdf, term, k = [], 0.0, math.exp(-1.0), 0
+    while True:
         cdf += term
-        term /= k + 1
-        steps.append((format(int(cdf * 2**32), "08x"), k))
-    return steps
+        bound = format(int(cdf * 2**32), "08x")
+        if steps and bound == steps[-1][0] or len(bound) > 8:
+            return steps
+        steps.append((bound, k))
+        k += 1
+        term /= k
+
+
+#: The weight above the last step.
+POISSON_CUT = len(poisson_steps())
 
 
 def poisson_weight(hex8: str) -> Column:
-    """Poisson(1) weight of the SQL text of a uniform in eight hex digits; the tail is cut at 8."""
+    """Poisson(1) weight of the SQL text of a uniform in eight hex digits."""
     whens = " ".join(f"WHEN {hex8} < '{bound}' THEN {k}D" for bound, k in poisson_steps())
     return F.expr(f"CASE {whens} ELSE {POISSON_CUT}D END")

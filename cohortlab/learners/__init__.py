@@ -2,11 +2,15 @@
 
 from .bayes import fit_gaussian_nb, fit_lda
 from .gradient import fit_mlp_classifier, fit_mlp_regressor, fit_sgd_classifier, fit_svr
-from .kernel import fit_gp, fit_svm
-from .knn import fit_knn
+from .kernel import CalibratedMargins, PipelinePair, fit_gp, fit_svm
+from .knn import KnnModel, fit_knn
 from .linear import fit_elasticnet, fit_lasso, fit_logreg, fit_ols, fit_ridge
 from .shared import lda_many, least_squares_many, nb_many
 from .trees import (
+    BaggedTrees,
+    BoostedVote,
+    OneVsRestModel,
+    WeightedMedianTrees,
     fit_adaboost_classifier,
     fit_adaboost_regressor,
     fit_bagging_regressor,
@@ -29,6 +33,8 @@ REGRESSORS = {
     "Bagging": fit_bagging_regressor, "SVR": fit_svr, "GPR": fit_gp, "MLP": fit_mlp_regressor,
 }
 
+COMPOSITES = {c.__name__: c for c in (OneVsRestModel, BaggedTrees, BoostedVote, WeightedMedianTrees, PipelinePair, CalibratedMargins, KnnModel)}
+
 # Learners whose candidates share one pass over the rows.
 MANY = {
     fit_gaussian_nb: nb_many,

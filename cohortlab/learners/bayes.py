@@ -28,7 +28,8 @@ class GaussianNBModel(ParamModel):
 
     def transform(self, df: DataFrame) -> DataFrame:
         prior, mean, var = (np.asarray(self.params[k]) for k in ("prior", "mean", "var"))
-        const = np.log(prior) - 0.5 * np.log(2 * math.pi * var).sum(axis=1)
+        with np.errstate(divide="ignore"):  # classes that did not occur
+            const = np.log(prior) - 0.5 * np.log(2 * math.pi * var).sum(axis=1)
         x = features_array(df)
         if mean.size <= EXPRESSION_TERMS:
             texts = [self._log_density(const[c], mean[c], var[c]) for c in range(len(prior))]
@@ -50,9 +51,12 @@ class GaussianNBModel(ParamModel):
 
 def fit_gaussian_nb(train: DataFrame, params: dict) -> GaussianNBModel:
     """Means and population variances per class; every variance grows by ``var_smoothing`` times the
-    largest overall variance. The moments are one pass and the same for every candidate."""
+    largest overall variance. The moments are one pass and the same for every candidate. A class number that does not
+    occur keeps its place with prior 0."""
     moments = feature_moments(train, "label")
     classes = range(max(moments) + 1)
+    width = len(next(iter(moments.values()))[1])
+    moments = {c: moments.get(c, (0, np.zeros(width), np.ones(width))) for c in classes}
     n_all = sum(n for n, _, _ in moments.values())
     share = {c: moments[c][0] / n_all for c in classes}
     centre = sum(share[c] * moments[c][1] for c in classes)
@@ -120,8 +124,11 @@ def _discriminant(grams: dict, shift: np.ndarray, means: dict, covs: dict) -> Li
     pooled = sum(p * covs[c] for p, c in zip(prior, order))
     # the shift only kept digits in the covariances
     m = np.stack([means[c] + shift for c in order])
-    coef = np.linalg.lstsq(pooled, m.T, rcond=None)[0].T
-    intercept = -0.5 * np.einsum("ij,ij->i", m, coef) + np.log(prior)
+    own = np.linalg.lstsq(pooled, m.T, rcond=None)[0].T
+    # class numbers that did not occur keep their place
+    coef, intercept = np.zeros((int(order[-1]) + 1, own.shape[1])), np.full(int(order[-1]) + 1, -np.inf)
+    at = [int(c) for c in order]
+    coef[at], intercept[at] = own, -0.5 * np.einsum("ij,ij->i", m, own) + np.log(prior)
     return LinearClassModel(coef=coef, intercept=intercept)
 
 

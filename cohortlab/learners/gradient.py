@@ -1,9 +1,10 @@
 """Learners fitted by stochastic gradient steps, data-parallel with parameter averaging.
 
-Each round is one job: every task runs its rows through small batches from the current parameters
-and passes on its parameters and row count; the row-weighted mean starts the next round (Zinkevich et
-al. 2010). Rows held out by hash are scored with the incoming parameters in the same pass, which gives
-the early-stopping loss. Only vectors as long as the parameters reach the driver.
+Each round is one job over shards: every shard runs its rows, in the order of their ids, through small batches from the current
+parameters and passes on its parameters and row count; the row-weighted mean starts the next round (Zinkevich et
+al. 2010). Shards are made of ids by hash, not of partitions, so a fit does not depend on the partitioning. Rows held out by
+hash are scored with the incoming parameters in the same pass, which gives the early-stopping loss. Only vectors as
+long as the parameters reach the driver.
 """
 
 from __future__ import annotations
@@ -19,6 +20,9 @@ from ..functions.hashing import hash_uniform
 from .base import ParamModel, argmax, batch_scorer, class_count, features_array, with_weights
 from .kernel import LANDMARKS, PipelinePair, kernel_width, nystroem_features
 
+#: Rows of a shard, about.
+SHARD_ROWS = 20_000
+
 Step = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, float, dict], np.ndarray]
 Loss = Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 
@@ -33,32 +37,57 @@ def averaged_rounds(
     With ``adaptive`` a stall divides the rate by five instead of stopping, until it is tiny.
     """
     weight = F.col("weight") if "weight" in train.columns else F.lit(1.0)
+    shards = max(1, -(-train.count() // SHARD_ROWS))
     data = train.select(
+        F.pmod(F.xxhash64(F.lit(str(seed)), F.col(id_col)), F.lit(shards)).alias("shard"), F.col(id_col).alias("id"),
         features_array(train).alias("x"), F.col("label").cast("double").alias("y"), weight.cast("double").alias("w"),
         (hash_uniform(f"{seed}-held", id_col) < held).alias("held"),
-    ).persist()
+    )
+    data = data.repartition("shard").sortWithinPartitions("shard", "id").drop("id").persist()
     theta, best, best_loss, stalled, shrink = start, start, np.inf, 0, 1.0
     for r in range(rounds + 1):
         eta, current, last = rate(r) * shrink, theta, r == rounds
 
         def run(batches: Iterator[pd.DataFrame], current=current, eta=eta, last=last) -> Iterator[pd.DataFrame]:
-            own, memory, n, lost, n_held = current.copy(), {}, 0, 0.0, 0
-            for pdf in batches:
-                x, y, w = np.stack(pdf["x"].to_numpy()), pdf["y"].to_numpy(), pdf["w"].to_numpy()
-                h = pdf["held"].to_numpy()
-                if h.any():
-                    lost += float(loss(current, x[h], y[h]).sum())
-                    n_held += int(h.sum())
-                if last:
-                    continue
-                x, y, w = x[~h], y[~h], w[~h]
-                for at in range(0, len(x), batch):
-                    s = slice(at, at + batch)
+            total, n, lost, n_held = np.zeros(len(current)), 0, 0.0, 0
+            shard, own, memory, seen, rest = None, current.copy(), {}, 0, None
+
+            def steps(x: np.ndarray, y: np.ndarray, w: np.ndarray, all_of_it: bool) -> tuple | None:
+                nonlocal own
+                stop = len(x) if all_of_it else len(x) - len(x) % batch
+                for at in range(0, stop, batch):
+                    s = slice(at, min(at + batch, stop))
                     own = step(own, x[s], y[s], w[s], eta, memory)
-                n += len(x)
+                return None if stop == len(x) else (x[stop:], y[stop:], w[stop:])
+
+            def close() -> None:
+                nonlocal own, memory, seen, rest, total, n
+                if rest is not None:
+                    steps(*rest, True)
+                total, n = total + own * seen, n + seen
+                own, memory, seen, rest = current.copy(), {}, 0, None
+
+            for pdf in batches:
+                for key, part in pdf.groupby("shard", sort=False):
+                    if key != shard and shard is not None:
+                        close()
+                    shard = key
+                    x, y, w, h = np.stack(part["x"].to_numpy()), part["y"].to_numpy(), part["w"].to_numpy(), part["held"].to_numpy()
+                    if h.any():
+                        lost += float(loss(current, x[h], y[h]).sum())
+                        n_held += int(h.sum())
+                    if last:
+                        continue
+                    x, y, w = x[~h], y[~h], w[~h]
+                    seen += len(x)
+                    if rest is not None:
+                        x, y, w = (np.concatenate(p) for p in zip(rest, (x, y, w), strict=True))
+                    rest = steps(x, y, w, False)
+            if not last and shard is not None:
+                close()
             pos, value = [-1], [lost]
             if n:
-                pos, value = [-1, *range(len(own))], [lost, *(own * n)]
+                pos, value = [-1, *range(len(total))], [lost, *total]
             counts = [float(n_held)] + [float(n)] * (len(pos) - 1)
             yield pd.DataFrame({"pos": np.array(pos, dtype="int32"), "value": value, "n": counts})
 
@@ -147,7 +176,7 @@ def fit_sgd_classifier(train: DataFrame, params: dict, id_col: str = "row_id") -
 
     df, _ = with_weights(train, params.get("class_weight"))
     theta = averaged_rounds(
-        df, np.zeros(rows * (width + 1)), step, held_loss, int(params.get("rounds", min(int(params.get("max_iter", 500)), 20))),
+        df, np.zeros(rows * (width + 1)), step, held_loss, int(params.get("max_iter", 500)),
         (lambda r: eta0 / (1 + r) ** 0.5) if schedule == "invscaling" else (lambda r: eta0), int(params.get("batch_size", 8)),
         float(params.get("validation_fraction", 0.1)), int(params.get("n_iter_no_change", 5)), float(params.get("tol", 1e-4)),
         schedule == "adaptive", params.get("seed", 42), id_col)
@@ -201,7 +230,7 @@ def fit_svr(train: DataFrame, params: dict, id_col: str = "row_id") -> PipelineP
     def held_loss(theta, x, y):
         return np.maximum(np.abs(x @ theta[:-1] + theta[-1] - y) - eps, 0)
 
-    theta = averaged_rounds(df, np.zeros(width + 1), step, held_loss, int(params.get("rounds", 15)),
+    theta = averaged_rounds(df, np.zeros(width + 1), step, held_loss, int(params.get("max_iter", 1000)),
                             lambda r: float(params.get("eta0", 0.3)) / (1 + r) ** 0.5, 32, seed=params.get("seed", 42), id_col=id_col)
     return PipelinePair(fmap, LinearTail(coef=theta, mean=mu, std=sd))
 
@@ -286,7 +315,7 @@ def _fit_mlp(train: DataFrame, params: dict, classify: bool, outputs: int, mu: f
 
     eta = float(params.get("learning_rate_init", 1e-3))
     theta = averaged_rounds(
-        train, start, step, held_loss, int(params.get("rounds", min(int(params.get("max_iter", 200)), 20))), lambda r: eta,
+        train, start, step, held_loss, int(params.get("max_iter", 200)), lambda r: eta,
         int(params.get("batch_size", 16)), float(params.get("validation_fraction", 0.1)), int(params.get("n_iter_no_change", 10)),
         float(params.get("tol", 1e-4)), params.get("learning_rate") == "adaptive", params.get("seed", 42), id_col)
     return PerceptronModel(theta=theta, sizes=sizes, activation=act, classify=classify, mean=mu, std=sd)

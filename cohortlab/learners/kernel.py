@@ -80,6 +80,13 @@ class PipelinePair:
     def __init__(self, first, second) -> None:
         self.first, self.second = first, second
 
+    def members(self) -> tuple:
+        return None, [self.first, self.second]
+
+    @classmethod
+    def of(cls, state, members):
+        return cls(*members)
+
     def transform(self, df: DataFrame) -> DataFrame:
         kept = df.withColumn("_features", F.col("features"))
         out = self.second.transform(self.first.transform(kept) if self.first else kept)
@@ -92,6 +99,13 @@ class CalibratedMargins:
     def __init__(self, models: list, curves: list[tuple[float, float]]) -> None:
         self.models, self.curves = models, curves
 
+    def members(self) -> tuple:
+        return self.curves, self.models
+
+    @classmethod
+    def of(cls, state, members):
+        return cls(members, [tuple(c) for c in state])
+
     def transform(self, df: DataFrame) -> DataFrame:
         out, share = df, []
         for c, (m, (a, b)) in enumerate(zip(self.models, self.curves)):
@@ -143,7 +157,7 @@ def fit_gp(train: DataFrame, params: dict, id_col: str = "row_id") -> PipelinePa
     """
     kernel, alpha = params.get("kernel", "rbf"), max(float(params.get("alpha", 1e-10)), 1e-10)
     restarts = int(params.get("n_restarts_optimizer", 0))
-    lengths = [1.0] if kernel == "dot_product" else [1.0, *[f for i in range(min(restarts, 4)) for f in (2.0 ** (i + 1), 0.5 ** (i + 1))]]
+    lengths = [1.0] if kernel == "dot_product" else [1.0, *[f for i in range(restarts) for f in (2.0 ** (i + 1), 0.5 ** (i + 1))]]
     best = None
     for length in lengths:
         options = {"gamma": 1 / (2 * length * length)} if kernel == "rbf" else {"scale": length}

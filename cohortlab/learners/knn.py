@@ -35,6 +35,13 @@ class KnnModel:
     def __init__(self, train: DataFrame, params: dict, n_classes: int, id_col: str) -> None:
         self.train, self.params, self.k, self.id_col = train, params, n_classes, id_col
 
+    def members(self) -> tuple:
+        return {"params": self.params, "k": self.k, "id_col": self.id_col}, [self.train]
+
+    @classmethod
+    def of(cls, state, members):
+        return cls(members[0], state["params"], state["k"], state["id_col"])
+
     def transform(self, df: DataFrame) -> DataFrame:
         n = int(self.params.get("n_neighbors", 5))
         metric = self.params.get("metric", "minkowski")

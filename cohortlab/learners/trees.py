@@ -78,6 +78,13 @@ class OneVsRestModel:
     def __init__(self, models: list) -> None:
         self.models = models
 
+    def members(self) -> tuple:
+        return None, self.models
+
+    @classmethod
+    def of(cls, state, members):
+        return cls(members)
+
     def transform(self, df: DataFrame) -> DataFrame:
         out = df
         for c, m in enumerate(self.models):
@@ -109,12 +116,19 @@ def fit_gbt_regressor(train: DataFrame, params: dict):
 class BaggedTrees:
     """Mean of trees that each saw hash-drawn rows and columns."""
 
-    def __init__(self, members: list[tuple[list[int], object]]) -> None:
-        self.members = members
+    def __init__(self, trees: list[tuple[list[int], object]]) -> None:
+        self.trees = trees
+
+    def members(self) -> tuple:
+        return [list(c) for c, _ in self.trees], [t for _, t in self.trees]
+
+    @classmethod
+    def of(cls, state, members):
+        return cls(list(zip(state, members)))
 
     def transform(self, df: DataFrame) -> DataFrame:
         out, names = df, []
-        for i, (cols, tree) in enumerate(self.members):
+        for i, (cols, tree) in enumerate(self.trees):
             out = VectorSlicer(inputCol="features", outputCol=f"_f{i}", indices=cols).transform(out)
             out = tree.copy().setFeaturesCol(f"_f{i}").setPredictionCol(f"_y{i}").transform(out)
             names.append(f"_y{i}")
@@ -128,7 +142,7 @@ def fit_bagging_regressor(train: DataFrame, params: dict, id_col: str = "row_id"
     width = len(train.select(F.col("features")).first()[0])
     n_cols = max(1, round(float(params.get("max_features", 1.0)) * width))
     share = float(params.get("max_samples", 1.0))
-    base = train.persist()
+    base = train
 
     def one(i: int):
         import hashlib
@@ -144,7 +158,6 @@ def fit_bagging_regressor(train: DataFrame, params: dict, id_col: str = "row_id"
 
     with ThreadPool(min(4, n)) as pool:
         members = pool.map(one, range(n))
-    base.unpersist()
     return BaggedTrees(members)
 
 
@@ -154,6 +167,13 @@ class BoostedVote:
     def __init__(self, trees: list, alphas: list[float], n_classes: int) -> None:
         self.trees, self.alphas, self.k = trees, alphas, n_classes
 
+    def members(self) -> tuple:
+        return {"alphas": self.alphas, "k": self.k}, self.trees
+
+    @classmethod
+    def of(cls, state, members):
+        return cls(members, state["alphas"], state["k"])
+
     def transform(self, df: DataFrame) -> DataFrame:
         out = df
         for i, t in enumerate(self.trees):
@@ -171,15 +191,15 @@ class BoostedVote:
         return out.withColumn("prediction", argmax(F.col("probability"))).drop("_e", *[f"_y{i}" for i in range(len(self.trees))])
 
 
-def samme_round(df: DataFrame, n_classes: int, rate: float, label: str = "label", prediction: str = "prediction", weight: str = "weight") -> tuple[DataFrame, float, float]:
-    """One reweighting: (rows with the new weight, error, alpha)."""
+def samme_round(df: DataFrame, n_classes: int, rate: float, label: str = "label", prediction: str = "prediction", weight: str = "weight", normalise: bool = False) -> tuple[DataFrame, float, float]:
+    """One reweighting: (rows with the new weight, error, alpha). ``normalise`` divides by the sum before, so weights stay in range."""
     miss = (F.col(label) != F.col(prediction)).cast("double")
     s = df.agg(F.sum(F.col(weight) * miss), F.sum(weight)).first()
     err = s[0] / s[1]
     if err <= 0 or err >= 1 - 1.0 / n_classes:
         return df, err, 1.0 if err <= 0 else 0.0
     alpha = rate * (math.log((1 - err) / err) + math.log(n_classes - 1))
-    return df.withColumn(weight, F.col(weight) * F.exp(F.lit(alpha) * miss)), err, alpha
+    return df.withColumn(weight, F.col(weight) / F.lit(s[1] if normalise else 1.0) * F.exp(F.lit(alpha) * miss)), err, alpha
 
 
 def fit_adaboost_classifier(train: DataFrame, params: dict, checkpoint_every: int = 5) -> BoostedVote:
@@ -191,7 +211,7 @@ def fit_adaboost_classifier(train: DataFrame, params: dict, checkpoint_every: in
     for i in range(int(params.get("n_estimators", 50))):
         tree = DecisionTreeClassifier(weightCol="weight", **_shape({**params, "max_depth": depth})).fit(rows)
         scored = tree.transform(rows).drop("rawPrediction", "probability")
-        rows, err, alpha = samme_round(scored, k, rate)
+        rows, err, alpha = samme_round(scored, k, rate, normalise=True)
         if alpha <= 0:
             break
         trees.append(tree)
@@ -212,6 +232,13 @@ class WeightedMedianTrees:
     def __init__(self, trees: list, weights: list[float]) -> None:
         self.trees, self.weights = trees, weights
 
+    def members(self) -> tuple:
+        return self.weights, self.trees
+
+    @classmethod
+    def of(cls, state, members):
+        return cls(members, state)
+
     def transform(self, df: DataFrame) -> DataFrame:
         out, pairs = df, []
         for i, (t, w) in enumerate(zip(self.trees, self.weights)):
@@ -226,7 +253,7 @@ class WeightedMedianTrees:
         return out.withColumn("prediction", hit["y"]).drop("_s", *[f"_y{i}" for i in range(len(self.trees))])
 
 
-def r2_round(df: DataFrame, rate: float, label: str = "label", prediction: str = "prediction", weight: str = "weight") -> tuple[DataFrame, float, float]:
+def r2_round(df: DataFrame, rate: float, label: str = "label", prediction: str = "prediction", weight: str = "weight", normalise: bool = False) -> tuple[DataFrame, float, float]:
     """One AdaBoost.R2 reweighting with linear loss: (rows, mean loss, beta)."""
     e = F.abs(F.col(label) - F.col(prediction))
     worst = df.agg(F.max(e)).first()[0]
@@ -238,7 +265,7 @@ def r2_round(df: DataFrame, rate: float, label: str = "label", prediction: str =
     if mean >= 0.5:
         return df, mean, 1.0
     beta = mean / (1 - mean)
-    return df.withColumn(weight, F.col(weight) * F.pow(F.lit(beta), F.lit(rate) * (1 - loss))), mean, beta
+    return df.withColumn(weight, F.col(weight) / F.lit(s[1] if normalise else 1.0) * F.pow(F.lit(beta), F.lit(rate) * (1 - loss))), mean, beta
 
 
 def fit_adaboost_regressor(train: DataFrame, params: dict, checkpoint_every: int = 5) -> WeightedMedianTrees:
@@ -248,7 +275,7 @@ def fit_adaboost_regressor(train: DataFrame, params: dict, checkpoint_every: int
     trees, weights = [], []
     for i in range(int(params.get("n_estimators", 50))):
         tree = DecisionTreeRegressor(weightCol="weight", **_shape({**params, "max_depth": params.get("max_depth") or 3})).fit(rows)
-        rows, mean, beta = r2_round(tree.transform(rows), rate)
+        rows, mean, beta = r2_round(tree.transform(rows), rate, normalise=True)
         if mean >= 0.5 and trees:
             break
         trees.append(tree)

@@ -98,8 +98,9 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], eps: flo
     A rank sketch brackets every quantile first (its rank error is bounded by ``eps``). Then one scan
     counts the rows below each bracket, and one keeps the values inside: about ``6 * eps`` of them are
     shuffled instead of all. A bracket that missed would show in the counts and raise. The driver sees
-    a few numbers per column and quantile.
+    a few numbers per column and quantile. NaN counts as missing; a column without values has NULL quantiles.
     """
+    df = df.selectExpr(*[f"nanvl(CAST(`{c}` AS DOUBLE), CAST(NULL AS DOUBLE)) AS `{c}`" for c in cols])
     counts = df.selectExpr(*[f"count(`{c}`) AS _{i}" for i, c in enumerate(cols)]).first()
     pad = [3 * eps + 2 / max(n, 1) for n in counts]
     asks = sorted({min(max(q + s * w, 0.0), 1.0) for q in probs for w in pad for s in (-1, 1)})
@@ -129,4 +130,6 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], eps: flo
     picked = table.join(ranked, "cell", "left").groupBy("feature", "prob", "pos").agg(
         F.expr(at("floor(r)")).alias("a"), F.expr(at("ceil(r)")).alias("b")
     )
-    return picked.selectExpr("feature", "prob", "coalesce(a + (b - a) * (pos - floor(pos)), CAST(raise_error('quantile bracket missed') AS DOUBLE)) AS value")
+    found = picked.selectExpr("feature", "prob", "coalesce(a + (b - a) * (pos - floor(pos)), CAST(raise_error('quantile bracket missed') AS DOUBLE)) AS value")
+    empty = [(c, float(q), None) for i, c in enumerate(cols) if not counts[i] for q in probs]
+    return found.unionByName(df.sparkSession.createDataFrame(empty, found.schema)) if empty else found

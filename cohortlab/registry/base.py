@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..explain.shap import shap_linear
+from ..explain.shap import linear_contributions, shap_linear
 from ..sources.tables import read_cohort
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -206,6 +206,10 @@ def shap_features(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def shap_arrays(spark: SparkSession, d: str) -> DataFrame:
+    return linear_contributions(shap_features(spark, d), SHAP_FEATURES, SHAP_COEF, SHAP_INTERCEPT)
+
+
 def shap_long(spark: SparkSession, d: str) -> DataFrame:
     df = shap_features(spark, d)
     return shap_linear(df, SHAP_FEATURES, SHAP_COEF, SHAP_INTERCEPT)

@@ -69,7 +69,7 @@ def _(spark, d):
 select row_id, class, feature, count(*) over w as step, {r_sql('base + sum(phi) over w', 'output', 9)} from sl join i using (class, feature)
 window w as (partition by row_id, class order by importance, feature rows between unbounded preceding and current row)""")
 def _(spark, d):
-    return rnd(views.shap_decision_paths(b.shap_long(spark, d)), "output", digits=9)
+    return rnd(views.shap_decision_paths(b.shap_arrays(spark, d), b.SHAP_FEATURES), "output", digits=9)
 
 
 MEANS = ", m as (select class, feature, avg(phi) as mean_phi, avg(feature_value) as mean_value, avg(base) as mean_base from sl where label = class group by all)"

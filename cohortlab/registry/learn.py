@@ -249,13 +249,13 @@ def _classifier(key: str, name: str, params: dict, target: str = "label3"):
         return class_report(scored, name)
 
 
-_classifier("clf_sgd_linear", "LR-SGD", {"loss": "modified_huber", "penalty": "elasticnet", "alpha": 1e-5, "eta0": 0.1, "rounds": 6, "class_weight": "balanced"})
+_classifier("clf_sgd_linear", "LR-SGD", {"loss": "modified_huber", "penalty": "elasticnet", "alpha": 1e-5, "eta0": 0.1, "max_iter": 200, "class_weight": "balanced"})
 _classifier("clf_tree", "DT", {"max_depth": 8, "criterion": "entropy", "min_samples_leaf": 2})
 _classifier("clf_forest", "RF", {"n_estimators": 20, "max_depth": 6, "class_weight": "balanced"})
 _classifier("clf_adaboost", "AdaB", {"n_estimators": 6, "max_depth": 2, "learning_rate": 1.0})
 _classifier("clf_gbt", "XGB", {"n_estimators": 6, "max_depth": 3, "learning_rate": 0.3})
-_classifier("clf_svm", "SVM", {"C": 10, "kernel": "rbf", "landmarks": 40, "max_iter": 20}, "label2")
-_classifier("clf_mlp", "MLP", {"hidden_layer_sizes": [16], "learning_rate_init": 0.01, "rounds": 5})
+_classifier("clf_svm", "SVM", {"C": 10, "kernel": "rbf", "landmarks": 40, "max_iter": 100}, "label3")
+_classifier("clf_mlp", "MLP", {"hidden_layer_sizes": [16], "learning_rate_init": 0.01, "max_iter": 200})
 
 
 @register("clf_adaboost_round", f"""
@@ -333,9 +333,9 @@ _regressor("reg_forest", "RF", {"n_estimators": 20, "max_depth": 6})
 _regressor("reg_adaboost", "AdaB", {"n_estimators": 6, "learning_rate": 0.5})
 _regressor("reg_gbt", "XGB", {"n_estimators": 6, "max_depth": 3, "learning_rate": 0.3})
 _regressor("reg_bagging", "Bagging", {"n_estimators": 6, "max_samples": 0.7, "max_features": 1.0, "max_depth": 8})
-_regressor("reg_svr", "SVR", {"C": 10, "kernel": "rbf", "epsilon": 0.1, "landmarks": 40, "rounds": 6})
+_regressor("reg_svr", "SVR", {"C": 10, "kernel": "rbf", "epsilon": 0.1, "landmarks": 40, "max_iter": 200})
 _regressor("reg_gp", "GPR", {"kernel": "rbf", "alpha": 1e-2, "landmarks": 40, "n_restarts_optimizer": 0})
-_regressor("reg_mlp", "MLP", {"hidden_layer_sizes": [16], "learning_rate_init": 0.01, "rounds": 5})
+_regressor("reg_mlp", "MLP", {"hidden_layer_sizes": [16], "learning_rate_init": 0.01, "max_iter": 200})
 
 
 @register("reg_adaboost_round", f"""

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,17 +18,20 @@ def write_report_sheet(df: DataFrame, book: str, sheet: str) -> None:
 
 
 def write_report_book(sheets: dict[str, DataFrame], book: str) -> None:
-    """Replace all sheets; columns a sheet lacks are NULL there."""
-    tagged = [d.withColumn("sheet", F.lit(s)) for s, d in sheets.items()]
-    (
-        reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "static")
-        .partitionBy("sheet")
-        .parquet(book)
-    )
+    """Replace all sheets; each keeps its own columns."""
+    for i, (sheet, df) in enumerate(sheets.items()):
+        if i:
+            write_report_sheet(df, book, sheet)
+        else:  # the first one clears the book
+            df.withColumn("sheet", F.lit(sheet)).write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("sheet").parquet(book)
 
 
 def read_report_sheet(spark: SparkSession, book: str, sheet: str) -> DataFrame:
-    """One sheet back; only its partition is read."""
-    return spark.read.option("mergeSchema", True).parquet(book).filter(F.col("sheet") == sheet).drop("sheet")
+    """One sheet back with its own columns; only its folder is read."""
+    folder = f"{book.rstrip('/')}/sheet={_escaped(sheet)}"
+    return spark.read.option("mergeSchema", True).parquet(folder)
+
+
+def _escaped(name: str) -> str:
+    """A partition value as Spark writes it into a folder's name."""
+    return "".join(c if c not in "\"#%'*/:=?\\\x7f{[]^" and ord(c) >= 32 else f"%{ord(c):02X}" for c in name)

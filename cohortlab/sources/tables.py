@@ -2,22 +2,26 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists in whatever store it names."""
+    jvm = spark.sparkContext._jvm
+    hadoop = jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+
 
 def read_cohort(spark: SparkSession, path: str, sheet: str | None = None, schema: StructType | str | None = None) -> DataFrame:
     """A Parquet table; a named sheet is a sub-folder or ``<sheet>.parquet`` of ``path``."""
     reader = spark.read if schema is None else spark.read.schema(schema)
     if sheet is None:
         return reader.parquet(path)
-    if path.startswith(("/", "file:")) and os.path.exists(os.path.join(path.removeprefix("file:"), f"{sheet}.parquet")):
-        return reader.parquet(os.path.join(path, f"{sheet}.parquet"))
-    return reader.parquet(os.path.join(path, sheet))
+    base = path.rstrip("/")
+    named = f"{base}/{sheet}.parquet"
+    return reader.parquet(named if exists(spark, named) else f"{base}/{sheet}")
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:

@@ -157,3 +157,24 @@ def test_quartile_bins_match_numpy(value, data):
         q = np.quantile(data[0][:, j], [0.25, 0.5, 0.75])
         assert bins.edges[j] == pytest.approx(q, abs=1e-12)
         assert sum(s[0] for s in bins.stats[j].values()) == 1200
+
+
+def test_linear_contributions_at_full_width(spark):
+    import time
+
+    import numpy as np
+
+    p, k = 631, 3
+    rng = np.random.default_rng(1)
+    names = [f"f{j}" for j in range(p)]
+    base = spark.range(2000)
+    df = base.select(F.col("id").alias("row_id"), (F.col("id") % 3).alias("label"), *[((F.col("id") * (j + 3)) % 17).cast("double").alias(n) for j, n in enumerate(names)])
+    coef, icept = rng.normal(size=(k, p)), rng.normal(size=k)
+    began = time.time()
+    arrays = shap.linear_contributions(df, names, coef.tolist(), icept.tolist())
+    first = arrays.filter("row_id = 5").orderBy("class").collect()
+    x = np.array([[(i * (j + 3)) % 17 for j in range(p)] for i in range(2000)], float)
+    for c in range(k):
+        assert np.allclose(first[c]["phi"], coef[c] * (x[5] - x.mean(axis=0))) and np.isclose(first[c]["base"], icept[c] + coef[c] @ x.mean(axis=0))
+    assert views.shap_decision_paths(arrays, names).filter(f"step = {p}").count() == 2000 * k
+    assert time.time() - began < 60

@@ -45,9 +45,9 @@ def value(spark, data):
 
 SMALL = {
     "RF": {"n_estimators": 8, "max_depth": 5}, "AdaB": {"n_estimators": 8, "max_depth": 2}, "XGB": {"n_estimators": 6, "max_depth": 3},
-    "Bagging": {"n_estimators": 4, "max_depth": 6}, "DT": {"max_depth": 6}, "MLP": {"hidden_layer_sizes": [12], "learning_rate_init": 0.01, "batch_size": 8, "rounds": 12},
-    "LDA": {"shrinkage": "auto"}, "LR-SGD": {"rounds": 12, "eta0": 0.3, "class_weight": "balanced"}, "SVM": {"C": 10, "landmarks": 20, "max_iter": 15},
-    "SVR": {"rounds": 12, "landmarks": 20, "C": 10}, "GPR": {"alpha": 0.01, "landmarks": 20, "n_restarts_optimizer": 1}, "Lasso": {"alpha": 0.001},
+    "Bagging": {"n_estimators": 4, "max_depth": 6}, "DT": {"max_depth": 6}, "MLP": {"hidden_layer_sizes": [12], "learning_rate_init": 0.01, "batch_size": 8, "max_iter": 12},
+    "LDA": {"shrinkage": "auto"}, "LR-SGD": {"max_iter": 12, "eta0": 0.3, "class_weight": "balanced"}, "SVM": {"C": 10, "landmarks": 20, "max_iter": 15},
+    "SVR": {"max_iter": 12, "landmarks": 20, "C": 10}, "GPR": {"alpha": 0.01, "landmarks": 20, "n_restarts_optimizer": 1}, "Lasso": {"alpha": 0.001},
     "ElasticNet": {"alpha": 0.001}, "KNN": {"n_neighbors": 7, "weights": "distance"},
 }
 # trees and boosting of a few rounds, and independence between features, get a lower floor
@@ -255,3 +255,54 @@ def test_models_survive_saving(spark, three):
         save_model(model, path)
         a = score(model, three).select("row_id", "prediction").orderBy("row_id").collect()
         assert a == score(load_model(spark, path), three).select("row_id", "prediction").orderBy("row_id").collect()
+
+
+# ---- models that are made of several, partitions, absent classes ----------------------------------
+
+@pytest.mark.parametrize("name,params,classify", [
+    ("XGB", {"n_estimators": 2, "max_depth": 2}, True), ("AdaB", {"n_estimators": 2, "max_depth": 2}, True), ("KNN", {"n_neighbors": 3}, True),
+    ("SVM", {"landmarks": 8, "max_iter": 5}, True), ("Bagging", {"n_estimators": 2, "max_depth": 3}, False), ("AdaB", {"n_estimators": 2}, False),
+    ("SVR", {"landmarks": 8, "max_iter": 2}, False), ("GPR", {"alpha": 0.1, "landmarks": 8}, False),
+])
+def test_composite_models_come_back(spark, tmp_path, name, params, classify):
+    from cohortlab.sources.models import load_model, save_model
+
+    rows = [(i, [float(i % 7), float(i % 5), float(i % 3)], float(i % 3 if classify else i % 7)) for i in range(240)]
+    df = spark.createDataFrame(rows, "row_id long, features array<double>, label double").withColumn("features", array_to_vector("features"))
+    model = (L.CLASSIFIERS if classify else L.REGRESSORS)[name](df, params)
+    save_model(model, f"{tmp_path}/m")
+    again = load_model(spark, f"{tmp_path}/m")
+    a, b = ({r["row_id"]: r["prediction"] for r in m.transform(df).select("row_id", "prediction").collect()} for m in (model, again))
+    assert a == b
+
+
+@pytest.mark.parametrize("name,params", [("LR-SGD", {"max_iter": 4}), ("MLP", {"max_iter": 3, "hidden_layer_sizes": [4]})])
+def test_fits_do_not_depend_on_partitions(spark, monkeypatch, name, params):
+    from cohortlab.learners import gradient
+
+    monkeypatch.setattr(gradient, "SHARD_ROWS", 50)
+    rows = [(i, [float(i % 7) - 3, float(i % 5) - 2], float(i % 3 > 0)) for i in range(300)]
+    df = spark.createDataFrame(rows, "row_id long, features array<double>, label double").withColumn("features", array_to_vector("features"))
+    fits = []
+    for n in (1, 4, 40):
+        spark.conf.set("spark.sql.shuffle.partitions", str(n))
+        model = L.CLASSIFIERS[name](df.repartition(n), params)
+        fits.append(np.ravel(model.params["coef" if name == "LR-SGD" else "theta"]))
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert np.allclose(fits[0], fits[1], atol=1e-9) and np.allclose(fits[0], fits[2], atol=1e-9)
+
+
+def test_max_iter_means_passes(spark):
+    rows = [(i, [float(i % 7) - 3, float(i % 5) - 2], float((i * 7) % 11 > 4)) for i in range(200)]
+    df = spark.createDataFrame(rows, "row_id long, features array<double>, label double").withColumn("features", array_to_vector("features"))
+    options = {"tol": -1e9, "n_iter_no_change": 10_000, "learning_rate": "constant", "eta0": 0.01}  # no early stop
+    few, many = (np.ravel(L.CLASSIFIERS["LR-SGD"](df, {**options, "max_iter": n}).params["coef"]) for n in (22, 40))
+    assert not np.allclose(few, many)
+
+
+@pytest.mark.parametrize("name", ["NB", "LDA"])
+def test_absent_class_numbers_keep_their_place(spark, name):
+    rows = [(i, [float(i % 2) * 4 + (i % 5) * 0.1, float(i % 3)], 2.0 * (i % 2)) for i in range(100)]
+    df = spark.createDataFrame(rows, "row_id long, features array<double>, label double").withColumn("features", array_to_vector("features"))
+    got = score(L.CLASSIFIERS[name](df, {}), df).select("label", "prediction", "probability").collect()
+    assert all(r["label"] == r["prediction"] and len(r["probability"]) == 3 and r["probability"][1] == 0 for r in got)

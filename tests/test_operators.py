@@ -247,3 +247,18 @@ def test_split_takes_the_first_rows_in_hash_order(spark):
     assert sampling.random_split(df.limit(1)).collect()[0]["part"] == "test"
     rare = df.filter("label < 2 or row_id = 2")
     assert sampling.stratified_split(rare, test_size=0.2).filter("label = 2").first()["part"] == "train"
+
+
+def test_quantiles_of_columns_with_missing_values(spark):
+    rows = [(float(i), None, float("nan") if i % 2 else float(i)) for i in range(101)]
+    df = spark.createDataFrame(rows, "a double, b double, c double")
+    got = {(r["feature"], r["prob"]): r["value"] for r in ordering.exact_quantiles(df, ["a", "b", "c"], [0.25, 0.5]).collect()}
+    assert got == {("a", 0.25): 25.0, ("a", 0.5): 50.0, ("b", 0.25): None, ("b", 0.5): None, ("c", 0.25): 25.0, ("c", 0.5): 50.0}
+
+
+def test_sheets_keep_their_own_columns(spark, tmp_path):
+    from cohortlab.sources.books import read_report_sheet, write_report_book
+
+    book = f"{tmp_path}/book"
+    write_report_book({"01": spark.createDataFrame([(1,)], "a int"), "b=c": spark.createDataFrame([("x",)], "b string")}, book)
+    assert read_report_sheet(spark, book, "01").columns == ["a"] and read_report_sheet(spark, book, "b=c").collect()[0]["b"] == "x"
