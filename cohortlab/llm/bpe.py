@@ -203,6 +203,11 @@ class Bpe:
 _LOADED: dict[str, Bpe] = {}
 
 
+    def forget(self) -> None:
+        """Drop what was remembered; the worker may go on with other work."""
+        self.known, self.known_before, self.apart = {}, {}, {}
+
+
 def vocabulary(name: str) -> str:
     """Where a public vocabulary file lies."""
     import public_tokenizers
@@ -235,6 +240,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
             if with_ids:
                 columns.append(pa.array(ids, pa.binary()))
             yield pa.RecordBatch.from_arrays(columns, names=["_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(columns)])
+        bpe.forget()
 
     id_type = docs.schema[id_col].dataType.simpleString()
     kinds = f"_id {id_type}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids

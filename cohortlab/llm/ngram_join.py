@@ -15,10 +15,12 @@ by those of the lower band where a smaller partner may lie.
 * Candidates that share too few segments for any similarity are dropped: a class agrees with a partner on all but H of its own.
 * The others are verified exactly on whole sets (64-bit shingle hashes), fetched for candidate documents alone; first
   each class's best pair, then pairs that would still join two components.
-* A large group whose classes all ended in one component is done. In the others, pairs across components are
-  verified too if neither side can do without the group and the triangle inequality of Jaccard distances to the group's
-  smallest class does not rule the pair out. So no link that matters for a component is lost, and groups of near copies cost a
-  number of pairs in proportion to their rows.
+* A large group whose classes all ended in one component is done. A class that cannot do without its other large groups is cut anew, as
+  finely as can be, into single shingles, among classes of this kind: it lacks at most a fifth of its shingles in
+  a partner, so if more of them are rare, a partner shares a rare one. What is left are classes made almost wholly of
+  shingles that many share: for them, every component in a group gets a hub, and pairs across components are verified unless the
+  triangle inequality of Jaccard distances to the hubs rules them out. So no link that matters for a component is
+  lost, and groups of near copies cost a number of pairs in proportion to their rows.
 
 Defined results: NULL texts and texts without words have an empty set, size 0, and are linked with nothing; fewer words than a
 shingle make one shingle; repeated rows are in one class; a component's id is its smallest document id, NULL ids last.
@@ -47,8 +49,8 @@ NUM, DEN = 4, 5
 #: Size bands grow by this factor; it must be 1 / similarity at least, so partners lie in the same or neighbouring bands.
 GROWTH = 1.6
 WITH_DELETIONS = 40
-#: Groups of more classes are handled by their smallest class first.
-SMALL = 6
+#: Groups of more classes are handled by their smallest class first; the same for groups by single shingles.
+SMALL, SMALL_BY_SHINGLE = 6, 16
 #: Bits of the filter on candidate documents: 32 MB at most are broadcast; beyond, more documents pass it.
 FILTER_BITS = 1 << 28
 
@@ -211,10 +213,10 @@ def _may_match(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a != b) & ((high == 65535) | (low * DEN >= high * NUM))
 
 
-def _grouped(index: DataFrame) -> DataFrame:
+def _grouped(index: DataFrame, small: int = SMALL) -> DataFrame:
     """(sig, node, hub, large): candidates of every group, from rows sorted by signature.
 
-    In small groups hub runs over all classes before; in large ones it is the first. Memory: a batch and the last SMALL classes.
+    In small groups hub runs over all classes before; in large ones it is the first. Memory: a batch and the last ``small`` classes.
     """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,10 +229,10 @@ def _grouped(index: DataFrame) -> DataFrame:
             start = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
             size = np.diff(np.append(start, len(sig)))
             begin = np.repeat(start, size)
-            large = np.repeat(size > SMALL, size)
+            large = np.repeat(size > small, size)
             hub = plain[begin]
             pairs = [(sig[large], node[large], hub[large], np.ones(int(large.sum()), bool))]
-            for gap in range(1, SMALL):
+            for gap in range(1, small):
                 k = np.flatnonzero(~large[gap:] & (sig[gap:] == sig[:-gap])) + gap
                 k = k[_may_match(plain[k], plain[k - gap])]
                 pairs.append((sig[k], node[k], plain[k - gap], np.zeros(len(k), bool)))
@@ -264,7 +266,7 @@ def _grouped(index: DataFrame) -> DataFrame:
             if cut:
                 yield from out(sig[:cut], node[:cut])
             left = (sig[cut:], node[cut:])
-            if len(left[0]) > SMALL:
+            if len(left[0]) > small:
                 yield from out(*left)
                 state.update(sig=left[0][-1], first=left[1][0] & ~LOWER_BAND, last=left[1][-1])
                 left = (sig[:0], node[:0])
@@ -388,6 +390,29 @@ def _linked(pairs: DataFrame, narrow: DataFrame, sets: DataFrame, doubled: DataF
     return cut_lineage(found.unionByName(_verified(rest, sets).filter(LINKED)))
 
 
+def _by_shingle(sets: DataFrame, narrow: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pairs that share enough single shingles, classes with too few rare shingles to be found by them)."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = [np.frombuffer(x.as_buffer(), np.int64) for x in b.column(1)]
+            node = np.repeat(b.column(0).to_numpy(), [len(x) for x in own])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own) if own else np.zeros(0, np.int64)), pa.array(node, pa.int64())], names=["sig", "node"])
+
+    groups = cut_lineage(_grouped(sets.select("node", "own").mapInArrow(each, "sig bigint, node bigint"), SMALL_BY_SHINGLE))
+    # a key may stand for several sets: then the smallest size and all its frequent shingles count, which only finds more
+    sizes = narrow.groupBy("node").agg(F.min("n").alias("n"))
+    frequent = groups.filter("large").groupBy("node").agg(F.count(F.lit(1)).alias("frequent"))
+    crowd = sizes.join(sets.select("node").distinct(), "node").join(frequent, "node", "left").fillna(0, ["frequent"])
+    crowded = crowd.filter(F.col("n") - F.col("frequent") <= F.floor(F.col("n") * (DEN - NUM) / DEN)).select("node")
+    pairs = groups.filter("not large").groupBy(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).agg(F.count(F.lit(1)).alias("small"))
+    of = {s: crowd.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("frequent").alias(f"f_{s}")) for s in ("a", "b")}
+    met = pairs.join(of["a"], "a").join(of["b"], "b")
+    # sets with similarity t have t / (1 + t) of their sizes in common
+    enough = (F.col("small") + F.least("f_a", "f_b")) * (NUM + DEN) >= (F.col("n_a") + F.col("n_b")) * NUM
+    return met.filter(enough).select("a", "b"), crowded
+
+
 def _across(docs: DataFrame, text_col: str, groups: DataFrame, narrow: DataFrame, found: DataFrame) -> DataFrame:
     """Links across components within large groups, beyond those to a group's first class."""
     every = narrow.filter("n > 0").select("node", "digest").distinct()
@@ -408,6 +433,11 @@ def _across(docs: DataFrame, text_col: str, groups: DataFrame, narrow: DataFrame
     if members.isEmpty():
         return none
     sets = cut_lineage(_sets(docs, members.select("node").distinct(), text_col))
+    by_shingle, crowded = _by_shingle(sets, narrow)
+    found_here = cut_lineage(_verified(by_shingle, sets).filter(LINKED))
+    members = cut_lineage(members.join(crowded, "node", "left_semi"))
+    if members.isEmpty():
+        return found_here
     hubs = members.groupBy("sig", "root").agg(F.min("node").alias("hub")).select("sig", "hub", F.col("root").alias("hub_root"))
     near = cut_lineage(members.join(hubs, "sig"))
     pairs = near.filter("node != hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
@@ -423,7 +453,7 @@ def _across(docs: DataFrame, text_col: str, groups: DataFrame, narrow: DataFrame
         outside.join(inside, ["sig", "hub"]).filter((F.col("d_low") <= F.col("y_high") + LEAST_DISTANCE) & (F.col("y_low") <= F.col("d_high") + LEAST_DISTANCE))
         .select(F.least("node", "y").alias("a"), F.greatest("node", "y").alias("b")).filter("a != b").distinct().join(pairs, ["a", "b"], "left_anti")
     )
-    return cut_lineage(tested.unionByName(_verified(rest, sets)).filter(LINKED))
+    return cut_lineage(tested.unionByName(_verified(rest, sets)).filter(LINKED).unionByName(found_here))
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
