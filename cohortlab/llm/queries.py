@@ -99,3 +99,40 @@ def op6_secret_scan(spark: SparkSession, d: str) -> DataFrame:
 @query
 def op1_license_scan(spark: SparkSession, d: str) -> DataFrame:
     return license_scan.licenses(table(spark, d, "documents")).withColumnRenamed("_id", "doc_id")
+
+
+#: Words of documents with their numbers, and what follows a word.
+_WORDS = r"""
+d AS (SELECT doc_id, regexp_extract_all({text}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+words AS (SELECT doc_id, unnest(w) AS t, generate_subscripts(w, 1) AS i FROM d)"""
+
+
+def _following(n: int) -> str:
+    return " || ' ' || ".join(["t", *[f"lead(t, {k}) OVER o" for k in range(1, n)]])
+
+
+ORACLES["op4_substring_dedup"] = f"""
+WITH {_WORDS.format(text="coalesce(text, '')")},
+windows AS (SELECT doc_id, i, {_following(13)} AS g FROM words WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+firsts AS (SELECT g, min(doc_id) AS least FROM windows WHERE g IS NOT NULL GROUP BY g),
+gone AS (SELECT DISTINCT doc_id, i + k AS i FROM windows JOIN firsts USING (g), range(13) AS r(k) WHERE least < doc_id),
+kept AS (SELECT doc_id, count(*) AS n_words, count(gone.i) AS n_removed, string_agg(t, ' ' ORDER BY words.i) FILTER (gone.i IS NULL) AS left_over
+         FROM words LEFT JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(left_over, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+ORACLES["op8_ngram_join"] = f"""
+WITH RECURSIVE {_WORDS.format(text="translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")},
+shingles AS (
+  SELECT DISTINCT doc_id, g FROM (SELECT doc_id, {_following(5)} AS g FROM words WINDOW o AS (PARTITION BY doc_id ORDER BY i)) WHERE g IS NOT NULL
+  UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM d WHERE len(w) BETWEEN 1 AND 4),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM shingles a JOIN shingles b USING (g) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reached AS (SELECT a AS doc_id, b AS other FROM both_ways UNION SELECT r.doc_id, s.b FROM reached r JOIN both_ways s ON s.a = r.other),
+least AS (SELECT doc_id, min(other) AS other FROM reached GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(other, doc_id)) AS component_id
+FROM d LEFT JOIN sizes USING (doc_id) LEFT JOIN least USING (doc_id)
+"""
