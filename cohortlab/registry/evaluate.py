@@ -202,7 +202,7 @@ def _(spark, d):
     return bs.bootstrap_classification(one, 1000, 42, n_classes=3)
 
 
-_BLOCKS = 10
+_BLOCKS = 250
 
 def _draws(keys: str, sums: str) -> str:
     return " union all ".join(

@@ -251,9 +251,9 @@ def _classifier(key: str, name: str, params: dict, target: str = "label3"):
 
 _classifier("clf_sgd_linear", "LR-SGD", {"loss": "modified_huber", "penalty": "elasticnet", "alpha": 1e-5, "eta0": 0.1, "max_iter": 200, "class_weight": "balanced"})
 _classifier("clf_tree", "DT", {"max_depth": 8, "criterion": "entropy", "min_samples_leaf": 2})
-_classifier("clf_forest", "RF", {"n_estimators": 20, "max_depth": 6, "class_weight": "balanced"})
-_classifier("clf_adaboost", "AdaB", {"n_estimators": 6, "max_depth": 2, "learning_rate": 1.0})
-_classifier("clf_gbt", "XGB", {"n_estimators": 6, "max_depth": 3, "learning_rate": 0.3})
+_classifier("clf_forest", "RF", {"n_estimators": 50, "max_depth": 6, "class_weight": "balanced"})
+_classifier("clf_adaboost", "AdaB", {"n_estimators": 50, "max_depth": 2, "learning_rate": 1.0})
+_classifier("clf_gbt", "XGB", {"n_estimators": 50, "max_depth": 3, "learning_rate": 0.3})
 _classifier("clf_svm", "SVM", {"C": 10, "kernel": "rbf", "landmarks": 40, "max_iter": 100}, "label3")
 _classifier("clf_mlp", "MLP", {"hidden_layer_sizes": [16], "learning_rate_init": 0.01, "max_iter": 200})
 
@@ -329,10 +329,10 @@ def _regressor(key: str, name: str, params: dict):
 
 
 _regressor("reg_tree", "DT", {"max_depth": 8})
-_regressor("reg_forest", "RF", {"n_estimators": 20, "max_depth": 6})
-_regressor("reg_adaboost", "AdaB", {"n_estimators": 6, "learning_rate": 0.5})
-_regressor("reg_gbt", "XGB", {"n_estimators": 6, "max_depth": 3, "learning_rate": 0.3})
-_regressor("reg_bagging", "Bagging", {"n_estimators": 6, "max_samples": 0.7, "max_features": 1.0, "max_depth": 8})
+_regressor("reg_forest", "RF", {"n_estimators": 50, "max_depth": 6})
+_regressor("reg_adaboost", "AdaB", {"n_estimators": 50, "learning_rate": 0.5})
+_regressor("reg_gbt", "XGB", {"n_estimators": 50, "max_depth": 3, "learning_rate": 0.3})
+_regressor("reg_bagging", "Bagging", {"n_estimators": 50, "max_samples": 0.7, "max_features": 1.0, "max_depth": 8})
 _regressor("reg_svr", "SVR", {"C": 10, "kernel": "rbf", "epsilon": 0.1, "landmarks": 40, "max_iter": 200})
 _regressor("reg_gp", "GPR", {"kernel": "rbf", "alpha": 1e-2, "landmarks": 40, "n_restarts_optimizer": 0})
 _regressor("reg_mlp", "MLP", {"hidden_layer_sizes": [16], "learning_rate_init": 0.01, "max_iter": 200})
@@ -362,12 +362,12 @@ def _(spark, d):
 @register("nested_cv_classify")
 def _(spark, d):
     grid = {"shrinkage": [0.0, 0.25, 0.5, 0.75, 1.0], "tol": [1e-4]}
-    return search.nested_cv_classify(cohort(spark, d, "label3"), L.fit_lda, grid, 3, 2, 3, n_iter=2).orderBy("metric", "fold")
+    return search.nested_cv_classify(cohort(spark, d, "label3"), L.fit_lda, grid, 5, 3, 3, n_iter=10).orderBy("metric", "fold")
 
 
 @register("nested_cv_regress")
 def _(spark, d):
-    return search.nested_cv_regress(cohort(spark, d, "y"), L.fit_ridge, {"alpha": [0.01, 1, 100]}, 2, 3, 2, n_iter=2).orderBy("metric", "fold")
+    return search.nested_cv_regress(cohort(spark, d, "y"), L.fit_ridge, {"alpha": [0.01, 1, 100]}, 2, 5, 3, n_iter=10).orderBy("metric", "fold")
 
 
 @register("run_all_models")
@@ -377,8 +377,8 @@ def _(spark, d):
     grids = {"NB": {"var_smoothing": [1e-9, 1e-3]}, "LDA": {"shrinkage": [0.0, 0.5]}}
     path = fresh_path(spark, "nested")
     # the second call finds the first learner's results and goes on with the rest
-    search.run_all_models(df, {"NB": learners["NB"]}, grids, path, outer=3, inner=2, n_iter=2)
-    return search.run_all_models(df, learners, grids, path, outer=3, inner=2, n_iter=2)
+    search.run_all_models(df, {"NB": learners["NB"]}, grids, path, outer=5, inner=3, n_iter=10)
+    return search.run_all_models(df, learners, grids, path, outer=5, inner=3, n_iter=10)
 
 
 @register("predict_all", f"""
@@ -421,7 +421,7 @@ def _(spark, d):
 
 @register("shap_permutation", SL_SQL)
 def _(spark, d):
-    return _sampled(spark, d, lambda *a: shap.shap_permutation(*a, permutations=2))
+    return _sampled(spark, d, lambda *a: shap.shap_permutation(*a, permutations=10))
 
 
 @register("shap_tree")
