@@ -6,7 +6,8 @@
 3. Rates r >= 0 minimise || sum r t p - T ||^2 by projected gradient from r = 1. The update of a rate needs the residual of the totals
    alone (as many numbers as domains), so a rate is a fold over the residuals so far: an iteration is one aggregation over a
    narrow table, nothing else is kept, and lost work is simply done again.
-   The step is scaled by the second moments of p and halved when the residual does not shrink.
+   The step is scaled by the second moments of p and halved when the residual does not shrink; it ends at the targets, or where
+   it hardly comes nearer (with bounded rates targets may be out of reach).
 
 Defined results: NULL and empty texts have 0 words, posteriors as the classifier gives them, and a rate like any document's; without labelled rows posteriors are
 equal; a document labelled more than once counts with its largest domain; labels without document or value are
@@ -19,7 +20,6 @@ from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,7 +29,7 @@ from cohortlab.session import cut_lineage
 from .words import column_bytes, distinct, runs, words
 
 SAMPLE = 5_000
-STEPS, TOLERANCE = 60, 1e-4
+STEPS, TOLERANCE, STALLED = 60, 1e-4, 0.97
 #: Labelled rows that must show a feature for it to count, and rows whose features are made at once.
 LEAST_ROWS, BLOCK = 5, 2048
 
@@ -132,36 +132,45 @@ def _posterior(column: pa.Array, model: Classifier | None, domains: int) -> tupl
 
 def posteriors(docs: DataFrame, model: Classifier | None, domains: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(_id, n_words, p) of every row; p is an array of ``domains`` probabilities."""
-    return with_posteriors(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), model, domains, F.col("_text")).drop("_text")
 
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            count, found = _posterior(b.column(1), model, domains)
+            p = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * domains, pa.int32()), pa.array(found.ravel()))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(count), p], names=["_id", "n_words", "p"])
+
+    id_type = docs.schema[id_col].dataType.simpleString()
+    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(each, f"_id {id_type}, n_words bigint, p array<double>")
 
-def with_posteriors(rows: DataFrame, model: Classifier | None, domains: int, text: Column) -> DataFrame:
-    """``rows`` with columns n_words and p, from the texts ``text``."""
 
-    @F.pandas_udf("n_words bigint, p array<double>")
-    def of(texts: pd.Series) -> pd.DataFrame:
-        count, p = _posterior(pa.array(texts, pa.string()), model, domains)
-        return pd.DataFrame({"n_words": count, "p": list(p)})
+class Rates(NamedTuple):
+    """Rates after these updates: 1, less p times each update, never under 0 (nor over ``most``)."""
 
-    return rows.withColumn("_of", of(text)).select(*[F.col(f"`{c}`") for c in rows.columns], "_of.n_words", "_of.p")
+    updates: list[np.ndarray]
+    most: float | None = None
 
+    def column(self) -> Column:
+        """For rows with ``p``."""
+        if not self.updates:
+            return F.lit(1.0)
 
-def _rate(updates: list[np.ndarray], most: float | None) -> Column:
-    """The rate after these updates: 1, less p times each update, never under 0 (nor over ``most``)."""
-    out = F.lit(1.0)
-    if not updates:
-        return out
+        def step(rate: Column, update: Column) -> Column:
+            less = sum((F.col("p")[k] * update[k] for k in range(len(self.updates[0]))), F.lit(0.0))
+            now = F.greatest(F.lit(0.0), rate - less)
+            return now if self.most is None else F.least(F.lit(self.most), now)
 
-    def step(rate: Column, update: Column) -> Column:
-        less = sum((F.col("p")[k] * update[k] for k in range(len(updates[0]))), F.lit(0.0))
-        now = F.greatest(F.lit(0.0), rate - less)
-        return now if most is None else F.least(F.lit(most), now)
+        return F.aggregate(F.array(*[F.array(*[F.lit(float(x)) for x in u]) for u in self.updates]), F.lit(1.0), step)
 
-    return F.aggregate(F.array(*[F.array(*[F.lit(float(x)) for x in u]) for u in updates]), out, step)
+    def of(self, p: np.ndarray) -> np.ndarray:
+        """For a table of probabilities."""
+        rate = np.ones(len(p))
+        for u in self.updates:
+            rate = np.clip(rate - p @ u, 0.0, self.most)
+        return rate
 
 
-def fit_rates(rows: DataFrame, weights: Sequence[float], total: float | None = None, most: float | None = None) -> tuple[Column, np.ndarray, np.ndarray]:
-    """(rate, expected shares, target shares) for rows with n_words and p; shares are parts of all words.
+def fit_rates(rows: DataFrame, weights: Sequence[float], total: float | None = None, most: float | None = None) -> tuple[Rates, np.ndarray, np.ndarray]:
+    """(rates, expected shares, target shares) for rows with n_words and p; shares are parts of all words.
 
     ``total`` is the wanted number of words as a part of those there are (all by default; with ``most`` as much as the
     scarcest domain allows), ``most`` an upper bound of the rates.
@@ -175,7 +184,7 @@ def fit_rates(rows: DataFrame, weights: Sequence[float], total: float | None = N
     ).first()
     z = first["z"] or 0
     if not z:
-        return F.lit(1.0), np.zeros(k), np.zeros(k)
+        return Rates([], most), np.zeros(k), np.zeros(k)
     shares = np.array([first[f"e{i}"] for i in range(k)]) / z
     moments = np.array([[first[f"a{i}_{j}"] for j in range(k)] for i in range(k)]) / z
     goal = np.asarray(weights, float) / np.sum(weights)
@@ -190,15 +199,18 @@ def fit_rates(rows: DataFrame, weights: Sequence[float], total: float | None = N
         if np.abs(residual).max() <= TOLERANCE:
             break
         trial = [*updates, size * (back @ residual)]
-        got = rows.withColumn("r", _rate(trial, most)).agg(*[F.sum(F.col("r") * F.col("n_words") * p[i]).alias(f"e{i}") for i in range(k)]).first()
+        got = rows.withColumn("r", Rates(trial, most).column()).agg(*[F.sum(F.col("r") * F.col("n_words") * p[i]).alias(f"e{i}") for i in range(k)]).first()
         after = np.array([got[f"e{i}"] for i in range(k)]) / z
-        if np.linalg.norm(after - goal) < np.linalg.norm(residual) - 1e-9:
+        was, is_now = np.linalg.norm(residual), np.linalg.norm(after - goal)
+        if is_now < was:
             updates, now = trial, after
+            if is_now > STALLED * was:  # bounded rates may not reach the targets: this is as near as they come
+                break
         elif size > 1e-3:
             size /= 2
         else:
             break
-    return _rate(updates, most), now, goal
+    return Rates(updates, most), now, goal
 
 
 def mix(
@@ -208,11 +220,27 @@ def mix(
     """(_id, n_words, p, rate) of every row of ``docs``."""
     model = train(docs, labels, domain, len(weights), sample, id_col, text_col)
     rows = cut_lineage(posteriors(docs, model, len(weights), id_col, text_col))
-    rate, _, _ = fit_rates(rows, weights, most=most)
-    return rows.withColumn("rate", rate)
+    rates, _, _ = fit_rates(rows, weights, most=most)
+    return rows.withColumn("rate", rates.column())
 
 
-def draw(rows: DataFrame, rate: str = "rate", seed: int = 7, id_col: str = "_id") -> Column:
+def uniform(id_col: str, seed: int = 7) -> Column:
+    """A number from 0 to 1 by hash of the id."""
+    return F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.lit(seed)), 11) / F.lit(float(1 << 53))
+
+
+def draw(rate: str = "rate", seed: int = 7, id_col: str = "_id") -> Column:
     """Whole number of copies: the rate rounded up or down by a hash of the id, right on average."""
-    u = (F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.lit(seed)), 11) / F.lit(float(1 << 53)))
-    return F.floor(F.col(rate) + u)
+    return F.floor(F.col(rate) + uniform(id_col, seed))
+
+
+def thin(docs: DataFrame, model: Classifier | None, rates: Rates, domains: int, seed: int = 7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are drawn at least once, with all their columns; nothing is shuffled."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            kept = b.select(list(range(b.num_columns - 1)))
+            rate = rates.of(_posterior(b.column(b.schema.get_field_index(text_col)), model, domains)[1])
+            yield kept.filter(pa.array(np.floor(rate + b.column(b.num_columns - 1).to_numpy()) >= 1))
+
+    return docs.select(*[F.col(f"`{c}`") for c in docs.columns], uniform(id_col, seed).alias("_drawn_by")).mapInArrow(each, docs.schema)

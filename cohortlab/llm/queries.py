@@ -69,7 +69,7 @@ def op5_mixing(spark: SparkSession, d: str) -> DataFrame:
     rows = mixing.mix(table(spark, d, "documents"), table(spark, d, "labels"), F.col("quality"), QUALITY_WEIGHTS)
     return rows.select(
         F.col("_id").alias("doc_id"), "n_words", F.col("p")[0].alias("p_low"), F.col("p")[1].alias("p_high"), "rate",
-        mixing.draw(rows).cast("long").alias("copies"),
+        mixing.draw().cast("long").alias("copies"),
     )
 
 

@@ -45,13 +45,11 @@ def one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def mix_qualities(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of low quality are thinned to their target weight; the others stay."""
     _prepare(spark)
-    rows = docs.select(F.col("doc_id").alias("_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = mixing.train(docs, labels, F.col("quality"), len(QUALITY_WEIGHTS))
     narrow = cut_lineage(mixing.posteriors(docs, model, len(QUALITY_WEIGHTS)))
-    rate, _, _ = mixing.fit_rates(narrow, QUALITY_WEIGHTS, most=1.0)
-    scored = mixing.with_posteriors(rows, model, len(QUALITY_WEIGHTS), F.col("_doc.text")).withColumn("rate", rate)
-    return scored.filter(mixing.draw(scored) >= 1).select("_doc.*")
+    rates, _, _ = mixing.fit_rates(narrow, QUALITY_WEIGHTS, most=1.0)
+    return mixing.thin(docs, model, rates, len(QUALITY_WEIGHTS))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
