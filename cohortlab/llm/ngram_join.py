@@ -369,25 +369,29 @@ def _candidates(groups: DataFrame, narrow: DataFrame) -> DataFrame:
     return met.filter(enough).groupBy(F.least("plain", "hub").alias("a"), F.greatest("plain", "hub").alias("b")).agg(F.max("shared").alias("shared"))
 
 
-def _roots(narrow: DataFrame, found: DataFrame) -> DataFrame:
-    """(node, root): the component of every class that has a link, by its key; where a key stands for several sets, of each."""
-    roots = components(found.select("da", "db")).select(F.col("node").alias("digest"), "root")
-    return narrow.filter("n > 0").select("node", "digest").distinct().join(roots, "digest").select("node", "root").distinct()
+def _roots(found: DataFrame) -> DataFrame:
+    """(digest, root): the component of every class that has a link."""
+    return cut_lineage(components(found.select("da", "db")).select(F.col("node").alias("digest"), "root"))
 
 
-def _linked(pairs: DataFrame, narrow: DataFrame, sets: DataFrame, doubled: DataFrame) -> DataFrame:
-    """Verified links that connect what ``pairs`` connect: each class's best pair first, then pairs across components."""
+def _linked(pairs: DataFrame, every: DataFrame, sets: DataFrame, doubled: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(links, roots) that connect what ``pairs`` connect: each class's best pair is verified first, then pairs across components."""
     best = pairs.select(F.explode(F.array("a", "b")).alias("one"), "a", "b", "shared").groupBy("one").agg(F.max(F.struct("shared", "a", "b")).alias("best"))
     first = cut_lineage(best.select("best.a", "best.b").unionByName(doubled).distinct())
     found = cut_lineage(_verified(first, sets).filter(LINKED))
-    several = narrow.filter("n > 0").groupBy("node").agg(F.min("digest").alias("d1"), F.max("digest").alias("d2")).filter("d1 != d2").select("node")
-    roots = cut_lineage(_roots(narrow, found).join(several, "node", "left_anti"))
+    roots = _roots(found)
+    # by key; a key that stands for several sets is in no component for this purpose
+    known = every.join(roots, "digest", "left").groupBy("node").agg(F.max("root").alias("root"), F.count(F.lit(1)).alias("sets")).filter("sets = 1 and root is not null").select("node", "root")
     rest = (
         pairs.select("a", "b").join(first, ["a", "b"], "left_anti")
-        .join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
+        .join(known.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(known.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
         .filter("ra is null or rb is null or ra != rb").select("a", "b")
     )
-    return cut_lineage(found.unionByName(_verified(rest, sets).filter(LINKED)))
+    more = cut_lineage(_verified(rest, sets).filter(LINKED))
+    if more.isEmpty():
+        return found, roots
+    found = found.unionByName(more)
+    return found, _roots(found)
 
 
 def _by_shingle(sets: DataFrame, narrow: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -413,17 +417,14 @@ def _by_shingle(sets: DataFrame, narrow: DataFrame) -> tuple[DataFrame, DataFram
     return met.filter(enough).select("a", "b"), crowded
 
 
-def _across(docs: DataFrame, text_col: str, groups: DataFrame, narrow: DataFrame, found: DataFrame) -> DataFrame:
-    """Links across components within large groups, beyond those to a group's first class."""
-    every = narrow.filter("n > 0").select("node", "digest").distinct()
-    roots = components(found.select("da", "db")).select(F.col("node").alias("digest"), "root")
+def _across(docs: DataFrame, text_col: str, groups: DataFrame, narrow: DataFrame, every: DataFrame, roots: DataFrame) -> DataFrame | None:
+    """Links across components within large groups, beyond those to a group's first class; None if there can't be any."""
     own = every.join(roots, "digest", "left").select("node", F.coalesce("root", "digest").alias("root"))
     members = groups.filter("large").select("sig", F.col("node").alias("signed"), _plain("node").alias("node")).distinct().join(own, "node")
     mixed = members.groupBy("sig").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 != r2").select("sig")
     members = cut_lineage(members.join(mixed, "sig"))
-    none = found.limit(0)
     if members.isEmpty():
-        return none
+        return None
     # a class that can do without all its mixed groups is found by its other segments
     dear = (
         members.select("sig", "signed", "node").distinct().groupBy("signed", "node").agg(F.count(F.lit(1)).alias("dear")).join(_spare(narrow), "node")
@@ -431,7 +432,7 @@ def _across(docs: DataFrame, text_col: str, groups: DataFrame, narrow: DataFrame
     )
     members = cut_lineage(members.join(dear, "signed").select("sig", "node", "root").distinct())
     if members.isEmpty():
-        return none
+        return None
     sets = cut_lineage(_sets(docs, members.select("node").distinct(), text_col))
     by_shingle, crowded = _by_shingle(sets, narrow)
     found_here = cut_lineage(_verified(by_shingle, sets).filter(LINKED))
@@ -465,9 +466,11 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     pairs = cut_lineage(_candidates(groups, narrow))
     wanted = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).unionByName(doubled.select("a")).distinct().withColumnRenamed("a", "node")
     sets = cut_lineage(_sets(docs, cut_lineage(wanted), text_col))
-    found = _linked(pairs, narrow, sets, doubled)
-    found = found.unionByName(_across(docs, text_col, groups, narrow, found))
-    roots = components(found.select("da", "db")).select(F.col("node").alias("digest"), "root")
+    every = cut_lineage(narrow.filter("n > 0").select("node", "digest").distinct())
+    found, roots = _linked(pairs, every, sets, doubled)
+    more = _across(docs, text_col, groups, narrow, every, roots)
+    if more is not None and not more.isEmpty():
+        roots = _roots(found.unionByName(more))
     least = narrow.filter("n > 0").groupBy("digest").agg(F.min("_id").alias("least")).join(roots, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
     of = least.groupBy("root").agg(F.min("least").alias("component_id"))
     joined = narrow.join(least.join(of, "root").select("digest", "component_id"), "digest", "left")
