@@ -30,10 +30,12 @@ from .words import Words, column_bytes, mix, rolling, runs, words
 
 WINDOW, MINIMISER = 13, 2
 #: Bytes of text per bucket, about; its super-k-mers are some three times as many.
-BUCKET_BYTES = 6 << 20
-#: Rows sampled for frequent minimisers (one in so many), the share of a bucket that makes one frequent, and the most that are listed:
-#: the shares sum to 1, so no more can pass the limit.
-SAMPLE_ONE_OF, HOT_SHARE, MOST_HOT = 64, 0.5, 10_000
+BUCKET_BYTES = 4 << 20
+#: Rows sampled for frequent minimisers (one in so many), the buckets' worth that makes one frequent, and the most that are listed:
+#: the shares sum to 1, so beyond that many none is large.
+SAMPLE_ONE_OF, HOT_SHARE, MOST_HOT = 64, 1.5, 10_000
+#: Windows in the sample that a frequent minimiser has at least: more than a handful of documents could make.
+LEAST_SAMPLED = 200.0
 #: The id that stands for NULL.
 NO_ID = np.iinfo(np.int64).max
 SPACE = 0x20
@@ -79,8 +81,7 @@ def _frequent(rows: DataFrame, buckets: int) -> dict[int, int]:
     sample = rows.filter(F.pmod(F.xxhash64("_id", "_text"), F.lit(SAMPLE_ONE_OF)) == 0).select("_text")
     counts = cut_lineage(sample.mapInArrow(each, "m bigint, windows double").groupBy("m").agg(F.sum("windows").alias("windows")))
     total = counts.agg(F.sum("windows")).first()[0] or 0.0
-    # a share of a bucket, but nothing that a handful of sampled documents could make
-    limit = max(HOT_SHARE * total / buckets, 200.0)
+    limit = max(HOT_SHARE * total / buckets, LEAST_SAMPLED)
     return {r["m"]: 2 + int(r["windows"] / limit) for r in counts.filter(F.col("windows") > limit).orderBy(F.desc("windows")).limit(MOST_HOT).collect()}
 
 
@@ -167,54 +168,57 @@ class Windows:
                 same &= x[1:] == x[:-1]
         return order, np.flatnonzero(np.concatenate([[True], ~same]))
 
-    def name(self, window: int) -> bytes:
-        """A digest of a window that is the same in every part."""
-        at = self.at[window]
-        return hashlib.blake2b(b" ".join(self.dictionary.take(pa.array(self.word[at : at + WINDOW])).to_pylist()), digest_size=16).digest()
+    def names(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Two 64-bit digests of windows, the same in every part, made of 128-bit digests of their words."""
+        raw = b"".join(hashlib.blake2b(w, digest_size=16).digest() for w in self.dictionary.to_pylist())
+        halves = np.frombuffer(raw, "<u8").reshape(-1, 2)
+        return tuple(rolling(halves[:, k][self.word], WINDOW)[self.at[which]].view(np.int64) for k in (0, 1))
 
 
 RANGES = "id bigint, tag int, place bigint, n bigint"
+FOUND = f"{RANGES}, name1 bigint, name2 bigint, least bigint, ids array<bigint>, places array<bigint>, tags array<int>"
 
 
-def _ranges(id_: np.ndarray, tag: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
+def _ranges(id_: np.ndarray, tag: np.ndarray, place: np.ndarray) -> dict[str, pa.Array]:
     """Windows as ranges of windows, neighbours joined."""
     order = np.lexsort([place, tag, id_])
     i, t, p = id_[order], tag[order], place[order]
     new = np.flatnonzero(np.concatenate([[True], (i[1:] != i[:-1]) | (t[1:] != t[:-1]) | (p[1:] != p[:-1] + 1)])) if len(i) else np.zeros(0, np.int64)
     n = np.diff(np.append(new, len(i)))
-    return pa.RecordBatch.from_arrays([pa.array(i[new]), pa.array(t[new], pa.int32()), pa.array(p[new]), pa.array(n)], names=["id", "tag", "place", "n"])
-
-
-def _repeated(table: pa.Table) -> pa.Table:
-    """Ranges of windows of one bucket that start in a row with a smaller id too."""
-    w = Windows(table["block"].to_pylist())
-    order, start = w.by_content()
-    least = np.minimum.reduceat(w.id[order], start)
-    later = order[w.id[order] > np.repeat(least, np.diff(np.append(start, len(order))))]
-    return pa.Table.from_batches([_ranges(w.id[later], w.tag[later], w.place[later])])
-
-
-def _of_part(table: pa.Table) -> pa.Table:
-    """(name, least, holders) of the windows of a part of a frequent minimiser."""
-    w = Windows(table["block"].to_pylist())
-    order, start = w.by_content()
-    least = np.minimum.reduceat(w.id[order], start)
-    holders = []
-    for lo, hi in zip(start.tolist(), [*start[1:].tolist(), len(order)], strict=True):
-        k = order[lo:hi]
-        holders.append(w.id[k].astype("<i8").tobytes() + w.place[k].astype("<i8").tobytes() + w.tag[k].astype("<i4").tobytes())
-    return pa.table({"name": pa.array([w.name(k) for k in order[start].tolist()], pa.binary()), "least": pa.array(least), "holders": pa.array(holders, pa.binary())})
+    return {"id": pa.array(i[new]), "tag": pa.array(t[new], pa.int32()), "place": pa.array(p[new]), "n": pa.array(n)}
+
+
+def _counted(buckets: int):
+    """For a bucket: the ranges of windows that start in a row with a smaller id too. For a part of a frequent minimiser: its windows,
+    the smallest id of each, and who has them."""
+
+    def of(table: pa.Table) -> pa.Table:
+        w = Windows(table["block"].to_pylist())
+        order, start = w.by_content()
+        least = np.minimum.reduceat(w.id[order], start)
+        if table["part"][0].as_py() < buckets:
+            later = order[w.id[order] > np.repeat(least, np.diff(np.append(start, len(order))))]
+            own = _ranges(w.id[later], w.tag[later], w.place[later])
+        else:
+            name1, name2 = w.names(order[start])
+            offsets = pa.array(np.append(start, len(order)), pa.int32())
+            lists = {"ids": w.id, "places": w.place, "tags": w.tag}
+            own = {"name1": pa.array(name1), "name2": pa.array(name2), "least": pa.array(least)}
+            own |= {k: pa.ListArray.from_arrays(offsets, pa.array(v[order])) for k, v in lists.items()}
+        n = len(next(iter(own.values())))
+        kinds = {"tag": pa.int32(), "ids": pa.list_(pa.int64()), "places": pa.list_(pa.int64()), "tags": pa.list_(pa.int32())}
+        names = [c.split(" ")[0] for c in FOUND.split(", ")]
+        return pa.table({c: own.get(c, pa.nulls(n, kinds.get(c, pa.int64()))) for c in names})
+
+    return of
 
 
 def _later_holders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        found = [[np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]]
-        for least, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            k = len(raw) // 20
-            ids, place, tag = np.frombuffer(raw, "<i8", k), np.frombuffer(raw, "<i8", k, 8 * k), np.frombuffer(raw, "<i4", k, 16 * k)
-            for out, x in zip(found, (ids, tag, place), strict=True):
-                out.append(x[ids > least])
-        yield _ranges(*(np.concatenate(x) for x in found))
+        least, ids, places, tags = b.columns
+        n = np.diff(ids.offsets.to_numpy())
+        later = ids.flatten().to_numpy() > np.repeat(least.to_numpy(), n)
+        yield pa.RecordBatch.from_pydict(_ranges(*(x.flatten().to_numpy(zero_copy_only=False)[later] for x in (ids, tags, places))))
 
 
 def _removed(rows: DataFrame) -> DataFrame:
@@ -222,13 +226,15 @@ def _removed(rows: DataFrame) -> DataFrame:
     whole = rows.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     buckets = max(1, whole // BUCKET_BYTES)
     hot = _frequent(rows, buckets)
-    packed = _packed(rows, buckets, hot)
+    found = _packed(rows, buckets, hot).groupBy("part").applyInArrow(_counted(buckets), FOUND)
+    names = [c.split(" ")[0] for c in RANGES.split(", ")]
     if not hot:
-        return packed.groupBy("part").applyInArrow(_repeated, RANGES)
-    plain = packed.filter(F.col("part") < buckets).groupBy("part").applyInArrow(_repeated, RANGES)
-    parts = cut_lineage(packed.filter(F.col("part") >= buckets).groupBy("part").applyInArrow(_of_part, "name binary, least bigint, holders binary"))
-    least = parts.groupBy("name").agg(F.min("least").alias("least"))
-    return plain.unionByName(parts.select("name", "holders").join(least, "name").select("least", "holders").mapInArrow(_later_holders, RANGES))
+        return found.select(*names)
+    found = cut_lineage(found)
+    parts = found.filter("least is not null")
+    least = parts.groupBy("name1", "name2").agg(F.min("least").alias("least"))
+    met = parts.select("name1", "name2", "ids", "places", "tags").join(least, ["name1", "name2"]).select("least", "ids", "places", "tags")
+    return found.filter("least is null").select(*names).unionByName(met.mapInArrow(_later_holders, RANGES))
 
 
 def _without(data: np.ndarray, offsets: np.ndarray, removed: list[tuple[list[int], list[int]] | None]) -> Iterator[tuple[int, int, bytes]]:

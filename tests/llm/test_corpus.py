@@ -110,6 +110,8 @@ def passages():
 def test_repeated_passages_go(spark, passages, monkeypatch, bucket, one_of):
     monkeypatch.setattr(substring_dedup, "BUCKET_BYTES", bucket)
     monkeypatch.setattr(substring_dedup, "SAMPLE_ONE_OF", one_of)
+    if one_of == 2:
+        monkeypatch.setattr(substring_dedup, "HOT_SHARE", 0.05)
     frame = spark.createDataFrame(passages, "doc_id long, text string").repartition(5)
     if one_of == 2:
         rows = frame.select(F.col("doc_id").alias("_id"), F.coalesce("text", F.lit("")).alias("_text"))
