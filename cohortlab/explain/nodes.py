@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ..session import fresh_path
 
-MAX_NODES = 2_000_000
+#: Nodes handed to the tasks at once; a larger tree goes alone.
+CHUNK_NODES = 200_000
 
 
 def tree_nodes(spark: SparkSession, model) -> DataFrame:
@@ -53,10 +54,20 @@ class Leaf:
     value: np.ndarray
 
 
+def tree_groups(nodes: DataFrame, most: int = CHUNK_NODES) -> list[list[int]]:
+    """The trees of a model in groups of about ``most`` nodes."""
+    groups, held = [[]], 0
+    for r in nodes.groupBy("tree").count().orderBy("tree").collect():
+        if groups[-1] and held + r["count"] > most:
+            groups.append([])
+            held = 0
+        groups[-1].append(r["tree"])
+        held += r["count"]
+    return groups
+
+
 def leaf_paths(nodes: DataFrame) -> list[Leaf]:
-    """All leaves of all trees. The node table is as large as the model and checked before it is read."""
-    if nodes.count() > MAX_NODES:
-        raise ValueError("the model has too many nodes to hand to every task")
+    """All leaves of the trees in a node table."""
     by_tree: dict[int, dict[int, object]] = {}
     for r in nodes.collect():
         by_tree.setdefault(r["tree"], {})[r["id"]] = r

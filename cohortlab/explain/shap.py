@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..learners.base import batch_scorer, features_array
-from .nodes import leaf_paths, tree_nodes
+from .nodes import leaf_paths, tree_groups, tree_nodes
 
 
 def linear_contributions(
@@ -79,11 +79,15 @@ def shap_tree(df: DataFrame, model, features: list[str], keep: list[str] = ("row
 
     Forests are explained in class probabilities (or the value), boosted classifiers in the margin.
     """
-    leaves = leaf_paths(tree_nodes(df.sparkSession, model))
-    shared = df.sparkSession.sparkContext.broadcast(leaves)
-    p = len(features)
-    base = sum(leaf.value * np.prod(leaf.zero) for leaf in leaves)
-    phi = _array_udf(lambda v: tree_contributions(v, shared.value, p), features_array(df))
+    nodes, p = tree_nodes(df.sparkSession, model), len(features)
+    phi, base = None, 0.0
+    # contributions add up over trees, so a model of any size goes to the tasks in parts
+    for trees in tree_groups(nodes):
+        leaves = leaf_paths(nodes.filter(F.col("tree").isin(trees)))
+        shared = df.sparkSession.sparkContext.broadcast(leaves)
+        base = base + sum(leaf.value * np.prod(leaf.zero) for leaf in leaves)
+        part = _array_udf(lambda v, shared=shared: tree_contributions(v, shared.value, p), features_array(df))
+        phi = part if phi is None else F.zip_with(phi, part, lambda a, b: a + b)
     return long_contributions(df, phi, list(base), features, keep)
 
 
