@@ -39,6 +39,8 @@ LEAST_SAMPLED = 200.0
 #: The id that stands for NULL.
 NO_ID = np.iinfo(np.int64).max
 SPACE = 0x20
+#: Of compression: packed strings are most of what is shuffled.
+LEVEL = 6
 
 
 def _minimisers(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -92,7 +94,7 @@ def _packed(rows: DataFrame, buckets: int, hot: dict[int, int]) -> DataFrame:
     first_part = buckets + np.concatenate([[0], np.cumsum(parts_of)])[:-1] if len(known) else np.zeros(0, np.int64)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=3)
+        squeeze = zstandard.ZstdCompressor(level=LEVEL)
         for b in batches:
             every, tags = b.column(0).to_numpy(), b.column(1).to_numpy()
             data, offsets = column_bytes(b.column(2))
@@ -113,12 +115,15 @@ def _packed(rows: DataFrame, buckets: int, hot: dict[int, int]) -> DataFrame:
                 order = np.argsort(part, kind="stable")
                 cut = np.flatnonzero(np.diff(part[order], prepend=-1))
                 place = at - np.searchsorted(w.row, w.row[at])  # the word's number in its row
-                out = []
+                out, padded = [], np.append(own, np.uint8(SPACE))
                 for lo, hi in zip(cut.tolist(), [*cut[1:].tolist(), len(order)], strict=True):
                     s = order[lo:hi]
-                    first, last = at[s], at[s] + n[s] + WINDOW - 2
-                    text, o = _gather(own, w.start[first], w.end[last])
-                    head = np.concatenate([[len(s)], ids[s], place[s], n[s], np.diff(o)]).astype("<i8").tobytes()
+                    # every string has n + 12 words; each word is followed by one space, so no lengths are needed
+                    size = n[s] + WINDOW - 1
+                    word = np.repeat(at[s] - np.concatenate([[0], np.cumsum(size)])[:-1], size) + np.arange(size.sum())
+                    text, o = _gather(padded, w.start[word], w.end[word] + 1)
+                    text[o[1:] - 1] = SPACE
+                    head = np.concatenate([[len(s)], np.diff(ids[s], prepend=0), place[s], n[s]]).astype("<i8").tobytes()
                     out.append((int(part[s[0]]), squeeze.compress(head + tag[s].astype("<i4").tobytes() + text.tobytes())))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([p for p, _ in out], pa.int64()), pa.array([x for _, x in out], pa.binary())], names=["part", "block"]
@@ -136,12 +141,13 @@ class Windows:
         for block in blocks:
             raw = loose.decompress(block)
             k = int(np.frombuffer(raw, "<i8", 1)[0])
-            heads.append(np.frombuffer(raw, "<i8", 4 * k, 8).reshape(4, k))
-            tags.append(np.frombuffer(raw, "<i4", k, 8 + 32 * k))
-            texts.append(np.frombuffer(raw, np.uint8, offset=8 + 36 * k))
-        ids, place, n, size = np.hstack(heads)
+            head = np.frombuffer(raw, "<i8", 3 * k, 8).reshape(3, k)
+            heads.append(np.vstack([np.cumsum(head[0]), head[1:]]))
+            tags.append(np.frombuffer(raw, "<i4", k, 8 + 24 * k))
+            texts.append(np.frombuffer(raw, np.uint8, offset=8 + 28 * k))
+        ids, place, n = np.hstack(heads)
         text = np.concatenate(texts)
-        w = words(text, np.concatenate([[0], np.cumsum(size)]))
+        w = words(text, np.array([0, len(text)]))
         own, offsets = _gather(text, w.start, w.end)
         del w, text, texts
         column = pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(own)])
