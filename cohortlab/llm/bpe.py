@@ -34,7 +34,7 @@ LATIN_PATTERN = (
     rf" ?[{LATIN_L}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[{LATIN_N}]+| ?[^{LATIN_W}{LATIN_L}{LATIN_N}]+|[{LATIN_W}]+(?![^{LATIN_W}])|[{LATIN_W}]+"
 )
 #: Pieces remembered by a worker, new and old ones each; when the new ones are as many, they become the old ones.
-REMEMBERED = 200_000
+REMEMBERED = 60_000
 #: Longer pieces are not remembered.
 LONG = 64
 
