@@ -2,8 +2,8 @@
 
 Base patterns are searched in the text itself. Then a worklist unwraps layers: percent escapes, Unicode and character-reference escapes,
 base64 (both alphabets), and compressed data (gzip, zlib, bzip2, xz) inside base64. Every layer is scanned like the text and
-unwrapped again until nothing is left; a layer seen before is not entered again, so cycles (a compressed file that holds itself) end.
-Each character of a layer knows the range of the text it came from; a secret found inside is reported at that range.
+unwrapped again until nothing is left. Every distinct content is looked into once, so cycles (a compressed file that holds itself) end; what is
+found in it is reported at every place where it stands. Each character of a layer knows the range of the text it came from.
 
 Decoding needs no key, so a layer's content is as good as open. Compressed layers larger than ``MAX_LAYER`` bytes when unpacked
 are left closed (a bomb would fill the memory); all else is followed at any depth.
@@ -48,10 +48,12 @@ ESCAPE = re.compile(r"\\u\{[0-9A-Fa-f]{1,6}\}|(?:\\u[0-9A-Fa-f]{4})+|\\U[0-9A-Fa
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{%d,}={0,2}" % LEAST_RUN)
 URL_SAFE = str.maketrans("-_", "+/")
 
-Span = tuple[int, str, int]  # start, kind, end
+Span = tuple[str, int, int]  # kind, start, end
+#: Where a range of a content is in the text around it.
+Place = Callable[[int, int], tuple[int, int]]
 
 
-def base_spans(text: str) -> list[tuple[str, int, int]]:
+def base_spans(text: str) -> list[Span]:
     """(kind, start, end), leftmost and not overlapping within a kind."""
     out = []
     low = text.lower()
@@ -160,56 +162,86 @@ def _content(run: str) -> tuple[str, int, bool] | None:
     return None
 
 
-def _layers(layer: Layer) -> Iterator[Layer]:
-    """What can be unwrapped from a layer in one step."""
-    text = layer.text
-    if "%" in text and (got := _replaced(layer, PERCENT, _percent)) is not None:
-        yield got
-    if ("\\" in text or "&#" in text) and (got := _replaced(layer, ESCAPE, _escape)) is not None:
-        yield got
-    for m in BASE64.finditer(text):
+def _base64(layer: Layer, seen: set) -> Iterator[tuple[str, Place]]:
+    """Contents of the base64 runs of a layer, and where a range of each is in the text the layer came from. ``seen``: where the same text has which."""
+    for m in BASE64.finditer(layer.text):
         found = _content(m[0])
         if found is None:
             continue
         inner, skip, packed = found
         a, b = m.start(), m.end()
+        if (key := (int(layer.start[a + skip]), _name(inner))) in seen:  # a layer of escapes has runs of its text again
+            continue
+        seen.add(key)
         if packed or len(inner) != len(inner.encode()):
-            start, end = np.full(len(inner), layer.start[a]), np.full(len(inner), layer.end[b - 1])
+            yield inner, lambda i, j, a=a, b=b: (int(layer.start[a]), int(layer.end[b - 1]))
         else:  # byte k is in characters 4k/3 and the next
-            k = a + skip + np.arange(len(inner)) * 4 // 3
-            start, end = layer.start[k], layer.end[np.minimum(k + 1, b - 1)]
-        yield Layer(inner, start, end, np.ones(len(inner), bool))
+            yield inner, lambda i, j, a=a + skip, b=b: (int(layer.start[a + i * 4 // 3]), int(layer.end[min(a + (j - 1) * 4 // 3 + 1, b - 1)]))
+
 
+def _inside(text: str) -> Iterator[Span | tuple[str, Place] | None]:
+    """What a text holds: spans behind escapes, None for every layer of escapes, and contents of base64 runs with their places."""
+    n = np.arange(len(text), dtype=np.int32)
+    work = [Layer(text, n, n + 1, np.zeros(0, bool))]
+    seen, runs = set(), set()
+    while work:
+        layer = work.pop()
+        yield from _base64(layer, runs)
+        for hints, pattern, decode in ((("%",), PERCENT, _percent), (("\\", "&#"), ESCAPE, _escape)):
+            got = _replaced(layer, pattern, decode) if any(h in layer.text for h in hints) else None
+            if got is None or (key := (_name(got.text), got.start.tobytes(), got.end.tobytes())) in seen:
+                continue
+            seen.add(key)
+            yield None
+            for kind, a, b in base_spans(got.text):
+                if got.new[a:b].any():  # the rest is found where it stands open
+                    yield kind, int(got.start[a]), int(got.end[a:b].max())
+            work.append(got._replace(new=np.zeros(0, bool)))
 
-def scan(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]], int]:
+
+def scan(text: str) -> tuple[list[Span], list[Span], int]:
     """(base spans, all spans, layers unwrapped) of a text."""
     base = base_spans(text)
-    every = set(base)
     if not ("%" in text or "\\" in text or "&#" in text or BASE64.search(text)):
         return base, base, 0
-    n = np.arange(len(text))
-    work = [Layer(text, n, n + 1, np.zeros(len(text), bool))]
-    seen = {_name(text)}
-    count = 0
+    # every distinct content is looked into once; its spans then go to all places where it stands
+    root = _name(text)
+    spans: dict[bytes, set[Span]] = {root: set(base)}
+    places: dict[bytes, list[tuple[bytes, Place]]] = {root: []}
+    work, count = [(root, _inside(text))], 0
     while work:
-        for layer in _layers(work.pop()):
-            name = _name(layer.text)
-            if name in seen:
-                continue
-            seen.add(name)
+        name, inside = work[-1]
+        found = next(inside, work)
+        if found is work:
+            work.pop()
+        elif found is None:
             count += 1
-            for kind, a, b in base_spans(layer.text):
-                if layer.new[a:b].any():  # the rest is found where it stands open
-                    every.add((kind, int(layer.start[a]), int(layer.end[a:b].max())))
-            work.append(Layer(layer.text, layer.start, layer.end, np.zeros(0, bool)))
-    return base, list(every), count
+        elif len(found) == 3:
+            spans[name].add(found)
+        else:
+            inner, place = found
+            own = _name(inner)
+            if own not in spans:
+                count += 1
+                spans[own], places[own] = set(base_spans(inner)), []
+                work.append((own, _inside(inner)))
+            places[own].append((name, place))
+    new = [(name, s) for name, own in spans.items() for s in own]
+    while new:
+        name, (kind, a, b) = new.pop()
+        for outer, place in places[name]:
+            s = (kind, *place(a, b))
+            if s not in spans[outer]:
+                spans[outer].add(s)
+                new.append((outer, s))
+    return base, list(spans[root]), count
 
 
 def _name(text: str) -> bytes:
     return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
 
-def written(spans: list[tuple[str, int, int]]) -> str:
+def written(spans: list[Span]) -> str:
     order = sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
     return ",".join(f"{k}:{a}:{b}" for k, a, b in order)
 

@@ -186,6 +186,16 @@ def test_layers_end():
         secret_scan.scan(long)
 
 
+def test_an_equal_layer_counts_at_every_place():
+    blob = base64.b64encode(SECRET.encode()).decode()
+    packed = base64.b64encode(gzip.compress(("x " + blob + " y " + blob).encode(), mtime=0)).decode()
+    for one in (blob, packed, base64.b64encode(blob.encode()).decode()):
+        text = f"{one} and {one}\n{one}."
+        every = sorted(secret_scan.scan(text)[1], key=lambda s: s[1])
+        assert [k * (len(one) + 5 - (k == 2) * 2) <= a < b <= len(text) for k, (_, a, b) in enumerate(every)] == [True] * 3
+        assert len({b - a for _, a, b in every}) == 1
+
+
 # ---- toxicity
 
 def test_segments_are_all_maximal_ones():
