@@ -131,23 +131,31 @@ def _unpacked(raw: bytes) -> bytes | None:
         return None
 
 
-def _readable(raw: bytes) -> str | None:
+def _plausible(raw: bytes) -> bool:
     try:
-        text = raw.decode()
+        return raw.decode().translate({9: None, 10: None, 13: None}).isprintable()
     except UnicodeDecodeError:
-        return None
-    return text if text.isprintable() or text.translate({9: None, 10: None, 13: None}).isprintable() else None
+        return False
+
+
+def _holds(text: str) -> bool:
+    """Whether a secret or a further layer is in a text."""
+    return bool(base_spans(text)) or any(p.search(text) for p in (BASE64, PERCENT, ESCAPE))
 
 
-def _content(run: str) -> tuple[str, int, bool] | None:
-    """(text, characters skipped, compressed) of a base64 run; the run may begin at any of four places."""
+def _contents(run: str) -> Iterator[tuple[str, int, np.ndarray | None]]:
+    """(text, characters skipped, first byte of every character or None for compressed data) of a base64 run, which may begin at any of four places.
+
+    A character of the text is a byte, as patterns are ASCII: nothing is lost where bytes are no valid UTF-8. With NUL bytes (UTF-16, UTF-32) the
+    text without them is a content too. Of the four places those without a secret, a layer or plain text give nothing.
+    """
     run = run.rstrip("=").translate(URL_SAFE)
     for skip in range(4):
         body = run[skip:]
         if len(body) % 4 == 1:
             body = body[:-1]
         if len(body) < LEAST_RUN - 4:
-            return None
+            return
         try:
             raw = base64.b64decode(body + "=" * (-len(body) % 4))
         except binascii.Error:
@@ -157,26 +165,25 @@ def _content(run: str) -> tuple[str, int, bool] | None:
             inner = more
             before.add(more)
         packed = len(before) > 1
-        if len(inner) >= LEAST_CONTENT and (text := _readable(inner)) is not None:
-            return text, skip, packed
-    return None
+        for kept in (inner, inner.replace(b"\0", b"")) if b"\0" in inner else (inner,):
+            text = kept.decode("latin-1")
+            if len(text) >= LEAST_CONTENT and (packed or _plausible(kept) or _holds(text)):
+                whole = len(kept) == len(inner)
+                yield text, skip, None if packed else np.arange(len(text)) if whole else np.flatnonzero(np.frombuffer(inner, np.uint8))
 
 
 def _base64(layer: Layer, seen: set) -> Iterator[tuple[str, Place]]:
     """Contents of the base64 runs of a layer, and where a range of each is in the text the layer came from. ``seen``: where the same text has which."""
     for m in BASE64.finditer(layer.text):
-        found = _content(m[0])
-        if found is None:
-            continue
-        inner, skip, packed = found
         a, b = m.start(), m.end()
-        if (key := (int(layer.start[a + skip]), _name(inner))) in seen:  # a layer of escapes has runs of its text again
-            continue
-        seen.add(key)
-        if packed or len(inner) != len(inner.encode()):
-            yield inner, lambda i, j, a=a, b=b: (int(layer.start[a]), int(layer.end[b - 1]))
-        else:  # byte k is in characters 4k/3 and the next
-            yield inner, lambda i, j, a=a + skip, b=b: (int(layer.start[a + i * 4 // 3]), int(layer.end[min(a + (j - 1) * 4 // 3 + 1, b - 1)]))
+        for inner, skip, byte in _contents(m[0]):
+            if (key := (int(layer.start[a + skip]), _name(inner))) in seen:  # a layer of escapes has runs of its text again
+                continue
+            seen.add(key)
+            if byte is None:
+                yield inner, lambda i, j, a=a, b=b: (int(layer.start[a]), int(layer.end[b - 1]))
+            else:  # byte k is in characters 4k/3 and the next
+                yield inner, lambda i, j, a=a + skip, b=b, k=byte: (int(layer.start[a + k[i] * 4 // 3]), int(layer.end[min(a + k[j - 1] * 4 // 3 + 1, b - 1)]))
 
 
 def _inside(text: str) -> Iterator[Span | tuple[str, Place] | None]:

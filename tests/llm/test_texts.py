@@ -196,6 +196,18 @@ def test_an_equal_layer_counts_at_every_place():
         assert len({b - a for _, a, b in every}) == 1
 
 
+@pytest.mark.parametrize("beside", ["\xa0", "\ufeff", "\u200b", "\u200d", "\u2028", "\u3000", "\f", "\v", "\x1b", b"\xff", b"caf\xe9 ", "utf-16"])
+@pytest.mark.parametrize("pack", [lambda x: x, gzip.compress])
+def test_a_layer_is_scanned_whatever_else_is_in_it(beside, pack):
+    if beside == "utf-16":
+        raw = ("x " + SECRET).encode("utf-16")
+    else:
+        raw = (beside if isinstance(beside, bytes) else beside.encode()) + b" " + SECRET.encode()
+    text = "é " + base64.b64encode(pack(raw)).decode() + " z"
+    (kind, a, b), = secret_scan.scan(text)[1]
+    assert kind == "assign" and 2 <= a < b <= len(text) - 2
+
+
 # ---- toxicity
 
 def test_segments_are_all_maximal_ones():
