@@ -5,8 +5,9 @@ base64 (both alphabets), and compressed data (gzip, zlib, bzip2, xz) inside base
 unwrapped again until nothing is left. Every distinct content is looked into once, so cycles (a compressed file that holds itself) end; what is
 found in it is reported at every place where it stands. Each character of a layer knows the range of the text it came from.
 
-Decoding needs no key, so a layer's content is as good as open. Compressed layers larger than ``MAX_LAYER`` bytes when unpacked
-are left closed (a bomb would fill the memory); all else is followed at any depth.
+Base64 may be wrapped; it may stand in a path. Compressed data count wherever they begin in decoded bytes, all members are read, cut or
+damaged ones as far as they go. Decoding needs no key, so a layer's content is as good as open. Content of more than ``MAX_LAYER``
+bytes is scanned in chunks that overlap by ``OVERLAP`` bytes; compressed data inside that cross the end of a chunk are read up to there.
 
 Defined results: NULL and empty texts have no spans; repeated rows are scanned alike; a secret found twice at one range counts once;
 spans are code points, end exclusive. Other columns are never read.
@@ -15,15 +16,16 @@ spans are code points, end exclusive. Other columns are never read.
 from __future__ import annotations
 
 import base64
-import binascii
+import bisect
 import bz2
 import hashlib
 import html
+import itertools
 import lzma
 import re
 import zlib
 from collections.abc import Callable, Iterator
-from typing import NamedTuple
+from typing import Any, NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -39,13 +41,23 @@ KINDS = ("assign", "access", "hex")
 #: Part of every key word of ASSIGN, to pass over texts without any.
 HINTS = ("passw", "secret", "token", "apikey", "api_key")
 
-MAX_LAYER = 64 << 20
+#: Bytes of unpacked content that are scanned at once, and how far such chunks overlap.
+MAX_LAYER, OVERLAP = 64 << 20, 1 << 20
+#: Most bytes unpacked at once, and compressed bytes given at once.
+PIECE, FEED = 1 << 20, 64
 #: Shortest base64 run and shortest content that is looked into.
 LEAST_RUN, LEAST_CONTENT = 16, 8
 
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"\\u\{[0-9A-Fa-f]{1,6}\}|(?:\\u[0-9A-Fa-f]{4})+|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{%d,}={0,2}" % LEAST_RUN)
+#: Base64 over line breaks (with quoting and indentation), one line of it, and what stands between the separators of paths and names.
+WRAPPED = re.compile(r"[A-Za-z0-9+/_-]{%d,}(?:\r?\n[ \t>]*[A-Za-z0-9+/_-]{%d,})*(?:\r?\n[ \t>]*[A-Za-z0-9+/_-]+)?" % (LEAST_RUN, LEAST_RUN))
+LINE = re.compile(r"[A-Za-z0-9+/_-]+")
+PART = re.compile(r"[A-Za-z0-9+]{%d,}" % LEAST_RUN)
+#: Beginning of gzip, bzip2, xz and zlib data.
+BEGINNINGS = r"\x1f\x8b\x08|BZh[1-9]1AY&SY|\xfd7zXZ\x00|\x78[\x01\x5e\x9c\xda]"
+PACKED, PACKED_TEXT = re.compile(BEGINNINGS.encode("latin-1")), re.compile(BEGINNINGS)
 URL_SAFE = str.maketrans("-_", "+/")
 
 Span = tuple[str, int, int]  # kind, start, end
@@ -114,21 +126,74 @@ def _escape(run: str) -> str | None:
         return None
 
 
-def _unpacked(raw: bytes) -> bytes | None:
-    """Content of compressed bytes; None if they are not, or it is larger than MAX_LAYER."""
-    try:
-        if raw[:2] == b"\x1f\x8b" or (raw[:1] == b"\x78" and len(raw) > 1 and (raw[0] * 256 + raw[1]) % 31 == 0):
-            d = zlib.decompressobj(47)
-        elif raw[:3] == b"BZh":
-            d = bz2.BZ2Decompressor()
-        elif raw[:6] == b"\xfd7zXZ\x00":
-            d = lzma.LZMADecompressor()
-        else:
-            return None
-        out = d.decompress(raw, MAX_LAYER)
-        return out if d.eof else None
-    except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError):
-        return None
+def _opener(raw: bytes, at: int) -> Any:
+    if raw[at : at + 1] in (b"\x1f", b"\x78"):
+        return zlib.decompressobj(47)
+    return bz2.BZ2Decompressor() if raw[at : at + 1] == b"B" else lzma.LZMADecompressor()
+
+
+def _unpacked(raw: bytes, at: int, ends: list[int]) -> Iterator[bytes]:
+    """Content of compressed data at a place, in pieces, with all members that follow; damaged or cut data up to there. Places behind whole members go to ``ends``."""
+    while PACKED.match(raw, at):
+        d, k = _opener(raw, at), at
+        try:
+            while not d.eof:
+                if rest := getattr(d, "unconsumed_tail", b""):
+                    got = d.decompress(rest, PIECE)
+                elif not getattr(d, "needs_input", True):
+                    got = d.decompress(b"", PIECE)
+                elif k < len(raw):  # little at a time: damage costs what is given at once
+                    got = d.decompress(raw[k : k + FEED], PIECE)
+                    k += FEED
+                elif not (got := d.decompress(b"", PIECE)):
+                    return
+                if got:
+                    yield got
+        except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError):
+            return
+        at = min(k, len(raw)) - len(d.unused_data)
+        ends.append(at)
+
+
+def _chunks(pieces: Iterator[bytes]) -> Iterator[bytes]:
+    """The content in chunks of MAX_LAYER bytes that overlap."""
+    held, size, fresh = [], 0, False
+    for piece in pieces:
+        held.append(piece)
+        size, fresh = size + len(piece), True
+        if size >= MAX_LAYER:
+            whole = b"".join(held)
+            yield whole
+            held, size, fresh = [whole[-OVERLAP:]], min(OVERLAP, size), False
+    if fresh:
+        yield b"".join(held)
+
+
+def _texts(raw: bytes) -> Iterator[tuple[str, np.ndarray | None]]:
+    """(text, byte of every character or None if they are the same) of bytes, and without NUL bytes if there are any (UTF-16, UTF-32).
+
+    A character is a byte, as patterns are ASCII: nothing is lost where bytes are no valid UTF-8.
+    """
+    yield raw.decode("latin-1"), None
+    if b"\0" in raw:
+        yield raw.replace(b"\0", b"").decode("latin-1"), np.flatnonzero(np.frombuffer(raw, np.uint8))
+
+
+def _packed(text: str) -> Iterator[tuple[str, Place]]:
+    """Contents of the compressed data in a text whose characters are bytes."""
+    raw, at = None, 0
+    while m := PACKED_TEXT.search(text, at):
+        if raw is None:
+            try:
+                raw = text.encode("latin-1")
+            except UnicodeEncodeError:
+                return
+        ends: list[int] = []
+        for chunk in _chunks(_unpacked(raw, m.start(), ends)):
+            for inner, _ in _texts(chunk):
+                if len(inner) >= LEAST_CONTENT and (ends or _holds(inner)):
+                    yield inner, lambda i, j, a=m.start(), ends=ends, n=len(raw): (a, ends[-1] if ends else n)
+        at = ends[-1] if ends else m.start() + 1
 
 
 def _plausible(raw: bytes) -> bool:
@@ -140,54 +205,97 @@ def _plausible(raw: bytes) -> bool:
 
 def _holds(text: str) -> bool:
     """Whether a secret or a further layer is in a text."""
-    return bool(base_spans(text)) or any(p.search(text) for p in (BASE64, PERCENT, ESCAPE))
+    return bool(base_spans(text)) or any(p.search(text) for p in (BASE64, PERCENT, ESCAPE, PACKED_TEXT))
 
 
-def _contents(run: str) -> Iterator[tuple[str, int, np.ndarray | None]]:
-    """(text, characters skipped, first byte of every character or None for compressed data) of a base64 run, which may begin at any of four places.
+class Run(NamedTuple):
+    """Base64 characters, and where the lines they came in begin among them and in the text."""
 
-    A character of the text is a byte, as patterns are ASCII: nothing is lost where bytes are no valid UTF-8. With NUL bytes (UTF-16, UTF-32) the
-    text without them is a content too. Of the four places those without a secret, a layer or plain text give nothing.
-    """
-    run = run.rstrip("=").translate(URL_SAFE)
+    body: str
+    cuts: list[int]
+    starts: list[int]
+
+    def at(self, k: int) -> int:
+        line = bisect.bisect_right(self.cuts, k) - 1
+        return self.starts[line] + k - self.cuts[line]
+
+
+def _run(text: str, lines: list[tuple[int, int]]) -> Run:
+    cuts = [0, *itertools.accumulate(b - a for a, b in lines[:-1])]
+    return Run("".join(text[a:b] for a, b in lines).translate(URL_SAFE), cuts, [a for a, _ in lines])
+
+
+def _decoded(run: Run) -> Iterator[tuple[int, bytes]]:
+    """(characters skipped, bytes): a run may begin at any of four places."""
     for skip in range(4):
-        body = run[skip:]
+        body = run.body[skip:]
         if len(body) % 4 == 1:
             body = body[:-1]
         if len(body) < LEAST_RUN - 4:
             return
-        try:
-            raw = base64.b64decode(body + "=" * (-len(body) % 4))
-        except binascii.Error:
-            continue
-        inner, before = raw, {raw}
-        while (more := _unpacked(inner)) is not None and more not in before:  # data may unpack to itself
-            inner = more
-            before.add(more)
-        packed = len(before) > 1
-        for kept in (inner, inner.replace(b"\0", b"")) if b"\0" in inner else (inner,):
-            text = kept.decode("latin-1")
-            if len(text) >= LEAST_CONTENT and (packed or _plausible(kept) or _holds(text)):
-                whole = len(kept) == len(inner)
-                yield text, skip, None if packed else np.arange(len(text)) if whole else np.flatnonzero(np.frombuffer(inner, np.uint8))
+        yield skip, base64.b64decode(body + "=" * (-len(body) % 4))
+
+
+def _whole(run: Run) -> bool:
+    """Whether a run as it stands is plain text, or holds compressed data with its end."""
+    for _, raw in _decoded(run):
+        if _plausible(raw):
+            return True
+        for m in PACKED.finditer(raw):
+            ends: list[int] = []
+            for _ in _unpacked(raw, m.start(), ends):
+                pass
+            if ends:
+                return True
+    return False
+
+
+def _runs(text: str) -> Iterator[Run]:
+    """Runs of base64 over all their lines, and what else they may be: single lines, parts between separators, all but a short last line."""
+    for m in WRAPPED.finditer(text):
+        lines = [x.span() for x in LINE.finditer(text, *m.span())]
+        every = _run(text, lines)
+        yield every
+        parts = [(a, b) for u, v in lines for a, b in _parts(text, u, v)]
+        if (len(lines) > 1 or parts) and not _whole(every):
+            if len(lines) > 1:
+                yield from (_run(text, [x]) for x in lines)
+                yield _run(text, lines[:-1])
+            yield from (_run(text, [x]) for x in parts)
+
+
+def _parts(text: str, a: int, b: int) -> Iterator[tuple[int, int]]:
+    for m in PART.finditer(text, a, b):
+        if m.span() != (a, b):
+            yield m.span()
 
 
 def _base64(layer: Layer, seen: set) -> Iterator[tuple[str, Place]]:
-    """Contents of the base64 runs of a layer, and where a range of each is in the text the layer came from. ``seen``: where the same text has which."""
-    for m in BASE64.finditer(layer.text):
-        a, b = m.start(), m.end()
-        for inner, skip, byte in _contents(m[0]):
-            if (key := (int(layer.start[a + skip]), _name(inner))) in seen:  # a layer of escapes has runs of its text again
-                continue
-            seen.add(key)
-            if byte is None:
-                yield inner, lambda i, j, a=a, b=b: (int(layer.start[a]), int(layer.end[b - 1]))
-            else:  # byte k is in characters 4k/3 and the next
-                yield inner, lambda i, j, a=a + skip, b=b, k=byte: (int(layer.start[a + k[i] * 4 // 3]), int(layer.end[min(a + k[j - 1] * 4 // 3 + 1, b - 1)]))
-
+    """Contents of the base64 runs of a layer, and where a range of each is in the text the layer came from. ``seen``: where the same text has which.
 
-def _inside(text: str) -> Iterator[Span | tuple[str, Place] | None]:
-    """What a text holds: spans behind escapes, None for every layer of escapes, and contents of base64 runs with their places."""
+    Of the readings of a run those without a secret, a layer or plain text give nothing.
+    """
+    for run in _runs(layer.text):
+        for skip, raw in _decoded(run):
+            for inner, byte in _texts(raw):
+                if len(inner) < LEAST_CONTENT or not (_plausible(raw if byte is None else inner.encode("latin-1")) or _holds(inner)):
+                    continue
+                if (key := (int(layer.start[run.at(skip)]), _name(inner))) in seen:  # a layer of escapes has runs of its text again
+                    continue
+                seen.add(key)
+
+                def place(i: int, j: int, run: Run = run, skip: int = skip, byte: np.ndarray | None = byte) -> tuple[int, int]:
+                    first, last = (i, j - 1) if byte is None else (int(byte[i]), int(byte[j - 1]))
+                    # byte k is in characters 4k/3 and the next
+                    return int(layer.start[run.at(skip + first * 4 // 3)]), int(layer.end[run.at(min(skip + last * 4 // 3 + 1, len(run.body) - 1))])
+
+                yield inner, place
+
+
+def _inside(text: str, decoded: bool) -> Iterator[Span | tuple[str, Place] | None]:
+    """What a text holds: spans behind escapes, None for every layer of escapes, and contents of base64 runs (of compressed data too, if its characters are bytes) with their places."""
+    if decoded:
+        yield from _packed(text)
     n = np.arange(len(text), dtype=np.int32)
     work = [Layer(text, n, n + 1, np.zeros(0, bool))]
     seen, runs = set(), set()
@@ -215,7 +323,7 @@ def scan(text: str) -> tuple[list[Span], list[Span], int]:
     root = _name(text)
     spans: dict[bytes, set[Span]] = {root: set(base)}
     places: dict[bytes, list[tuple[bytes, Place]]] = {root: []}
-    work, count = [(root, _inside(text))], 0
+    work, count = [(root, _inside(text, False))], 0
     while work:
         name, inside = work[-1]
         found = next(inside, work)
@@ -231,7 +339,7 @@ def scan(text: str) -> tuple[list[Span], list[Span], int]:
             if own not in spans:
                 count += 1
                 spans[own], places[own] = set(base_spans(inner)), []
-                work.append((own, _inside(inner)))
+                work.append((own, _inside(inner, True)))
             places[own].append((name, place))
     new = [(name, s) for name, own in spans.items() for s in own]
     while new:

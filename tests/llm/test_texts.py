@@ -1,6 +1,7 @@
 """Operators on single texts: licences, fingerprints, secrets, toxicity, BPE."""
 
 import base64
+import bz2
 import gzip
 import hashlib
 import random
@@ -208,6 +209,41 @@ def test_a_layer_is_scanned_whatever_else_is_in_it(beside, pack):
     assert kind == "assign" and 2 <= a < b <= len(text) - 2
 
 
+def _wrapped(raw, end="\n", before="", n=76):
+    b = base64.b64encode(raw).decode()
+    return end.join(before + b[k : k + n] for k in range(0, len(b), n))
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        _wrapped(("x " * 107 + SECRET + " y" * 60).encode()),
+        "-----BEGIN DATA-----\n" + _wrapped(random.Random(5).randbytes(321) + SECRET.encode(), n=64) + "\n-----END DATA-----",
+        _wrapped(("x " * 15 + SECRET).encode(), "\r\n", "  ", 60),
+        _wrapped(gzip.compress(random.Random(5).randbytes(300) + SECRET.encode())) + "\nThe end",
+        _wrapped(zlib.compress(random.Random(5).randbytes(300) + SECRET.encode()), "\n", "> "),
+        "https://h.example/v1/files/" + base64.b64encode(SECRET.encode()).decode().rstrip("="),
+        "https://h.example/v1/files/" + base64.b64encode(SECRET.encode()).decode().rstrip("=") + "/thumb-nail",
+        "https://h.example/v1/files/" + base64.urlsafe_b64encode(gzip.compress(SECRET.encode())).decode() + "/thumb",
+        base64.b64encode(gzip.compress(b"first") + gzip.compress(SECRET.encode())).decode(),
+        base64.b64encode(gzip.compress(random.Random(5).randbytes(900) + SECRET.encode() + random.Random(6).randbytes(900))[:-300]).decode(),
+    ],
+)
+def test_wrapped_joined_and_cut_layers(text):
+    found = secret_scan.scan("é " + text + " z")[1]
+    assert {k for k, _, _ in found} == {"assign"} and all(2 <= a < b <= len(text) + 2 for _, a, b in found)
+
+
+def test_large_content_is_scanned_in_chunks(monkeypatch):
+    monkeypatch.setattr(secret_scan, "MAX_LAYER", 1 << 16)
+    monkeypatch.setattr(secret_scan, "OVERLAP", 1 << 10)
+    monkeypatch.setattr(secret_scan, "PIECE", 1 << 12)
+    for at in (0, (1 << 16) - 8, 150_000, 300_000):
+        for pack in (gzip.compress, lambda x: bz2.compress(zlib.compress(x))):
+            raw = b"x " * (at // 2) + SECRET.encode() + b" y" * ((300_000 - at) // 2)
+            assert [k for k, _, _ in secret_scan.scan(base64.b64encode(pack(raw)).decode())[1]] == ["assign"]
+
+
 # ---- toxicity
 
 def test_segments_are_all_maximal_ones():
