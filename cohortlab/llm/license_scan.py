@@ -2,7 +2,8 @@
 
 A text is normalised (A-Z lower-cased; everything in ASCII but letters and digits separates words) and taken apart three
 ways: lines, paragraphs (ended by an empty line), the whole. A unit U is a hit for a template T if 2 |U n T| / (|U| + |T|), over
-sets of bigrams, is THRESHOLD or more; a unit of one word has the word itself as its only bigram.
+sets of bigrams, is THRESHOLD or more; a unit of one word has the word itself as its only bigram. For licences of several
+paragraphs and those inside lines, windows of each template's number of words go over the words of the whole text besides.
 
 Size bounds prune: only templates with |U| t / (2 - t) <= |T| <= |U| (2 - t) / t can reach t, and then |U n T| >= |U| t / (2 - t).
 All bigrams of a batch are tested against those of all templates at once; only units with enough hits are compared with
@@ -14,6 +15,7 @@ sorts first is best. Positions are code points, end exclusive, from the first to
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator, Mapping
 from typing import NamedTuple
 
@@ -40,6 +42,9 @@ class Library(NamedTuple):
     sizes: np.ndarray
     every: np.ndarray
     table: np.ndarray
+    lengths: np.ndarray  # in words
+    owners: np.ndarray  # templates of each bigram of ``every``, one after the other
+    cuts: np.ndarray
 
 
 def bigrams(hashes: np.ndarray, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -59,12 +64,16 @@ def library(templates: Mapping[str, str] = TEMPLATES) -> Library:
         raw = LOWER[np.frombuffer(text.encode(), np.uint8)]
         w = words(raw, np.array([0, len(raw)]), NOT_ALNUM)
         if len(w.row):
-            found.append((name, np.unique(bigrams(w.hash, w.row)[1])))
+            found.append((name, np.unique(bigrams(w.hash, w.row)[1]), len(w.row)))
     found.sort(key=lambda x: (len(x[1]), x[0]))
-    every = np.unique(np.concatenate([s for _, s in found]))
+    every = np.unique(np.concatenate([s for _, s, _ in found]))
+    at = np.searchsorted(every, np.concatenate([s for _, s, _ in found]))
+    owners = np.repeat(np.arange(len(found)), [len(s) for _, s, _ in found])[np.argsort(at, kind="stable")]
+    cuts = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(every)))])
     table = np.zeros(TABLE, bool)
     table[(every % np.uint64(TABLE)).astype(np.int64)] = True
-    return Library([n for n, _ in found], [s for _, s in found], np.array([len(s) for _, s in found]), every, table)
+    sizes, lengths = np.array([len(s) for _, s, _ in found]), np.array([n for _, _, n in found])
+    return Library([n for n, _, _ in found], [s for _, s, _ in found], sizes, every, table, lengths, owners, cuts)
 
 
 def _known(lib: Library, h: np.ndarray) -> np.ndarray:
@@ -104,6 +113,71 @@ def _hits(lib: Library, hashes: np.ndarray, unit: np.ndarray, threshold: float)
                 yield int(u[s]), lib.names[t], dice
 
 
+def _windows(lib: Library, hashes: np.ndarray, row: np.ndarray, threshold: float) -> Iterator[tuple[int, int, str, float]]:
+    """(first word, last word, template, score) of windows of a template's number of words that reach the threshold, cut to known bigrams at both ends.
+
+    Windows begin at every bigram of the template; only those with enough of its bigrams are compared. Of overlapping windows of a template the best stays.
+    """
+    h = rolling(hashes, 2)
+    at = np.flatnonzero(row[1:] == row[:-1])
+    at = at[_known(lib, h[at])] if len(at) else at
+    if not len(at):
+        return
+    k = np.searchsorted(lib.every, h[at])
+    n = lib.cuts[k + 1] - lib.cuts[k]
+    owner = lib.owners[np.repeat(lib.cuts[k] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())]
+    order = np.argsort(owner, kind="stable")
+    place, count = np.repeat(at, n)[order], np.bincount(owner, minlength=len(lib.names))
+    share, first = threshold / (2 - threshold), 0
+    for t in np.flatnonzero(count).tolist():
+        own = place[first : first + count[t]]
+        first += int(count[t])
+        width = int(lib.lengths[t]) - 1
+        if width < 1 or len(own) < lib.sizes[t] * share - 1e-9:
+            continue
+        stop = np.minimum(own + width, np.searchsorted(row, row[own], "right") - 1)
+        enough = np.searchsorted(own, stop) - np.arange(len(own)) >= lib.sizes[t] * share - 1e-9
+        begin, stop = own[enough], stop[enough]
+        for part in np.split(np.arange(len(begin)), np.flatnonzero(begin[1:] >= stop[:-1]) + 1):
+            yield from _best(lib, t, h, own, begin[part], stop[part], threshold) if len(part) else ()
+
+
+def _best(lib: Library, t: int, h: np.ndarray, own: np.ndarray, begin: np.ndarray, stop: np.ndarray, threshold: float) -> Iterator[tuple[int, int, str, float]]:
+    """Hits among windows that hang together, which begin and stop at these bigrams; ``own`` are the places of the template's bigrams."""
+    low, size = int(begin[0]), int(lib.sizes[t])
+    value = h[low : int(stop[-1])].tolist()
+    ours = np.zeros(len(value), bool)
+    ours[own[np.searchsorted(own, low) : np.searchsorted(own, stop[-1])] - low] = True
+    is_ours = ours.tolist()
+    inside: Counter = Counter()
+    a = z = common = 0
+    found = []
+    for s, e in zip((begin - low).tolist(), (stop - low).tolist(), strict=True):
+        for i in range(z, e):
+            inside[value[i]] += 1
+            common += is_ours[i] and inside[value[i]] == 1
+        z = e
+        for i in range(a, s):
+            inside[value[i]] -= 1
+            if not inside[value[i]]:
+                del inside[value[i]]
+                common -= is_ours[i]
+        a = s
+        # the window without what follows its last known bigram has no lower score
+        if 2 * common >= threshold * (common + size) - 1e-9:
+            found.append((2 * common / (len(inside) + size), s, e))
+    taken = np.zeros(len(value), bool)
+    for _, s, e in sorted(found, key=lambda x: (-x[0], x[1])):
+        e = s + int(np.flatnonzero(ours[s:e])[-1]) + 1
+        if taken[s:e].any():
+            continue
+        u = set(value[s:e])
+        dice = 2 * len({v for v, x in zip(value[s:e], is_ours[s:e], strict=True) if x}) / (len(u) + size)
+        if dice >= threshold:
+            taken[s:e] = True
+            yield low + s, low + e, lib.names[t], dice
+
+
 def _units(data: np.ndarray, offsets: np.ndarray, row: np.ndarray, start: np.ndarray) -> dict[str, np.ndarray]:
     """The unit of every word, numbered in reading order, for each way of taking texts apart."""
     breaks = np.flatnonzero(data == 0x0A)
@@ -114,14 +188,19 @@ def _units(data: np.ndarray, offsets: np.ndarray, row: np.ndarray, start: np.nda
     return {"line": np.searchsorted(breaks, start) + row, "paragraph": np.searchsorted(gaps, start) + row, "text": row}
 
 
+def _written(hits: set) -> str:
+    return ",".join(f"{k}:{n}:{s}:{e}:{v:.4f}" for s, e, k, n, v in sorted(hits))
+
+
 def licenses(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(_id, license, score, n_hits, hits) of every row: the best template and all hits as unit:template:start:end:score."""
+    """(_id, license, score, n_hits, hits, n_windows, windows) of every row: the best template, and all hits as unit:template:start:end:score."""
     lib = library(templates)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, offsets = column_bytes(b.column(1))
             found: list[set] = [set() for _ in range(b.num_rows)]
+            windows: list[set] = [set() for _ in range(b.num_rows)]
             for a, z in runs(offsets):
                 own, offs = data[offsets[a] : offsets[z]], offsets[a : z + 1] - offsets[a]
                 w = words(LOWER[own], offs, NOT_ALNUM)
@@ -131,19 +210,25 @@ def licenses(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, threshol
                         r = int(w.row[first])
                         chars = lambda at, r=r: len(own[offs[r] : at].tobytes().decode())
                         found[a + r].add((chars(w.start[first]), chars(w.end[last]), kind, name, score))
-            best = [min(((-x[4], x[3]) for x in f), default=None) for f in found]
+                for first, last, name, score in _windows(lib, w.hash, w.row, threshold) if len(w.row) else ():
+                    r = int(w.row[first])
+                    chars = lambda at, r=r: len(own[offs[r] : at].tobytes().decode())
+                    windows[a + r].add((chars(w.start[first]), chars(w.end[last]), "window", name, score))
+            best = [min(((-x[4], x[3]) for x in f | g), default=None) for f, g in zip(found, windows, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column(0),
                     pa.array([None if x is None else x[1] for x in best], pa.string()),
                     pa.array([0.0 if x is None else -x[0] for x in best], pa.float64()),
                     pa.array([len(f) for f in found], pa.int64()),
-                    pa.array([",".join(f"{k}:{n}:{s}:{e}:{v:.4f}" for s, e, k, n, v in sorted(f)) for f in found], pa.string()),
+                    pa.array([_written(f) for f in found], pa.string()),
+                    pa.array([len(f) for f in windows], pa.int64()),
+                    pa.array([_written(f) for f in windows], pa.string()),
                 ],
-                names=["_id", "license", "score", "n_hits", "hits"],
+                names=["_id", "license", "score", "n_hits", "hits", "n_windows", "windows"],
             )
 
     id_type = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(
-        each, f"_id {id_type}, license string, score double, n_hits bigint, hits string"
+        each, f"_id {id_type}, license string, score double, n_hits bigint, hits string, n_windows bigint, windows string"
     )

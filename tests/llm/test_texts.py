@@ -87,6 +87,22 @@ def test_licenses_as_by_brute_force(spark, odd, odd_rows):
     assert license_scan.licenses(odd.limit(0)).count() == 0
 
 
+def test_licenses_over_paragraphs_and_inside_lines(spark):
+    mit = license_texts.TEMPLATES["mit"].replace("conditions: The above", "conditions:\n\nThe above").replace("Software. THE SOFTWARE", "Software.\n\nTHE SOFTWARE")
+    bsd = license_texts.TEMPLATES["bsd-2-clause"].replace(" 1. ", "\n\n1. ").replace(" 2. ", "\n\n2. ").replace(" THIS SOFTWARE", "\n\nTHIS SOFTWARE", 1)
+    commented = "\n".join("# " + x for x in mit.split("\n"))
+    prose = "Ünïts of the thing and more of the same in the text. " * 40
+    line = "Some words go before it here. Released under the MIT License. Then it goes on."
+    rows = [(0, f"{prose}\n\n{mit}\n\n{prose}"), (1, bsd + "\n\n" + prose), (2, f"# File of a thing\n#\n{commented}\n{prose}"), (3, line), (4, prose), (5, f"{line} {prose} {line}")]
+    got = {r["_id"]: r for r in license_scan.licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[k]["license"] for k in range(6)] == ["mit", "bsd-2-clause", "mit", "mit-notice", None, "mit-notice"]
+    name, a, z, score = got[0]["windows"].split(":")[1:]
+    assert (name, score) == ("mit", "1.0000") and rows[0][1][int(a) : int(z)] + "." == mit
+    assert [x.split(":")[1] for x in got[5]["windows"].split(",")] == ["mit-notice"] * 2
+    a, z = map(int, got[3]["windows"].split(":")[2:4])
+    assert line[a:z] == "Released under the MIT License"
+
+
 # ---- fingerprints
 
 def test_fingerprints_of_edited_texts_and_neighbours(spark, odd, odd_rows):
