@@ -9,8 +9,8 @@ Size bounds prune: only templates with |U| t / (2 - t) <= |T| <= |U| (2 - t) / t
 All bigrams of a batch are tested against those of all templates at once; only units with enough hits are compared with
 templates, and of these only with those within the size bounds.
 
-Defined results: NULL, empty and wordless texts have no hits; repeated rows are scanned alike; of equal scores the template whose name
-sorts first is best. Positions are code points, end exclusive, from the first to the last word of the unit. Other columns are never read.
+Defined results: NULL, empty and wordless texts have no hits; repeated rows are scanned alike. Of scores within NEAR of the highest the one with most
+common bigrams is best, then the highest, then the template whose name sorts first; a notice is never best where the numbers are those of another version. Positions are code points, end exclusive, from the first to the last word of the unit. Other columns are never read.
 """
 
 from __future__ import annotations
@@ -25,9 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .license_texts import TEMPLATES
-from .words import LOWER, column_bytes, mix, rolling, runs, words
+from .words import LOWER, Words, column_bytes, mix, rolling, runs, words
 
 THRESHOLD = 0.8
+#: Scores this near are told apart by common bigrams. Most words of templates in which numbers are versions.
+NEAR, NOTICE = 0.1, 60
 #: Everything in ASCII but letters and digits.
 NOT_ALNUM = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 #: Entries of the table that most bigrams are ruled out by.
@@ -45,6 +47,7 @@ class Library(NamedTuple):
     lengths: np.ndarray  # in words
     owners: np.ndarray  # templates of each bigram of ``every``, one after the other
     cuts: np.ndarray
+    numbers: list[set[int] | None]  # those in short templates
 
 
 def bigrams(hashes: np.ndarray, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -64,16 +67,31 @@ def library(templates: Mapping[str, str] = TEMPLATES) -> Library:
         raw = LOWER[np.frombuffer(text.encode(), np.uint8)]
         w = words(raw, np.array([0, len(raw)]), NOT_ALNUM)
         if len(w.row):
-            found.append((name, np.unique(bigrams(w.hash, w.row)[1]), len(w.row)))
+            found.append((name, np.unique(bigrams(w.hash, w.row)[1]), len(w.row), _numbers(raw, w, 0, len(w.row)) if len(w.row) <= NOTICE else None))
     found.sort(key=lambda x: (len(x[1]), x[0]))
-    every = np.unique(np.concatenate([s for _, s, _ in found]))
-    at = np.searchsorted(every, np.concatenate([s for _, s, _ in found]))
-    owners = np.repeat(np.arange(len(found)), [len(s) for _, s, _ in found])[np.argsort(at, kind="stable")]
+    every = np.unique(np.concatenate([s for _, s, _, _ in found]))
+    at = np.searchsorted(every, np.concatenate([s for _, s, _, _ in found]))
+    owners = np.repeat(np.arange(len(found)), [len(s) for _, s, _, _ in found])[np.argsort(at, kind="stable")]
     cuts = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(every)))])
     table = np.zeros(TABLE, bool)
     table[(every % np.uint64(TABLE)).astype(np.int64)] = True
-    sizes, lengths = np.array([len(s) for _, s, _ in found]), np.array([n for _, _, n in found])
-    return Library([n for n, _, _ in found], [s for _, s, _ in found], sizes, every, table, lengths, owners, cuts)
+    sizes, lengths = np.array([len(s) for _, s, _, _ in found]), np.array([n for _, _, n, _ in found])
+    return Library([n for n, _, _, _ in found], [s for _, s, _, _ in found], sizes, every, table, lengths, owners, cuts, [x for _, _, _, x in found])
+
+
+def _numbers(data: np.ndarray, w: Words, first: int, last: int) -> set[int]:
+    """Hashes of the words from first to before last that begin with a digit."""
+    head = data[w.start[first:last]]
+    return set(w.hash[first:last][(head >= 0x30) & (head <= 0x39)].tolist())
+
+
+def _other_version(lib: Library, t: int, data: np.ndarray, w: Words, first: int, last: int) -> bool:
+    """Whether a place lacks numbers of a notice and has others, within two words behind it too."""
+    if not lib.numbers[t]:
+        return False
+    stop = min(last + 3, int(np.searchsorted(w.row, w.row[first], "right")))
+    here = _numbers(data, w, first, stop)
+    return bool(lib.numbers[t] - here and here - lib.numbers[t])
 
 
 def _known(lib: Library, h: np.ndarray) -> np.ndarray:
@@ -85,8 +103,8 @@ def _known(lib: Library, h: np.ndarray) -> np.ndarray:
     return out
 
 
-def _hits(lib: Library, hashes: np.ndarray, unit: np.ndarray, threshold: float) -> Iterator[tuple[int, str, float]]:
-    """(unit, template, score) of all units that reach the threshold."""
+def _hits(lib: Library, hashes: np.ndarray, unit: np.ndarray, threshold: float) -> Iterator[tuple[int, int, float, int]]:
+    """(unit, template, score, common bigrams) of all units that reach the threshold."""
     of, h = bigrams(hashes, unit)
     known = _known(lib, h)
     share = threshold / (2 - threshold)
@@ -110,11 +128,11 @@ def _hits(lib: Library, hashes: np.ndarray, unit: np.ndarray, threshold: float)
             common = len(np.intersect1d(own, lib.sets[t], assume_unique=True))
             dice = 2 * common / (m + len(lib.sets[t]))
             if dice >= threshold:
-                yield int(u[s]), lib.names[t], dice
+                yield int(u[s]), t, dice, common
 
 
-def _windows(lib: Library, hashes: np.ndarray, row: np.ndarray, threshold: float) -> Iterator[tuple[int, int, str, float]]:
-    """(first word, last word, template, score) of windows of a template's number of words that reach the threshold, cut to known bigrams at both ends.
+def _windows(lib: Library, hashes: np.ndarray, row: np.ndarray, threshold: float) -> Iterator[tuple[int, int, int, float, int]]:
+    """(first word, last word, template, score, common bigrams) of windows of a template's number of words that reach the threshold, cut to known bigrams at both ends.
 
     Windows begin at every bigram of the template; only those with enough of its bigrams are compared. Of overlapping windows of a template the best stays.
     """
@@ -142,7 +160,7 @@ def _windows(lib: Library, hashes: np.ndarray, row: np.ndarray, threshold: float
             yield from _best(lib, t, h, own, begin[part], stop[part], threshold) if len(part) else ()
 
 
-def _best(lib: Library, t: int, h: np.ndarray, own: np.ndarray, begin: np.ndarray, stop: np.ndarray, threshold: float) -> Iterator[tuple[int, int, str, float]]:
+def _best(lib: Library, t: int, h: np.ndarray, own: np.ndarray, begin: np.ndarray, stop: np.ndarray, threshold: float) -> Iterator[tuple[int, int, int, float, int]]:
     """Hits among windows that hang together, which begin and stop at these bigrams; ``own`` are the places of the template's bigrams."""
     low, size = int(begin[0]), int(lib.sizes[t])
     value = h[low : int(stop[-1])].tolist()
@@ -172,10 +190,11 @@ def _best(lib: Library, t: int, h: np.ndarray, own: np.ndarray, begin: np.ndarra
         if taken[s:e].any():
             continue
         u = set(value[s:e])
-        dice = 2 * len({v for v, x in zip(value[s:e], is_ours[s:e], strict=True) if x}) / (len(u) + size)
+        common = len({v for v, x in zip(value[s:e], is_ours[s:e], strict=True) if x})
+        dice = 2 * common / (len(u) + size)
         if dice >= threshold:
             taken[s:e] = True
-            yield low + s, low + e, lib.names[t], dice
+            yield low + s, low + e, t, dice, common
 
 
 def _units(data: np.ndarray, offsets: np.ndarray, row: np.ndarray, start: np.ndarray) -> dict[str, np.ndarray]:
@@ -201,25 +220,30 @@ def licenses(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, threshol
             data, offsets = column_bytes(b.column(1))
             found: list[set] = [set() for _ in range(b.num_rows)]
             windows: list[set] = [set() for _ in range(b.num_rows)]
+            named: list[list] = [[] for _ in range(b.num_rows)]
             for a, z in runs(offsets):
                 own, offs = data[offsets[a] : offsets[z]], offsets[a : z + 1] - offsets[a]
                 w = words(LOWER[own], offs, NOT_ALNUM)
-                for kind, unit in _units(own, offs, w.row, w.start).items() if len(w.row) else ():
-                    for u, name, score in _hits(lib, w.hash, unit, threshold):
-                        first, last = int(np.searchsorted(unit, u)), int(np.searchsorted(unit, u, "right")) - 1
-                        r = int(w.row[first])
-                        chars = lambda at, r=r: len(own[offs[r] : at].tobytes().decode())
-                        found[a + r].add((chars(w.start[first]), chars(w.end[last]), kind, name, score))
-                for first, last, name, score in _windows(lib, w.hash, w.row, threshold) if len(w.row) else ():
+                if not len(w.row):
+                    continue
+                hits = [
+                    (int(np.searchsorted(unit, u)), int(np.searchsorted(unit, u, "right")) - 1, kind, *hit)
+                    for kind, unit in _units(own, offs, w.row, w.start).items() for u, *hit in _hits(lib, w.hash, unit, threshold)
+                ]
+                hits += [(first, last, "window", *hit) for first, last, *hit in _windows(lib, w.hash, w.row, threshold)]
+                for first, last, kind, t, score, common in hits:
                     r = int(w.row[first])
                     chars = lambda at, r=r: len(own[offs[r] : at].tobytes().decode())
-                    windows[a + r].add((chars(w.start[first]), chars(w.end[last]), "window", name, score))
-            best = [min(((-x[4], x[3]) for x in f | g), default=None) for f, g in zip(found, windows, strict=True)]
+                    (windows if kind == "window" else found)[a + r].add((chars(w.start[first]), chars(w.end[last]), kind, lib.names[t], score))
+                    if not _other_version(lib, t, own, w, first, last):
+                        named[a + r].append((score, common, lib.names[t]))
+            top = [max(x[0] for x in f) if f else 0.0 for f in named]
+            best = [min(((-c, -v, n) for v, c, n in f if v >= m - NEAR), default=None) for f, m in zip(named, top, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column(0),
-                    pa.array([None if x is None else x[1] for x in best], pa.string()),
-                    pa.array([0.0 if x is None else -x[0] for x in best], pa.float64()),
+                    pa.array([None if x is None else x[2] for x in best], pa.string()),
+                    pa.array([0.0 if x is None else -x[1] for x in best], pa.float64()),
                     pa.array([len(f) for f in found], pa.int64()),
                     pa.array([_written(f) for f in found], pa.string()),
                     pa.array([len(f) for f in windows], pa.int64()),

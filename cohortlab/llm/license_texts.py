@@ -1,4 +1,9 @@
-"""Licence notices and short licence texts, as published. Fixed values."""
+"""Licence notices and short licence texts, as published. Fixed values. ``every`` adds full texts (files in ``licences``), standard headers and usual notices."""
+
+from __future__ import annotations
+
+import os
+import re
 
 TEMPLATES = {
     "mit-notice": "Released under the MIT License.",
@@ -51,3 +56,70 @@ that you wrote the original software. If you use this software in a product, an
 not required. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. This notice may not
 be removed or altered from any source distribution.""",
 }
+
+#: What redistribution clauses of BSD-3-Clause have between those of BSD-2-Clause and the disclaimer.
+_BSD_3 = """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from
+this software without specific prior written permission. THIS SOFTWARE IS PROVIDED"""
+
+_GNU = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU {0}General Public License as published by
+the Free Software Foundation, either version {1} of the License, or (at your option) any later version. This program is distributed in the hope that
+it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the
+GNU {0}General Public License for more details. You should have received a copy of the GNU {0}General Public License along with this program. If not,
+see <https://www.gnu.org/licenses/>."""
+
+HEADERS = {
+    "bsd-3-clause": TEMPLATES["bsd-2-clause"].replace("THIS SOFTWARE IS PROVIDED", _BSD_3, 1),
+    "gpl-2.0-or-later": _GNU.format("", "2"),
+    "lgpl-2.1-or-later": _GNU.format("Lesser ", "2.1"),
+    "lgpl-3.0-or-later": _GNU.format("Lesser ", "3"),
+    "agpl-3.0-or-later": _GNU.format("Affero ", "3"),
+    "epl-2.0": """This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at
+https://www.eclipse.org/legal/epl-2.0/""",
+}
+
+#: Names that notices use.
+NAMES = {
+    "mit": ("the MIT License",),
+    "isc": ("the ISC License",),
+    "apache-2.0": ("the Apache License 2.0", "the Apache License, Version 2.0"),
+    "bsd-2-clause": ("the BSD 2-Clause License",),
+    "bsd-3-clause": ("the BSD 3-Clause License",),
+    "mpl-1.1": ("the Mozilla Public License 1.1", "the Mozilla Public License, version 1.1"),
+    "mpl-2.0": ("the Mozilla Public License 2.0", "the Mozilla Public License, version 2.0"),
+    "epl-1.0": ("the Eclipse Public License 1.0", "the Eclipse Public License, version 1.0"),
+    "epl-2.0": ("the Eclipse Public License 2.0", "the Eclipse Public License, version 2.0"),
+    "cc0-1.0": ("CC0 1.0", "CC0 1.0 Universal"),
+    **{
+        f"{k}-{v}.0": (f"the GNU {n}General Public License v{v}.0", f"the GNU {n}General Public License, version {v}")
+        for k, n, versions in (("gpl", "", "123"), ("lgpl", "Lesser ", "3"), ("agpl", "Affero ", "3")) for v in versions
+    },
+    "lgpl-2.1": ("the GNU Lesser General Public License v2.1", "the GNU Lesser General Public License, version 2.1"),
+    **{
+        f"cc-{k}-{v}": (f"CC {k.upper()} {v}", f"a Creative Commons {n} {v} {'International' if v == '4.0' else 'Unported'} License")
+        for v in ("3.0", "4.0")
+        for k, n in (
+            ("by", "Attribution"), ("by-sa", "Attribution-ShareAlike"), ("by-nd", "Attribution-NoDerivatives"), ("by-nc", "Attribution-NonCommercial"),
+            ("by-nc-sa", "Attribution-NonCommercial-ShareAlike"), ("by-nc-nd", "Attribution-NonCommercial-NoDerivatives"),
+        )
+    },
+}
+NOTICES = ("Licensed under {}.", "Released under {}.", "This work is licensed under {}.", "This project is licensed under the terms of {}.")
+
+
+def _plain(text: str) -> str:
+    return " ".join(re.findall("[a-z0-9]+", text.lower()))
+
+
+def every() -> dict[str, str]:
+    """All templates; a notice that TEMPLATES have under another name keeps that name. Read where the plan is made, workers get the library."""
+    folder = os.path.join(os.path.dirname(os.path.abspath(__file__)), "licences")
+    out = TEMPLATES | HEADERS
+    for name in sorted(os.listdir(folder)):
+        with open(os.path.join(folder, name), encoding="utf-8") as f:
+            out[name.removesuffix(".txt").lower() + "-text"] = f.read()
+    known = {_plain(t) for t in out.values()}
+    for name, ways in NAMES.items():
+        for k, (notice, way) in enumerate((n, w) for w in ways for n in NOTICES):
+            if _plain(text := notice.format(way)) not in known:
+                out[f"{name}-notice-{k}"] = text
+    return out

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, fingerprints, license_scan, mixing, ngram_join, secret_scan, sharding, substring_dedup, toxicity
+from . import bpe, exact_dedup, fingerprints, license_scan, license_texts, mixing, ngram_join, secret_scan, sharding, substring_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -98,7 +98,7 @@ def op6_secret_scan(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def op1_license_scan(spark: SparkSession, d: str) -> DataFrame:
-    return license_scan.licenses(table(spark, d, "documents")).withColumnRenamed("_id", "doc_id")
+    return license_scan.licenses(table(spark, d, "documents"), license_texts.every()).withColumnRenamed("_id", "doc_id")
 
 
 #: Words of documents with their numbers, and what follows a word.

@@ -103,6 +103,22 @@ def test_licenses_over_paragraphs_and_inside_lines(spark):
     assert line[a:z] == "Released under the MIT License"
 
 
+def test_the_library_names_versions_and_full_texts(spark):
+    every = license_texts.every()
+    cases = {
+        "Licensed under the MIT License.": "mit-", "Licensed under CC BY 4.0.": "cc-by-4.0", "Licensed under CC BY-SA 4.0.": "cc-by-sa-4.0",
+        "This work is licensed under the GNU General Public License, version 2.": "gpl-2.0-", "Released under the MIT License.": "mit-notice",
+        "This work is licensed under the GNU General Public License, version 3.": "gpl-3.0-line", "Licensed under CC BY-NC 4.0.": "cc-by-nc-4.0-line",
+        every["bsd-3-clause"]: "bsd-3-clause", every["bsd-2-clause"]: "bsd-2-clause", "Copyright X. All rights reserved.\n\n" + every["bsd-3-clause"]: "bsd-3-clause",
+        every["gpl-3-text"]: "gpl-3-text", every["gpl-2-text"]: "gpl-2-text", "x y z. " * 99 + every["apache-2.0-text"]: "apache-2.0-text",
+        every["lgpl-2.1-text"]: "lgpl-2.1-text", every["cc0-1.0-text"]: "cc0-1.0-text", every["agpl-3.0-or-later"]: "agpl-3.0-or-later",
+    }
+    rows = [(k, text) for k, text in enumerate(cases)] + [(99, "Licensed under the Apache License, Version 1.1.")]
+    got = {r["_id"]: r["license"] for r in license_scan.licenses(spark.createDataFrame(rows, "doc_id long, text string"), every).collect()}
+    assert got.pop(99) is None  # no template has this version
+    assert [g.startswith(w) for g, w in zip([got[k] for k in range(len(cases))], cases.values())] == [True] * len(cases), got
+
+
 # ---- fingerprints
 
 def test_fingerprints_of_edited_texts_and_neighbours(spark, odd, odd_rows):
