@@ -3,11 +3,11 @@
 1. Documents with a row in the label table teach a softmax classifier (shapes of words, length, variety). It is fitted on
    at most ``sample`` labelled rows, those with the smallest hash of the id: a documented bound.
 2. Every document gets domain posteriors p and its number of words t.
-3. Rates r >= 0 minimise || sum r t p - T ||^2 by projected gradient from r = 1. The update of a rate needs the residual of the totals
-   alone (as many numbers as domains), so a rate is a fold over the residuals so far: an iteration is one aggregation over a
-   narrow table, nothing else is kept, and lost work is simply done again.
-   The step is scaled by the second moments of p and halved when the residual does not shrink; it ends at the targets, or where
-   it hardly comes nearer (with bounded rates targets may be out of reach).
+3. Rates r >= 0 minimise || sum r t p - T ||^2, and of such rates those nearest to 1 (a ridge of RIDGE on r - 1 says so). The best rates are
+   1 - p.u, cut to the bounds, with one number of u per domain: the dual has as many unknowns as domains. It is solved by Newton
+   steps with a line search, which end on the gradient alone; each is one aggregation over a narrow table, and lost work is simply done again.
+   With bounded rates and no total given, the total is halved in on the most words with which the targets are met; where none is found, rates are
+   the nearest ones at the total the scarcest domain allows.
 
 Defined results: NULL and empty texts have 0 words, posteriors as the classifier gives them, and a rate like any document's; without labelled rows posteriors are
 equal; a document labelled more than once counts with its largest domain; labels without document or value are
@@ -29,7 +29,7 @@ from cohortlab.session import cut_lineage
 from .words import column_bytes, distinct, runs, words
 
 SAMPLE = 5_000
-STEPS, TOLERANCE, STALLED = 60, 1e-4, 0.97
+STEPS, TRIALS, TOLERANCE, EXACT, RIDGE = 60, 8, 1e-4, 1e-6, 1e-6
 #: Labelled rows that must show a feature for it to count, and rows whose features are made at once.
 LEAST_ROWS, BLOCK = 5, 2048
 
@@ -180,37 +180,62 @@ def fit_rates(rows: DataFrame, weights: Sequence[float], total: float | None = N
     first = rows.agg(
         F.sum("n_words").alias("z"),
         *[F.sum(F.col("n_words") * p[i]).alias(f"e{i}") for i in range(k)],
-        *[F.sum(F.col("n_words") * p[i] * p[j]).alias(f"a{i}_{j}") for i in range(k) for j in range(k)],
     ).first()
     z = first["z"] or 0
     if not z:
         return Rates([], most), np.zeros(k), np.zeros(k)
     shares = np.array([first[f"e{i}"] for i in range(k)]) / z
-    moments = np.array([[first[f"a{i}_{j}"] for j in range(k)] for i in range(k)]) / z
     goal = np.asarray(weights, float) / np.sum(weights)
-    if total is None:
-        total = 1.0 if most is None else min(1.0, float(np.min(most * shares[goal > 0] / goal[goal > 0])))
-    goal = goal * total
-    back = np.linalg.pinv(moments, rcond=1e-6)
-    updates: list[np.ndarray] = []
-    now, size = shares, 1.0
-    for _ in range(STEPS):
-        residual = now - goal
-        if np.abs(residual).max() <= TOLERANCE:
-            break
-        trial = [*updates, size * (back @ residual)]
-        got = rows.withColumn("r", Rates(trial, most).column()).agg(*[F.sum(F.col("r") * F.col("n_words") * p[i]).alias(f"e{i}") for i in range(k)]).first()
-        after = np.array([got[f"e{i}"] for i in range(k)]) / z
-        was, is_now = np.linalg.norm(residual), np.linalg.norm(after - goal)
-        if is_now < was:
-            updates, now = trial, after
-            if is_now > STALLED * was:  # bounded rates may not reach the targets: this is as near as they come
+
+    def solved(goal: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(update, shares) of the best rates for a goal, by Newton steps on the dual."""
+
+        def at(u: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+            """Dual value, shares, and moments of the rows whose rate is within its bounds."""
+            wanted = F.lit(1.0) - sum((p[i] * float(u[i]) for i in range(k)), F.lit(0.0))
+            free = (wanted > 0) if most is None else (wanted > 0) & (wanted < most)
+            got = rows.select("n_words", "p", Rates([u], most).column().alias("_r"), free.cast("double").alias("_free")).agg(
+                F.sum(F.col("n_words") * (F.col("_r") - 1) ** 2).alias("q"),
+                *[F.sum(F.col("_r") * F.col("n_words") * p[i]).alias(f"e{i}") for i in range(k)],
+                *[F.sum(F.col("_free") * F.col("n_words") * p[i] * p[j]).alias(f"a{i}_{j}") for i in range(k) for j in range(k)],
+            ).first()
+            e = np.array([got[f"e{i}"] for i in range(k)]) / z
+            return float(u @ (goal - e)) - got["q"] / z / 2 + RIDGE * float(u @ u) / 2, e, np.array([[got[f"a{i}_{j}"] for j in range(k)] for i in range(k)]) / z
+
+        u = start
+        value, now, inner = at(u)
+        for _ in range(STEPS):
+            gradient = goal - now + RIDGE * u
+            if np.abs(gradient).max() <= EXACT:
                 break
-        elif size > 1e-3:
-            size /= 2
-        else:
-            break
-    return Rates(updates, most), now, goal
+            way, size = -np.linalg.solve(inner + RIDGE * np.eye(k), gradient), 1.0
+            while size > 1e-9:
+                trial = at(u + size * way)
+                if trial[0] <= value + 1e-4 * size * float(gradient @ way) + 1e-14:
+                    break
+                size /= 4
+            else:
+                break
+            u, (value, now, inner) = u + size * way, trial
+        return u, now
+
+    zero = np.zeros(k)
+    bound = 1.0 if most is None else min(1.0, float(np.min(most * shares[goal > 0] / goal[goal > 0])))
+    whole = bound if total is None else total
+    u, now = solved(goal * whole, zero)
+    if total is None and most is not None and np.abs(now - goal * whole).max() > TOLERANCE:
+        # domains overlap: with fewer words the weights may be met; the most words with which they are, unless there are none
+        low, high, best = 0.0, whole, None
+        for _ in range(TRIALS):
+            middle = (low + high) / 2
+            found = solved(goal * middle, zero)
+            if np.abs(found[1] - goal * middle).max() <= TOLERANCE * middle:
+                low, best = middle, found
+            else:
+                high = middle
+        if best is not None:
+            whole, (u, now) = low, best
+    return Rates([u], most), now, goal * whole
 
 
 def mix(

@@ -268,6 +268,22 @@ def test_rates_meet_the_targets(spark, odd, odd_rows):
     assert mixing.mix(docs.limit(0), marks, F.col("quality"), (0.5, 0.5)).count() == 0
 
 
+def test_bounded_rates_are_the_best_ones(spark):
+    rng = np.random.default_rng(3)
+    low = np.clip(rng.beta(0.6, 0.6, 4000), 0.02, 0.98)
+    t = rng.integers(1, 60, 4000)
+    rows = spark.createDataFrame([(int(n), [float(x), float(1 - x)]) for n, x in zip(t, low)], "n_words long, p array<double>").repartition(2).cache()
+    p = np.column_stack([low, 1 - low])
+    for total in (0.5, 0.9):
+        rates, now, goal = mixing.fit_rates(rows, (0.1, 0.9), total=total, most=1.0)
+        r = rates.of(p)
+        assert np.allclose((r * t) @ p / t.sum(), now) and (r >= 0).all() and (r <= 1).all()
+        gradient = p @ (now - goal)  # no corner of the box is nearer: the gap bounds what half the squared distance could still lose
+        assert (t * gradient * (r - (gradient < 0))).sum() / t.sum() < 1e-5
+    _, now, goal = mixing.fit_rates(rows, (0.1, 0.9), most=1.0)
+    assert np.abs(now / now.sum() - (0.1, 0.9)).max() < 1e-3 and 0.1 < now.sum() < 1
+
+
 # ---- pipeline
 
 def test_stages_on_odd_tables(spark, odd, odd_rows, tmp_path):
