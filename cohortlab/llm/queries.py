@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, fingerprints, license_scan, license_texts, mixing, ngram_join, secret_scan, sharding, substring_dedup, toxicity
+from . import bpe, centroids, exact_dedup, fingerprints, license_scan, license_texts, mixing, ngram_join, pii, resampling, secret_scan, sharding, substring_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -101,6 +101,21 @@ def op1_license_scan(spark: SparkSession, d: str) -> DataFrame:
     return license_scan.licenses(table(spark, d, "documents"), license_texts.every()).withColumnRenamed("_id", "doc_id")
 
 
+@query
+def op11_resampling(spark: SparkSession, d: str) -> DataFrame:
+    return resampling.resample(table(spark, d, "documents"), table(spark, d, "benchmark")).withColumnRenamed("_id", "doc_id")
+
+
+@query
+def op12_pii(spark: SparkSession, d: str) -> DataFrame:
+    return pii.personal_data(table(spark, d, "documents")).withColumnRenamed("_id", "doc_id")
+
+
+@query
+def op13_centroids(spark: SparkSession, d: str) -> DataFrame:
+    return centroids.cluster(table(spark, d, "embeddings")).withColumnRenamed("_id", "vec_id")
+
+
 #: Words of documents with their numbers, and what follows a word.
 _WORDS = r"""
 d AS (SELECT doc_id, regexp_extract_all({text}, '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -136,3 +151,55 @@ least AS (SELECT doc_id, min(other) AS other FROM reached GROUP BY doc_id)
 SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(other, doc_id)) AS component_id
 FROM d LEFT JOIN sizes USING (doc_id) LEFT JOIN least USING (doc_id)
 """
+
+#: SQL text of a floored quotient of whole numbers.
+_FLOORED = "(({a}) - ((({a}) % {b}) + {b}) % {b}) // {b}"
+
+
+def _words_in(table_name: str) -> str:
+    lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"regexp_extract_all({lower}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM {table_name}"
+
+
+ORACLES["op11_resampling"] = f"""
+WITH bits AS (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS x
+              FROM (SELECT unnest(range(256))::BIGINT AS i)),
+crcs AS (SELECT list(x ORDER BY i) AS crc FROM bits),
+d AS (SELECT doc_id, {_words_in("documents")}),
+corpus AS (SELECT t, count(*) AS n FROM (SELECT unnest(w) AS t FROM d) GROUP BY t),
+target AS (SELECT t, count(*) AS n FROM (SELECT unnest(w) AS t FROM (SELECT {_words_in("benchmark")})) GROUP BY t),
+spelt AS (SELECT t, list_transform(range(strlen(t)), lambda k: ('0x' || substr(hex(t), 2 * k + 1, 2))::BIGINT) AS b FROM (SELECT t FROM corpus UNION SELECT t FROM target)),
+hashed AS (SELECT t, xor(list_reduce(list_prepend(4294967295::BIGINT, b), lambda c, x: xor(c >> 8, crc[(xor(c, x) & 255) + 1])), 4294967295) % 10000 AS bucket FROM spelt, crcs),
+s AS (SELECT bucket, sum(n)::DOUBLE AS n FROM corpus JOIN hashed USING (t) GROUP BY bucket),
+g AS (SELECT bucket, sum(n)::DOUBLE AS n FROM target JOIN hashed USING (t) GROUP BY bucket),
+gain AS (SELECT bucket, floor(1000 * ln((coalesce(g.n, 0) + 1) * ((SELECT coalesce(sum(n), 0) FROM s) + 10000)
+                                   / ((s.n + 1) * ((SELECT coalesce(sum(n), 0) FROM g) + 10000))))::BIGINT AS gain FROM s LEFT JOIN g USING (bucket)),
+weighed AS (SELECT doc_id, count(*) AS n, sum(gain)::BIGINT AS total FROM (SELECT doc_id, unnest(w) AS t FROM d) JOIN hashed USING (t) JOIN gain USING (bucket) GROUP BY doc_id),
+scored AS (SELECT doc_id, coalesce(n, 0) AS n_features, coalesce({_FLOORED.format(a="total", b="n")}, 0) AS weight,
+                  ('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT AS h FROM d LEFT JOIN weighed USING (doc_id)),
+drawn AS (SELECT doc_id, n_features, weight, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM scored),
+ranked AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM drawn WHERE n_features >= 20)
+SELECT drawn.doc_id, n_features, weight, score, CASE WHEN rank <= 10 * (SELECT count(*) FROM ranked) // 100 THEN rank END AS rank
+FROM drawn LEFT JOIN ranked USING (doc_id)
+"""
+
+
+def _round(n: int) -> str:
+    """SQL text of assigning all vectors to the centroids of a round, and of those of the next."""
+    return f"""
+a{n} AS (SELECT vec_id, any_value(x) AS x, min({{'d': list_sum(list_transform(list_zip(x, m), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT, 'c': c}}) AS best
+        FROM v, c{n} GROUP BY vec_id),
+t{n} AS (SELECT c, i, sum(e) AS s, count(*) AS n FROM (SELECT best.c AS c, unnest(x) AS e, generate_subscripts(x, 1) AS i FROM a{n}) GROUP BY c, i),
+m{n} AS (SELECT c, list(({_FLOORED.format(a="s", b="n")})::BIGINT ORDER BY i) AS m FROM t{n} GROUP BY c),
+c{n + 1} AS (SELECT c, coalesce(m{n}.m, c{n}.m) AS m FROM c{n} LEFT JOIN m{n} USING (c)),"""
+
+
+ORACLES["op13_centroids"] = f"""
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda e: floor(64 * e::DOUBLE)::BIGINT) AS x FROM embeddings
+           WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = 64),
+c0 AS (SELECT row_number() OVER (ORDER BY h) - 1 AS c, x AS m FROM (SELECT sha256('1:' || vec_id) AS h, x FROM v ORDER BY h LIMIT 16)),
+{"".join(map(_round, range(4))).rstrip(",")}
+SELECT vec_id, best.c::INT AS cluster, best.d AS distance, (sum(best.d) OVER (PARTITION BY best.c))::BIGINT AS cluster_inertia,
+       (sum(best.d) OVER ())::BIGINT AS inertia, sha256(array_to_string(m, ',')) AS centroid_sha256
+FROM a3 JOIN c3 ON c3.c = best.c
+"""
