@@ -37,10 +37,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlab.session import cut_lineage
-
 from .components import components
 from .exact_dedup import filter_bits
+from .scratch import Scratch, released_shuffles
 from .words import LOWER, column_bytes, distinct, mix, runs, shingles, words
 
 WIDTH = 5
@@ -213,8 +212,32 @@ def _may_match(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a != b) & ((high == 65535) | (low * DEN >= high * NUM))
 
 
-def _grouped(index: DataFrame, small: int = SMALL) -> DataFrame:
-    """(sig, node, hub, large): candidates of every group, from rows sorted by signature.
+#: Rows summed up before they leave a task.
+SUMMED = 1 << 20
+
+
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, n): in how many small groups a pair of classes meets; b is -1 for how many large ones a class is in."""
+    held: list[np.ndarray] = []
+
+    def out() -> pa.RecordBatch:
+        rows = np.concatenate(held) if held else np.zeros((0, 2), np.int64)
+        order = np.lexsort((rows[:, 1], rows[:, 0]))
+        rows = rows[order]
+        first = np.flatnonzero(np.concatenate([[True], (rows[1:] != rows[:-1]).any(axis=1)])) if len(rows) else np.zeros(0, np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(rows[first, 0]), pa.array(rows[first, 1]), pa.array(np.diff(np.append(first, len(rows))))], names=["a", "b", "n"])
+
+    for b in batches:
+        node, hub, large = (b.column(k).to_numpy(zero_copy_only=False) for k in (1, 2, 3))
+        held.append(np.column_stack([np.where(large, node, np.minimum(node, hub)), np.where(large, -1, np.maximum(node, hub))]))
+        if sum(map(len, held)) >= SUMMED:
+            yield out()
+            held.clear()
+    yield out()
+
+
+def _grouped(index: DataFrame, small: int = SMALL, summed: bool = False) -> DataFrame:
+    """(sig, node, hub, large): candidates of every group, from rows sorted by signature; or their ``_sums``.
 
     In small groups hub runs over all classes before; in large ones it is the first. Memory: a batch and the last ``small`` classes.
     """
@@ -274,7 +297,10 @@ def _grouped(index: DataFrame, small: int = SMALL) -> DataFrame:
             yield from out(*left)
 
     n = index.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    return index.repartition(int(n), "sig").sortWithinPartitions("sig", "node").mapInArrow(each, "sig bigint, node bigint, hub bigint, large boolean")
+    ordered = index.repartition(int(n), "sig").sortWithinPartitions("sig", "node")
+    if summed:
+        return ordered.mapInArrow(lambda batches: _sums(each(batches)), "a bigint, b bigint, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    return ordered.mapInArrow(each, "sig bigint, node bigint, hub bigint, large boolean")
 
 
 def _wanted_bits(nodes: DataFrame) -> tuple[bytes, int]:
@@ -369,32 +395,34 @@ def _candidates(groups: DataFrame, narrow: DataFrame) -> DataFrame:
     return met.filter(enough).groupBy(F.least("plain", "hub").alias("a"), F.greatest("plain", "hub").alias("b")).agg(F.max("shared").alias("shared"))
 
 
-def _roots(found: DataFrame) -> DataFrame:
+def _roots(found: DataFrame, scratch: Scratch) -> DataFrame:
     """(digest, root): the component of every class that has a link."""
-    return cut_lineage(components(found.select("da", "db")).select(F.col("node").alias("digest"), "root"))
+    return scratch.keep(components(found.select("da", "db"), scratch).select(F.col("node").alias("digest"), "root"))
 
 
-def _linked(pairs: DataFrame, every: DataFrame, sets: DataFrame, doubled: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _linked(pairs: DataFrame, every: DataFrame, sets: DataFrame, doubled: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """(links, roots) that connect what ``pairs`` connect: each class's best pair is verified first, then pairs across components."""
     best = pairs.select(F.explode(F.array("a", "b")).alias("one"), "a", "b", "shared").groupBy("one").agg(F.max(F.struct("shared", "a", "b")).alias("best"))
-    first = cut_lineage(best.select("best.a", "best.b").unionByName(doubled).distinct())
-    found = cut_lineage(_verified(first, sets).filter(LINKED))
-    roots = _roots(found)
+    first = scratch.keep(best.select("best.a", "best.b").unionByName(doubled).distinct())
+    found = scratch.keep(_verified(first, sets).filter(LINKED).select("da", "db"))
+    roots = _roots(found, scratch)
     # by key; a key that stands for several sets is in no component for this purpose
     known = every.join(roots, "digest", "left").groupBy("node").agg(F.max("root").alias("root"), F.count(F.lit(1)).alias("sets")).filter("sets = 1 and root is not null").select("node", "root")
-    rest = (
+    rest = scratch.keep(
         pairs.select("a", "b").join(first, ["a", "b"], "left_anti")
         .join(known.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(known.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
         .filter("ra is null or rb is null or ra != rb").select("a", "b")
     )
-    more = cut_lineage(_verified(rest, sets).filter(LINKED))
+    needed = rest.select(F.col("a").alias("node")).unionByName(rest.select(F.col("b").alias("node"))).distinct()
+    more = scratch.keep(_verified(rest, sets.join(needed, "node", "left_semi")).filter(LINKED).select("da", "db"))
+    scratch.drop(first, rest)
     if more.isEmpty():
         return found, roots
     found = found.unionByName(more)
-    return found, _roots(found)
+    return found, _roots(found, scratch)
 
 
-def _by_shingle(sets: DataFrame, narrow: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _by_shingle(sets: DataFrame, narrow: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """(pairs that share enough single shingles, classes with too few rare shingles to be found by them)."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -403,13 +431,13 @@ def _by_shingle(sets: DataFrame, narrow: DataFrame) -> tuple[DataFrame, DataFram
             node = np.repeat(b.column(0).to_numpy(), [len(x) for x in own])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own) if own else np.zeros(0, np.int64)), pa.array(node, pa.int64())], names=["sig", "node"])
 
-    groups = cut_lineage(_grouped(sets.select("node", "own").mapInArrow(each, "sig bigint, node bigint"), SMALL_BY_SHINGLE))
+    sums = scratch.keep(_grouped(sets.select("node", "own").mapInArrow(each, "sig bigint, node bigint"), SMALL_BY_SHINGLE, summed=True))
     # a key may stand for several sets: then the smallest size and all its frequent shingles count, which only finds more
     sizes = narrow.groupBy("node").agg(F.min("n").alias("n"))
-    frequent = groups.filter("large").groupBy("node").agg(F.count(F.lit(1)).alias("frequent"))
+    frequent = sums.filter("b = -1").select(F.col("a").alias("node"), F.col("n").alias("frequent"))
     crowd = sizes.join(sets.select("node").distinct(), "node").join(frequent, "node", "left").fillna(0, ["frequent"])
     crowded = crowd.filter(F.col("n") - F.col("frequent") <= F.floor(F.col("n") * (DEN - NUM) / DEN)).select("node")
-    pairs = groups.filter("not large").groupBy(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).agg(F.count(F.lit(1)).alias("small"))
+    pairs = sums.filter("b >= 0").select("a", "b", F.col("n").alias("small"))
     of = {s: crowd.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("frequent").alias(f"f_{s}")) for s in ("a", "b")}
     met = pairs.join(of["a"], "a").join(of["b"], "b")
     # sets with similarity t have t / (1 + t) of their sizes in common
@@ -417,60 +445,73 @@ def _by_shingle(sets: DataFrame, narrow: DataFrame) -> tuple[DataFrame, DataFram
     return met.filter(enough).select("a", "b"), crowded
 
 
-def _across(docs: DataFrame, text_col: str, groups: DataFrame, narrow: DataFrame, every: DataFrame, roots: DataFrame) -> DataFrame | None:
+def _across(docs: DataFrame, text_col: str, groups: DataFrame, narrow: DataFrame, every: DataFrame, roots: DataFrame, scratch: Scratch) -> DataFrame | None:
     """Links across components within large groups, beyond those to a group's first class; None if there can't be any."""
     own = every.join(roots, "digest", "left").select("node", F.coalesce("root", "digest").alias("root"))
-    members = groups.filter("large").select("sig", F.col("node").alias("signed"), _plain("node").alias("node")).distinct().join(own, "node")
+    members = scratch.keep(groups.select("sig", F.col("node").alias("signed"), _plain("node").alias("node")).distinct().join(own, "node"))
     mixed = members.groupBy("sig").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 != r2").select("sig")
-    members = cut_lineage(members.join(mixed, "sig"))
-    if members.isEmpty():
-        return None
+    in_mixed = scratch.keep(members.join(mixed, "sig"))
+    scratch.drop(members)
     # a class that can do without all its mixed groups is found by its other segments
     dear = (
-        members.select("sig", "signed", "node").distinct().groupBy("signed", "node").agg(F.count(F.lit(1)).alias("dear")).join(_spare(narrow), "node")
+        in_mixed.select("sig", "signed", "node").distinct().groupBy("signed", "node").agg(F.count(F.lit(1)).alias("dear")).join(_spare(narrow), "node")
         .filter(F.col("dear") > F.greatest(F.lit(0), _own_spare("signed"))).select("signed")
     )
-    members = cut_lineage(members.join(dear, "signed").select("sig", "node", "root").distinct())
+    members = scratch.keep(in_mixed.join(dear, "signed").select("sig", "node", "root").distinct())
+    scratch.drop(in_mixed)
     if members.isEmpty():
         return None
-    sets = cut_lineage(_sets(docs, members.select("node").distinct(), text_col))
-    by_shingle, crowded = _by_shingle(sets, narrow)
-    found_here = cut_lineage(_verified(by_shingle, sets).filter(LINKED))
-    members = cut_lineage(members.join(crowded, "node", "left_semi"))
+    sets = scratch.keep(_sets(docs, members.select("node").distinct(), text_col))
+    by_shingle, crowded = _by_shingle(sets, narrow, scratch)
+    found_here = scratch.keep(_verified(by_shingle, sets).filter(LINKED).select("da", "db"))
+    near = scratch.keep(members.join(crowded, "node", "left_semi"))
+    scratch.drop(members)
+    members = near
     if members.isEmpty():
         return found_here
     hubs = members.groupBy("sig", "root").agg(F.min("node").alias("hub")).select("sig", "hub", F.col("root").alias("hub_root"))
-    near = cut_lineage(members.join(hubs, "sig"))
-    pairs = near.filter("node != hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-    tested = cut_lineage(_verified(pairs, sets))
+    near = scratch.keep(members.join(hubs, "sig"))
+    pairs = scratch.keep(near.filter("node != hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct())
+    tested = scratch.keep(_verified(pairs, sets))
     apart = tested.select("a", "b", (1 - F.col("common") / F.col("together")).alias("d"))
     apart = apart.groupBy("a", "b").agg(F.min("d").alias("d_low"), F.max("d").alias("d_high"))
     apart = apart.select(F.col("a").alias("node"), F.col("b").alias("hub"), "d_low", "d_high").unionByName(apart.select(F.col("b").alias("node"), F.col("a").alias("hub"), "d_low", "d_high"))
-    near = cut_lineage(near.join(apart, ["node", "hub"], "left").fillna(0.0, ["d_low", "d_high"]))
-    inside = near.filter("root = hub_root").select("sig", "hub", F.col("node").alias("y"), F.col("d_low").alias("y_low"), F.col("d_high").alias("y_high"))
+    measured = scratch.keep(near.join(apart, ["node", "hub"], "left").fillna(0.0, ["d_low", "d_high"]))
+    scratch.drop(near)
+    inside = measured.filter("root = hub_root").select("sig", "hub", F.col("node").alias("y"), F.col("d_low").alias("y_low"), F.col("d_high").alias("y_high"))
     reach = inside.groupBy("sig", "hub").agg(F.max("y_high").alias("reach"))
-    outside = near.filter("root != hub_root").join(reach, ["sig", "hub"]).filter(F.col("d_low") <= F.col("reach") + LEAST_DISTANCE)
+    outside = measured.filter("root != hub_root").join(reach, ["sig", "hub"]).filter(F.col("d_low") <= F.col("reach") + LEAST_DISTANCE)
     rest = (
         outside.join(inside, ["sig", "hub"]).filter((F.col("d_low") <= F.col("y_high") + LEAST_DISTANCE) & (F.col("y_low") <= F.col("d_high") + LEAST_DISTANCE))
         .select(F.least("node", "y").alias("a"), F.greatest("node", "y").alias("b")).filter("a != b").distinct().join(pairs, ["a", "b"], "left_anti")
     )
-    return cut_lineage(tested.unionByName(_verified(rest, sets)).filter(LINKED).unionByName(found_here))
+    more = scratch.keep(tested.filter(LINKED).select("da", "db").unionByName(_verified(rest, sets).filter(LINKED).select("da", "db")).unionByName(found_here))
+    scratch.drop(measured, pairs, tested, sets, found_here)
+    return more
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(_id, n_shingles, component_id) of every row of ``docs``."""
-    narrow = cut_lineage(_narrow(docs, id_col, text_col))
-    groups = cut_lineage(_grouped(_index(docs, text_col)))
+    with released_shuffles(docs.sparkSession):
+        return _similar_groups(docs, id_col, text_col, Scratch(docs.sparkSession))
+
+
+def _similar_groups(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
+    narrow = scratch.keep(_narrow(docs, id_col, text_col))
+    groups = scratch.keep(_grouped(_index(docs, text_col)))
     # different sets under one key
     doubled = narrow.filter("n > 0").groupBy("node").agg(F.min("digest").alias("d1"), F.max("digest").alias("d2")).filter("d1 != d2").select(F.col("node").alias("a"), F.col("node").alias("b"))
-    pairs = cut_lineage(_candidates(groups, narrow))
-    wanted = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).unionByName(doubled.select("a")).distinct().withColumnRenamed("a", "node")
-    sets = cut_lineage(_sets(docs, cut_lineage(wanted), text_col))
-    every = cut_lineage(narrow.filter("n > 0").select("node", "digest").distinct())
-    found, roots = _linked(pairs, every, sets, doubled)
-    more = _across(docs, text_col, groups, narrow, every, roots)
+    pairs = scratch.keep(_candidates(groups, narrow))
+    large = scratch.keep(groups.filter("large"))
+    scratch.drop(groups)
+    wanted = scratch.keep(pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).unionByName(doubled.select("a")).distinct().withColumnRenamed("a", "node"))
+    sets = scratch.keep(_sets(docs, wanted, text_col))
+    every = scratch.keep(narrow.filter("n > 0").select("node", "digest").distinct())
+    found, roots = _linked(pairs, every, sets, doubled, scratch)
+    scratch.drop(pairs, sets, wanted)
+    more = _across(docs, text_col, large, narrow, every, roots, scratch)
     if more is not None and not more.isEmpty():
-        roots = _roots(found.unionByName(more))
+        roots = _roots(found.unionByName(more), scratch)
     least = narrow.filter("n > 0").groupBy("digest").agg(F.min("_id").alias("least")).join(roots, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
     of = least.groupBy("root").agg(F.min("least").alias("component_id"))
     joined = narrow.join(least.join(of, "root").select("digest", "component_id"), "digest", "left")
