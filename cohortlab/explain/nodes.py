@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -89,6 +90,47 @@ def leaf_paths(nodes: DataFrame) -> list[Leaf]:
     return leaves
 
 
+class Packed(NamedTuple):
+    """Trees as arrays over all their nodes; children are positions in the arrays, -1 at leaves."""
+
+    roots: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+    feature: np.ndarray
+    threshold: np.ndarray
+    cover: np.ndarray
+    value: np.ndarray
+
+
+def packed(nodes: DataFrame) -> Packed:
+    """The node table of some trees as arrays on the driver; its size follows the model."""
+    rows = nodes.orderBy("tree", "id").collect()
+    tree, ident = np.array([r["tree"] for r in rows]), np.array([r["id"] for r in rows])
+    at = {k: i for i, k in enumerate(zip(tree.tolist(), ident.tolist()))}
+    child = {side: np.array([at[r["tree"], r[side]] if r[side] >= 0 else -1 for r in rows]) for side in ("left", "right")}
+    feature = np.array([r["feature"] if r["feature"] is not None else -1 for r in rows])
+    threshold = np.array([r["threshold"] if r["threshold"] is not None else 0.0 for r in rows], dtype=float)
+    cover, value = np.array([r["cover"] for r in rows], dtype=float), np.array([r["value"] for r in rows], dtype=float)
+    return Packed(np.flatnonzero(ident == 0), child["left"], child["right"], feature, threshold, cover, value)
+
+
+def packed_scorer(trees: Packed):
+    """Batch scorer of the model output: all rows step down a tree together."""
+
+    def predict(x: np.ndarray) -> np.ndarray:
+        out, every = np.zeros((len(x), trees.value.shape[1])), np.arange(len(x))
+        for root in trees.roots:
+            at = np.full(len(x), root)
+            while (inner := trees.left[at] >= 0).any():
+                rows = every[inner]
+                node = at[rows]
+                at[rows] = np.where(x[rows, trees.feature[node]] <= trees.threshold[node], trees.left[node], trees.right[node])
+            out += trees.value[at]
+        return out
+
+    return predict
+
+
 def leaf_scorer(leaves: list[Leaf]):
     """Batch scorer of the model output from its leaves."""
 

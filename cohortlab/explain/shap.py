@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..learners.base import batch_scorer, features_array
-from .nodes import leaf_paths, tree_groups, tree_nodes
+from .nodes import Packed, packed, tree_groups, tree_nodes
 
 
 def linear_contributions(
@@ -82,42 +82,87 @@ def shap_tree(df: DataFrame, model, features: list[str], keep: list[str] = ("row
     nodes, p = tree_nodes(df.sparkSession, model), len(features)
     phi, base = None, 0.0
     # contributions add up over trees, so a model of any size goes to the tasks in parts
-    for trees in tree_groups(nodes):
-        leaves = leaf_paths(nodes.filter(F.col("tree").isin(trees)))
-        shared = df.sparkSession.sparkContext.broadcast(leaves)
-        base = base + sum(leaf.value * np.prod(leaf.zero) for leaf in leaves)
+    for group in tree_groups(nodes):
+        trees = packed(nodes.filter(F.col("tree").isin(group)))
+        shared = df.sparkSession.sparkContext.broadcast(trees)
+        base = base + expected_value(trees)
         part = _array_udf(lambda v, shared=shared: tree_contributions(v, shared.value, p), features_array(df))
         phi = part if phi is None else F.zip_with(phi, part, lambda a, b: a + b)
     return long_contributions(df, phi, list(base), features, keep)
 
 
-def tree_contributions(x: np.ndarray, leaves: list, p: int) -> np.ndarray:
-    """(rows, classes, features) contributions summed over leaves.
+def expected_value(trees: Packed) -> np.ndarray:
+    """The mean output over the training rows: leaves weighted by their share of the root's rows."""
+    out = np.zeros(trees.value.shape[1])
+    for root in trees.roots:
+        stack = [root]
+        while stack:
+            node = stack.pop()
+            if trees.left[node] < 0:
+                out += trees.value[node] * trees.cover[node] / trees.cover[root]
+            else:
+                stack += [trees.left[node], trees.right[node]]
+    return out
+
+
+#: Rows that walk a tree together.
+WALKERS = 1024
+
+
+def _extended(w: np.ndarray, zero: float, one: np.ndarray) -> np.ndarray:
+    """Weights by coalition size after one more feature: the share ``zero`` of training rows goes on, ``one`` tells which rows do."""
+    d = len(w)
+    size = np.arange(d)[:, None]
+    out = np.zeros((d + 1, w.shape[1]))
+    out[:-1] = zero * w * (d - size) / (d + 1)
+    out[1:] += one * w * (size + 1) / (d + 1)
+    return out
+
+
+def _without(w: np.ndarray, zero: float, one: np.ndarray) -> np.ndarray:
+    """The summed weights of the path without one of its features."""
+    d = len(w) - 1
+    total, rest = np.zeros(w.shape[1]), w[d]
+    absent = np.zeros(w.shape[1])
+    for j in range(d - 1, -1, -1):
+        share = rest * ((d + 1) / (j + 1))
+        total = total + share
+        rest = w[j] - share * (zero * (d - j) / (d + 1))
+        absent = absent + w[j] * ((d + 1) / (zero * (d - j)))
+    return np.where(one > 0, total, absent)
+
+
+def tree_contributions(x: np.ndarray, trees: Packed, p: int) -> np.ndarray:
+    """(rows, classes, features) contributions; a block of rows walks down every tree at once.
 
-    With one-fractions o (does the row satisfy the path's splits on a feature) and zero-fractions z
-    (share of training rows that do), a leaf's game is the product of z + o t; the coefficients of the
-    product without one feature, weighted by coalition sizes, give that feature's share.
+    At a node the path holds each feature split on so far, with the share of training rows that satisfy all its splits and whether
+    a row does, and one weight per row and coalition size. A split extends the weights once for all rows and all leaves below. A feature
+    that is split on again replaces its earlier entry. At a leaf each feature gets its share of the value.
     """
-    n, k = len(x), len(leaves[0].value)
-    out = np.zeros((n, k, p))
-    for leaf in leaves:
-        d = len(leaf.feature)
-        if d == 0:
-            continue
-        one = np.stack([(x[:, f] > lo) & (x[:, f] <= hi) for f, lo, hi in zip(leaf.feature, leaf.low, leaf.high)]).astype(float)
-        poly = np.zeros((d + 1, n))
-        poly[0] = 1.0
-        for i, z in enumerate(leaf.zero):
-            poly[1:i + 2] = z * poly[1:i + 2] + one[i] * poly[0:i + 1]
-            poly[0] = z * poly[0]
-        sizes = [math.factorial(s) * math.factorial(d - s - 1) / math.factorial(d) for s in range(d)]
-        for i, (f, z) in enumerate(zip(leaf.feature, leaf.zero)):
-            q = np.zeros(n)
-            share = np.zeros(n)
-            for s in range(d - 1, -1, -1):
-                q = np.where(one[i] > 0, poly[s + 1] - z * q, poly[s] / z)
-                share += sizes[s] * q
-            out[:, :, f] += ((one[i] - z) * share)[:, None] * leaf.value[None, :]
+    out = np.zeros((len(x), trees.value.shape[1], p))
+    for at in range(0, len(x), WALKERS):
+        block, phi = x[at : at + WALKERS], out[at : at + WALKERS]
+        start = np.ones((1, len(block)))
+        for root in trees.roots:
+            stack = [(root, {}, start)]
+            while stack:
+                node, path, w = stack.pop()
+                if trees.left[node] < 0:
+                    value = trees.value[node]
+                    for f, (zero, one) in path.items():
+                        phi[:, :, f] += ((one - zero) * _without(w, zero, one))[:, None] * value
+                    continue
+                f = trees.feature[node]
+                low = block[:, f] <= trees.threshold[node]
+                before, held = path.get(f, (1.0, 1.0))
+                others = {k: v for k, v in path.items() if k != f}
+                if f in path:
+                    w = start
+                    for zero, one in others.values():
+                        w = _extended(w, zero, one)
+                for child, goes in ((trees.left[node], low), (trees.right[node], ~low)):
+                    zero, one = before * trees.cover[child] / trees.cover[node], held * goes.astype(float)
+                    stack.append((child, {**others, f: (zero, one)}, _extended(w, zero, one)))
     return out
 
 

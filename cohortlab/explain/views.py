@@ -6,8 +6,10 @@ aggregations, so compute the long table once, persist it, and derive all views.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,24 +76,40 @@ def shap_dependence(df: DataFrame, feature: str) -> DataFrame:
     return df.filter(F.col("feature") == feature).select("row_id", "class", "feature_value", "phi")
 
 
-def shap_decision_paths(df: DataFrame, features: list[str]) -> DataFrame:
+def shap_decision_paths(df: DataFrame, features: list[str] | None = None) -> DataFrame:
     """Per row and class: cumulative output from the base over features by rising importance.
 
-    ``df`` has a row's contributions as an array (``shap.linear_contributions``), so the running sum stays inside the row: only
-    the means of |phi|, one number per class and feature, are shuffled.
+    ``df`` has a row's contributions as an array over ``features`` (``shap.linear_contributions``), or is a long table: then the arrays
+    are gathered first. The running sums of a class are one cumulative sum per batch; only the means of |phi| are shuffled.
     """
-    names = F.array(*[F.lit(f) for f in features])
-    parts = df.select("class", F.posexplode("phi").alias("_j", "_v")).groupBy("class", "_j").agg(F.avg(F.abs("_v")).alias("importance"))
-    ranked = F.array_sort(F.collect_list(F.struct("importance", names[F.col("_j")].alias("feature"), "_j")))
-    order = parts.groupBy("class").agg(F.transform(ranked, lambda s: s["_j"]).alias("_order"))
-    met = df.join(broadcast_if_small(order), "class")
-
-    @F.pandas_udf("array<double>")
-    def running(base: pd.Series, phi: pd.Series, order: pd.Series) -> pd.Series:
-        return pd.Series([b + np.cumsum(np.asarray(p)[np.asarray(o)]) for b, p, o in zip(base, phi, order, strict=True)])
-
-    steps = met.withColumn("_path", running("base", "phi", "_order")).select("row_id", "class", "_order", F.posexplode("_path").alias("_k", "output"))
-    return steps.select("row_id", "class", names[F.col("_order")[F.col("_k")]].alias("feature"), (F.col("_k") + 1).cast("long").alias("step"), "output")
+    if features is None:
+        features = sorted(r[0] for r in df.select("feature").distinct().collect())
+        place = F.array_position(F.array(*map(F.lit, features)), F.col("feature"))
+        held = F.array_sort(F.collect_list(F.struct(place.alias("place"), "phi")))
+        df = df.groupBy("row_id", "class").agg(F.transform(held, lambda s: s["phi"]).alias("phi"), F.first("base").alias("base"))
+    means = df.select("class", F.posexplode("phi").alias("_j", "_v")).groupBy("class", "_j").agg(F.avg(F.abs("_v")).alias("importance")).collect()
+    # one number per class and feature
+    order = {c: [j for _, _, j in sorted((m["importance"], features[m["_j"]], m["_j"]) for m in means if m["class"] == c)] for c in {m["class"] for m in means}}
+    names = pa.array(features)
+
+    def paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p = len(features)
+        for b in batches:
+            classes = b.column(1).to_numpy()
+            phi = b.column(3).flatten().to_numpy().reshape(-1, p)
+            base = b.column(2).to_numpy()
+            for c in np.unique(classes).tolist():
+                rows, by = np.flatnonzero(classes == c), np.array(order[c])
+                output = base[rows, None] + np.cumsum(phi[rows][:, by], axis=1)
+                again = pa.array(np.repeat(rows, p))
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).take(again), b.column(1).take(again), names.take(pa.array(np.tile(by, len(rows)))), pa.array(np.tile(np.arange(1, p + 1), len(rows))), pa.array(output.ravel())],
+                    names=["row_id", "class", "feature", "step", "output"],
+                )
+
+    kinds = {c: df.schema[c].dataType.simpleString() for c in ("row_id", "class")}
+    slim = df.select("row_id", "class", F.col("base").cast("double").alias("base"), F.col("phi").cast("array<double>").alias("phi"))
+    return slim.mapInArrow(paths, f"row_id {kinds['row_id']}, class {kinds['class']}, feature string, step bigint, output double")
 
 
 def _of_class(df: DataFrame) -> DataFrame:

@@ -1,12 +1,13 @@
 """Bootstrap intervals without copying the rows once per replicate.
 
 Label metrics depend on the confusion cells only, so a replicate is one multinomial draw over K x K
-cells. Error metrics need five weighted sums per replicate, combined map-side. The AUC needs Poisson
+cells. Error metrics need five weighted sums per replicate, a matrix product per batch. The AUC needs Poisson
 counts per distinct score and running totals per score range.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -15,34 +16,50 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .hashing import digest, poisson_weight
+from .hashing import poisson_steps
 from .metrics import LABEL_METRICS, confusion, label_metrics, regression_scores, summarize_with_ci, to_long
 
 
+#: Numbers below which a 32-bit draw stands for weights 0, 1, 2, ...
+_STEPS = np.array([int(bound, 16) for bound, _ in poisson_steps()], np.int64)
+#: Rows weighed at once: their weights are a matrix of rows and replicates.
+_CHUNK = 256
+
+
+def poisson_matrix(ids: list[str | None], seed, replicates: int) -> np.ndarray:
+    """Poisson(1) weights, rows x replicates: a digest of seed, block and id holds the draws of four replicates."""
+    blocks = [f"{seed}|{b}".encode() for b in range((replicates + 3) // 4)]
+    md5 = hashlib.md5
+    raw = b"".join([md5(b + own).digest() for own in ["".encode() if i is None else b"|" + i.encode() for i in ids] for b in blocks])
+    draws = np.frombuffer(raw, ">u4").reshape(len(ids), -1)[:, :replicates]
+    return np.searchsorted(_STEPS, draws.astype(np.int64), "right").astype(float)
+
+
 def _weighted_sums(df: DataFrame, replicates: int, seed, id_col: str, keys: list[str], values: dict) -> DataFrame:
     """Per (replicate, keys): sums of weight * value for hash-drawn Poisson(1) weights.
 
-    Four replicates share a digest and an aggregation row, so a row passes replicates / 4 times
-    through a map-side aggregation and the shuffle carries only the group totals.
+    A batch is one product of its weights and its values; a task keeps a matrix of replicates and values per key and passes that on,
+    so no row is copied and the shuffle does not grow with the rows. NULL values add nothing.
     """
-    blocks = (replicates + 3) // 4
-    rows = df.select(
-        *keys,
-        *[c.alias(f"_v_{n}") for n, c in values.items()],
-        F.col(id_col).alias("_id"),
-        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_b"),
-    ).withColumn("_h", digest(seed, "_b", "_id"))
-    rows = rows.select(*keys, "_b", *[f"_v_{n}" for n in values], *[
-        poisson_weight(f"substring(_h, {1 + 8 * i}, 8)").alias(f"_w{i}") for i in range(4)
-    ])
-    sums = rows.groupBy(*keys, "_b").agg(*[
-        F.sum(F.col(f"_w{i}") * F.col(f"_v_{n}")).alias(f"{n}_{i}") for i in range(4) for n in values
-    ])
-    quads = F.array(*[
-        F.struct((F.col("_b") * 4 + i).alias("replicate"), *[F.col(f"{n}_{i}").alias(n) for n in values])
-        for i in range(4)
-    ])
-    return sums.select(*keys, F.inline(quads)).filter(F.col("replicate") < replicates)
+    names = list(values)
+    cols = [F.coalesce(c.cast("double"), F.lit(0.0)).alias(f"_v_{n}") for n, c in values.items()]
+    rows = df.select(*keys, F.col(id_col).cast("string").alias("_id"), *cols)
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[tuple, np.ndarray] = {}
+        for pdf in batches:
+            groups = pdf.groupby(keys, sort=False, dropna=False) if keys else [((), pdf)]
+            for key, own in groups:
+                key = key if isinstance(key, tuple) else (key,)
+                held = sums.setdefault(key, np.zeros((replicates, len(names))))
+                ids, v = own["_id"].tolist(), own[[f"_v_{n}" for n in names]].to_numpy()
+                for at in range(0, len(ids), _CHUNK):
+                    held += poisson_matrix(ids[at : at + _CHUNK], seed, replicates).T @ v[at : at + _CHUNK]
+        for key, held in sums.items():
+            yield pd.DataFrame({**dict(zip(keys, key)), "replicate": np.arange(replicates), **{n: held[:, j] for j, n in enumerate(names)}})
+
+    types = [f"{k} {df.schema[k].dataType.simpleString()}" for k in keys] + ["replicate int", *[f"{n} double" for n in names]]
+    return rows.mapInPandas(partial, ", ".join(types)).groupBy(*keys, "replicate").agg(*[F.sum(n).alias(n) for n in names])
 
 
 def bootstrap_regression(df: DataFrame, replicates: int = 1000, seed=42, p: int = 2, id_col: str = "row_id") -> DataFrame:

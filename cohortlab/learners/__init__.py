@@ -3,7 +3,7 @@
 from .bayes import fit_gaussian_nb, fit_lda
 from .gradient import fit_mlp_classifier, fit_mlp_regressor, fit_sgd_classifier, fit_svr
 from .kernel import CalibratedMargins, PipelinePair, fit_gp, fit_svm
-from .knn import KnnModel, fit_knn
+from .knn import KnnModel, fit_knn, knn_fold_scores
 from .linear import fit_elasticnet, fit_lasso, fit_logreg, fit_ols, fit_ridge
 from .shared import lda_many, least_squares_many, nb_many
 from .trees import (
@@ -44,3 +44,6 @@ MANY = {
     fit_lasso: least_squares_many(lambda o: (lambda n: float(o.get("alpha", 1.0)), 1.0)),
     fit_elasticnet: least_squares_many(lambda o: (lambda n: float(o.get("alpha", 1.0)), float(o.get("l1_ratio", 0.5)))),
 }
+
+# Learners whose candidates are scored without a model each: (df, fold column, folds, candidates) -> accuracies.
+SCORES = {fit_knn: knn_fold_scores}

@@ -1,53 +1,19 @@
 """Exact k-nearest-neighbour join and the oversampling built on it.
 
-No cross join: rows are assigned to cells around pivots, and the triangle inequality rules out cell
-pairs that cannot hold a neighbour. The rest is worked off in block pairs of bounded size. A block
-pair sends on at most k candidates per query, never its pairs. Copies of a vector are folded into one
-row first, so a vector that holds a third of the table costs as much as any other.
+No cross join: rows lie in the leaves of a pivot tree (``pivot_tree``), and a query visits only leaves within its own search radius.
+It takes at most k candidates from each. Copies of a vector are folded into one row first, so a vector that holds a third of the
+table costs as much as any other.
 """
 
 from __future__ import annotations
 
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.hashing import hash_key, hash_uniform
+from ..functions.hashing import hash_uniform
 from ..session import cut_lineage
 from .ordering import rank_by_hash
-
-BLOCK_ROWS = 2048
-MAX_PIVOTS = 256
-ROWS_PER_PIVOT = 512
-
-
-def _distances(a: np.ndarray, b: np.ndarray, p: int) -> np.ndarray:
-    """Exact distances of matching rows."""
-    d = np.abs(a - b)
-    return d.sum(axis=1) if p == 1 else np.sqrt((d * d).sum(axis=1))
-
-
-def _block_distances(a: np.ndarray, b: np.ndarray, p: int) -> np.ndarray:
-    """All distances between two blocks; for L2 up to rounding."""
-    if p == 1:
-        out = np.zeros((len(a), len(b)))
-        for j in range(a.shape[1]):
-            out += np.abs(a[:, j, None] - b[None, :, j])
-        return out
-    sq = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * (a @ b.T)
-    return np.sqrt(np.maximum(sq, 0.0))
-
-
-def _top_of_block(q: np.ndarray, s: np.ndarray, k: int, p: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query index, base index, exact distance) of at least the k nearest of each query."""
-    d = _block_distances(q, s, p)
-    kth = d.max(axis=1) if d.shape[1] <= k else np.partition(d, k - 1, axis=1)[:, k - 1]
-    # keep whatever rounding could have moved across the k-th place
-    slack = 1e-6 * (1.0 + np.abs(kth)) + 1e-7 * np.sqrt((q * q).sum(1))
-    qi, si = np.nonzero(d <= (kth + slack)[:, None])
-    return qi, si, _distances(q[qi], s[si], p)
+from .pivot_tree import QUERY_BLOCK, ROWS_PER_LEAF, PivotTree
 
 
 def _fold_copies(df: DataFrame, group: list[str], vec: str, id_col: str, keep: int) -> DataFrame:
@@ -57,44 +23,13 @@ def _fold_copies(df: DataFrame, group: list[str], vec: str, id_col: str, keep: i
     return first.groupBy(*group, vec).agg(F.array_sort(F.collect_list(id_col)).alias("ids"))
 
 
-def _assign(df: DataFrame, vec: str, pivots: np.ndarray, p: int) -> DataFrame:
-    """Nearest pivot (``cell``) and the distance to it (``reach``)."""
-
-    @F.pandas_udf("cell int, reach double")
-    def nearest(v: pd.Series) -> pd.DataFrame:
-        x = np.stack(v.to_numpy())
-        cell = _block_distances(x, pivots, p).argmin(axis=1)
-        return pd.DataFrame({"cell": cell.astype("int32"), "reach": _distances(x, pivots[cell], p)})
-
-    # marked so the planner does not repeat it for a filter on its result
-    nearest = nearest.asNondeterministic()
-    return df.withColumn("_c", nearest(vec)).select("*", "_c.cell", "_c.reach").drop("_c")
-
-
-def _cell_pairs(spark, q_stats: list, s_stats: list, pivots: np.ndarray, group: list[str], k: int, p: int, block_rows: int) -> DataFrame:
-    """Cell pairs that can hold a neighbour, with the number of blocks on either side.
-
-    For a query cell with radius U around pivot a, any base row at distance r from pivot b is within
-    U + |ab| + r of every query. The k-th smallest of these bounds the search radius; a base cell is
-    needed only if its closest possible row is inside.
-    """
-    gap = np.stack([_distances(pivots, np.broadcast_to(v, pivots.shape), p) for v in pivots])
-    base: dict[tuple, list] = {}
-    for r in s_stats:
-        base.setdefault(tuple(r[g] for g in group), []).append(r)
-    rows = []
-    for q in q_stats:
-        near = base.get(tuple(q[g] for g in group), [])
-        bounds = np.sort(np.concatenate([
-            q["radius"] + gap[q["cell"], s["cell"]] + np.asarray(s["near_r"]) for s in near
-        ])) if near else np.array([])
-        theta = bounds[k - 1] if len(bounds) >= k else np.inf
-        for s in near:
-            closest = gap[q["cell"], s["cell"]] - q["radius"] - s["radius"]
-            if closest <= theta * (1 + 1e-9):
-                rows.append((*[q[g] for g in group], q["cell"], s["cell"], -(-q["n"] // block_rows), -(-s["n"] // block_rows)))
-    names = [*group, "q_cell", "s_cell", "q_blocks", "s_blocks"]
-    return spark.createDataFrame(rows, ", ".join(f"{n} long" for n in names))
+def _group_number(base: DataFrame, group: list[str]) -> Column:
+    """The number of a row's group; groups have few values."""
+    if not group:
+        return F.lit(0)
+    name = F.concat_ws("|", *[F.col(g).cast("string") for g in group])
+    names = sorted(r[0] for r in base.select(name).distinct().collect())
+    return F.element_at(F.create_map(*[v for i, n in enumerate(names) for v in (F.lit(n), F.lit(i))]), name)
 
 
 def knn_join(
@@ -106,66 +41,32 @@ def knn_join(
     id_col: str = "row_id",
     group: list[str] = (),
     exclude_self: bool = False,
-    pivots: int | None = None,
-    block_rows: int = BLOCK_ROWS,
+    rows_per_leaf: int = ROWS_PER_LEAF,
+    query_block: int = QUERY_BLOCK,
 ) -> DataFrame:
     """The k nearest base rows of every query row: ``(id, neighbor_id, distance, rank)``.
 
     ``vec`` is an array of doubles, ``p`` 1 or 2, ties go to the smaller id. ``group`` columns
     (integers, few values) must be equal on both sides. Exact for any data.
     """
-    spark, group = base.sparkSession, list(group)
+    group = list(group)
     keep = k + 1 if exclude_self else k
     # both are read several times below: keep them as files
     s_all = cut_lineage(_fold_copies(base, group, vec, id_col, keep))
+    first = s_all.select(F.size(vec).alias("n")).first()
+    if first is None:
+        return queries.sparkSession.createDataFrame([], f"{id_col} long, neighbor_id long, distance double, rank int")
+    number, x = _group_number(s_all, group), F.col(vec).cast("array<double>").alias("x")
+    tree = PivotTree(s_all.select(number.alias("g"), x, F.col("ids").cast("array<bigint>").alias("ids")), first["n"], p, rows_per_leaf)
     # one id stands for all queries with the same vector
     if queries is base:
         q_all = s_all.select(*group, vec, F.col("ids")[0].alias("_q"))
+        found = tree.nearest(None, keep, query_block)
     else:
         q_all = cut_lineage(queries.groupBy(*group, vec).agg(F.min(id_col).alias("_q")))
-
-    # pivots: distinct vectors in hash order, a bounded number of them
-    n_pivots = pivots or min(MAX_PIVOTS, s_all.count() // ROWS_PER_PIVOT + 1)
-    chosen = s_all.select(vec, "ids").orderBy(hash_key("pivot", F.col("ids")[0])).limit(n_pivots).collect()
-    if not chosen:
-        return queries.sparkSession.createDataFrame([], f"{id_col} long, neighbor_id long, distance double, rank int")
-    at = np.unique(np.array([r[vec] for r in chosen], dtype="float64"), axis=0)
-
-    s_cells = _assign(s_all, vec, at, p)
-    q_cells = _assign(q_all, vec, at, p)
-    # the statistics have one row per cell and group: bounded by pivots x groups
-    w = Window.partitionBy(*group, "cell").orderBy("reach")
-    nearest = s_cells.select(*group, "cell", "reach").withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= keep)
-    near_r = nearest.groupBy(*group, "cell").agg(F.collect_list("reach").alias("near_r"))
-    s_stats = s_cells.groupBy(*group, "cell").agg(F.count(F.lit(1)).alias("n"), F.max("reach").alias("radius")).join(near_r, [*group, "cell"]).collect()
-    q_stats = q_cells.groupBy(*group, "cell").agg(F.count(F.lit(1)).alias("n"), F.max("reach").alias("radius")).collect()
-    # the pair list holds at most pivots^2 rows per group
-    pairs = _cell_pairs(spark, q_stats, s_stats, at, group, keep, p, block_rows)
-
-    def spread(n_own: str, n_other: str, own: str, other: str):
-        """Own block by hash, and one copy for every block of the other side."""
-        return (
-            F.pmod(F.xxhash64(vec), F.col(n_own)).alias(own),
-            F.explode(F.sequence(F.lit(0).cast("long"), F.col(n_other) - 1)).alias(other),
-        )
-
-    # both sides may come from one table: new names give the co-group new columns
-    key = [*group, "q_cell", "s_cell", "q_block", "s_block"]
-    q_key = [f"q_{c}" for c in key]
-    qs = q_cells.withColumn("q_cell", F.col("cell").cast("long")).join(pairs, [*group, "q_cell"])
-    qs = qs.select(*group, "q_cell", "s_cell", vec, "_q", *spread("q_blocks", "s_blocks", "q_block", "s_block"))
-    qs = qs.select(*[F.col(c).alias(n) for c, n in zip(key, q_key)], F.col(vec).alias("v"), F.col("_q").alias("q"))
-    ss = s_cells.withColumn("s_cell", F.col("cell").cast("long")).join(pairs, [*group, "s_cell"])
-    ss = ss.select(*group, "q_cell", "s_cell", vec, "ids", *spread("s_blocks", "q_blocks", "s_block", "q_block"))
-
-    def block(_, q: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or s.empty:
-            return pd.DataFrame({"q": [], "ids": [], "distance": []})
-        qi, si, dist = _top_of_block(np.stack(q["v"].to_numpy()), np.stack(s[vec].to_numpy()), keep, p)
-        return pd.DataFrame({"q": q["q"].to_numpy()[qi], "ids": s["ids"].to_numpy()[si], "distance": dist})
-
-    found = qs.groupBy(*q_key).cogroup(ss.groupBy(*key)).applyInPandas(block, "q long, ids array<bigint>, distance double")
-    flat = found.select("q", "distance", F.explode_outer("ids").alias("neighbor_id"))
+        asked = q_all.select(number.alias("g"), x, F.col("_q").cast("long").alias("q"))
+        found = tree.nearest(asked.filter("g is not null"), keep, query_block)
+    flat = found.select("q", "distance", F.explode("ids").alias("neighbor_id"))
     first = Window.partitionBy("q").orderBy("distance", "neighbor_id")
     best = flat.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= keep).drop("_n")
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import metrics as m
-from ..learners import MANY
+from ..learners import MANY, SCORES
 from ..learners.base import score
 from ..operators.sampling import kfold, stratified_kfold
 from ..session import cut_lineage
@@ -61,6 +61,8 @@ def candidate_list(grid: dict[str, list], method: str = "grid", n_iter: int = 10
 
 def grid_scores(df: DataFrame, fit: Fit, options: list[dict], fold_col: str, n_folds: int, metric: str, parallelism: int = 4) -> list[dict]:
     """(param_id, fold, score) of every candidate; many candidates are scored in one job."""
+    if fit in SCORES and metric == "accuracy":
+        return SCORES[fit](df, fold_col, n_folds, options)
     models = fold_models(df, fit, options, fold_col, n_folds, parallelism)
     out = []
     for at in range(0, len(options), CANDIDATES_PER_JOB):

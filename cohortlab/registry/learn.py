@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
@@ -23,6 +25,7 @@ from ..operators.neighbors import knn_join, smote
 from ..operators.sampling import kfold, stratified_kfold, stratified_split
 from ..operators.scaling import minmax_scale
 from ..plans import search
+from ..plans.grids import CLASSIFIER_GRIDS
 from ..session import cut_lineage, fresh_path
 from . import base as b
 from .base import r_sql, register, rnd
@@ -359,6 +362,32 @@ def _(spark, d):
     return out.orderBy("param_id", "fold")
 
 
+KNN_FOLDS_SQL = f"""
+, y as (select row_id, v, (v[1] + 0.5::double * v[2] > 0)::int as label, {b.hk_sql('fold', 'row_id')} % 3 as fold from em),
+pr as (select a.row_id, a.fold, a.label as own, b.label, b.row_id as nid, list_distance(a.v, b.v) as d2, list_sum([abs(x[1] - x[2]) for x in list_zip(a.v, b.v)]) as d1
+  from y a join y b on a.fold <> b.fold),
+rk as (select 2 as p, fold, row_id, own, label, d2 as d, row_number() over (partition by row_id order by d2, nid) as rank from pr
+  union all select 1, fold, row_id, own, label, d1, row_number() over (partition by row_id order by d1, nid) from pr),
+vt as (select p, k, w, fold, row_id, own, label, sum(case w when 'uniform' then 1 else 1 / d end) as vote
+  from rk, (values {_ks}) ks(k), (values ('uniform'), ('distance')) ws(w) where rank <= k group by all),
+pd as (select p, k, w, fold, row_id, any_value(own) as own, arg_max(label, (vote, -label)) as prediction from vt group by p, k, w, fold, row_id),
+ac as (select p, k, w, fold, avg((own = prediction)::int) as score from pd group by p, k, w, fold)
+select m as metric, q as p, k as n_neighbors, w as weights, fold::int as fold, {r_sql('score', 'score')}
+from ac, (values ('euclidean', 1, 2), ('euclidean', 2, 2), ('manhattan', 1, 1), ('manhattan', 2, 1), ('minkowski', 1, 1), ('minkowski', 2, 2)) ms(m, q, power) where power = ac.p"""
+
+
+@register("grid_search_knn", KNN_FOLDS_SQL)
+def _(spark, d):
+    # all 120 candidates of the grid on three folds, from one neighbour table per power
+    v = b.vectors(spark, d).withColumn("label", (F.col("features")[0] + 0.5 * F.col("features")[1] > 0).cast("int"))
+    folded = v.withColumn("fold", (hash_key("fold", "row_id") % 3).cast("int"))
+    grid = CLASSIFIER_GRIDS["KNN"]
+    options = [dict(zip(grid, values)) for values in itertools.product(*grid.values())]
+    scores = search.grid_scores(folded, L.fit_knn, options, "fold", 3, "accuracy")
+    rows = [(o["metric"], o["p"], o["n_neighbors"], o["weights"], s["fold"], s["score"]) for s in scores for o in [options[s["param_id"]]]]
+    return rnd(spark.createDataFrame(rows, "metric string, p int, n_neighbors int, weights string, fold int, score double"), "score")
+
+
 @register("nested_cv_classify")
 def _(spark, d):
     grid = {"shrinkage": [0.0, 0.25, 0.5, 0.75, 1.0], "tol": [1e-4]}

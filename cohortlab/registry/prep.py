@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..functions.hashing import POISSON_CUT, poisson_steps
@@ -70,7 +72,8 @@ def _(spark, d):
     two = oc.groupBy(F.col("priority_text").alias("name")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("price"), 4).alias("avg_price"))
     books.write_report_book({"old": old}, book)
     books.write_report_book({"a": one, "b": two}, book)
-    return spark.read.option("mergeSchema", True).parquet(book).select(F.col("sheet").cast("string").alias("sheet"), "name", "n", "avg_price")
+    sheets = [books.read_report_sheet(spark, book, s).withColumn("sheet", F.lit(s)) for s in books.report_sheets(spark, book)]
+    return reduce(lambda a, c: a.unionByName(c, allowMissingColumns=True), sheets).select("sheet", "name", "n", "avg_price")
 
 
 @register("read_report_sheet", "select status as name, count(*) as n from oc group by 1")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cohortlab import learners as L
 from cohortlab.explain import shap, views
 from cohortlab.explain.lime import lime, quartile_bins
-from cohortlab.explain.nodes import leaf_paths, leaf_scorer, tree_nodes
+from cohortlab.explain.nodes import leaf_paths, leaf_scorer, packed, packed_scorer, tree_nodes
 from tests.test_learners import data, frame, three, two, value  # noqa: F401
 
 
@@ -82,7 +82,17 @@ def test_tree_contributions_are_shapley_values(spark, three, value, kind, data):
         wanted = r["probability"].toArray() if kind == "forest" else [r["prediction"]]
         for c, v in enumerate(wanted):
             assert sums[r["row_id"], c] == pytest.approx(v, abs=1e-9)
-    assert leaf_scorer(leaves)(x[:12]).shape == (12, len(leaves[0].value))
+    assert np.allclose(leaf_scorer(leaves)(x), packed_scorer(packed(tree_nodes(spark, model)))(x), atol=1e-12)
+
+
+def test_deep_forest_adds_up(spark, three, data):
+    model = L.fit_forest_classifier(three, {"n_estimators": 50, "max_depth": 6})
+    trees = packed(tree_nodes(spark, model))
+    phi = shap.tree_contributions(data[0], trees, 3)
+    whole = phi.sum(axis=2) + shap.expected_value(trees)
+    assert np.abs(whole - packed_scorer(trees)(data[0])).max() < 1e-9
+    scored = {r["row_id"]: r["probability"].toArray() for r in model.transform(three).collect()}
+    assert max(np.abs(whole[i] - scored[i]).max() for i in scored) < 1e-9
 
 
 def test_kernel_and_permutation_on_a_product(spark, data):

@@ -306,3 +306,17 @@ def test_absent_class_numbers_keep_their_place(spark, name):
     df = spark.createDataFrame(rows, "row_id long, features array<double>, label double").withColumn("features", array_to_vector("features"))
     got = score(L.CLASSIFIERS[name](df, {}), df).select("label", "prediction", "probability").collect()
     assert all(r["label"] == r["prediction"] and len(r["probability"]) == 3 and r["probability"][1] == 0 for r in got)
+
+
+def test_neighbour_table_scores_equal_those_of_separate_fits(spark):
+    rng = np.random.default_rng(12)
+    rows = [(i, int(rng.integers(0, 3)), [float(v) for v in np.round(rng.normal(i % 4, 1, 2), 1)], i % 3) for i in range(150)]
+    rows += [(200 + i, 1, rows[0][2], 0) for i in range(60)]  # the nearest rows are all of one fold: these look further
+    df = spark.createDataFrame(rows, "row_id long, label int, features array<double>, fold int").repartition(3).persist()
+    options = [{"n_neighbors": k, "weights": w, "metric": m} for k in (1, 7) for w in ("uniform", "distance") for m in ("euclidean", "manhattan")]
+    got = {(s["param_id"], s["fold"]): s["score"] for s in search.grid_scores(df, L.fit_knn, options, "fold", 3, "accuracy")}
+    for i, o in enumerate(options):
+        for f in range(3):
+            scored = L.fit_knn(df.filter(F.col("fold") != f), o).transform(df.filter(F.col("fold") == f))
+            assert got[i, f] == pytest.approx(scored.select(F.avg((F.col("label") == F.col("prediction")).cast("double"))).first()[0]), (o, f)
+    df.unpersist()

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from cohortlab.operators import encode, ensemble, ordering, profile, sampling, scaling
 from cohortlab.operators.neighbors import knn_join, smote, smote_fill
+from cohortlab.operators.pivot_tree import PivotTree
 from cohortlab.plans import catalog, grids
 from cohortlab.sources import books, tables
 from cohortlab.sources.models import load_model, resume_pending
@@ -168,10 +169,23 @@ def test_knn_join_is_exact_with_copies_and_clusters(spark, p):
     pts += [pts[0]] * 120  # a third of all rows are one vector
     v = {i: [float(x) for x in a] for i, a in enumerate(pts)}
     df = spark.createDataFrame([(i, a) for i, a in v.items()], "row_id long, features array<double>").repartition(5)
-    check_knn(knn_join(df, df, 4, p, exclude_self=True, pivots=7, block_rows=16), brute(v, v, 4, p, True))
+    check_knn(knn_join(df, df, 4, p, exclude_self=True, rows_per_leaf=9, query_block=16), brute(v, v, 4, p, True))
     q = {1000 + i: [float(x) for x in rng.normal(0, 15, 3)] for i in range(40)}
     qdf = spark.createDataFrame([(i, a) for i, a in q.items()], "row_id long, features array<double>")
-    check_knn(knn_join(qdf, df, 3, p, pivots=5, block_rows=32), brute(q, v, 3, p, False))
+    check_knn(knn_join(qdf, df, 3, p, rows_per_leaf=17, query_block=8), brute(q, v, 3, p, False))
+
+
+def test_queries_visit_as_few_leaves_when_clustered_rows_grow(spark):
+    """What is shuffled per row does not grow with the rows: visits are the largest part of it."""
+    per_row = []
+    for n in (1500, 6000):
+        rng = np.random.default_rng(5)
+        centres = rng.normal(0, 30, (n // 100, 8))
+        pts = [(i, [float(v) for v in centres[i % len(centres)] + rng.normal(0, 0.3, 8)]) for i in range(n)]
+        df = spark.createDataFrame(pts, "row_id long, x array<double>").select(F.lit(0).alias("g"), "x", F.array("row_id").alias("ids"))
+        tree = PivotTree(df, 8, 2, rows_per_leaf=50)
+        per_row.append(tree._visits(tree._home(None, 6), 6).count() / n)
+    assert per_row[1] < 1.3 * per_row[0] + 1 and per_row[1] < 12, per_row
 
 
 def test_knn_join_with_fewer_rows_than_k(spark):
@@ -183,7 +197,7 @@ def test_smote_fills_classes_between_neighbours(spark):
     rng = np.random.default_rng(3)
     data = [(i, 0 if i < 60 else 1 if i < 80 else 2, [float(x) for x in rng.normal(0, 1, 2)]) for i in range(92)]
     df = spark.createDataFrame(data, "row_id long, label int, features array<double>")
-    made = smote(df, block_rows=8, pivots=3)
+    made = smote(df, rows_per_leaf=8, query_block=8)
     assert {r["label"]: r["count"] for r in made.groupBy("label").count().collect()} == {1: 40, 2: 48}
     by_id = {i: (c, np.array(v)) for i, c, v in data}
     for r in made.collect():
@@ -191,7 +205,7 @@ def test_smote_fills_classes_between_neighbours(spark):
         assert c0 == c1 == r["label"] and r["base_id"] != r["neighbor_id"]
         t = (x - a) @ (b - a) / ((b - a) @ (b - a))
         assert 0 <= t < 1 and np.allclose(a + t * (b - a), x)
-    full = smote_fill(df, block_rows=8, pivots=3)
+    full = smote_fill(df, rows_per_leaf=8, query_block=8)
     assert {r["count"] for r in full.groupBy("label").count().collect()} == {60}
 
 
@@ -226,6 +240,26 @@ def test_report_books(spark):
     assert rows(books.read_report_sheet(spark, book, "two"), "x") == [(2,), (3,)]
     books.write_report_book({"three": a}, book)
     assert books.read_report_sheet(spark, book, "one").count() == 0
+    assert books.report_sheets(spark, book) == ["three"]
+
+
+def test_a_crash_between_sheets_leaves_the_old_book_whole(spark, monkeypatch):
+    book = fresh_path(spark, "book")
+    a, b = spark.createDataFrame([(1,)], "x int"), spark.createDataFrame([(2,), (3,)], "x int")
+    books.write_report_book({"one": a, "two": b}, book)
+    bad = b.withColumn("x", F.raise_error(F.lit("broken")))
+    with pytest.raises(Exception, match="broken"):
+        books.write_report_book({"one": b, "two": bad}, book)
+    monkeypatch.setattr(books, "_publish", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+    with pytest.raises(OSError, match="lost"):
+        books.write_report_sheet(b, book, "one")
+    monkeypatch.undo()
+    assert rows(books.read_report_sheet(spark, book, "one"), "x") == [(1,)] and rows(books.read_report_sheet(spark, book, "two"), "x") == [(2,), (3,)]
+    # what the broken writes left behind goes with the next one
+    books.write_report_sheet(b, book, "one")
+    fs, path = books._folder(spark, book)
+    assert sorted(f.getPath().getName()[:5] for f in fs.globStatus(path(f"{book}/*"))) == ["conte", "sheet", "sheet"]
+    assert rows(books.read_report_sheet(spark, book, "one"), "x") == [(2,), (3,)] and books.report_sheets(spark, book) == ["one", "two"]
 
 
 def test_sources(spark, data_dir):
