@@ -18,8 +18,9 @@ by those of the lower band where a smaller partner may lie.
 * A large group whose classes all ended in one component is done. A class that cannot do without its other large groups is cut anew, as
   finely as can be, into single shingles, among classes of this kind: it lacks at most a fifth of its shingles in
   a partner, so if more of them are rare, a partner shares a rare one. What is left are classes made almost wholly of
-  shingles that many share: for them, every component in a group gets a hub, and pairs across components are verified unless the
-  triangle inequality of Jaccard distances to the hubs rules them out. So no link that matters for a component is
+  shingles that many share. Those with the same frequent shingles, their core, are linked as a star around the one with fewest others,
+  and two of them at most stand for the core (see ``_leaders``): among these, every component in a group gets a hub, and pairs across components
+  are verified unless the triangle inequality of Jaccard distances to the hubs rules them out. So no link that matters for a component is
   lost, and groups of near copies cost a number of pairs in proportion to their rows.
 
 Defined results: NULL texts and texts without words have an empty set, size 0, and are linked with nothing; fewer words than a
@@ -214,22 +215,28 @@ def _may_match(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 #: Rows summed up before they leave a task.
 SUMMED = 1 << 20
+SALTS = (0x2545F4914F6CDD1D, 0x9E6C63D0876A9A47)
 
 
 def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, n): in how many small groups a pair of classes meets; b is -1 for how many large ones a class is in."""
+    """(a, b, n, x1, x2): in how many small groups a pair of classes meets; b is -1 for how many large ones a class is in.
+
+    x1 and x2 are a digest of the signatures, whatever their order: two hashes of each, combined bit by bit.
+    """
     held: list[np.ndarray] = []
 
     def out() -> pa.RecordBatch:
-        rows = np.concatenate(held) if held else np.zeros((0, 2), np.int64)
-        order = np.lexsort((rows[:, 1], rows[:, 0]))
-        rows = rows[order]
-        first = np.flatnonzero(np.concatenate([[True], (rows[1:] != rows[:-1]).any(axis=1)])) if len(rows) else np.zeros(0, np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(rows[first, 0]), pa.array(rows[first, 1]), pa.array(np.diff(np.append(first, len(rows))))], names=["a", "b", "n"])
+        rows = np.concatenate(held) if held else np.zeros((0, 3), np.int64)
+        rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+        first = np.flatnonzero(np.concatenate([[True], (rows[1:, :2] != rows[:-1, :2]).any(axis=1)])) if len(rows) else np.zeros(0, np.int64)
+        n = np.diff(np.append(first, len(rows)))
+        sig = np.ascontiguousarray(rows[:, 2]).view(np.uint64)
+        digests = [np.where(rows[first, 1] < 0, np.bitwise_xor.reduceat(mix(sig ^ np.uint64(salt)), first).view(np.int64), 0) if len(first) else np.zeros(0, np.int64) for salt in SALTS]
+        return pa.RecordBatch.from_arrays([pa.array(rows[first, 0]), pa.array(rows[first, 1]), pa.array(n), *map(pa.array, digests)], names=["a", "b", "n", "x1", "x2"])
 
     for b in batches:
-        node, hub, large = (b.column(k).to_numpy(zero_copy_only=False) for k in (1, 2, 3))
-        held.append(np.column_stack([np.where(large, node, np.minimum(node, hub)), np.where(large, -1, np.maximum(node, hub))]))
+        sig, node, hub, large = (b.column(k).to_numpy(zero_copy_only=False) for k in range(4))
+        held.append(np.column_stack([np.where(large, node, np.minimum(node, hub)), np.where(large, -1, np.maximum(node, hub)), sig]))
         if sum(map(len, held)) >= SUMMED:
             yield out()
             held.clear()
@@ -299,7 +306,8 @@ def _grouped(index: DataFrame, small: int = SMALL, summed: bool = False) -> Data
     n = index.sparkSession.conf.get("spark.sql.shuffle.partitions")
     ordered = index.repartition(int(n), "sig").sortWithinPartitions("sig", "node")
     if summed:
-        return ordered.mapInArrow(lambda batches: _sums(each(batches)), "a bigint, b bigint, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n"))
+        made = ordered.mapInArrow(lambda batches: _sums(each(batches)), "a bigint, b bigint, n bigint, x1 bigint, x2 bigint")
+        return made.groupBy("a", "b").agg(F.sum("n").alias("n"), F.bit_xor("x1").alias("x1"), F.bit_xor("x2").alias("x2"))
     return ordered.mapInArrow(each, "sig bigint, node bigint, hub bigint, large boolean")
 
 
@@ -423,7 +431,10 @@ def _linked(pairs: DataFrame, every: DataFrame, sets: DataFrame, doubled: DataFr
 
 
 def _by_shingle(sets: DataFrame, narrow: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """(pairs that share enough single shingles, classes with too few rare shingles to be found by them)."""
+    """(pairs that share enough single shingles, classes with too few rare shingles to be found by them).
+
+    The latter as (node, x1, x2, frequent, rare): the digest and number of their frequent shingles, which are their core, and how many they have besides.
+    """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -434,9 +445,14 @@ def _by_shingle(sets: DataFrame, narrow: DataFrame, scratch: Scratch) -> tuple[D
     sums = scratch.keep(_grouped(sets.select("node", "own").mapInArrow(each, "sig bigint, node bigint"), SMALL_BY_SHINGLE, summed=True))
     # a key may stand for several sets: then the smallest size and all its frequent shingles count, which only finds more
     sizes = narrow.groupBy("node").agg(F.min("n").alias("n"))
-    frequent = sums.filter("b = -1").select(F.col("a").alias("node"), F.col("n").alias("frequent"))
-    crowd = sizes.join(sets.select("node").distinct(), "node").join(frequent, "node", "left").fillna(0, ["frequent"])
-    crowded = crowd.filter(F.col("n") - F.col("frequent") <= F.floor(F.col("n") * (DEN - NUM) / DEN)).select("node")
+    frequent = sums.filter("b = -1").select(F.col("a").alias("node"), F.col("n").alias("frequent"), "x1", "x2")
+    doubled = sets.groupBy("node").agg(F.count(F.lit(1)).alias("held"))
+    crowd = sizes.join(doubled, "node").join(frequent, "node", "left").fillna(0, ["frequent", "x1", "x2"])
+    rare = F.col("n") - F.col("frequent")
+    # a key of several sets has no core that others share
+    alone = F.col("held") > 1
+    core = [F.when(alone, F.col("node")).otherwise(F.col("x1")).alias("x1"), F.when(alone, F.lit(-1)).otherwise(F.col("x2")).alias("x2")]
+    crowded = crowd.filter(rare <= F.floor(F.col("n") * (DEN - NUM) / DEN)).select("node", *core, "frequent", F.greatest(rare, F.lit(0)).alias("rare"))
     pairs = sums.filter("b >= 0").select("a", "b", F.col("n").alias("small"))
     of = {s: crowd.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("frequent").alias(f"f_{s}")) for s in ("a", "b")}
     met = pairs.join(of["a"], "a").join(of["b"], "b")
@@ -445,7 +461,34 @@ def _by_shingle(sets: DataFrame, narrow: DataFrame, scratch: Scratch) -> tuple[D
     return met.filter(enough).select("a", "b"), crowded
 
 
-def _across(docs: DataFrame, text_col: str, groups: DataFrame, narrow: DataFrame, every: DataFrame, roots: DataFrame, scratch: Scratch) -> DataFrame | None:
+CORE = ["x1", "x2", "frequent"]
+
+
+def _core_links(crowded: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """(da, db): classes of one core that are similar to its leader, the one with fewest other shingles.
+
+    With a core of f shingles in common and r and s others, none of them shared, two classes are similar if r + s is f (1 - t) / t
+    or less. Then both are similar to the leader, so all links of this kind in a core are a star.
+    """
+    named = crowded.join(sets.select("node", "digest"), "node")
+    leaders = scratch.keep(named.groupBy(*CORE).agg(F.min(F.struct("rare", "node", "digest")).alias("first")))
+    met = named.join(leaders, CORE).filter("x2 != -1 and node != first.node")
+    return met.filter((F.col("rare") + F.col("first.rare")) * NUM <= F.col("frequent") * (DEN - NUM)).select(F.col("digest").alias("da"), F.col("first.digest").alias("db"))
+
+
+def _leaders(crowded: DataFrame, own: DataFrame, scratch: Scratch) -> DataFrame:
+    """The classes that stand for their cores: the one with fewest other shingles, and the first of those outside its component.
+
+    If two classes of different components are similar and share frequent shingles only, so are two of these: fewer others
+    make a class more similar to any other. A core that is still in several components comes up again in the next round.
+    """
+    placed = scratch.keep(crowded.join(own.groupBy("node").agg(F.min("root").alias("root")), "node"))
+    first = scratch.keep(placed.groupBy(*CORE).agg(F.min(F.struct("rare", "node", "root")).alias("first")))
+    second = placed.join(first, CORE).filter("root != first.root").groupBy(*CORE).agg(F.min(F.struct("rare", "node")).alias("second"))
+    return first.select(F.col("first.node").alias("node")).unionByName(second.select(F.col("second.node").alias("node"))).distinct()
+
+
+def _across(docs: DataFrame, text_col: str, groups: DataFrame, narrow: DataFrame, every: DataFrame, roots: DataFrame, known: DataFrame, scratch: Scratch) -> DataFrame | None:
     """Links across components within large groups, beyond those to a group's first class; None if there can't be any."""
     own = every.join(roots, "digest", "left").select("node", F.coalesce("root", "digest").alias("root"))
     members = scratch.keep(groups.select("sig", F.col("node").alias("signed"), _plain("node").alias("node")).distinct().join(own, "node"))
@@ -463,12 +506,30 @@ def _across(docs: DataFrame, text_col: str, groups: DataFrame, narrow: DataFrame
         return None
     sets = scratch.keep(_sets(docs, members.select("node").distinct(), text_col))
     by_shingle, crowded = _by_shingle(sets, narrow, scratch)
-    found_here = scratch.keep(_verified(by_shingle, sets).filter(LINKED).select("da", "db"))
-    near = scratch.keep(members.join(crowded, "node", "left_semi"))
-    scratch.drop(members)
-    members = near
+    crowded = scratch.keep(crowded)
+    found = scratch.keep(_verified(by_shingle, sets).filter(LINKED).select("da", "db").unionByName(_core_links(crowded, sets, scratch)))
+    if crowded.isEmpty():
+        return found
+    members = scratch.keep(members.join(crowded.select("node"), "node", "left_semi"))
+    while True:
+        roots = _roots(known.unionByName(found), scratch)
+        own = every.join(roots, "digest", "left").select("node", F.coalesce("root", "digest").alias("root"))
+        leading = scratch.keep(_leaders(crowded, own, scratch))
+        more = _between(members.select("sig", "node").join(leading, "node", "left_semi").distinct().join(own, "node"), sets.join(leading, "node", "left_semi"), scratch)
+        if more is None or more.isEmpty():
+            return found
+        found = scratch.keep(found.unionByName(more))
+
+
+def _between(members: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame | None:
+    """Links between components among the members (sig, node, root) of groups; None if there can't be any.
+
+    Every component in a group has a hub, its smallest class. Pairs are verified unless distances to a hub rule them out.
+    """
+    mixed = members.groupBy("sig").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 != r2").select("sig")
+    members = scratch.keep(members.join(mixed, "sig"))
     if members.isEmpty():
-        return found_here
+        return None
     hubs = members.groupBy("sig", "root").agg(F.min("node").alias("hub")).select("sig", "hub", F.col("root").alias("hub_root"))
     near = scratch.keep(members.join(hubs, "sig"))
     pairs = scratch.keep(near.filter("node != hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct())
@@ -477,7 +538,7 @@ def _across(docs: DataFrame, text_col: str, groups: DataFrame, narrow: DataFrame
     apart = apart.groupBy("a", "b").agg(F.min("d").alias("d_low"), F.max("d").alias("d_high"))
     apart = apart.select(F.col("a").alias("node"), F.col("b").alias("hub"), "d_low", "d_high").unionByName(apart.select(F.col("b").alias("node"), F.col("a").alias("hub"), "d_low", "d_high"))
     measured = scratch.keep(near.join(apart, ["node", "hub"], "left").fillna(0.0, ["d_low", "d_high"]))
-    scratch.drop(near)
+    scratch.drop(near, members)
     inside = measured.filter("root = hub_root").select("sig", "hub", F.col("node").alias("y"), F.col("d_low").alias("y_low"), F.col("d_high").alias("y_high"))
     reach = inside.groupBy("sig", "hub").agg(F.max("y_high").alias("reach"))
     outside = measured.filter("root != hub_root").join(reach, ["sig", "hub"]).filter(F.col("d_low") <= F.col("reach") + LEAST_DISTANCE)
@@ -485,8 +546,10 @@ def _across(docs: DataFrame, text_col: str, groups: DataFrame, narrow: DataFrame
         outside.join(inside, ["sig", "hub"]).filter((F.col("d_low") <= F.col("y_high") + LEAST_DISTANCE) & (F.col("y_low") <= F.col("d_high") + LEAST_DISTANCE))
         .select(F.least("node", "y").alias("a"), F.greatest("node", "y").alias("b")).filter("a != b").distinct().join(pairs, ["a", "b"], "left_anti")
     )
-    more = scratch.keep(tested.filter(LINKED).select("da", "db").unionByName(_verified(rest, sets).filter(LINKED).select("da", "db")).unionByName(found_here))
-    scratch.drop(measured, pairs, tested, sets, found_here)
+    across = measured.filter("root != hub_root").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+    linked = tested.filter(LINKED).join(across, ["a", "b"], "left_semi")
+    more = scratch.keep(linked.select("da", "db").unionByName(_verified(rest, sets).filter(LINKED).select("da", "db")))
+    scratch.drop(measured, pairs, tested)
     return more
 
 
@@ -509,7 +572,7 @@ def _similar_groups(docs: DataFrame, id_col: str, text_col: str, scratch: Scratc
     every = scratch.keep(narrow.filter("n > 0").select("node", "digest").distinct())
     found, roots = _linked(pairs, every, sets, doubled, scratch)
     scratch.drop(pairs, sets, wanted)
-    more = _across(docs, text_col, large, narrow, every, roots, scratch)
+    more = _across(docs, text_col, large, narrow, every, roots, found, scratch)
     if more is not None and not more.isEmpty():
         roots = _roots(found.unionByName(more), scratch)
     least = narrow.filter("n > 0").groupBy("digest").agg(F.min("_id").alias("least")).join(roots, "digest", "left").withColumn("root", F.coalesce("root", "digest"))

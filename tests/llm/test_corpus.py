@@ -214,6 +214,31 @@ def test_similar_groups_as_by_brute_force(spark):
     assert sorted((tuple(r) for r in got), key=str) == _similar(rows)
 
 
+def _crowds(seed):
+    """Texts made almost wholly of passages that many share: many components, cores that differ by a word, chains over them."""
+    random.seed(seed)
+    word = lambda: f"u{random.getrandbits(40)}"
+    passage = [word() for _ in range(64)]
+    cores = [passage, passage[:30] + ["x"] + passage[31:], passage[:10] + ["y"] + passage[11:50] + ["z"] + passage[51:], [word() for _ in range(70)]]
+    rows = []
+    for k in range(420):
+        core = cores[k % 4] if k % 7 else cores[0][: random.randint(55, 64)]
+        own = [word() for _ in range(random.randint(9, 15) if k % 4 else random.choice([3, 8, 12]))]
+        rows.append((k, " ".join(core + own if k % 2 else own[:4] + core + own[4:])))
+    return random.sample(rows, len(rows))
+
+
+def test_similar_groups_in_crowds_as_by_brute_force(spark, monkeypatch):
+    rows = _crowds(1)
+    leaders = []
+    between = ngram_join._between
+    monkeypatch.setattr(ngram_join, "_between", lambda members, *a: leaders.append(members.select("node").distinct().count()) or between(members, *a))
+    got = ngram_join.similar_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    want = _similar(rows)
+    assert sorted((tuple(r) for r in got), key=str) == want
+    assert len({c for _, _, c in want}) > 30 and leaders and max(leaders) < len(rows) / 4
+
+
 def test_similar_groups_of_odd_tables(odd, odd_rows):
     # ids repeat here: components are by row
     got = ngram_join.similar_groups(odd).collect()
