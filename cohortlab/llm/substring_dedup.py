@@ -124,7 +124,7 @@ def _packed(rows: DataFrame, buckets: int, hot: dict[int, int]) -> DataFrame:
                     text, o = _gather(padded, w.start[word], w.end[word] + 1)
                     text[o[1:] - 1] = SPACE
                     head = np.concatenate([[len(s)], np.diff(ids[s], prepend=0), place[s], n[s]]).astype("<i8").tobytes()
-                    out.append((int(part[s[0]]), squeeze.compress(head + tag[s].astype("<i4").tobytes() + text.tobytes())))
+                    out.append((int(part[s[0]]), squeeze.compress(head + tag[s].astype("<i8").tobytes() + text.tobytes())))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([p for p, _ in out], pa.int64()), pa.array([x for _, x in out], pa.binary())], names=["part", "block"]
                 )
@@ -143,8 +143,8 @@ class Windows:
             k = int(np.frombuffer(raw, "<i8", 1)[0])
             head = np.frombuffer(raw, "<i8", 3 * k, 8).reshape(3, k)
             heads.append(np.vstack([np.cumsum(head[0]), head[1:]]))
-            tags.append(np.frombuffer(raw, "<i4", k, 8 + 24 * k))
-            texts.append(np.frombuffer(raw, np.uint8, offset=8 + 28 * k))
+            tags.append(np.frombuffer(raw, "<i8", k, 8 + 24 * k))
+            texts.append(np.frombuffer(raw, np.uint8, offset=8 + 32 * k))
         ids, place, n = np.hstack(heads)
         text = np.concatenate(texts)
         w = words(text, np.array([0, len(text)]))
@@ -181,8 +181,8 @@ class Windows:
         return tuple(rolling(halves[:, k][self.word], WINDOW)[self.at[which]].view(np.int64) for k in (0, 1))
 
 
-RANGES = "id bigint, tag int, place bigint, n bigint"
-FOUND = f"{RANGES}, name1 bigint, name2 bigint, least bigint, ids array<bigint>, places array<bigint>, tags array<int>"
+RANGES = "id bigint, tag bigint, place bigint, n bigint"
+FOUND = f"{RANGES}, name1 bigint, name2 bigint, least bigint, ids array<bigint>, places array<bigint>, tags array<bigint>"
 
 
 def _ranges(id_: np.ndarray, tag: np.ndarray, place: np.ndarray) -> dict[str, pa.Array]:
@@ -191,7 +191,7 @@ def _ranges(id_: np.ndarray, tag: np.ndarray, place: np.ndarray) -> dict[str, pa
     i, t, p = id_[order], tag[order], place[order]
     new = np.flatnonzero(np.concatenate([[True], (i[1:] != i[:-1]) | (t[1:] != t[:-1]) | (p[1:] != p[:-1] + 1)])) if len(i) else np.zeros(0, np.int64)
     n = np.diff(np.append(new, len(i)))
-    return {"id": pa.array(i[new]), "tag": pa.array(t[new], pa.int32()), "place": pa.array(p[new]), "n": pa.array(n)}
+    return {"id": pa.array(i[new]), "tag": pa.array(t[new], pa.int64()), "place": pa.array(p[new]), "n": pa.array(n)}
 
 
 def _counted(buckets: int):
@@ -212,7 +212,7 @@ def _counted(buckets: int):
             own = {"name1": pa.array(name1), "name2": pa.array(name2), "least": pa.array(least)}
             own |= {k: pa.ListArray.from_arrays(offsets, pa.array(v[order])) for k, v in lists.items()}
         n = len(next(iter(own.values())))
-        kinds = {"tag": pa.int32(), "ids": pa.list_(pa.int64()), "places": pa.list_(pa.int64()), "tags": pa.list_(pa.int32())}
+        kinds = {"ids": pa.list_(pa.int64()), "places": pa.list_(pa.int64()), "tags": pa.list_(pa.int64())}
         names = [c.split(" ")[0] for c in FOUND.split(", ")]
         return pa.table({c: own.get(c, pa.nulls(n, kinds.get(c, pa.int64()))) for c in names})
 
@@ -267,8 +267,11 @@ def _without(data: np.ndarray, offsets: np.ndarray, removed: list[tuple[list[int
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """(_id, n_words, n_removed, kept_sha256) of every row, and kept_text on demand."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    # the tag tells rows apart whose id repeats with another text
-    rows = docs.select(F.col(id_col).cast("long").alias("_given"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("_id"), F.hash(text).alias("_tag"), text.alias("_text"))
+    own = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
+    # the tag tells rows apart whose id repeats with another text: 64 bits of the text, nothing where no id repeats
+    again = docs.groupBy(own.alias("_id")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count()
+    tag = F.xxhash64(text) if again else F.lit(0).cast("long")
+    rows = docs.select(F.col(id_col).cast("long").alias("_given"), own.alias("_id"), tag.alias("_tag"), text.alias("_text"))
     ranges = _removed(rows).groupBy("id", "tag").agg(F.collect_list("place").alias("place"), F.collect_list("n").alias("n"))
     met = rows.join(ranges, (F.col("_id") == F.col("id")) & (F.col("_tag") == F.col("tag")), "left").select("_given", "_text", "place", "n")
 

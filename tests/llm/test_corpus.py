@@ -120,6 +120,21 @@ def test_repeated_passages_go(spark, passages, monkeypatch, bucket, one_of):
     assert sorted((tuple(r) for r in got), key=str) == _without_repeats(passages)
 
 
+def test_rows_without_ids_are_told_apart_by_their_texts(spark):
+    passage = " ".join(f"w{k}" for k in range(16))
+    # texts with the passage and texts without any repeat that have one 32-bit hash
+    numbers = spark.range(150_000)
+    held = numbers.select(F.concat(F.lit(passage + " a"), F.col("id").cast("string")).alias("t"))
+    free = numbers.select(F.concat_ws(" ", *[F.concat(F.lit(f"f{j}x"), F.col("id").cast("string")) for j in range(16)]).alias("t"))
+    pairs = held.select(F.hash("t").alias("h"), "t").join(free.select(F.hash("t").alias("h"), F.col("t").alias("u")), "h").limit(3).collect()
+    assert pairs
+    for p in pairs:
+        rows = [(1, passage), (None, p["t"]), (None, p["u"])]
+        got = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert sorted((tuple(r) for r in got), key=str) == _without_repeats(rows)
+        assert sorted(r["n_removed"] for r in got) == [0, 0, 16]
+
+
 def test_passages_of_odd_tables(odd, odd_rows):
     got = substring_dedup.remove_repeats(odd, with_text=True).collect()
     assert sorted((tuple(r)[:4] for r in got), key=str) == _without_repeats(odd_rows)
