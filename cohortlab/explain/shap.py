@@ -6,7 +6,8 @@ import math
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..learners.base import batch_scorer, features_array
@@ -175,16 +176,15 @@ def kmeans_background(df: DataFrame, k: int = 50, seed: int = 42) -> tuple[np.nd
 
 
 def kmeans_centres(df: DataFrame, k: int = 50, seed: int = 42) -> DataFrame:
-    """``(cluster, centre, weight)``; the weight is the cluster's share of the rows."""
+    """``(cluster, centre, weight)``: the mean of a cluster's rows and its share of all, so the weighted mean of the centres is that of the rows."""
     from pyspark.ml.clustering import KMeans
+    from pyspark.ml.stat import Summarizer
 
     n = df.limit(k).count()
     model = KMeans(k=min(k, n), seed=seed, maxIter=20).fit(df)
-    sizes = model.transform(df).groupBy(F.col("prediction").alias("cluster")).agg(F.count(F.lit(1)).alias("n"))
-    points = [(i, [float(v) for v in c]) for i, c in enumerate(model.clusterCenters())]
-    centres = df.sparkSession.createDataFrame(points, "cluster int, centre array<double>")
-    total = sizes.agg(F.sum("n")).scalar()
-    return sizes.join(centres, "cluster").select("cluster", "centre", (F.col("n") / total).alias("weight"))
+    clusters = model.transform(df).groupBy(F.col("prediction").alias("cluster")).agg(F.count(F.lit(1)).alias("n"), vector_to_array(Summarizer.mean(F.col("features"))).alias("centre"))
+    whole = F.sum("n").over(Window.partitionBy(F.lit(0)))  # one row per cluster
+    return clusters.select("cluster", "centre", (F.col("n") / whole).alias("weight"))
 
 
 def _masked_values(x: np.ndarray, masks: np.ndarray, predict: Callable, centres: np.ndarray, weights: np.ndarray) -> np.ndarray:

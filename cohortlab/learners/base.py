@@ -109,6 +109,14 @@ class ParamModel:
     def transform(self, df: DataFrame) -> DataFrame:
         raise NotImplementedError
 
+    def batch(self) -> Callable[[np.ndarray], np.ndarray]:
+        """The model as a function of arrays: rows x features to rows x outputs, made of numbers alone."""
+        raise NotImplementedError
+
+    def linear_weights(self) -> np.ndarray | None:
+        """Outputs x features of a linear model."""
+        return None
+
     def save(self, path: str) -> None:
         text = json.dumps(self.params, default=lambda a: a.tolist())
         spark = SparkSession.getActiveSession()
@@ -131,14 +139,22 @@ class LinearClassModel(ParamModel):
         if w.size <= EXPRESSION_TERMS:
             out = softmax_of(df.withColumn("_x", x), [linear_text("_x", v, c) for v, c in zip(w, b)]).drop("_x")
         else:
-            def proba(v: np.ndarray) -> np.ndarray:
-                s = v @ w.T + b
-                e = np.exp(s - s.max(axis=1, keepdims=True))
-                return e / e.sum(axis=1, keepdims=True)
-
-            out = df.withColumn("probability", batch_scorer(proba, x))
+            out = df.withColumn("probability", batch_scorer(self.batch(), x))
         return out.withColumn("prediction", argmax(F.col("probability")))
 
+    def batch(self) -> Callable[[np.ndarray], np.ndarray]:
+        w, b = np.asarray(self.params["coef"]), np.asarray(self.params["intercept"])
+
+        def proba(v: np.ndarray) -> np.ndarray:
+            s = v @ w.T + b
+            e = np.exp(s - s.max(axis=1, keepdims=True))
+            return e / e.sum(axis=1, keepdims=True)
+
+        return proba
+
+    def linear_weights(self) -> np.ndarray:
+        return np.asarray(self.params["coef"])
+
 
 class LinearValueModel(ParamModel):
     """One linear score as the prediction."""
@@ -150,4 +166,11 @@ class LinearValueModel(ParamModel):
         x = features_array(df)
         if w.size <= EXPRESSION_TERMS:
             return df.withColumn("_x", x).withColumn("prediction", F.expr(linear_text("_x", w, b))).drop("_x")
-        return df.withColumn("prediction", batch_scorer(lambda v: (v @ w + b)[:, None], x)[0])
+        return df.withColumn("prediction", batch_scorer(self.batch(), x)[0])
+
+    def batch(self) -> Callable[[np.ndarray], np.ndarray]:
+        w, b = np.asarray(self.params["coef"]), float(self.params["intercept"])
+        return lambda v: (v @ w + b)[:, None]
+
+    def linear_weights(self) -> np.ndarray:
+        return np.asarray(self.params["coef"])[None, :]

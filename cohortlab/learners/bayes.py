@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -27,22 +28,30 @@ class GaussianNBModel(ParamModel):
     kind = "gaussian_nb"
 
     def transform(self, df: DataFrame) -> DataFrame:
-        prior, mean, var = (np.asarray(self.params[k]) for k in ("prior", "mean", "var"))
-        with np.errstate(divide="ignore"):  # classes that did not occur
-            const = np.log(prior) - 0.5 * np.log(2 * math.pi * var).sum(axis=1)
+        prior, mean, var, const = self._numbers()
         x = features_array(df)
         if mean.size <= EXPRESSION_TERMS:
             texts = [self._log_density(const[c], mean[c], var[c]) for c in range(len(prior))]
             out = softmax_of(df.withColumn("_x", x), texts).drop("_x")
         else:
-            def proba(v: np.ndarray) -> np.ndarray:
-                s = np.stack([const[c] - 0.5 * ((v - mean[c]) ** 2 / var[c]).sum(axis=1) for c in range(len(prior))], axis=1)
-                e = np.exp(s - s.max(axis=1, keepdims=True))
-                return e / e.sum(axis=1, keepdims=True)
-
-            out = df.withColumn("probability", batch_scorer(proba, x))
+            out = df.withColumn("probability", batch_scorer(self.batch(), x))
         return out.withColumn("prediction", argmax(F.col("probability")))
 
+    def _numbers(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        prior, mean, var = (np.asarray(self.params[k]) for k in ("prior", "mean", "var"))
+        with np.errstate(divide="ignore"):  # classes that did not occur
+            return prior, mean, var, np.log(prior) - 0.5 * np.log(2 * math.pi * var).sum(axis=1)
+
+    def batch(self) -> Callable[[np.ndarray], np.ndarray]:
+        prior, mean, var, const = self._numbers()
+
+        def proba(v: np.ndarray) -> np.ndarray:
+            s = np.stack([const[c] - 0.5 * ((v - mean[c]) ** 2 / var[c]).sum(axis=1) for c in range(len(prior))], axis=1)
+            e = np.exp(s - s.max(axis=1, keepdims=True))
+            return e / e.sum(axis=1, keepdims=True)
+
+        return proba
+
     @staticmethod
     def _log_density(const: float, mean: np.ndarray, var: np.ndarray) -> str:
         squares = [f"(_x[{j}] - {number(m)}) * (_x[{j}] - {number(m)}) / {number(2 * v)}" for j, (m, v) in enumerate(zip(mean, var))]

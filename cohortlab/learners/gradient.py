@@ -130,6 +130,13 @@ class MarginModel(ParamModel):
     kind = "margins"
 
     def transform(self, df: DataFrame) -> DataFrame:
+        out = df.withColumn("probability", batch_scorer(self.batch(), features_array(df)))
+        return out.withColumn("prediction", argmax(F.col("probability")))
+
+    def linear_weights(self) -> np.ndarray:
+        return np.asarray(self.params["coef"])[:, :-1]
+
+    def batch(self) -> Callable[[np.ndarray], np.ndarray]:
         w, loss = np.asarray(self.params["coef"]), self.params["loss"]
 
         def proba(x: np.ndarray) -> np.ndarray:
@@ -140,8 +147,7 @@ class MarginModel(ParamModel):
             total = p.sum(axis=1, keepdims=True)
             return np.where(total > 0, p / np.where(total > 0, total, 1), 1.0 / p.shape[1])
 
-        out = df.withColumn("probability", batch_scorer(proba, features_array(df)))
-        return out.withColumn("prediction", argmax(F.col("probability")))
+        return proba
 
 
 def fit_sgd_classifier(train: DataFrame, params: dict, id_col: str = "row_id") -> MarginModel:
@@ -189,9 +195,14 @@ class LinearTail(ParamModel):
     kind = "linear_tail"
 
     def transform(self, df: DataFrame) -> DataFrame:
+        return df.withColumn("prediction", batch_scorer(self.batch(), features_array(df))[0])
+
+    def linear_weights(self) -> np.ndarray:
+        return np.asarray(self.params["coef"])[None, :-1]
+
+    def batch(self) -> Callable[[np.ndarray], np.ndarray]:
         w, mu, sd = np.asarray(self.params["coef"]), self.params["mean"], self.params["std"]
-        value = batch_scorer(lambda x: ((x @ w[:-1] + w[-1]) * sd + mu)[:, None], features_array(df))
-        return df.withColumn("prediction", value[0])
+        return lambda x: ((x @ w[:-1] + w[-1]) * sd + mu)[:, None]
 
 
 def _target_scale(train: DataFrame) -> tuple[float, float]:
@@ -286,13 +297,16 @@ class PerceptronModel(ParamModel):
     kind = "perceptron"
 
     def transform(self, df: DataFrame) -> DataFrame:
-        p = self.params
-        theta = np.asarray(p["theta"])
-        run = batch_scorer(lambda x: _forward(theta, x, p["sizes"], p["activation"], p["classify"])[-1], features_array(df))
-        if p["classify"]:
+        run = batch_scorer(self.batch(), features_array(df))
+        if self.params["classify"]:
             out = df.withColumn("probability", run)
             return out.withColumn("prediction", argmax(F.col("probability")))
-        return df.withColumn("prediction", run[0] * F.lit(p["std"]) + F.lit(p["mean"]))
+        return df.withColumn("prediction", run[0])
+
+    def batch(self) -> Callable[[np.ndarray], np.ndarray]:
+        p, theta = self.params, np.asarray(self.params["theta"])
+        scale, shift = (1.0, 0.0) if p["classify"] else (p["std"], p["mean"])
+        return lambda x: _forward(theta, x, p["sizes"], p["activation"], p["classify"])[-1] * scale + shift
 
 
 def _fit_mlp(train: DataFrame, params: dict, classify: bool, outputs: int, mu: float, sd: float, id_col: str) -> PerceptronModel:

@@ -7,6 +7,7 @@ machines and Gaussian processes become linear fits whose cost grows with the row
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest
@@ -47,10 +48,11 @@ class NystroemMap(ParamModel):
     kind = "nystroem"
 
     def transform(self, df: DataFrame) -> DataFrame:
-        land, root = np.asarray(self.params["landmarks"]), np.asarray(self.params["root"])
-        options = self.params["options"]
-        mapped = batch_scorer(lambda v: kernel_rows(v, land, **options) @ root, features_array(df))
-        return df.withColumn("features", array_to_vector(mapped))
+        return df.withColumn("features", array_to_vector(batch_scorer(self.batch(), features_array(df))))
+
+    def batch(self) -> Callable[[np.ndarray], np.ndarray]:
+        land, root, options = np.asarray(self.params["landmarks"]), np.asarray(self.params["root"]), self.params["options"]
+        return lambda v: kernel_rows(v, land, **options) @ root
 
 
 def nystroem_features(df: DataFrame, kernel: str, m: int = LANDMARKS, seed=42, id_col: str = "row_id", **options) -> NystroemMap:

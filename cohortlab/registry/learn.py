@@ -9,9 +9,10 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from .. import learners as L
-from ..explain import shap
+from ..explain import shap, views
 from ..explain.lime import lime
 from ..explain.nodes import tree_nodes
+from ..explain.scorers import explain_model, model_importances
 from ..functions import metrics as m
 from ..functions.hashing import hash_key
 from ..learners import trees
@@ -25,7 +26,8 @@ from ..operators.neighbors import knn_join, smote
 from ..operators.sampling import kfold, stratified_kfold, stratified_split
 from ..operators.scaling import minmax_scale
 from ..plans import search
-from ..plans.grids import CLASSIFIER_GRIDS
+from ..plans.grids import CLASSIFIER_GRIDS, REGRESSOR_GRIDS
+from ..plans.task import training_task
 from ..session import cut_lineage, fresh_path
 from . import base as b
 from .base import r_sql, register, rnd
@@ -410,6 +412,21 @@ def _(spark, d):
     return search.run_all_models(df, learners, grids, path, outer=5, inner=3, n_iter=10)
 
 
+@register("run_all_models_regress")
+def _(spark, d):
+    # every candidate of a grid shares one pass over a fold's rows
+    names = ["LR", "Ridge", "Lasso", "ElasticNet"]
+    learners, grids = {n: L.REGRESSORS[n] for n in names}, {n: REGRESSOR_GRIDS[n] for n in names}
+    return search.run_all_models(cohort(spark, d, "y"), learners, grids, fresh_path(spark, "nested"), n_features=2, classify=False, outer=5, inner=3, n_iter=10)
+
+
+@register("training_task")
+def _(spark, d):
+    train, test = parts(cohort(spark, d, "label2"))
+    learners, grids = {n: L.CLASSIFIERS[n] for n in ("NB", "LDA")}, {n: CLASSIFIER_GRIDS[n] for n in ("NB", "LDA")}
+    return training_task(train, test, learners, grids, fresh_path(spark, "task"), fresh_path(spark, "book"), "task", n_features=2, top=2)
+
+
 @register("predict_all", f"""
 , c as (select regr_slope(y, z1) as w, regr_intercept(y, z1) as b, sum(z1 * y) / sum(z1 * z1) as w0 from lc where part = 'train')
 select row_id, 'LR' as model, {r_sql('w * z1 + b', 'prediction')} from lc, c where part = 'test'
@@ -453,10 +470,51 @@ def _(spark, d):
     return _sampled(spark, d, lambda *a: shap.shap_permutation(*a, permutations=10))
 
 
+@register("shap_kernel_model", f"""
+, w as (select regr_r2(y, z1) as unused, count(*)::double as n, avg(z1) as m1, avg(z2) as m2, avg(y) as my, var_pop(z1) as s11, var_pop(z2) as s22, covar_pop(z1, z2) as s12,
+  covar_pop(z1, y) as t1, covar_pop(z2, y) as t2 from lc where part = 'train'),
+c as (select m1, m2, my, (t1 * s22 - t2 * s12) / (s11 * s22 - s12 * s12) as w1, (t2 * s11 - t1 * s12) / (s11 * s22 - s12 * s12) as w2 from w)
+select row_id, 0 as class, 'z1' as feature, {r_sql('z1', 'feature_value')}, {r_sql('w1 * (z1 - m1)', 'phi')}, {r_sql('my', 'base')} from lc, c where part = 'test'
+union all select row_id, 0, 'z2', {r_sql('z2', 'feature_value')}, {r_sql('w2 * (z2 - m2)', 'phi')}, {r_sql('my', 'base')} from lc, c where part = 'test'""")
+def _(spark, d):
+    # a fitted model against weighted centres of its training rows; their mean is that of the rows, so least squares has known contributions
+    train, test = parts(cohort(spark, d, "y"))
+    long = explain_model(test, L.fit_ols(train, {}), Z, train)
+    return rnd(long.drop("label"), "feature_value", "phi", "base")
+
+
+MODEL_FOLDS_SQL = f"""
+, f as (select *, {b.hk_sql('fold', 'row_id')} % 5 as fold from lc),
+g as (select k as fold, var_pop(z1) as s11, var_pop(z2) as s22, covar_pop(z1, z2) as s12, covar_pop(z1, y) as t1, covar_pop(z2, y) as t2 from f, range(5) r(k) where fold <> k group by k),
+i as (select fold, 'z1' as feature, abs((t1 * s22 - t2 * s12) / (s11 * s22 - s12 * s12)) as importance from g
+  union all select fold, 'z2', abs((t2 * s11 - t1 * s12) / (s11 * s22 - s12 * s12)) from g)"""
+
+
+def _fold_models(spark, d):
+    folded = cohort(spark, d, "y").withColumn("fold", (hash_key("fold", "row_id") % 5).cast("int"))
+    return model_importances(spark, {"LR": search.fold_models(folded, L.fit_ols, [{}], "fold", 5)[0]}, Z)
+
+
+@register("model_importances", MODEL_FOLDS_SQL + f" select 'LR' as model, fold::int as fold, feature, {r_sql('importance', 'importance')} from i")
+def _(spark, d):
+    return rnd(_fold_models(spark, d), "importance")
+
+
+@register("fold_importance_model", MODEL_FOLDS_SQL + f" select feature, {r_sql('avg(importance)', 'mean_importance')} from i group by 1")
+def _(spark, d):
+    return rnd(views.fold_importance(_fold_models(spark, d)), "mean_importance")
+
+
+@register("top_feature_importance_model")
+def _(spark, d):
+    model = L.fit_forest_classifier(parts(cohort(spark, d, "label3"))[0], {"n_estimators": 50, "max_depth": 6, "class_weight": "balanced"})
+    return views.top_importance(model_importances(spark, {"RF": [model]}, Z).select("feature", "importance"), 2)
+
+
 @register("shap_tree")
 def _(spark, d):
     df = cohort(spark, d, "label3").persist()
-    model = L.fit_forest_classifier(df.filter("part = 'train'"), {"n_estimators": 5, "max_depth": 4})
+    model = L.fit_forest_classifier(df.filter("part = 'train'"), {"n_estimators": 50, "max_depth": 6, "class_weight": "balanced"})
     return rnd(shap.shap_tree(df, model, Z), "phi", "base", digits=9)
 
 

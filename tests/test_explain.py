@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from cohortlab import learners as L
 from cohortlab.explain import shap, views
 from cohortlab.explain.lime import lime, quartile_bins
+from cohortlab.explain.scorers import batch_form, explain_model, model_importances
+from cohortlab.learners.base import score
 from cohortlab.explain.nodes import leaf_paths, leaf_scorer, packed, packed_scorer, tree_nodes
 from tests.test_learners import data, frame, three, two, value  # noqa: F401
 
@@ -188,3 +190,46 @@ def test_linear_contributions_at_full_width(spark):
         assert np.allclose(first[c]["phi"], coef[c] * (x[5] - x.mean(axis=0))) and np.isclose(first[c]["base"], icept[c] + coef[c] @ x.mean(axis=0))
     assert views.shap_decision_paths(arrays, names).filter(f"step = {p}").count() == 2000 * k
     assert time.time() - began < 60
+
+
+SMALL = {"n_estimators": 3, "max_depth": 3, "max_iter": 20, "landmarks": 8, "hidden_layer_sizes": [4], "kernel": "rbf", "n_restarts_optimizer": 0}
+
+
+@pytest.mark.parametrize("name", [n for n in L.CLASSIFIERS if n != "KNN"])
+def test_batch_forms_score_as_classifiers_do(spark, three, two, data, name):
+    for df in (three, two):
+        model = L.CLASSIFIERS[name](df, {k: v for k, v in SMALL.items() if k != "kernel" or name == "SVM"})
+        got = batch_form(model)(data[0])
+        want = {r["row_id"]: r["probability"] for r in score(model, df).select("row_id", "probability").collect()}
+        assert np.abs(np.array([want[i] for i in range(len(got))]) - got).max() < 1e-9
+
+
+@pytest.mark.parametrize("name", list(L.REGRESSORS))
+def test_batch_forms_score_as_regressors_do(spark, value, data, name):
+    model = L.REGRESSORS[name](value, SMALL)
+    got = batch_form(model)(data[0])
+    want = {r["row_id"]: r["prediction"] for r in model.transform(value).select("row_id", "prediction").collect()}
+    assert got.shape[1] == 1 and np.abs(np.array([want[i] for i in range(len(got))]) - got[:, 0]).max() < 1e-9
+
+
+def test_fitted_models_are_explained(spark, two, data):
+    model = L.fit_gaussian_nb(two, {})
+    few = two.filter("row_id < 6")
+    centres, weights = shap.kmeans_background(two, 4)
+    kern = phi_of(shap.shap_kernel(few, batch_form(model), centres, weights, ["a", "b", "c"]), 1)
+    predict = batch_form(model)
+    for i in range(6):
+        want = brute_shapley(lambda m, i=i: weights @ predict(np.where(m, data[0][i], centres))[:, 1], 3)
+        assert [kern[i][f] for f in "abc"] == pytest.approx(want, abs=1e-9)
+    long = explain_model(few, model, ["a", "b", "c"], two, 4, "permutation")
+    assert long.count() == 6 * 2 * 3
+
+
+def test_importances_of_fitted_models(spark, two, value):
+    for name, fit in {**L.CLASSIFIERS, **L.REGRESSORS}.items():
+        if name in ("RF", "DT", "XGB", "AdaB", "Bagging", "LogR", "LDA", "LR", "Ridge"):
+            model = fit(value if fit in L.REGRESSORS.values() else two, SMALL)
+            rows = model_importances(spark, {name: [model]}, ["a", "b", "c"]).collect()
+            assert [r["feature"] for r in rows] == list("abc") and all(r["importance"] >= 0 for r in rows) and sum(r["importance"] for r in rows) > 0
+    with pytest.raises(TypeError, match="no importances"):
+        model_importances(spark, {"NB": [L.fit_gaussian_nb(two, {})]}, ["a", "b", "c"])
