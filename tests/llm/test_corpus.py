@@ -364,10 +364,13 @@ def test_every_query_has_its_columns(spark, data_dir):
         "op8": ["doc_id", "n_shingles", "component_id"],
         "op9": ["doc_id", "keep_id", "group_size", "kept", "text_sha256"],
         "op10": ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+        "op11": ["doc_id", "n_features", "weight", "score", "rank"],
+        "op12": ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"],
+        "op13": ["vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"],
     }
-    n = spark.read.parquet(f"{data_dir}/documents.parquet").count()
     for name, query in queries.QUERIES.items():
         got = query(spark, data_dir)
+        n = spark.read.parquet(f"{data_dir}/{'embeddings' if name.startswith('op13') else 'documents'}.parquet").count()
         want = columns.get(name.split("_")[0], ["doc_id"])
         assert got.columns[: len(want)] == want, name
         assert got.count() == n, name
