@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..learners.base import batch_scorer, features_array
+from ..session import spread
 from .nodes import Packed, packed, tree_groups, tree_nodes
 
 
@@ -81,6 +82,7 @@ def shap_tree(df: DataFrame, model, features: list[str], keep: list[str] = ("row
     Forests are explained in class probabilities (or the value), boosted classifiers in the margin.
     """
     nodes, p = tree_nodes(df.sparkSession, model), len(features)
+    df = spread(df.select(*keep, "features"), keep[0])
     phi, base = None, 0.0
     # contributions add up over trees, so a model of any size goes to the tasks in parts
     for group in tree_groups(nodes):
@@ -107,7 +109,7 @@ def expected_value(trees: Packed) -> np.ndarray:
 
 
 #: Rows that walk a tree together.
-WALKERS = 1024
+WALKERS = 8192
 
 
 def _extended(w: np.ndarray, zero: float, one: np.ndarray) -> np.ndarray:

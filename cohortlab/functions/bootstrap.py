@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import spread
 from .hashing import poisson_steps
 from .metrics import LABEL_METRICS, confusion, label_metrics, regression_scores, summarize_with_ci, to_long
 
@@ -39,7 +40,7 @@ def _weighted_sums(df: DataFrame, replicates: int, seed, id_col: str, keys: list
     """Per (replicate, keys): sums of weight * value for hash-drawn Poisson(1) weights.
 
     A batch is one product of its weights and its values; a task keeps a matrix of replicates and values per key and passes that on,
-    so no row is copied and the shuffle does not grow with the rows. NULL values add nothing.
+    so no row is copied. Rows (an id and their values) are spread first: a row costs ``replicates`` draws. NULL values add nothing.
     """
     names = list(values)
     cols = [F.coalesce(c.cast("double"), F.lit(0.0)).alias(f"_v_{n}") for n, c in values.items()]
@@ -59,7 +60,7 @@ def _weighted_sums(df: DataFrame, replicates: int, seed, id_col: str, keys: list
             yield pd.DataFrame({**dict(zip(keys, key)), "replicate": np.arange(replicates), **{n: held[:, j] for j, n in enumerate(names)}})
 
     types = [f"{k} {df.schema[k].dataType.simpleString()}" for k in keys] + ["replicate int", *[f"{n} double" for n in names]]
-    return rows.mapInPandas(partial, ", ".join(types)).groupBy(*keys, "replicate").agg(*[F.sum(n).alias(n) for n in names])
+    return spread(rows, "_id").mapInPandas(partial, ", ".join(types)).groupBy(*keys, "replicate").agg(*[F.sum(n).alias(n) for n in names])
 
 
 def bootstrap_regression(df: DataFrame, replicates: int = 1000, seed=42, p: int = 2, id_col: str = "row_id") -> DataFrame:

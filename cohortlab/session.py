@@ -88,6 +88,16 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager=eager)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt by ``keys`` to as many partitions as the session shuffles to, however few bytes it has.
+
+    For work that costs a row far more than moving it does.
+    """
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *[F.col(k) for k in keys])
+
+
 def counted_broadcast(df: DataFrame, limit: int = 1_000_000) -> DataFrame:
     """As ``broadcast_if_small`` for some thousand rows: kept as files, so they stay out of Python."""
     kept = cut_lineage(df)
