@@ -17,6 +17,7 @@ result; equal keys are in any order. Other columns are never read.
 
 from __future__ import annotations
 
+import itertools
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -28,7 +29,7 @@ from cohortlab.session import cut_lineage
 #: Ranges per shard at least, rows of a range at most (about), and samples per range.
 RANGES_PER_SHARD, ROWS_PER_RANGE, SAMPLES_PER_RANGE = 8, 1_000_000, 32
 #: A range is overfull beyond this multiple of its due share.
-OVERFULL, ROUNDS = 2.0, 4
+OVERFULL = 2.0
 
 Key = tuple[int, int]
 
@@ -66,6 +67,12 @@ def _quantiles(sample: list[tuple[Key, float]], parts: int) -> list[Key]:
     return out
 
 
+def _after(key: Key) -> Key:
+    """The next key that there can be."""
+    h, g = key
+    return (h, g + 1) if g < (1 << 63) - 1 else (min(h + 1, (1 << 63) - 1), -(1 << 63))
+
+
 def _drawn(rows: DataFrame, wanted: Column, seed: int) -> DataFrame:
     """(h, g, range, w): rows drawn with probability ``wanted``; w is ``wanted`` where it is over 1."""
     u = F.shiftrightunsigned(F.xxhash64("h", "g", F.lit(seed)), 11) / F.lit(float(1 << 53))
@@ -77,13 +84,13 @@ def _splitters(rows: DataFrame, ranges: int, total_bytes: int, total_rows: int)
     weight = F.col("size") * F.col("n")
     first = _drawn(rows.withColumn("range", F.lit(0)), weight * (ranges * SAMPLES_PER_RANGE / total_bytes), 0).collect()
     splitters = sorted(set(_quantiles([((r["h"], r["g"]), r["w"]) for r in first], ranges)))
-    for turn in range(1, ROUNDS + 1):
+    for turn in itertools.count(1):
         placed = rows.withColumn("range", _range_of(splitters))
         totals = placed.groupBy("range").agg(F.sum(weight).alias("bytes"), F.sum("n").alias("rows"), F.count(F.lit(1)).alias("keys")).orderBy("range").collect()
         due_bytes, due_rows = OVERFULL * total_bytes / ranges, OVERFULL * max(total_rows / ranges, ROWS_PER_RANGE)
         full = {t["range"]: math.ceil(max(t["bytes"] / due_bytes, t["keys"] / due_rows)) + 1 for t in totals if t["keys"] > 1 and (t["bytes"] > due_bytes or t["keys"] > due_rows)}
-        if not full or turn == ROUNDS:
-            break
+        if not full:
+            return splitters, totals
         # as many samples as parts want, from the overfull ranges alone; by bytes or by rows, whichever is over
         bytes_in = {t["range"]: t["bytes"] for t in totals}
         keys_in = {t["range"]: t["keys"] for t in totals}
@@ -93,9 +100,10 @@ def _splitters(rows: DataFrame, ranges: int, total_bytes: int, total_rows: int)
             rate = F.when(F.col("range") == at, by_bytes).otherwise(rate)
         more = _drawn(placed, rate, turn).collect()
         for at, parts in full.items():
-            splitters += _quantiles([((r["h"], r["g"]), r["w"]) for r in more if r["range"] == at], parts)
+            own = [((r["h"], r["g"]), r["w"]) for r in more if r["range"] == at]
+            # a key that is worth a part by itself also ends there, so what follows it is a range of its own
+            splitters += _quantiles(own, parts) + [_after(key) for key, w in own if w >= SAMPLES_PER_RANGE]
         splitters = sorted(set(splitters))
-    return splitters, totals
 
 
 def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

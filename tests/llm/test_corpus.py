@@ -65,6 +65,19 @@ def test_shards_are_even_and_slots_gapless(spark, monkeypatch, per_range):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
 
 
+def test_no_range_with_several_keys_stays_overfull(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "ROWS_PER_RANGE", 20)
+    random.seed(3)
+    rows = [(k, "x" * (200_000 if k in (5, 6, 700) else random.randint(0, 30))) for k in range(2500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    keyed = docs.select(F.xxhash64("text").alias("h"), F.xxhash64("doc_id").alias("g"), (F.octet_length("text").cast("long") + 1).alias("size"), F.lit(1).alias("n"))
+    total, ranges = sum(len(t) + 1 for _, t in rows), 128
+    _, totals = sharding._splitters(keyed, ranges, total, len(rows))
+    assert sum(t["rows"] for t in totals) == len(rows)
+    for t in totals:
+        assert t["keys"] == 1 or t["bytes"] <= sharding.OVERFULL * total / ranges and t["keys"] <= sharding.OVERFULL * max(len(rows) / ranges, 20)
+
+
 def test_shards_of_odd_tables(spark, odd, odd_rows):
     got = sharding.shard(odd, 4).collect()
     assert len(got) == len(odd_rows) and {r["size"] for r in got if r["_id"] == 1} == {1}
