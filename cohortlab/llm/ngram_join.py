@@ -19,8 +19,8 @@ by those of the lower band where a smaller partner may lie.
   finely as can be, into single shingles, among classes of this kind: it lacks at most a fifth of its shingles in
   a partner, so if more of them are rare, a partner shares a rare one. What is left are classes made almost wholly of
   shingles that many share. Those with the same frequent shingles, their core, are linked as a star around the one with fewest others,
-  and two of them at most stand for the core (see ``_leaders``): among these, every component in a group gets a hub, and pairs across components
-  are verified unless the triangle inequality of Jaccard distances to the hubs rules them out. So no link that matters for a component is
+  and two of them at most stand for the core (see ``_leaders``). These meet by the rarest fifth of their shingles (see ``_rarest``):
+  every component in such a group gets a hub, and pairs across components are verified unless the triangle inequality of Jaccard distances to the hubs rules them out. So no link that matters for a component is
   lost, and groups of near copies cost a number of pairs in proportion to their rows.
 
 Defined results: NULL texts and texts without words have an empty set, size 0, and are linked with nothing; fewer words than a
@@ -35,7 +35,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -510,17 +510,40 @@ def _across(docs: DataFrame, text_col: str, groups: DataFrame, narrow: DataFrame
     found = scratch.keep(_verified(by_shingle, sets).filter(LINKED).select("da", "db").unionByName(_core_links(crowded, sets, scratch)))
     if crowded.isEmpty():
         return found
-    members = scratch.keep(members.join(crowded.select("node"), "node", "left_semi"))
+    members = scratch.keep(_rarest(sets.join(crowded.select("node"), "node", "left_semi"), scratch))
     while True:
         roots = _roots(known.unionByName(found), scratch)
         own = every.join(roots, "digest", "left").select("node", F.coalesce("root", "digest").alias("root"))
         leading = scratch.keep(_leaders(crowded, own, scratch))
-        more = _between(members.select("sig", "node").join(leading, "node", "left_semi").distinct().join(own, "node"), sets.join(leading, "node", "left_semi"), scratch)
+        more = _between(members.join(leading, "node", "left_semi").join(own, "node"), sets.join(leading, "node", "left_semi"), scratch)
         if more is None or more.isEmpty():
             return found
         found = scratch.keep(found.unionByName(more))
 
 
+def _rarest(sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """(sig, node): the shingles by which ``sets`` find each other, of each set the rarest fifth and one more.
+
+    Similar sets lack at most a fifth of their own shingles in each other. So whatever the order of all shingles, the first that both hold is
+    among so many of either; with the rarest first, the shingles that most sets hold make no groups.
+    """
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = [np.frombuffer(x.as_buffer(), np.int64) for x in b.column(2)]
+            n = np.array([len(x) for x in own], np.int64)
+            row = np.repeat(np.arange(len(own)), n)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(own) if own else n), b.column(0).take(pa.array(row)), b.column(1).take(pa.array(row)), pa.array(n[row])], names=["sig", "node", "digest", "n"]
+            )
+
+    held = scratch.keep(sets.select("node", "digest", "own").mapInArrow(each, "sig bigint, node bigint, digest binary, n bigint"))
+    often = held.groupBy("sig").agg(F.count(F.lit(1)).alias("often"))
+    order = Window.partitionBy("digest").orderBy("often", "sig")
+    first = held.join(often, "sig").withColumn("k", F.row_number().over(order)).filter(F.col("k") <= F.floor(F.col("n") * (DEN - NUM) / DEN) + 1)
+    return first.filter("often > 1").select("sig", "node").distinct()
+
+
 def _between(members: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame | None:
     """Links between components among the members (sig, node, root) of groups; None if there can't be any.
 
@@ -530,8 +553,11 @@ def _between(members: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame
     members = scratch.keep(members.join(mixed, "sig"))
     if members.isEmpty():
         return None
-    hubs = members.groupBy("sig", "root").agg(F.min("node").alias("hub")).select("sig", "hub", F.col("root").alias("hub_root"))
-    near = scratch.keep(members.join(hubs, "sig"))
+    size = F.col("node").bitwiseAND(F.lit(0xFFFF))
+    hubs = members.groupBy("sig", F.col("root").alias("hub_root")).agg(F.min("node").alias("hub"), F.min(size).alias("low"), F.max(size).alias("high"))
+    # a component is no partner in this group if all its sizes there rule the similarity out
+    fits = ((F.col("high") == 65535) | (size * NUM <= F.col("high") * DEN)) & ((size == 65535) | (F.col("low") * NUM <= size * DEN))
+    near = scratch.keep(members.join(hubs, "sig").filter((F.col("root") == F.col("hub_root")) | fits).drop("low", "high"))
     pairs = scratch.keep(near.filter("node != hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct())
     tested = scratch.keep(_verified(pairs, sets))
     apart = tested.select("a", "b", (1 - F.col("common") / F.col("together")).alias("d"))
