@@ -3,11 +3,12 @@
 1. Documents with a row in the label table teach a softmax classifier (shapes of words, length, variety). It is fitted on
    at most ``sample`` labelled rows, those with the smallest hash of the id: a documented bound.
 2. Every document gets domain posteriors p and its number of words t.
-3. Rates r >= 0 minimise || sum r t p - T ||^2, and of such rates those nearest to 1 (a ridge of RIDGE on r - 1 says so). The best rates are
-   1 - p.u, cut to the bounds, with one number of u per domain: the dual has as many unknowns as domains. It is solved by Newton
-   steps with a line search, which end on the gradient alone; each is one aggregation over a narrow table, and lost work is simply done again.
-   With bounded rates and no total given, the total is halved in on the most words with which the targets are met; where none is found, rates are
-   the nearest ones at the total the scarcest domain allows.
+3. Rates r >= 0 minimise || sum r t p - T ||^2 by projected gradient steps from rate 1: r <- r - a p.g, cut to the bounds, where g is what
+   the sums miss of T. A step is one aggregation over a narrow table; its size a follows from the last two steps (spectral steps), and
+   one that raises the loss over the last few is taken again at the size that always lowers it. Steps end when they hardly move
+   any rate, or the targets are met. The driver keeps one vector g a step, from which a task computes its rows' rates, so lost work is done again.
+   With bounded rates and no total given, the loss is what the sums miss of the target shares at their own total; where shares cannot be met at
+   any total (rates go to 0), rates are the nearest ones at the total the scarcest domain allows.
 
 Defined results: NULL and empty texts have 0 words, posteriors as the classifier gives them, and a rate like any document's; without labelled rows posteriors are
 equal; a document labelled more than once counts with its largest domain; labels without document or value are
@@ -29,7 +30,8 @@ from cohortlab.session import cut_lineage
 from .words import column_bytes, distinct, runs, words
 
 SAMPLE = 5_000
-STEPS, TRIALS, TOLERANCE, EXACT, RIDGE = 60, 8, 1e-4, 1e-6, 1e-6
+#: Shares met, and loss and movement of rates at which steps end; steps whose losses a new one is held against; an end to steps that rounding stalls.
+TOLERANCE, EXACT, MEMORY, STEPS = 1e-4, 1e-6, 8, 2_000
 #: Labelled rows that must show a feature for it to count, and rows whose features are made at once.
 LEAST_ROWS, BLOCK = 5, 2048
 
@@ -149,93 +151,102 @@ class Rates(NamedTuple):
     updates: list[np.ndarray]
     most: float | None = None
 
+    @property
+    def start(self) -> float:
+        return 1.0 if self.most is None else min(1.0, self.most)
+
     def column(self) -> Column:
         """For rows with ``p``."""
         if not self.updates:
-            return F.lit(1.0)
+            return F.lit(self.start)
 
         def step(rate: Column, update: Column) -> Column:
             less = sum((F.col("p")[k] * update[k] for k in range(len(self.updates[0]))), F.lit(0.0))
             now = F.greatest(F.lit(0.0), rate - less)
             return now if self.most is None else F.least(F.lit(self.most), now)
 
-        return F.aggregate(F.array(*[F.array(*[F.lit(float(x)) for x in u]) for u in self.updates]), F.lit(1.0), step)
+        return F.aggregate(F.array(*[F.array(*[F.lit(float(x)) for x in u]) for u in self.updates]), F.lit(self.start), step)
 
     def of(self, p: np.ndarray) -> np.ndarray:
         """For a table of probabilities."""
-        rate = np.ones(len(p))
+        rate = np.full(len(p), self.start)
         for u in self.updates:
             rate = np.clip(rate - p @ u, 0.0, self.most)
         return rate
 
 
+def _moved(rows: DataFrame, rates: Rates, z: float, domains: int) -> tuple[np.ndarray, float]:
+    """(shares, mean square of what the last update changed, by words) of rows with n_words and p."""
+    before = Rates(rates.updates[:-1], rates.most)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            t, p = b.column(0).to_numpy(zero_copy_only=False).astype(float), b.column(1).flatten().to_numpy().reshape(-1, domains)
+            old = before.of(p)
+            new = np.clip(old - p @ rates.updates[-1], 0.0, rates.most) if rates.updates else old
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (*((t * new) @ p), t @ (new - old) ** 2)], names=[f"e{i}" for i in range(domains + 1)])
+
+    sums = rows.select("n_words", "p").mapInArrow(each, ", ".join(f"e{i} double" for i in range(domains + 1)))
+    got = np.array(sums.agg(*[F.sum(f"e{i}") for i in range(domains + 1)]).first(), float) / z
+    return got[:-1], float(got[-1])
+
+
+def _descend(rows: DataFrame, goal: np.ndarray, own_total: bool, z: float, moments: np.ndarray, most: float | None) -> tuple[Rates, np.ndarray]:
+    """(rates, shares) at the end of projected gradient steps towards ``goal``, or towards its shares of the rates' own total."""
+    k = len(goal)
+    # what is missed, as a linear map of the shares; for shares of the own total, goal * total takes the place of the goal
+    pull = np.eye(k) - np.outer(goal, np.ones(k)) if own_total else np.eye(k)
+    aim = np.zeros(k) if own_total else goal
+    safe = 1 / max(float(np.linalg.eigvalsh(pull @ moments @ pull.T).max()), 1e-12)
+    rates, size = Rates([], most), safe
+    now, _ = _moved(rows, rates, z, k)
+    missed = pull @ now - aim
+    losses = [missed @ missed / 2]
+    for _ in range(STEPS):
+        if np.abs(missed).max() <= EXACT * (now.sum() if own_total else 1.0):
+            break
+        trial = Rates([*rates.updates, size * (pull.T @ missed)], most)
+        shares, square = _moved(rows, trial, z, k)
+        miss = pull @ shares - aim
+        loss = miss @ miss / 2
+        if size > safe and loss > max(losses[-MEMORY:]) - 1e-4 / size * square:
+            size = safe
+            continue
+        change = miss - missed
+        rates, now, missed = trial, shares, miss
+        losses.append(loss)
+        if np.sqrt(square) <= EXACT * safe:
+            break
+        size = float(np.clip(square / max(change @ change, 1e-300), safe, 1e6 * safe))
+    return rates, now
+
+
 def fit_rates(rows: DataFrame, weights: Sequence[float], total: float | None = None, most: float | None = None) -> tuple[Rates, np.ndarray, np.ndarray]:
     """(rates, expected shares, target shares) for rows with n_words and p; shares are parts of all words.
 
-    ``total`` is the wanted number of words as a part of those there are (all by default; with ``most`` as much as the
-    scarcest domain allows), ``most`` an upper bound of the rates.
+    ``total`` is the wanted number of words as a part of those there are (all by default; with ``most`` whatever total
+    the steps end at), ``most`` an upper bound of the rates.
     """
     k = len(weights)
     p = [F.col("p")[i] for i in range(k)]
     first = rows.agg(
         F.sum("n_words").alias("z"),
-        *[F.sum(F.col("n_words") * p[i]).alias(f"e{i}") for i in range(k)],
+        *[F.sum(F.col("n_words") * p[i] * p[j]).alias(f"a{i}_{j}") for i in range(k) for j in range(k)],
     ).first()
     z = first["z"] or 0
     if not z:
         return Rates([], most), np.zeros(k), np.zeros(k)
-    shares = np.array([first[f"e{i}"] for i in range(k)]) / z
+    moments = np.array([[first[f"a{i}_{j}"] for j in range(k)] for i in range(k)]) / z
+    shares = moments.sum(axis=1)
     goal = np.asarray(weights, float) / np.sum(weights)
-
-    def solved(goal: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(update, shares) of the best rates for a goal, by Newton steps on the dual."""
-
-        def at(u: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-            """Dual value, shares, and moments of the rows whose rate is within its bounds."""
-            wanted = F.lit(1.0) - sum((p[i] * float(u[i]) for i in range(k)), F.lit(0.0))
-            free = (wanted > 0) if most is None else (wanted > 0) & (wanted < most)
-            got = rows.select("n_words", "p", Rates([u], most).column().alias("_r"), free.cast("double").alias("_free")).agg(
-                F.sum(F.col("n_words") * (F.col("_r") - 1) ** 2).alias("q"),
-                *[F.sum(F.col("_r") * F.col("n_words") * p[i]).alias(f"e{i}") for i in range(k)],
-                *[F.sum(F.col("_free") * F.col("n_words") * p[i] * p[j]).alias(f"a{i}_{j}") for i in range(k) for j in range(k)],
-            ).first()
-            e = np.array([got[f"e{i}"] for i in range(k)]) / z
-            return float(u @ (goal - e)) - got["q"] / z / 2 + RIDGE * float(u @ u) / 2, e, np.array([[got[f"a{i}_{j}"] for j in range(k)] for i in range(k)]) / z
-
-        u = start
-        value, now, inner = at(u)
-        for _ in range(STEPS):
-            gradient = goal - now + RIDGE * u
-            if np.abs(gradient).max() <= EXACT:
-                break
-            way, size = -np.linalg.solve(inner + RIDGE * np.eye(k), gradient), 1.0
-            while size > 1e-9:
-                trial = at(u + size * way)
-                if trial[0] <= value + 1e-4 * size * float(gradient @ way) + 1e-14:
-                    break
-                size /= 4
-            else:
-                break
-            u, (value, now, inner) = u + size * way, trial
-        return u, now
-
-    zero = np.zeros(k)
-    bound = 1.0 if most is None else min(1.0, float(np.min(most * shares[goal > 0] / goal[goal > 0])))
-    whole = bound if total is None else total
-    u, now = solved(goal * whole, zero)
-    if total is None and most is not None and np.abs(now - goal * whole).max() > TOLERANCE:
-        # domains overlap: with fewer words the weights may be met; the most words with which they are, unless there are none
-        low, high, best = 0.0, whole, None
-        for _ in range(TRIALS):
-            middle = (low + high) / 2
-            found = solved(goal * middle, zero)
-            if np.abs(found[1] - goal * middle).max() <= TOLERANCE * middle:
-                low, best = middle, found
-            else:
-                high = middle
-        if best is not None:
-            whole, (u, now) = low, best
-    return Rates([u], most), now, goal * whole
+    if total is None and most is not None:
+        rates, now = _descend(rows, goal, True, z, moments, most)
+        if now.sum() > 0 and np.abs(now - goal * now.sum()).max() <= TOLERANCE * now.sum():
+            return rates, now, goal * now.sum()
+        total = min(1.0, float(np.min(most * shares[goal > 0] / goal[goal > 0])))
+    goal = goal * (1.0 if total is None else total)
+    rates, now = _descend(rows, goal, False, z, moments, most)
+    return rates, now, goal
 
 
 def mix(

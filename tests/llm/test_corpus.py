@@ -337,6 +337,29 @@ def test_bounded_rates_are_the_best_ones(spark):
     assert np.abs(now / now.sum() - (0.1, 0.9)).max() < 1e-3 and 0.1 < now.sum() < 1
 
 
+def test_rates_of_many_domains_and_of_targets_out_of_reach(spark):
+    rng = np.random.default_rng(5)
+    p = np.exp(rng.normal(size=(3000, 4)) * 2)
+    p /= p.sum(axis=1, keepdims=True)
+    t, weights = rng.integers(0, 2000, 3000), (0.4, 0.35, 0.2, 0.05)
+    rows = spark.createDataFrame([(int(n), [float(x) for x in q]) for n, q in zip(t, p)], "n_words long, p array<double>").repartition(3).cache()
+    for most in (None, 1.0, 0.5):
+        rates, now, goal = mixing.fit_rates(rows, weights, most=most)
+        r = rates.of(p)
+        assert np.abs(now / now.sum() - weights).max() < 2e-4 and np.allclose((r * t) @ p / t.sum(), now) and np.allclose(now, goal, atol=2e-4)
+        assert r.min() >= 0 and (most is None or r.max() <= most)
+        column = sorted(x["r"] for x in rows.select(rates.column().alias("r")).collect())
+        assert np.allclose(column, np.sort(r))
+    # without bounds in reach the steps go to the least change of the rates, as the normal equations have it
+    rates, now, goal = mixing.fit_rates(rows, (p * t[:, None]).sum(axis=0) / t.sum() + (0.01, -0.01, 0.005, -0.005))
+    u = np.linalg.solve((p * t[:, None]).T @ p / t.sum(), now - (p * t[:, None]).sum(axis=0) / t.sum())
+    assert rates.of(p).min() > 0 and np.allclose(rates.of(p), 1 + p @ u, atol=1e-4)
+    # every document alike: no rates meet the shares, and not all documents go
+    alike = spark.createDataFrame([(10, [0.5, 0.5])] * 20, "n_words long, p array<double>")
+    rates, now, _ = mixing.fit_rates(alike, (0.1, 0.9), most=1.0)
+    assert np.allclose(rates.of(np.full((1, 2), 0.5)), now.sum()) and now.sum() > 0.4
+
+
 # ---- pipeline
 
 def test_stages_on_odd_tables(spark, odd, odd_rows, tmp_path):
