@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
+from functools import partial, reduce
 from multiprocessing.pool import ThreadPool
 
 from pyspark.sql import DataFrame
@@ -15,6 +15,7 @@ from ..learners.base import score
 from ..operators.sampling import kfold, stratified_kfold
 from ..session import cut_lineage
 from .grids import candidates, sample_candidates
+from .jobs import delete_folder, finished_folders, job_name, stored
 
 Fit = Callable[[DataFrame, dict], object]
 
@@ -59,8 +60,14 @@ def candidate_list(grid: dict[str, list], method: str = "grid", n_iter: int = 10
     raise ValueError("method must be 'grid' or 'random'")
 
 
-def grid_scores(df: DataFrame, fit: Fit, options: list[dict], fold_col: str, n_folds: int, metric: str, parallelism: int = 4) -> list[dict]:
-    """(param_id, fold, score) of every candidate; many candidates are scored in one job."""
+def grid_scores(df: DataFrame, fit: Fit, options: list[dict], fold_col: str, n_folds: int, metric: str, parallelism: int = 4, jobs: str | None = None) -> list[dict]:
+    """(param_id, fold, score) of every candidate; many candidates are scored in one job.
+
+    With ``jobs``, a folder, a candidate's fit and score on a fold are a job of their own, whose score is stored there and not made again by a rerun;
+    learners that fit all candidates from one pass have one job for all.
+    """
+    if jobs is not None:
+        return _stored_scores(df, fit, options, fold_col, n_folds, metric, parallelism, jobs)
     if fit in SCORES and metric == "accuracy":
         return SCORES[fit](df, fold_col, n_folds, options)
     models = fold_models(df, fit, options, fold_col, n_folds, parallelism)
@@ -74,6 +81,26 @@ def grid_scores(df: DataFrame, fit: Fit, options: list[dict], fold_col: str, n_f
     return sorted(out, key=lambda r: (r["param_id"], r["fold"]))
 
 
+def _stored_scores(df: DataFrame, fit: Fit, options: list[dict], fold_col: str, n_folds: int, metric: str, parallelism: int, jobs: str) -> list[dict]:
+    spark, schema = df.sparkSession, "param_id int, fold int, score double"
+
+    def one(i: int, f: int) -> DataFrame:
+        model = fit(df.filter(F.col(fold_col) != f), options[i])
+        pred = score(model, df.filter(F.col(fold_col) == f)).select("label", F.col("prediction").cast("double").alias("prediction"))
+        return fold_scores(pred.withColumn("param_id", F.lit(i)).withColumn("fold", F.lit(f)), ["param_id", "fold"], metric)
+
+    def every() -> DataFrame:
+        rows = grid_scores(df, fit, options, fold_col, n_folds, metric, parallelism)
+        return spark.createDataFrame([(r["param_id"], r["fold"], r["score"]) for r in rows], schema)
+
+    if fit in MANY or fit in SCORES:
+        todo = {job_name(options, n_folds, metric): every}
+    else:
+        todo = {job_name(i, options[i], f, n_folds, metric): partial(one, i, f) for i in range(len(options)) for f in range(n_folds)}
+    rows = stored(spark, jobs, todo, parallelism, pool=jobs).select("param_id", "fold", "score").collect()
+    return sorted((r.asDict() for r in rows), key=lambda r: (r["param_id"], r["fold"]))
+
+
 def best_of(scores: list[dict]) -> tuple[int, float]:
     """Candidate number with the highest mean score, the first on ties."""
     by_id: dict[int, list[float]] = {}
@@ -93,9 +120,19 @@ def grid_search(df: DataFrame, fit: Fit, grid: dict[str, list], fold_col: str =
     return fit(df, options[i]), options[i], value, scores
 
 
+def _fold_predictions(train: DataFrame, folded: DataFrame, fit: Fit, params: dict, f: int) -> DataFrame:
+    scored = score(fit(train, params), folded.filter(F.col("outer_fold") == f))
+    names = ["row_id", "label", F.col("outer_fold").alias("fold"), F.col("prediction").cast("double").alias("prediction")]
+    return scored.select(*names, *[c for c in ("probability",) if c in scored.columns])
+
+
 def nested_predictions(df: DataFrame, fit: Fit, grid: dict[str, list], outer: int = 5, inner: int = 3, classify: bool = True,
-                       method: str = "random", n_iter: int = 10, seed: int = 42, parallelism: int = 4) -> tuple[DataFrame, list[dict]]:
-    """Predictions for every row by the model whose parameters were searched without its outer fold."""
+                       method: str = "random", n_iter: int = 10, seed: int = 42, parallelism: int = 4,
+                       jobs: str | None = None) -> tuple[DataFrame, list[dict]]:
+    """Predictions for every row by the model whose parameters were searched without its outer fold.
+
+    With ``jobs``, a folder, scores of candidates and predictions of outer folds are stored there, and a rerun goes on after the last one stored.
+    """
     cut = stratified_kfold if classify else kfold
     extra = ["label"] if classify else []
     metric = "accuracy" if classify else "r2"
@@ -103,11 +140,14 @@ def nested_predictions(df: DataFrame, fit: Fit, grid: dict[str, list], outer: in
     parts, chosen = [], []
     for f in range(outer):
         train = cut(folded.filter(F.col("outer_fold") != f), *extra, k=inner, seed=f"{seed}-inner", out="inner_fold").persist()
-        model, params, value, _ = grid_search(train, fit, grid, "inner_fold", inner, metric, method, n_iter, seed, parallelism)
-        chosen.append({"fold": f, "params": params, "score": value})
-        scored = score(model, folded.filter(F.col("outer_fold") == f))
-        names = ["row_id", "label", F.col("outer_fold").alias("fold"), F.col("prediction").cast("double").alias("prediction")]
-        parts.append(scored.select(*names, *[c for c in ("probability",) if c in scored.columns]))
+        options = candidate_list(grid, method, n_iter, seed)
+        own = None if jobs is None else f"{jobs}/outer={f}"
+        scores = grid_scores(train, fit, options, "inner_fold", inner, metric, parallelism, None if own is None else f"{own}/scores")
+        best, value = best_of(scores)
+        chosen.append({"fold": f, "params": options[best], "score": value})
+        predict = partial(_fold_predictions, train, folded, fit, options[best], f)
+        name = job_name(options, best, inner, metric)
+        parts.append(predict() if own is None else stored(df.sparkSession, f"{own}/predictions", {name: predict}, 1, pool=own))
         train.unpersist()
     # several metrics read the predictions: score the rows once
     pred = cut_lineage(reduce(DataFrame.unionByName, parts))
@@ -143,26 +183,25 @@ def run_all_models(df: DataFrame, learners: dict[str, Fit], grids: dict[str, dic
                    classify: bool = True, **options) -> DataFrame:
     """Nested CV of every learner that has no result below ``path`` yet, then the summary of all.
 
-    Results are one Parquet folder per model, so an interrupted run goes on where it stopped.
+    Results are one Parquet folder per model; until it is written, those of the model's fits and folds are kept below ``path/jobs``. An
+    interrupted run goes on after the last fit that was stored.
     """
     spark = df.sparkSession
     done = finished_models(spark, path)
     for name, fit in learners.items():
         if name in done:
             continue
+        jobs = f"{path}/jobs/{name}"
         if classify:
-            folds = nested_cv_classify(df, fit, grids[name], n_classes=n_classes, **options)
+            folds = nested_cv_classify(df, fit, grids[name], n_classes=n_classes, jobs=jobs, **options)
         else:
-            folds = nested_cv_regress(df, fit, grids[name], n_features, **options)
+            folds = nested_cv_regress(df, fit, grids[name], n_features, jobs=jobs, **options)
         folds.write.mode("overwrite").parquet(f"{path}/model={name}")
+        delete_folder(spark, jobs)
     results = spark.read.option("basePath", path).parquet(*[f"{path}/model={n}" for n in learners])
     return m.summarize_with_ci(results)
 
 
 def finished_models(spark, path: str) -> set[str]:
     """Models whose result folder was written completely."""
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    marks = fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{path}/model=*/_SUCCESS"))
-    return {m_.getPath().getParent().getName().removeprefix("model=") for m_ in (marks or [])}
+    return finished_folders(spark, path, "model=")

@@ -14,6 +14,7 @@ from ..operators.ensemble import load_selected, mean_vote, predict_all, select_t
 from ..operators.sampling import kfold, stratified_kfold
 from ..sources.books import write_report_sheet
 from ..sources.models import load_model, resume_pending, save_model
+from .jobs import delete_folder
 from .search import Fit, finished_models, grid_search, nested_cv_classify, nested_cv_regress
 
 
@@ -28,13 +29,13 @@ def training_task(
     """Metrics of the ensemble on ``test`` with bootstrap intervals, also written as one sheet of ``book``.
 
     Below ``path`` a learner has its fold results, its model (searched and refitted on all of ``train``) and a mark once both are
-    written. A rerun fits only learners without a mark. The ``top`` learners by accuracy (R2) vote: mean probabilities, or mean values.
+    written. A rerun fits only learners without a mark, and of these only candidates and folds whose scores are not stored yet. The ``top`` learners by accuracy (R2) vote: mean probabilities, or mean values.
     """
     spark = train.sparkSession
     results, marks = f"{path}/results", f"{path}/done"
     pending = resume_pending(_names(spark, learners), _names(spark, finished_models(spark, marks)), _names(spark, finished_models(spark, results)), ["model"])
     for name in sorted(r["model"] for r in pending.collect()):
-        fit, options = learners[name], {"n_iter": n_iter, "seed": seed}
+        fit, options = learners[name], {"n_iter": n_iter, "seed": seed, "jobs": f"{path}/jobs/{name}"}
         if classify:
             folds = nested_cv_classify(train, fit, grids[name], outer, inner, n_classes, **options)
         else:
@@ -44,6 +45,7 @@ def training_task(
         model, _, _, _ = grid_search(folded, fit, grids[name], "fold", inner, "accuracy" if classify else "r2", "random", n_iter, seed)
         save_model(model, f"{path}/models/{name}")
         _names(spark, [name]).write.mode("overwrite").parquet(f"{marks}/model={name}")
+        delete_folder(spark, f"{path}/jobs/{name}")
     summary = m.summarize_with_ci(spark.read.option("basePath", results).parquet(*[f"{results}/model={n}" for n in learners]))
     selected = load_selected(select_topk(summary, top, "accuracy" if classify else "r2"), _names(spark, finished_models(spark, marks)))
     models = {r["model"]: load_model(spark, f"{path}/models/{r['model']}") for r in selected.collect()}
