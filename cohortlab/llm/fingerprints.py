@@ -111,7 +111,7 @@ def _with_next(docs: DataFrame, id_col: str, text_col: str, ranges: int) -> Data
         .dropDuplicates(["_range"]).select(F.col("_to").alias("_range"), F.lit(True).alias("_end"), "_id", "_hash", "_text")
     )
     every = placed.select("_range", F.lit(False).alias("_end"), "_id", "_hash", "_text").unionByName(ends)
-    return every.repartition(ranges, "_range").sortWithinPartitions("_range", "_end", F.col("_id").asc_nulls_last(), "_hash")
+    return every.repartitionById(ranges, "_range").sortWithinPartitions("_range", "_end", F.col("_id").asc_nulls_last(), "_hash")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranges: int | None = None) -> DataFrame:
