@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import digest, poisson_weight
-from ..session import cut_lineage
+from ..session import delete_folder, fresh_path
 from .base import argmax, class_count, with_weights
 
 MAX_DEPTH = 30  # the deepest tree Spark ML grows; stands for "no limit"
@@ -202,15 +202,46 @@ def samme_round(df: DataFrame, n_classes: int, rate: float, label: str = "label"
     return df.withColumn(weight, F.col(weight) / F.lit(s[1] if normalise else 1.0) * F.exp(F.lit(alpha) * miss)), err, alpha
 
 
-def fit_adaboost_classifier(train: DataFrame, params: dict, checkpoint_every: int = 5) -> BoostedVote:
-    """SAMME boosting of shallow trees. The weight column is cut from its lineage every few rounds."""
+class RoundTable:
+    """Rows of a boosting round as a table in the shared folder; the one before goes once the next stands.
+
+    The plan of a round begins at one table, however many rounds there were: weights come from the last tree alone, a lost
+    executor's work is read again from there, and the sums of a round read no features.
+    """
+
+    def __init__(self, spark) -> None:
+        self.spark, self.path = spark, None
+
+    def __enter__(self) -> RoundTable:
+        return self
+
+    def __exit__(self, *_) -> None:
+        if self.path is not None:
+            delete_folder(self.spark, self.path)
+
+    def write(self, rows: DataFrame) -> DataFrame:
+        before, path = self.path, fresh_path(self.spark, "round")
+        rows.write.parquet(path)
+        self.path = path
+        if before is not None:
+            delete_folder(self.spark, before)
+        return self.spark.read.schema(rows.schema).parquet(path)
+
+
+def fit_adaboost_classifier(train: DataFrame, params: dict) -> BoostedVote:
+    """SAMME boosting of shallow trees, with the weights of a round in a table of their own."""
+    with RoundTable(train.sparkSession) as table:
+        return _boost_classes(train, params, table)
+
+
+def _boost_classes(train: DataFrame, params: dict, table: RoundTable) -> BoostedVote:
     k, rate = class_count(train), float(params.get("learning_rate", 1.0))
-    rows = train.select("features", "label", F.lit(1.0).alias("weight"))
+    rows = table.write(train.select("features", "label", F.lit(1.0).alias("weight")))
     depth = params.get("max_depth") or 1
     trees, alphas = [], []
-    for i in range(int(params.get("n_estimators", 50))):
+    for _ in range(int(params.get("n_estimators", 50))):
         tree = DecisionTreeClassifier(weightCol="weight", **_shape({**params, "max_depth": depth})).fit(rows)
-        scored = tree.transform(rows).drop("rawPrediction", "probability")
+        scored = table.write(tree.transform(rows).select("features", "label", "weight", "prediction"))
         rows, err, alpha = samme_round(scored, k, rate, normalise=True)
         if alpha <= 0:
             break
@@ -219,8 +250,6 @@ def fit_adaboost_classifier(train: DataFrame, params: dict, checkpoint_every: in
         if err <= 0:
             break
         rows = rows.drop("prediction")
-        if (i + 1) % checkpoint_every == 0:
-            rows = cut_lineage(rows)
     if not trees:
         raise ValueError("the first tree is not better than chance")
     return BoostedVote(trees, alphas, k)
@@ -268,14 +297,19 @@ def r2_round(df: DataFrame, rate: float, label: str = "label", prediction: str =
     return df.withColumn(weight, F.col(weight) / F.lit(s[1] if normalise else 1.0) * F.pow(F.lit(beta), F.lit(rate) * (1 - loss))), mean, beta
 
 
-def fit_adaboost_regressor(train: DataFrame, params: dict, checkpoint_every: int = 5) -> WeightedMedianTrees:
-    """AdaBoost.R2 (Drucker 1997) on trees of depth 3, with weights in place of resampling."""
+def fit_adaboost_regressor(train: DataFrame, params: dict) -> WeightedMedianTrees:
+    """AdaBoost.R2 (Drucker 1997) on trees of depth 3, with weights in place of resampling, kept as for classes."""
+    with RoundTable(train.sparkSession) as table:
+        return _boost_values(train, params, table)
+
+
+def _boost_values(train: DataFrame, params: dict, table: RoundTable) -> WeightedMedianTrees:
     rate = float(params.get("learning_rate", 1.0))
-    rows = train.select("features", "label", F.lit(1.0).alias("weight"))
+    rows = table.write(train.select("features", "label", F.lit(1.0).alias("weight")))
     trees, weights = [], []
-    for i in range(int(params.get("n_estimators", 50))):
+    for _ in range(int(params.get("n_estimators", 50))):
         tree = DecisionTreeRegressor(weightCol="weight", **_shape({**params, "max_depth": params.get("max_depth") or 3})).fit(rows)
-        rows, mean, beta = r2_round(tree.transform(rows), rate, normalise=True)
+        rows, mean, beta = r2_round(table.write(tree.transform(rows)), rate, normalise=True)
         if mean >= 0.5 and trees:
             break
         trees.append(tree)
@@ -283,6 +317,4 @@ def fit_adaboost_regressor(train: DataFrame, params: dict, checkpoint_every: int
         if mean <= 0 or mean >= 0.5:
             break
         rows = rows.drop("prediction")
-        if (i + 1) % checkpoint_every == 0:
-            rows = cut_lineage(rows)
     return WeightedMedianTrees(trees, weights)

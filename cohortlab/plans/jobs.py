@@ -25,12 +25,6 @@ def finished_folders(spark: SparkSession, path: str, prefix: str) -> set[str]:
     return {m.getPath().getParent().getName().removeprefix(prefix) for m in (marks or [])}
 
 
-def delete_folder(spark: SparkSession, path: str) -> None:
-    """Delete a folder of stored jobs that nothing reads any more."""
-    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(root, True)
-
-
 def stored(spark: SparkSession, path: str, jobs: dict[str, Callable[[], DataFrame]], parallelism: int = 4, pool: str | None = None) -> DataFrame:
     """Rows of all ``jobs``; those with a complete folder below ``path`` are read, the others run side by side and are written.
 

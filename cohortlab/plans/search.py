@@ -13,9 +13,9 @@ from ..functions import metrics as m
 from ..learners import MANY, SCORES
 from ..learners.base import score
 from ..operators.sampling import kfold, stratified_kfold
-from ..session import cut_lineage
+from ..session import cut_lineage, delete_folder
 from .grids import candidates, sample_candidates
-from .jobs import delete_folder, finished_folders, job_name, stored
+from .jobs import finished_folders, job_name, stored
 
 Fit = Callable[[DataFrame, dict], object]
 

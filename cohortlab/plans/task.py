@@ -13,8 +13,8 @@ from ..learners.base import score
 from ..operators.ensemble import load_selected, mean_vote, predict_all, select_topk, soft_vote
 from ..operators.sampling import kfold, stratified_kfold
 from ..sources.books import write_report_sheet
+from ..session import delete_folder
 from ..sources.models import load_model, resume_pending, save_model
-from .jobs import delete_folder
 from .search import Fit, finished_models, grid_search, nested_cv_classify, nested_cv_regress
 
 

@@ -82,6 +82,12 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
 
 
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Delete a written table that nothing reads any more."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(root, True)
+
+
 def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     """Reliable checkpoint: the plan behind ``df`` is replaced by files executors can re-read."""
     shared_dir(df.sparkSession)

@@ -12,6 +12,7 @@ from cohortlab.learners.stats import sufficient_stats
 from cohortlab.plans import search
 from cohortlab.session import fresh_path
 from cohortlab.sources.models import load_model, save_model
+from cohortlab.sources.tables import exists
 
 
 def frame(spark, x, y):
@@ -320,3 +321,37 @@ def test_neighbour_table_scores_equal_those_of_separate_fits(spark):
             scored = L.fit_knn(df.filter(F.col("fold") != f), o).transform(df.filter(F.col("fold") == f))
             assert got[i, f] == pytest.approx(scored.select(F.avg((F.col("label") == F.col("prediction")).cast("double"))).first()[0]), (o, f)
     df.unpersist()
+
+
+@pytest.mark.parametrize("regress", [False, True])
+def test_boosting_starts_each_round_from_one_table(spark, regress, monkeypatch):
+    rows = [(i, [float(i % 13), float(i * 7 % 11)], i % 13 * 1.5 + i * 7 % 11 if regress else float((i % 13) * 2 > i * 7 % 11)) for i in range(400)]
+    df = spark.createDataFrame(rows, "row_id long, features array<double>, label double").withColumn("features", array_to_vector("features"))
+    paths, widest, write = [], [], trees.RoundTable.write
+
+    def noted(self, frame):
+        out = write(self, frame)
+        paths.append(self.path)
+        widest.append(len(frame._jdf.queryExecution().optimizedPlan().toString()))
+        return out
+
+    monkeypatch.setattr(trees.RoundTable, "write", noted)
+    fit = (L.REGRESSORS if regress else L.CLASSIFIERS)["AdaB"]
+    model = fit(df, {"n_estimators": 12, "max_depth": 1, "learning_rate": 0.5})
+    trees_, weights = model.members()[1], model.weights if regress else model.alphas
+    assert len(trees_) == 12 == len(paths) - 1 and not any(exists(spark, p) for p in paths)
+    assert max(widest[2:]) < 1.2 * widest[2]  # plans do not grow with the rounds
+    # the same rounds by hand: weights from every tree's values, with numbers held in memory
+    x = df.select("features", "label").toPandas()
+    y, w = x["label"].to_numpy(), np.ones(len(x))
+    for tree, weight in zip(trees_, weights, strict=True):
+        got = np.array([tree.predict(v) for v in x["features"]])
+        if regress:
+            loss = np.abs(y - got) / np.abs(y - got).max()
+            mean = (w * loss).sum() / w.sum()
+            assert weight == pytest.approx(0.5 * np.log((1 - mean) / mean))
+            w = w / w.sum() * (mean / (1 - mean)) ** (0.5 * (1 - loss))
+        else:
+            err = (w * (y != got)).sum() / w.sum()
+            assert weight == pytest.approx(0.5 * np.log((1 - err) / err))
+            w = w / w.sum() * np.exp(weight * (y != got))
