@@ -17,23 +17,34 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import spread
-from .hashing import poisson_steps
+from .hashing import md5_words, poisson_steps
 from .metrics import LABEL_METRICS, confusion, label_metrics, regression_scores, summarize_with_ci, to_long
 
 
 #: Numbers below which a 32-bit draw stands for weights 0, 1, 2, ...
 _STEPS = np.array([int(bound, 16) for bound, _ in poisson_steps()], np.int64)
+#: The weight of the smallest draw with these upper 16 bits, and whether a step lies among the others.
+_UPPER = np.arange(1 << 16, dtype=np.int64) << 16
+_WEIGHT = np.searchsorted(_STEPS, _UPPER, "right").astype(np.float32)
+_SPLIT = _WEIGHT != np.searchsorted(_STEPS, _UPPER + 0xFFFF, "right")
 #: Rows weighed at once: their weights are a matrix of rows and replicates.
 _CHUNK = 256
 
 
+def _weights(draws: np.ndarray) -> np.ndarray:
+    """Poisson(1) weights of 32-bit draws: by their upper half, and by all bits where that leaves two."""
+    upper = draws >> np.uint32(16)
+    out = _WEIGHT[upper]
+    close = np.nonzero(_SPLIT[upper])
+    out[close] = np.searchsorted(_STEPS, draws[close].astype(np.int64), "right")
+    return out
+
+
 def poisson_matrix(ids: list[str | None], seed, replicates: int) -> np.ndarray:
     """Poisson(1) weights, rows x replicates: a digest of seed, block and id holds the draws of four replicates."""
     blocks = [f"{seed}|{b}".encode() for b in range((replicates + 3) // 4)]
-    md5 = hashlib.md5
-    raw = b"".join([md5(b + own).digest() for own in ["".encode() if i is None else b"|" + i.encode() for i in ids] for b in blocks])
-    draws = np.frombuffer(raw, ">u4").reshape(len(ids), -1)[:, :replicates]
-    return np.searchsorted(_STEPS, draws.astype(np.int64), "right").astype(float)
+    own = [b"" if i is None else b"|" + i.encode() for i in ids]
+    return _weights(md5_words(own, blocks).reshape(len(ids), -1)[:, :replicates]).astype(float)
 
 
 def _weighted_sums(df: DataFrame, replicates: int, seed, id_col: str, keys: list[str], values: dict) -> DataFrame:
