@@ -15,7 +15,7 @@ from ..operators.sampling import kfold, stratified_kfold
 from ..sources.books import write_report_sheet
 from ..session import delete_folder
 from ..sources.models import load_model, resume_pending, save_model
-from .search import Fit, finished_models, grid_search, nested_cv_classify, nested_cv_regress
+from .search import Fit, finished_models, grid_search, nested_cv_classify, nested_cv_regress, nested_table
 
 
 def _names(spark, names) -> DataFrame:
@@ -34,18 +34,23 @@ def training_task(
     spark = train.sparkSession
     results, marks = f"{path}/results", f"{path}/done"
     pending = resume_pending(_names(spark, learners), _names(spark, finished_models(spark, marks)), _names(spark, finished_models(spark, results)), ["model"])
-    for name in sorted(r["model"] for r in pending.collect()):
-        fit, options = learners[name], {"n_iter": n_iter, "seed": seed, "jobs": f"{path}/jobs/{name}"}
+    names = sorted(r["model"] for r in pending.collect())
+    nested = nested_table(train, outer, inner, classify, seed) if names else None
+    folded = (stratified_kfold(train, "label", inner, seed) if classify else kfold(train, inner, seed)).persist() if names else None
+    for name in names:
+        fit, options = learners[name], {"n_iter": n_iter, "seed": seed, "jobs": f"{path}/jobs/{name}", "folded": nested}
         if classify:
             folds = nested_cv_classify(train, fit, grids[name], outer, inner, n_classes, **options)
         else:
             folds = nested_cv_regress(train, fit, grids[name], n_features, outer, inner, **options)
         folds.write.mode("overwrite").parquet(f"{results}/model={name}")
-        folded = stratified_kfold(train, "label", inner, seed) if classify else kfold(train, inner, seed)
         model, _, _, _ = grid_search(folded, fit, grids[name], "fold", inner, "accuracy" if classify else "r2", "random", n_iter, seed)
         save_model(model, f"{path}/models/{name}")
         _names(spark, [name]).write.mode("overwrite").parquet(f"{marks}/model={name}")
         delete_folder(spark, f"{path}/jobs/{name}")
+    for kept in (nested, folded):
+        if kept is not None:
+            kept.unpersist()
     summary = m.summarize_with_ci(spark.read.option("basePath", results).parquet(*[f"{results}/model={n}" for n in learners]))
     selected = load_selected(select_topk(summary, top, "accuracy" if classify else "r2"), _names(spark, finished_models(spark, marks)))
     models = {r["model"]: load_model(spark, f"{path}/models/{r['model']}") for r in selected.collect()}
