@@ -124,27 +124,86 @@ def bootstrap_confusion_cells(df: DataFrame, replicates: int, seed: int = 42) ->
 
 def _mixed(x: np.ndarray) -> np.ndarray:
     """64-bit hash of 64-bit numbers."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    return _mix(x.copy(), np.empty_like(x))
+
+
+def _mix(x: np.ndarray, spare: np.ndarray) -> np.ndarray:
+    """``_mixed`` in place: blocks of draws stay in the cache."""
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        np.right_shift(x, np.uint64(shift), out=spare)
+        x ^= spare
+        x *= np.uint64(factor)
+    np.right_shift(x, np.uint64(31), out=spare)
+    x ^= spare
+    return x
 
 
 #: P(weight <= k) for Poisson(1), as far as a double tells steps apart.
 _LADDER = np.cumsum([math.exp(-1.0) / math.factorial(k) for k in range(18)])
+#: The count of draws with these upper 16 bits; _CLOSE where a step lies among them.
+_CLOSE = 255
+_COUNT = np.searchsorted(_LADDER, np.arange(1 << 16) / float(1 << 16), "right")
+_COUNT[_COUNT != np.searchsorted(_LADDER, ((np.arange(1, (1 << 16) + 1) << 37) - 1) / float(1 << 53), "right")] = _CLOSE
+_COUNT = _COUNT.astype(np.uint8)
+#: Draws made at once.
+_DRAWS = 1 << 15
+
+
+def _counts_of_one(keys: np.ndarray, replicates: int) -> np.ndarray:
+    """Poisson(1) per key and replicate: by the upper 16 bits of the draw, and by all of them where those leave two counts."""
+    out, own = np.empty((len(keys), replicates), np.uint8), _mixed(np.arange(1, replicates + 1, dtype=np.uint64))
+    step = max(1, _DRAWS // replicates)
+    draws, spare = np.empty((step, replicates), np.uint64), np.empty((step, replicates), np.uint64)
+    for at in range(0, len(keys), step):
+        part = keys[at : at + step]
+        u, upper = draws[: len(part)], spare[: len(part)]
+        np.bitwise_xor(part[:, None], own, out=u)
+        _mix(u, upper)
+        np.right_shift(u, np.uint64(48), out=upper)
+        got, u = out[at : at + step].reshape(-1), u.reshape(-1)
+        np.take(_COUNT, upper.reshape(-1).view(np.int64), out=got, mode="clip")
+        close = np.flatnonzero(got == _CLOSE)
+        got[close] = np.searchsorted(_LADDER, (u[close] >> np.uint64(11)) / float(1 << 53), "right")
+    return out
 
 
 def _poisson_counts(keys: np.ndarray, counts: np.ndarray, replicates: int) -> np.ndarray:
     """Poisson(count) per row and replicate, from a hash of the row's key and the replicate alone."""
+    one = counts == 1
+    if one.all():
+        return _counts_of_one(keys, replicates)
     out = np.zeros((len(counts), replicates))
-    one = np.flatnonzero(counts == 1)
-    if len(one):
-        u = _mixed(keys[one][:, None] ^ _mixed(np.arange(1, replicates + 1, dtype=np.uint64))[None, :])
-        out[one] = np.searchsorted(_LADDER, (u >> np.uint64(11)) / float(1 << 53), "right")
+    out[one] = _counts_of_one(keys[one], replicates)
     for i in np.flatnonzero(counts > 1):
         out[i] = np.random.default_rng(int(keys[i])).poisson(counts[i], replicates)
     return out
 
 
+def _add_in_order(state: list, pos: np.ndarray, neg: np.ndarray, pos_at: np.ndarray, neg_at: np.ndarray) -> None:
+    """Adds draws of the rows ``pos_at`` and ``neg_at`` to the running totals: positives, negatives, and pairs that the positive wins.
+
+    A replicate's totals are short arrays, so going row by row keeps them in the cache. A negative in the same row counts half.
+    """
+    _, p, n, wins = state
+    i = j = 0
+    spare, ends = np.empty_like(n), [*neg_at.tolist(), -1]
+    for row in pos_at.tolist():
+        while j < len(neg) and ends[j] < row:
+            n += neg[j]
+            j += 1
+        if ends[j] == row:
+            np.divide(neg[j], 2, out=spare)
+            spare += n
+            spare *= pos[i]
+        else:
+            np.multiply(n, pos[i], out=spare)
+        wins += spare
+        i += 1
+    for rest in neg[j:]:
+        n += rest
+    p += pos.sum(axis=0, dtype=np.float64)
+
+
 def bootstrap_auc(df: DataFrame, replicates: int = 1000, seed: int = 42, classes: list[int] = (1,), probability: str = "probability") -> DataFrame:
     """AUC per replicate; several classes give the one-vs-rest average weighted by positives.
 
@@ -162,12 +221,11 @@ def bootstrap_auc(df: DataFrame, replicates: int = 1000, seed: int = 42, classes
                     block = rows.iloc[at:at + chunk]
                     # draws belong to the score, whatever block or task it comes in
                     key = _mixed(block["score"].to_numpy(np.float64).view(np.uint64) ^ np.uint64((seed * 1000003 + int(cls)) % 2**64))
-                    pos = _poisson_counts(key, block["pos"].to_numpy(), replicates)
-                    neg = _poisson_counts(_mixed(key + np.uint64(1)), block["neg"].to_numpy(), replicates)
-                    upto = state[2] + np.cumsum(neg, axis=0)
-                    state[3] += (pos * (upto - neg / 2)).sum(axis=0)
-                    state[1] += pos.sum(axis=0)
-                    state[2] += neg.sum(axis=0)
+                    n_pos, n_neg = block["pos"].to_numpy(), block["neg"].to_numpy()
+                    pos_at, neg_at = np.flatnonzero(n_pos > 0), np.flatnonzero(n_neg > 0)
+                    pos = _poisson_counts(key[pos_at], n_pos[pos_at], replicates)
+                    neg = _poisson_counts(_mixed(key[neg_at] + np.uint64(1)), n_neg[neg_at], replicates)
+                    _add_in_order(state, pos, neg, pos_at, neg_at)
         for cls, (first, p, n, a) in part.items():
             yield pd.DataFrame({"cls": cls, "first_score": first, "replicate": np.arange(replicates), "p": p, "n": n, "a": a})
 
