@@ -18,10 +18,11 @@ by those of the lower band where a smaller partner may lie.
 * A large group whose classes all ended in one component is done. A class that cannot do without its other large groups is cut anew, as
   finely as can be, into single shingles, among classes of this kind: it lacks at most a fifth of its shingles in
   a partner, so if more of them are rare, a partner shares a rare one. What is left are classes made almost wholly of
-  shingles that many share. Those with the same frequent shingles, their core, are linked as a star around the one with fewest others,
+  shingles that many share; among themselves these are counted once more. Those with the same frequent shingles, their core, are linked as a star around the one with fewest others,
   and two of them at most stand for the core (see ``_leaders``). These meet by the rarest fifth of their shingles (see ``_rarest``):
-  every component in such a group gets a hub, and pairs across components are verified unless the triangle inequality of Jaccard distances to the hubs rules them out. So no link that matters for a component is
-  lost, and groups of near copies cost a number of pairs in proportion to their rows.
+  first with the group's class of fewest rare shingles, then across the components that are left. As they have no rare shingle in common, the numbers of their
+  frequent ones bound the intersection, and only pairs that may be similar by that are listed (see ``_may_be_similar``). So no link that matters for a component is
+  lost, and near copies that many changes keep apart cost no pairs.
 
 Defined results: NULL texts and texts without words have an empty set, size 0, and are linked with nothing; fewer words than a
 shingle make one shingle; repeated rows are in one class; a component's id is its smallest document id, NULL ids last.
@@ -372,7 +373,6 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 LINKED = f"common * {DEN} >= together * {NUM}"
-LEAST_DISTANCE = (DEN - NUM) / DEN + 1e-9
 
 
 def _plain(name: str):
@@ -433,7 +433,7 @@ def _linked(pairs: DataFrame, every: DataFrame, sets: DataFrame, doubled: DataFr
 def _by_shingle(sets: DataFrame, narrow: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """(pairs that share enough single shingles, classes with too few rare shingles to be found by them).
 
-    The latter as (node, x1, x2, frequent, rare): the digest and number of their frequent shingles, which are their core, and how many they have besides.
+    The latter as (node, x1, x2, frequent, rare, n): the digest and number of their frequent shingles, which are their core, how many they have besides, and in all.
     """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -452,7 +452,7 @@ def _by_shingle(sets: DataFrame, narrow: DataFrame, scratch: Scratch) -> tuple[D
     # a key of several sets has no core that others share
     alone = F.col("held") > 1
     core = [F.when(alone, F.col("node")).otherwise(F.col("x1")).alias("x1"), F.when(alone, F.lit(-1)).otherwise(F.col("x2")).alias("x2")]
-    crowded = crowd.filter(rare <= F.floor(F.col("n") * (DEN - NUM) / DEN)).select("node", *core, "frequent", F.greatest(rare, F.lit(0)).alias("rare"))
+    crowded = crowd.filter(rare <= F.floor(F.col("n") * (DEN - NUM) / DEN)).select("node", *core, "frequent", F.greatest(rare, F.lit(0)).alias("rare"), "n")
     pairs = sums.filter("b >= 0").select("a", "b", F.col("n").alias("small"))
     of = {s: crowd.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("frequent").alias(f"f_{s}")) for s in ("a", "b")}
     met = pairs.join(of["a"], "a").join(of["b"], "b")
@@ -506,18 +506,31 @@ def _across(docs: DataFrame, text_col: str, groups: DataFrame, narrow: DataFrame
         return None
     sets = scratch.keep(_sets(docs, members.select("node").distinct(), text_col))
     by_shingle, crowded = _by_shingle(sets, narrow, scratch)
+    # counted again among themselves, fewer shingles are frequent
+    sets_of_crowd = scratch.keep(sets.join(crowded.select("node"), "node", "left_semi"))
+    again, crowded = _by_shingle(sets_of_crowd, narrow, scratch)
     crowded = scratch.keep(crowded)
-    found = scratch.keep(_verified(by_shingle, sets).filter(LINKED).select("da", "db").unionByName(_core_links(crowded, sets, scratch)))
+    by_shingle = by_shingle.unionByName(again).distinct()
+    found = scratch.keep(_verified(by_shingle, sets).filter(LINKED).select("da", "db").unionByName(_core_links(crowded, sets_of_crowd, scratch)))
+    scratch.drop(sets)
     if crowded.isEmpty():
         return found
-    members = scratch.keep(_rarest(sets.join(crowded.select("node"), "node", "left_semi"), scratch))
+    sets = scratch.keep(sets_of_crowd.join(crowded.select("node"), "node", "left_semi"))
+    scratch.drop(sets_of_crowd)
+    members = scratch.keep(_rarest(sets, scratch).join(crowded.select("node", "n", "frequent", "rare"), "node"))
+    tried = None
     while True:
         roots = _roots(known.unionByName(found), scratch)
         own = every.join(roots, "digest", "left").select("node", F.coalesce("root", "digest").alias("root"))
         leading = scratch.keep(_leaders(crowded, own, scratch))
-        more = _between(members.join(leading, "node", "left_semi").join(own, "node"), sets.join(leading, "node", "left_semi"), scratch)
-        if more is None or more.isEmpty():
+        placed = scratch.keep(members.join(leading, "node", "left_semi").join(own, "node"))
+        pairs = scratch.keep(_to_centres(placed) if tried is None else _between(placed).join(tried, ["a", "b"], "left_anti"))
+        needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+        more = scratch.keep(_verified(pairs, sets.join(needed, "node", "left_semi")).filter(LINKED).select("da", "db"))
+        scratch.drop(placed, leading, roots)
+        if tried is not None and more.isEmpty():
             return found
+        tried = pairs if tried is None else scratch.keep(tried.unionByName(pairs))
         found = scratch.keep(found.unionByName(more))
 
 
@@ -544,39 +557,35 @@ def _rarest(sets: DataFrame, scratch: Scratch) -> DataFrame:
     return first.filter("often > 1").select("sig", "node").distinct()
 
 
-def _between(members: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame | None:
-    """Links between components among the members (sig, node, root) of groups; None if there can't be any.
+def _may_be_similar(n: str, frequent: str, other_n: str, other_frequent: str):
+    """Whether two classes without a rare shingle in common may be similar: they share no more than the fewer frequent ones.
 
-    Every component in a group has a hub, its smallest class. Pairs are verified unless distances to a hub rule them out.
+    Given the least size and most frequent shingles of several classes, whether one of them may be.
     """
-    mixed = members.groupBy("sig").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 != r2").select("sig")
-    members = scratch.keep(members.join(mixed, "sig"))
-    if members.isEmpty():
-        return None
-    size = F.col("node").bitwiseAND(F.lit(0xFFFF))
-    hubs = members.groupBy("sig", F.col("root").alias("hub_root")).agg(F.min("node").alias("hub"), F.min(size).alias("low"), F.max(size).alias("high"))
-    # a component is no partner in this group if all its sizes there rule the similarity out
-    fits = ((F.col("high") == 65535) | (size * NUM <= F.col("high") * DEN)) & ((size == 65535) | (F.col("low") * NUM <= size * DEN))
-    near = scratch.keep(members.join(hubs, "sig").filter((F.col("root") == F.col("hub_root")) | fits).drop("low", "high"))
-    pairs = scratch.keep(near.filter("node != hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct())
-    tested = scratch.keep(_verified(pairs, sets))
-    apart = tested.select("a", "b", (1 - F.col("common") / F.col("together")).alias("d"))
-    apart = apart.groupBy("a", "b").agg(F.min("d").alias("d_low"), F.max("d").alias("d_high"))
-    apart = apart.select(F.col("a").alias("node"), F.col("b").alias("hub"), "d_low", "d_high").unionByName(apart.select(F.col("b").alias("node"), F.col("a").alias("hub"), "d_low", "d_high"))
-    measured = scratch.keep(near.join(apart, ["node", "hub"], "left").fillna(0.0, ["d_low", "d_high"]))
-    scratch.drop(near, members)
-    inside = measured.filter("root = hub_root").select("sig", "hub", F.col("node").alias("y"), F.col("d_low").alias("y_low"), F.col("d_high").alias("y_high"))
-    reach = inside.groupBy("sig", "hub").agg(F.max("y_high").alias("reach"))
-    outside = measured.filter("root != hub_root").join(reach, ["sig", "hub"]).filter(F.col("d_low") <= F.col("reach") + LEAST_DISTANCE)
-    rest = (
-        outside.join(inside, ["sig", "hub"]).filter((F.col("d_low") <= F.col("y_high") + LEAST_DISTANCE) & (F.col("y_low") <= F.col("d_high") + LEAST_DISTANCE))
-        .select(F.least("node", "y").alias("a"), F.greatest("node", "y").alias("b")).filter("a != b").distinct().join(pairs, ["a", "b"], "left_anti")
-    )
-    across = measured.filter("root != hub_root").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-    linked = tested.filter(LINKED).join(across, ["a", "b"], "left_semi")
-    more = scratch.keep(linked.select("da", "db").unionByName(_verified(rest, sets).filter(LINKED).select("da", "db")))
-    scratch.drop(measured, pairs, tested)
-    return more
+    return F.least(frequent, other_frequent) * (NUM + DEN) >= (F.col(n) + F.col(other_n)) * NUM
+
+
+def _to_centres(members: DataFrame) -> DataFrame:
+    """(a, b): of the members (sig, node, n, frequent, rare, root) of groups, each with the group's class of fewest rare shingles.
+
+    That one is likeliest to be similar to others: what it joins needs no pairs afterwards.
+    """
+    first = members.groupBy("sig").agg(F.min(F.struct("rare", "node", "root", "n", "frequent")).alias("first"))
+    first = first.select("sig", *[F.col(f"first.{c}").alias(f"first_{c}") for c in ("node", "root", "n", "frequent")])
+    met = members.join(first, "sig").filter((F.col("root") != F.col("first_root")) & _may_be_similar("n", "frequent", "first_n", "first_frequent"))
+    return met.filter("node != first_node").select(F.least("node", "first_node").alias("a"), F.greatest("node", "first_node").alias("b")).distinct()
+
+
+def _between(members: DataFrame) -> DataFrame:
+    """(a, b): pairs across components among the members (sig, node, n, frequent, rare, root) of groups that may be similar.
+
+    A class meets a component only if one of its classes there may be similar, and each pair is met from one side alone.
+    """
+    parts = members.groupBy("sig", F.col("root").alias("other")).agg(F.min("n").alias("least_n"), F.max("frequent").alias("most_frequent"))
+    near = members.join(parts, "sig").filter((F.col("root") < F.col("other")) & _may_be_similar("n", "frequent", "least_n", "most_frequent"))
+    others = members.select("sig", F.col("root").alias("other"), F.col("node").alias("y"), F.col("n").alias("n_y"), F.col("frequent").alias("frequent_y"))
+    met = near.select("sig", "other", "node", "n", "frequent").join(others, ["sig", "other"]).filter((F.col("node") != F.col("y")) & _may_be_similar("n", "frequent", "n_y", "frequent_y"))
+    return met.select(F.least("node", "y").alias("a"), F.greatest("node", "y").alias("b")).distinct()
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

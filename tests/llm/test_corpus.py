@@ -267,6 +267,25 @@ def test_similar_groups_in_crowds_as_by_brute_force(spark, monkeypatch):
     assert len({c for _, _, c in want}) > 30 and leaders and max(leaders) < len(rows) / 4
 
 
+def test_near_copies_kept_apart_by_their_changes_make_no_pairs(spark, monkeypatch):
+    random.seed(11)
+    word = lambda: f"u{random.getrandbits(40)}"
+    passage, rows = [word() for _ in range(120)], []
+    for k in range(240):
+        text = list(passage)
+        for at in random.sample(range(5, 115, 5), 3):  # 15 of 116 shingles are its own; every eighth is like the passage, so they are linked
+            if k % 8 or at < 30:
+                text[at] = word()
+        rows.append((k, " ".join(text)))
+    pairs = []
+    verified = ngram_join._verified
+    monkeypatch.setattr(ngram_join, "_verified", lambda p, sets: pairs.append(p.count()) or verified(p, sets))
+    got = ngram_join.similar_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    want = _similar(rows)
+    assert sorted((tuple(r) for r in got), key=str) == want
+    assert len({c for _, _, c in want}) > 150 and sum(pairs) < 8 * len(rows)
+
+
 def test_similar_groups_of_odd_tables(odd, odd_rows):
     # ids repeat here: components are by row
     got = ngram_join.similar_groups(odd).collect()
