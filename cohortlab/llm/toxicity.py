@@ -34,6 +34,8 @@ from .words import LOWER, NOT_LETTERS, column_bytes, runs, words
 
 BINS = 1 << 21
 SAMPLE = 50_000
+#: Tokens a task counts before it hands its counts on: they are 32-bit numbers.
+MOST_COUNTED = (1 << 32) - 1
 PREFIXES = (4, 6, 8)
 PRIOR = 4.0
 MIN_SCORE, DRIFT = 1.0, -0.05
@@ -90,16 +92,25 @@ def token_counts(rows: DataFrame) -> DataFrame:
     """(bin, clean, toxic): tokens by class; tasks add up their own first."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, BINS))
+        # one small table a task, counted in place: several workers of an executor hold one at a time
+        total, held = np.zeros(2 * BINS, np.uint32), 0
+
+        def out() -> pa.RecordBatch:
+            clean, toxic = total[:BINS], total[BINS:]
+            seen = np.flatnonzero((clean > 0) | (toxic > 0))
+            return pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(clean[seen].astype(float)), pa.array(toxic[seen].astype(float))], names=["bin", "clean", "toxic"])
+
         for b in batches:
             toxic = np.asarray(b.column(1)) > 0
             for first, _, row, levels in _tokens(b.column(0)):
-                of = toxic[row + first]
+                if held + len(row) * len(levels) > MOST_COUNTED:
+                    yield out()
+                    total[:], held = 0, 0
+                held += len(row) * len(levels)
+                offset = toxic[row + first].astype(np.int64) * BINS
                 for at in levels:
-                    total[0] += np.bincount(at[~of], minlength=BINS)
-                    total[1] += np.bincount(at[of], minlength=BINS)
-        seen = np.flatnonzero(total.any(axis=0))
-        yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[0, seen]), pa.array(total[1, seen])], names=["bin", "clean", "toxic"])
+                    np.add.at(total, offset + at, np.uint32(1))
+        yield out()
 
     return (
         rows.filter("counted").select("text", "toxic")

@@ -14,9 +14,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes hashed in one go; a longer row is cut at a separator, so its words stay whole.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 #: Bytes of the rows handed out together by ``runs``; a longer row comes alone.
-RUN = 2 << 20
+RUN = 1 << 20
 
 SPACES = np.zeros(256, bool)
 SPACES[[0x20, *range(0x09, 0x0E)]] = True

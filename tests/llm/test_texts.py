@@ -6,8 +6,10 @@ import gzip
 import hashlib
 import random
 import re
+import tracemalloc
 import urllib.parse
 import zlib
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -294,6 +296,32 @@ def test_segments_are_all_maximal_ones():
         assert [(a, b) for a, b, _ in toxicity.segments(score)] == brute(score)
 
 
+@pytest.mark.parametrize("most", [(1 << 32) - 1, 50])
+def test_tokens_are_counted_by_class_in_little_memory(spark, monkeypatch, most):
+    monkeypatch.setattr(toxicity, "MOST_COUNTED", most, raising=False)
+    rows = [("Alpha beta, alpha", 0, True), ("alpha gamma" * 3, 1, True), (None, 1, True), ("beta " * 40, 1, True), ("not counted", 0, False)]
+    made = []
+
+    def count(self, f, schema):
+        """``f`` on all rows here, with the memory that numpy held at most."""
+        table = self.toArrow()
+        tracemalloc.start()
+        batches = list(f(iter(table.to_batches())))
+        made.append((tracemalloc.get_traced_memory()[1], len(batches)))
+        tracemalloc.stop()
+        return spark.createDataFrame(pa.Table.from_batches(batches).to_pandas(), schema)
+
+    monkeypatch.setattr("pyspark.sql.classic.dataframe.DataFrame.mapInArrow", count)
+    got = {r["bin"]: (r["clean"], r["toxic"]) for r in toxicity.token_counts(spark.createDataFrame(rows, "text string, toxic int, counted boolean")).collect()}
+    want = defaultdict(lambda: [0, 0])
+    for text, toxic, counted in rows:
+        for _, _, _, levels in toxicity._tokens(pa.array([text if counted else None], pa.string())):
+            for b in np.concatenate(levels).tolist():
+                want[b][toxic] += 1
+    assert got == {b: tuple(map(float, n)) for b, n in want.items()}
+    assert made[0][0] < 2 * 4 * toxicity.BINS + (12 << 20) and (made[0][1] > 1) == (most == 50)
+
+
 def test_toxicity_is_learnt_and_held_out_rows_are_not(spark, odd, odd_rows):
     random.seed(6)
     calm, rude = [f"word{k}" for k in range(300)], ["vileone", "viletwo", "vilethree"]
