@@ -18,6 +18,12 @@ def test_leaves_do_not_grow_with_the_rows(spark):
     assert tree.subs.count() <= 24 and tree.leaves.count() == 20_000  # 40 and more when a leaf had 512 rows
 
 
+def test_ranks_in_a_large_cell_fit(spark):
+    rows = table(spark, np.arange(20.0).reshape(10, 2)).selectExpr("0L AS g", "features AS x", "array(row_id) AS ids")
+    tree = PivotTree(rows, 2, 2, rows_per_leaf=1 << 30)  # rank times rows of a leaf, as in a cell of 100,000 rows with leaves of 30,000
+    assert tree.leaves.count() == 10
+
+
 def test_blocks_of_distances_join_to_the_whole(monkeypatch):
     rng = np.random.default_rng(2)
     q, s = rng.integers(0, 3, (50, 3)).astype(float), rng.integers(0, 3, (80, 3)).astype(float)
