@@ -6,6 +6,8 @@ from cohortlab import learners as L
 from cohortlab.learners.shared import shared_scores
 from cohortlab.operators.sampling import nested_columns, nested_folds
 from cohortlab.plans import search
+from cohortlab.plans.grids import REGRESSOR_GRIDS
+from cohortlab.registry import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -44,3 +46,21 @@ def test_nested_search_of_shared_fits_takes_few_jobs(spark, rows):
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert pred.count() == 200 and [c["fold"] for c in chosen] == list(range(5))
     assert jobs <= 40  # 115 when every outer fold had passes of its own
+
+
+def test_all_regressors_are_searched_with_whole_grids(spark, data_dir, monkeypatch):
+    asked = {}
+    monkeypatch.setattr(search, "run_all_models", lambda df, learners, grids, path, **options: asked.update(learners=learners, grids=grids, options=options))
+    QUERIES["run_all_models_regress"](spark, data_dir)
+    assert set(asked["learners"]) == set(L.REGRESSORS) and len(L.REGRESSORS) == 12  # 4 of them before
+    fitted = [len(search.candidate_list(grid, asked["options"].get("method", "random"), asked["options"].get("n_iter", 10))) for grid in asked["grids"].values()]
+    assert sum(fitted) == 1634  # 24 before
+
+
+def test_whole_grids_are_searched_to_the_summary(spark, data_dir, monkeypatch):
+    names, seen, every = ["LR", "Ridge", "Lasso", "ElasticNet"], [], search.candidate_list
+    monkeypatch.setattr(L, "REGRESSORS", {n: L.REGRESSORS[n] for n in names})
+    monkeypatch.setattr(search, "candidate_list", lambda *a: seen.append(every(*a)) or seen[-1])
+    rows = QUERIES["run_all_models_regress"](spark, data_dir).collect()
+    assert [len(s) for s in seen] == [2, 6, 6, 16] and len(rows) == 24  # 10 for ElasticNet before
+    assert seen == [every(REGRESSOR_GRIDS[n]) for n in names]
